@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from tamis.functions.fmt import sig
+
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -180,6 +182,7 @@ def median_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # -- A3 / A4 -------------------------------------------------------------------
 
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
+    """(``digits``: significant digits of the output, see ``fmt.sig``.)"""
     """A3: one row per column: missing_percent, min, p01, median, p99, max,
     mean, std (sample), neg_percent, zero_percent.  Shares of negatives and
     zeros are over non-null rows; null when the column is empty."""
@@ -210,7 +213,7 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, digits: in
         "column", "missing_percent", "min", "p01", "median", "p99", "max", "mean", "std",
         "neg_percent", "zero_percent")
     if digits is not None:
-        out = out.select("column", *[F.round(c, digits).alias(c) for c in out.columns[1:]])
+        out = out.select("column", *[sig(c, digits).alias(c) for c in out.columns[1:]])
     return out
 
 
@@ -230,7 +233,7 @@ def duration_summary(df: DataFrame, start: str, end: str, digits: int | None = N
     out = base.crossJoin(q).select("missing_percent", "min", "p01", "median", "p99", "max",
                                    "negative_or_zero_percent", "gt_6h_percent")
     if digits is not None:
-        out = out.select(*[F.round(c, digits).alias(c) for c in out.columns])
+        out = out.select(*[sig(c, digits).alias(c) for c in out.columns])
     return out
 
 

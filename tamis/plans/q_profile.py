@@ -1,3 +1,275 @@
-"""Registered queries."""
+"""Profile, constraint and validation queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tamis.operators import corrupt as C
+from tamis.operators import profile as P
+from tamis.operators import validate as V
+from tamis.plans.registry import query
+from tamis.functions.fmt import sig, sig_sql
+from tamis.plans.sqlkit import key_sql, mask_sql
+from tamis.sources.tables import MIXED_SQL, TRIP_SQL, mixed, table, trip
+
+MIX_COLS = ["o_totalprice", "c_acctbal", "o_orderpriority", "c_mktsegment"]
+
+
+def _mixed_missing(spark, sf_dir):
+    m = mixed(spark, sf_dir).select("o_orderkey", *MIX_COLS, "o_orderstatus")
+    return C.missing_values(m, "o_orderkey", MIX_COLS, 0.30)
+
+
+def _mixed_missing_sql() -> str:
+    k = key_sql("o_orderkey")
+    sel = ", ".join(f"CASE WHEN {mask_sql(k, 0.30, salt='mcar:' + c)} THEN NULL ELSE {c} END AS {c}"
+                    for c in MIX_COLS)
+    return f"(SELECT o_orderkey, {sel}, o_orderstatus FROM {MIXED_SQL})"
+
+
+@query("profile_nulls", f"""
+WITH m AS {_mixed_missing_sql()}
+SELECT * FROM (
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, round(avg(({c} IS NULL)::INTEGER::DOUBLE) * 100, 4) AS missing_percent FROM m"
+    for c in ["o_orderkey", *MIX_COLS, "o_orderstatus"]) + ")")
+def profile_nulls(spark, sf_dir):
+    """A2 on the mixed table after 30% MCAR on four columns."""
+    return P.null_percent(_mixed_missing(spark, sf_dir))
+
+
+NUM = ["distance", "fare", "total", "discount"]
+
+
+def _num_sql(c):
+    exprs = {"missing_percent": f"avg(({c} IS NULL)::INTEGER::DOUBLE) * 100", "min": f"min({c})",
+             "p01": f"quantile_cont({c}, 0.01)", "median": f"quantile_cont({c}, 0.5)",
+             "p99": f"quantile_cont({c}, 0.99)", "max": f"max({c})", "mean": f"avg({c})",
+             "std": f"stddev_samp({c})", "neg_percent": f"count(*) FILTER (WHERE {c} < 0) / count({c}) * 100",
+             "zero_percent": f"count(*) FILTER (WHERE {c} = 0) / count({c}) * 100"}
+    return f"SELECT '{c}' AS column, " + ", ".join(f"{sig_sql(e)} AS {n}" for n, e in exprs.items()) + " FROM t"
+
+
+@query("profile_numeric", f"WITH t AS {TRIP_SQL}\n" + "\nUNION ALL\n".join(_num_sql(c) for c in NUM))
+def profile_numeric(spark, sf_dir):
+    """A3: numeric summary of four trip columns (exact percentiles)."""
+    return P.numeric_summary(trip(spark, sf_dir), NUM, digits=10)
+
+
+@query("profile_duration", f"""
+WITH t AS (SELECT (epoch_us(dropoff) - epoch_us(pickup)) / 6.0e7 AS d FROM {TRIP_SQL})
+SELECT {sig_sql("avg((d IS NULL)::INTEGER::DOUBLE) * 100")} AS missing_percent, {sig_sql("min(d)")} AS min,
+  {sig_sql("quantile_cont(d, 0.01)")} AS p01, {sig_sql("quantile_cont(d, 0.5)")} AS median,
+  {sig_sql("quantile_cont(d, 0.99)")} AS p99, {sig_sql("max(d)")} AS max,
+  {sig_sql("avg(coalesce(d <= 0, false)::INTEGER::DOUBLE) * 100")} AS negative_or_zero_percent,
+  {sig_sql("avg(coalesce(d > 360, false)::INTEGER::DOUBLE) * 100")} AS gt_6h_percent FROM t""")
+def profile_duration(spark, sf_dir):
+    """A4: pickup (order date) to drop-off (ship date) in minutes."""
+    return P.duration_summary(trip(spark, sf_dir), "pickup", "dropoff", digits=10)
+
+
+@query("value_counts_top20", f"""
+SELECT do_loc AS value, count(*) AS count FROM {TRIP_SQL}
+GROUP BY do_loc ORDER BY count DESC, value ASC NULLS FIRST LIMIT 20""")
+def value_counts_top20(spark, sf_dir):
+    """A5: top-20 drop-off locations (ties by value)."""
+    return P.value_counts(trip(spark, sf_dir), "do_loc", 20)
+
+
+@query("distribution_share", f"""
+SELECT o_orderpriority, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
+FROM {MIXED_SQL} GROUP BY o_orderpriority""")
+def distribution_share(spark, sf_dir):
+    """Normalised distribution of the order priority."""
+    d = P.distribution(mixed(spark, sf_dir), "o_orderpriority")
+    return d.select("o_orderpriority", "n", F.round("share", 6).alias("share"))
+
+
+@query("learn_ranges", f"""
+WITH t AS {TRIP_SQL}
+SELECT 'distance' AS column, 0.0 AS min_allowed, round(quantile_cont(distance, 0.999), 6) AS max_allowed FROM t
+UNION ALL SELECT 'fare', 0.0, round(quantile_cont(fare, 0.999), 6) FROM t
+UNION ALL SELECT 'total', round(quantile_cont(total, 0.001), 6), round(quantile_cont(total, 0.999), 6) FROM t""")
+def learn_ranges(spark, sf_dir):
+    """Robust caps learnt on the clean trip table."""
+    r = P.learn_ranges(trip(spark, sf_dir), fixed_low={"distance": 0.0, "fare": 0.0}, low_pct={"total": 0.001})
+    return r.select("column", F.round("min_allowed", 6).alias("min_allowed"), F.round("max_allowed", 6).alias("max_allowed"))
+
+
+@query("learn_allowed_sets", f"""
+WITH t AS {TRIP_SQL}
+SELECT 'flag' AS column, list_sort(list(DISTINCT flag) FILTER (WHERE flag IS NOT NULL))[1:50] AS allowed FROM t
+UNION ALL SELECT 'status', list_sort(list(DISTINCT status) FILTER (WHERE status IS NOT NULL))[1:50] FROM t
+UNION ALL SELECT 'priority', list_sort(list(DISTINCT priority) FILTER (WHERE priority IS NOT NULL))[1:50] FROM t""")
+def learn_allowed_sets(spark, sf_dir):
+    """Sorted allowed sets (at most 50) of three coded columns."""
+    t = trip(spark, sf_dir)
+    parts = [P.distinct_capped(t, c, 50).select(F.lit(c).alias("column"), "allowed") for c in ["flag", "status", "priority"]]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("flat_report", f"""
+WITH t AS {TRIP_SQL}
+SELECT 'n_rows' AS metric, count(*)::DOUBLE AS value FROM t
+UNION ALL SELECT 'n_cols', 14.0
+UNION ALL SELECT 'missing_percent.distance', round(avg((distance IS NULL)::INTEGER::DOUBLE) * 100, 4) FROM t
+UNION ALL SELECT 'numeric.distance.min', round(min(distance), 6) FROM t
+UNION ALL SELECT 'numeric.distance.median', round(quantile_cont(distance, 0.5), 6) FROM t
+UNION ALL SELECT 'numeric.distance.max', round(max(distance), 6) FROM t
+UNION ALL SELECT 'numeric.distance.mean', round(avg(distance), 6) FROM t
+UNION ALL SELECT 'constraints.distance.max_allowed', round(quantile_cont(distance, 0.999), 6) FROM t""")
+def flat_report(spark, sf_dir):
+    """The baseline profile as a flat ``(metric, value)`` table."""
+    t = trip(spark, sf_dir)
+    shape = P.shape(t)
+    s = P.numeric_summary(t, ["distance"]).first()
+    cap = P.quantile_values(t, ["distance"], [0.999])[("distance", 0.999)]
+    nulls = P.null_percent(t, ["distance"]).first()
+    pairs = [("missing_percent.distance", nulls["missing_percent"]),
+             ("numeric.distance.min", s["min"]), ("numeric.distance.median", s["median"]),
+             ("numeric.distance.max", s["max"]), ("numeric.distance.mean", s["mean"]),
+             ("constraints.distance.max_allowed", cap)]
+    learnt = spark.createDataFrame([(m, float(v)) for m, v in pairs], "metric string, value double")
+    counts = shape.select(P.stack([("n_rows", F.col("n_rows").cast("double")),
+                                   ("n_cols", F.col("n_cols").cast("double"))], "metric", "value").alias("s")).select("s.*")
+    out = counts.unionByName(learnt)
+    return P.flat_report(out.select("metric", F.round("value", 6).alias("value")))
+
+
+@query("shape_rows_cols", f"SELECT count(*) AS n_rows, 6::BIGINT AS n_cols FROM orders")
+def shape_rows_cols(spark, sf_dir):
+    """A1."""
+    return P.shape(table(spark, sf_dir, "orders"))
+
+
+@query("min_class_size", f"SELECT min(n) AS min_class_size FROM (SELECT count(*) AS n FROM {MIXED_SQL} GROUP BY c_mktsegment)")
+def min_class_size(spark, sf_dir):
+    """Smallest class (market segment) size."""
+    return P.min_class_size(mixed(spark, sf_dir), "c_mktsegment")
+
+
+@query("completeness_by_column", f"""
+WITH m AS {_mixed_missing_sql()}
+SELECT round(count(o_totalprice) / count(*), 6) AS o_totalprice, round(count(c_acctbal) / count(*), 6) AS c_acctbal,
+       round(count(o_orderpriority) / count(*), 6) AS o_orderpriority FROM m""")
+def completeness_by_column(spark, sf_dir):
+    """Non-null share per column after injection."""
+    c = P.completeness(_mixed_missing(spark, sf_dir), ["o_totalprice", "c_acctbal", "o_orderpriority"])
+    return c.select(*[F.round(x, 6).alias(x) for x in c.columns])
+
+
+# -- validation (V6-V13) -----------------------------------------------------------
+
+@query("infer_schema_table", f"""
+WITH t AS (SELECT distance, fare, flag, status, priority FROM {TRIP_SQL})
+SELECT 'distance' AS column, 'numeric' AS type, round(count(distance) / count(*), 6) AS min_presence,
+       NULL::VARCHAR[] AS domain, min(distance) AS low, max(distance) AS high FROM t
+UNION ALL SELECT 'fare', 'numeric', round(count(fare) / count(*), 6), NULL, min(fare), max(fare) FROM t
+UNION ALL SELECT 'flag', 'string', round(count(flag) / count(*), 6), list_sort(list(DISTINCT flag)), NULL, NULL FROM t
+UNION ALL SELECT 'status', 'string', round(count(status) / count(*), 6), list_sort(list(DISTINCT status)), NULL, NULL FROM t
+UNION ALL SELECT 'priority', 'string', round(count(priority) / count(*), 6), list_sort(list(DISTINCT priority)), NULL, NULL FROM t""")
+def infer_schema_table(spark, sf_dir):
+    """V5 / V6: statistics-based schema of the trip table."""
+    s = V.infer_schema(trip(spark, sf_dir).select("distance", "fare", "flag", "status", "priority"))
+    return s.withColumn("min_presence", F.round("min_presence", 6))
+
+
+def _batch_vs_schema(spark, sf_dir):
+    t = trip(spark, sf_dir).select("trip_id", "distance", "fare", "flag", "priority")
+    schema = V.infer_schema(t.drop("trip_id"))
+    bad = C.category_default(t, "trip_id", ["flag"], 0.10)
+    bad = C.missing_values(bad, "trip_id", ["fare"], 0.20)
+    bad = C.scaling(bad, "trip_id", ["distance"], 0.05)
+    return V.validate_against_schema(bad.drop("trip_id").withColumn("extra", F.lit(1)), schema)
+
+
+@query("validate_against_schema")
+def validate_against_schema(spark, sf_dir):
+    """Anomalies of a corrupted batch against the learnt schema
+    (rows-only check: the detail strings are engine-formatted)."""
+    return _batch_vs_schema(spark, sf_dir).select("column", "kind")
+
+
+def _trip_rules(t, hi, t_lo, t_hi):
+    return V.rule_predicates(
+        ranges={"distance": (0.0, hi), "total": (t_lo, t_hi)},
+        allowed={"flag": ["A", "N", "R"], "status": ["F", "O"]},
+        cross={"total_below_fare": F.col("total") < F.col("fare")})
+
+
+def _corrupted_trip(spark, sf_dir):
+    t = trip(spark, sf_dir).select("trip_id", "distance", "fare", "total", "flag", "status")
+    t = C.negative_values(t, "trip_id", ["distance"], 0.05)
+    return C.category_default(t, "trip_id", ["flag"], 0.02, salt="default")
+
+
+def _corrupted_trip_sql():
+    k = key_sql("trip_id")
+    return f"""(SELECT trip_id, CASE WHEN {mask_sql(k, 0.05)} THEN -abs(distance) ELSE distance END AS distance,
+  fare, total, CASE WHEN {mask_sql(k, 0.02, salt='default')} THEN 'Default' ELSE flag END AS flag, status
+  FROM {TRIP_SQL})"""
+
+
+@query("layer1_violation_counts", f"""
+WITH c AS (SELECT quantile_cont(distance, 0.999) AS hi, quantile_cont(total, 0.001) AS lo_t,
+                  quantile_cont(total, 0.999) AS hi_t FROM {TRIP_SQL}),
+b AS {_corrupted_trip_sql()}
+SELECT rule, violations, round(violations / n, 6) AS share FROM (
+  SELECT count(*) AS n,
+    count(*) FILTER (WHERE coalesce(distance < 0.0 OR distance > hi, false)) AS range_distance,
+    count(*) FILTER (WHERE coalesce(total < lo_t OR total > hi_t, false)) AS range_total,
+    count(*) FILTER (WHERE coalesce(flag NOT IN ('A', 'N', 'R'), false)) AS allowed_flag,
+    count(*) FILTER (WHERE coalesce(status NOT IN ('F', 'O'), false)) AS allowed_status,
+    count(*) FILTER (WHERE coalesce(total < fare, false)) AS total_below_fare
+  FROM b, c) UNPIVOT (violations FOR rule IN (range_distance, range_total, allowed_flag, allowed_status, total_below_fare))""")
+def layer1_violation_counts(spark, sf_dir):
+    """One aggregation counts every rule on a corrupted batch,
+    against ranges learnt on the clean table."""
+    q = P.quantile_values(trip(spark, sf_dir), ["distance", "total"], [0.001, 0.999])
+    b = _corrupted_trip(spark, sf_dir)
+    rules = _trip_rules(b, q[("distance", 0.999)], q[("total", 0.001)], q[("total", 0.999)])
+    return V.violation_counts(b, rules).withColumn("share", F.round("share", 6))
+
+
+@query("row_verdicts", f"""
+WITH c AS (SELECT quantile_cont(distance, 0.999) AS hi, quantile_cont(total, 0.001) AS lo_t,
+                  quantile_cont(total, 0.999) AS hi_t FROM {TRIP_SQL}),
+b AS {_corrupted_trip_sql()},
+v AS (SELECT trip_id, list_filter([
+    CASE WHEN coalesce(distance < 0.0 OR distance > hi, false) THEN 'range_distance' END,
+    CASE WHEN coalesce(total < lo_t OR total > hi_t, false) THEN 'range_total' END,
+    CASE WHEN coalesce(flag NOT IN ('A', 'N', 'R'), false) THEN 'allowed_flag' END,
+    CASE WHEN coalesce(status NOT IN ('F', 'O'), false) THEN 'allowed_status' END,
+    CASE WHEN coalesce(total < fare, false) THEN 'total_below_fare' END], lambda x: x IS NOT NULL) AS violations
+  FROM b, c)
+SELECT array_to_string(violations, ',') AS verdict, count(*) AS n FROM v GROUP BY verdict""")
+def row_verdicts(spark, sf_dir):
+    """Per-row arrays of violated rules, summarised by verdict."""
+    q = P.quantile_values(trip(spark, sf_dir), ["distance", "total"], [0.001, 0.999])
+    b = _corrupted_trip(spark, sf_dir)
+    rules = _trip_rules(b, q[("distance", 0.999)], q[("total", 0.001)], q[("total", 0.999)])
+    v = V.row_verdicts(b, rules)
+    return v.groupBy(F.array_join("violations", ",").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cross_field_rule", f"""
+SELECT count(*) FILTER (WHERE total < fare) AS violations, round(avg((total < fare)::INTEGER::DOUBLE), 6) AS share
+FROM {TRIP_SQL}""")
+def cross_field_rule(spark, sf_dir):
+    """Computed total below fare."""
+    t = trip(spark, sf_dir)
+    return t.agg(F.count_if(F.col("total") < F.col("fare")).alias("violations"),
+                 F.round(F.avg((F.col("total") < F.col("fare")).cast("double")), 6).alias("share"))
+
+
+@query("missing_rate_check", f"""
+WITH m AS {_mixed_missing_sql()}
+SELECT "column", round(missing_rate, 6) AS missing_rate, allowed, missing_rate > allowed AS exceeded,
+  CASE WHEN missing_rate > 0.2 THEN 'high_missing' WHEN missing_rate > 0 THEN 'missing' ELSE 'ok' END AS anomaly
+FROM (SELECT 'o_totalprice' AS column, avg((o_totalprice IS NULL)::INTEGER::DOUBLE) AS missing_rate, 0.05::DOUBLE AS allowed FROM m
+      UNION ALL SELECT 'o_orderstatus', avg((o_orderstatus IS NULL)::INTEGER::DOUBLE), 0.05 FROM m)""")
+def missing_rate_check(spark, sf_dir):
+    """Missing rate against allowances, classified."""
+    r = V.missing_rate_check(_mixed_missing(spark, sf_dir), {"o_totalprice": 0.05, "o_orderstatus": 0.05})
+    return r.select("column", F.round("missing_rate", 6).alias("missing_rate"), "allowed", "exceeded",
+                    V.classify_anomaly(F.col("missing_rate")).alias("anomaly"))
