@@ -433,12 +433,20 @@ def composite_text(df: DataFrame, key, columns: Sequence[str], seed: int = 42) -
     d = missing_values(df, key, columns, 0.05, seed)
     if len(columns) >= 2:
         d = swap_columns(d, key, columns[0], columns[1], 0.05, seed)
-    d = duplicate_rows(d, key, 0.10, seed)
+    # lineage is cut once the row set changes: later masks re-read this copy
+    d = _cut(duplicate_rows(d, key, 0.10, seed))
     k2 = _with_copy(key)
     d = broken_characters(d, k2, columns, 0.08, seed)
     return text_length_limit(d, k2, columns, 150)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared checkpoint folder (never a local one)."""
+    from tamis.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _with_copy(key):
     if isinstance(key, str):
         return [key, "copy_no"]
@@ -454,8 +462,8 @@ def composite_numeric(df: DataFrame, key, columns: Sequence[str], violation_colu
     d = df
     for c in columns:
         d = permute_column(d, key, c, 0.5, seed)
-    d = missing_values(d, key, columns, 0.3, seed)
-    d = duplicate_rows(d, key, 0.10, seed)
+    d = missing_values(_cut(d), key, columns, 0.3, seed)
+    d = _cut(duplicate_rows(d, key, 0.10, seed))
     k2 = _with_copy(key)
     d = gaussian_noise(d, k2, columns, 0.25, seed)
     d = scaling(d, k2, columns, 0.25, seed)
@@ -475,7 +483,7 @@ def composite_all(df: DataFrame, key, text_columns: Sequence[str], numeric_colum
     k2 = _with_copy(key)
     d = d.withColumnRenamed("copy_no", "copy_text")
     k3 = [*([key] if isinstance(key, str) else key), "copy_text"]
-    d = composite_numeric(d, k3, numeric_columns, violation_column, seed=seed)
+    d = _cut(composite_numeric(d, k3, numeric_columns, violation_column, seed=seed))
     cats = list(category_columns) if category_columns is not None else \
         [c for c in _cols_of(d, None, (StringType,), k3) if c not in numeric_columns]
     return category_shift(d, [*k3, "copy_no"], cats, 0.10, seed)

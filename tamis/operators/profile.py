@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tamis.functions.fmt import sig
+from tamis.session import ensure_checkpoint_dir
 
 
 
@@ -70,12 +71,19 @@ def ranked_in_range(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     with ``monotonically_increasing_id`` (consecutive within a partition), so
     the rank needs no second exchange: rank = rows of the group in earlier
     partitions (a few rows per partition, broadcast) + position in partition.
+    Rows with equal order values stay in one partition, so ``order`` should end
+    in a unique key (or a hash) to spread heavy values.
     """
     keys, order = list(keys), list(order)
-    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(spark)
+    # the numbered partitions are written once (reliable checkpoint in the
+    # shared folder): counts and positions then read the SAME partitions, even
+    # if AQE re-plans or an executor is lost and a stage is recomputed
     rp = (df.repartitionByRange(nparts, *keys, *order).sortWithinPartitions(*keys, *order)
             .withColumn("_tm_pid", F.spark_partition_id())
-            .withColumn("_tm_i", F.monotonically_increasing_id()))
+            .withColumn("_tm_i", F.monotonically_increasing_id())).checkpoint(eager=True)
     counts = rp.groupBy(*keys, "_tm_pid").agg(F.count(F.lit(1)).alias("_tm_n"), F.min("_tm_i").alias("_tm_i0"))
     w = Window.partitionBy(*keys).orderBy("_tm_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_tm_off", F.coalesce(F.sum("_tm_n").over(w), F.lit(0))).drop("_tm_n")

@@ -160,20 +160,13 @@ def rank_by_hash(df: DataFrame, key, seed: int = 42, salt: str | None = None,
              .drop(H, K, "_tm_b", "_tm_off"))
 
 
-def rank_by(df: DataFrame, order: Sequence[str], out: str = "rank",
-            num_partitions: int | None = None) -> DataFrame:
+def rank_by(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
     """D8 for an arbitrary (unique) order: range partition, per-partition
-    counts as broadcast offsets (one row per partition), local ``row_number``."""
-    spark = df.sparkSession
-    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rp = df.repartitionByRange(nparts, *order).withColumn("_tm_pid", F.spark_partition_id())
-    counts = rp.groupBy("_tm_pid").agg(F.count(F.lit(1)).alias("_tm_n"))
-    w = Window.orderBy("_tm_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_tm_off", F.coalesce(F.sum("_tm_n").over(w), F.lit(0))).drop("_tm_n")
-    wr = Window.partitionBy("_tm_pid").orderBy(*order)
-    return (rp.join(F.broadcast(offs), "_tm_pid")
-              .withColumn(out, (F.col("_tm_off") + F.row_number().over(wr)).cast("bigint"))
-              .drop("_tm_pid", "_tm_off"))
+    counts as broadcast offsets, position inside the sorted partition
+    (see ``profile.ranked_in_range``).  1-based."""
+    from tamis.operators.profile import ranked_in_range
+    r = ranked_in_range(df, [], list(order), out="_tm_r0")
+    return r.withColumn(out, (F.col("_tm_r0") + 1).cast("bigint")).drop("_tm_r0")
 
 
 # -- per-group sampling and splits -----------------------------------------

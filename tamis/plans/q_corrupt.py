@@ -1,3 +1,494 @@
-"""Registered queries."""
+"""Corruption queries (C1-C35) on the trip, mixed and text stand-ins.
+
+Each query injects one error kind over the WHOLE table and reports a compact
+summary (counts of touched cells, checksums of values) that its SQL twin
+recomputes from the same keyed hash definitions.
+"""
 
 from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from tamis.functions.fmt import sig, sig_sql
+from tamis.operators import corrupt as C
+from tamis.plans.registry import query
+from tamis.plans.sqlkit import key_sql, mask_sql
+from tamis.functions.keys import sql_normal, sql_uniform
+from tamis.sources.tables import MIXED_SQL, TEXT_SQL, TRIP_SQL, mixed, text_table, trip
+
+TK = key_sql("trip_id")
+OK = key_sql("o_orderkey")
+DK = key_sql("doc_id")
+
+
+def _n(c="*"):
+    return F.count(F.lit(1)) if c == "*" else F.count(c)
+
+
+def _dec(c):
+    return F.sum(c).cast("decimal(20,2)").cast("double")
+
+
+# -- C1-C3 missing values ------------------------------------------------------------
+
+@query("mcar_missing", f"""
+WITH m AS (SELECT o_orderkey,
+  CASE WHEN {mask_sql(OK, 0.3, salt='mcar:o_totalprice')} THEN NULL ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN {mask_sql(OK, 0.3, salt='mcar:c_mktsegment')} THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM {MIXED_SQL})
+SELECT count(*) AS n, count(o_totalprice) AS price_present, count(c_mktsegment) AS segment_present,
+       count(*) FILTER (WHERE o_totalprice IS NULL AND c_mktsegment IS NULL) AS both_missing,
+       sum(o_totalprice)::DECIMAL(20,2)::DOUBLE AS price_sum FROM m""")
+def mcar_missing(spark, sf_dir):
+    """30% MCAR per column, independent samples."""
+    m = C.missing_values(mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_mktsegment"),
+                         "o_orderkey", ["o_totalprice", "c_mktsegment"], 0.3)
+    return m.agg(_n().alias("n"), _n("o_totalprice").alias("price_present"), _n("c_mktsegment").alias("segment_present"),
+                 F.count_if(F.col("o_totalprice").isNull() & F.col("c_mktsegment").isNull()).alias("both_missing"),
+                 _dec("o_totalprice").alias("price_sum"))
+
+
+def _block_sql(col, by, salt, frac=0.3):
+    u0 = C.py_uniform(42, salt, "start")
+    return f"""(SELECT *, CASE WHEN rn >= s AND rn < s + k THEN NULL ELSE {col} END AS v FROM (
+  SELECT *, row_number() OVER (ORDER BY ({by} IS NULL)::INTEGER, {by}, {OK}) - 1 AS rn,
+         floor(count(*) OVER () * {frac}::DOUBLE) AS k,
+         floor({u0!r} * (count(*) OVER () - floor(count(*) OVER () * {frac}::DOUBLE))) AS s
+  FROM {MIXED_SQL}))"""
+
+
+@query("mar_missing", f"""
+SELECT count(*) AS n, count(v) AS present, min(c_acctbal) FILTER (WHERE v IS NULL) AS block_lo,
+       max(c_acctbal) FILTER (WHERE v IS NULL) AS block_hi
+FROM {_block_sql('o_totalprice', 'c_acctbal', 'mar')}""")
+def mar_missing(spark, sf_dir):
+    """Price missing in a contiguous block of the account-balance ranks."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal")
+    c = C.missing_at_random(m, "o_orderkey", "o_totalprice", "c_acctbal", 0.3)
+    return c.agg(_n().alias("n"), _n("o_totalprice").alias("present"),
+                 F.min(F.when(F.col("o_totalprice").isNull(), F.col("c_acctbal"))).alias("block_lo"),
+                 F.max(F.when(F.col("o_totalprice").isNull(), F.col("c_acctbal"))).alias("block_hi"))
+
+
+@query("mnar_missing", f"""
+SELECT count(*) AS n, count(v) AS present, min(o_totalprice) FILTER (WHERE v IS NULL) AS block_lo,
+       max(o_totalprice) FILTER (WHERE v IS NULL) AS block_hi
+FROM {_block_sql('o_totalprice', 'o_totalprice', 'mnar')}""")
+def mnar_missing(spark, sf_dir):
+    """Price missing in a contiguous block of its own ranks."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice").withColumn("orig", F.col("o_totalprice"))
+    c = C.missing_not_at_random(m, "o_orderkey", "o_totalprice", 0.3)
+    return c.agg(_n().alias("n"), _n("o_totalprice").alias("present"),
+                 F.min(F.when(F.col("o_totalprice").isNull(), F.col("orig"))).alias("block_lo"),
+                 F.max(F.when(F.col("o_totalprice").isNull(), F.col("orig"))).alias("block_hi"))
+
+
+# -- C4-C7 ----------------------------------------------------------------------------------
+
+@query("swap_columns", f"""
+WITH s AS (SELECT doc_id, CASE WHEN m THEN content ELSE title END AS title, CASE WHEN m THEN title ELSE content END AS content
+           FROM (SELECT *, {mask_sql(DK, 0.05, salt='swap')} AS m FROM {TEXT_SQL}))
+SELECT count(*) AS n, sum(length(title))::BIGINT AS title_chars, sum(length(content))::BIGINT AS content_chars,
+       count(*) FILTER (WHERE length(title) > length(content)) AS title_longer FROM s""")
+def swap_columns(spark, sf_dir):
+    """C4: title and content exchanged on 5% of the documents."""
+    s = C.swap_columns(text_table(spark, sf_dir), "doc_id", "title", "content", 0.05)
+    return s.agg(_n().alias("n"), F.sum(F.length("title")).cast("bigint").alias("title_chars"),
+                 F.sum(F.length("content")).cast("bigint").alias("content_chars"),
+                 F.count_if(F.length("title") > F.length("content")).alias("title_longer"))
+
+
+@query("permute_column", f"""
+WITH s AS (SELECT *, {mask_sql(TK, 0.01, salt='perm', where='distance IS NOT NULL', rounding='half_even')} AS m,
+                  md5(concat_ws(':', '42', 'perm:order', CAST(trip_id AS VARCHAR))) AS h2 FROM {TRIP_SQL}),
+p AS (SELECT trip_id, distance AS old, coalesce(lead(distance) OVER w, first_value(distance) OVER w) AS new FROM s WHERE m
+      WINDOW w AS (ORDER BY h2, trip_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT count(*) AS n_sampled, count(*) FILTER (WHERE old <> new) AS changed, sum(old) AS sum_old, sum(new) AS sum_new,
+       sum(new * hash_w) AS weighted FROM (SELECT *, CAST(split_part(trip_id, ':', 1) AS DOUBLE) AS hash_w FROM p)""")
+def permute_column(spark, sf_dir):
+    """1% of non-null distances permuted (cyclic shift in hash order)."""
+    t = trip(spark, sf_dir).select("trip_id", "distance").withColumn("old", F.col("distance"))
+    p = C.permute_column(t, "trip_id", "distance", 0.01)
+    m = C.exact_mask_frame(t, "trip_id", fraction=0.01, salt="perm", where=F.col("distance").isNotNull(),
+                           rounding="half_even", out="m").select("trip_id", "m")
+    j = p.join(m, "trip_id").filter("m")
+    w = F.split("trip_id", ":")[0].cast("double")
+    return j.agg(_n().alias("n_sampled"), F.count_if(F.col("old") != F.col("distance")).alias("changed"),
+                 F.sum("old").alias("sum_old"), F.sum("distance").alias("sum_new"),
+                 F.sum(F.col("distance") * w).alias("weighted"))
+
+
+@query("dup_rows", f"""
+WITH d AS (SELECT doc_id, 0 AS copy_no FROM documents
+           UNION ALL SELECT doc_id, 1 FROM (SELECT doc_id, {mask_sql(DK, 0.1)} AS m FROM documents) WHERE m)
+SELECT count(*) AS n, count(DISTINCT doc_id) AS n_keys, sum(copy_no)::BIGINT AS copies,
+       sum(doc_id * copy_no)::BIGINT AS copied_key_sum FROM d""")
+def dup_rows(spark, sf_dir):
+    """10% of the documents appended again (copy_no keeps keys distinct)."""
+    from tamis.sources.tables import table
+    d = C.duplicate_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.1)
+    return d.agg(_n().alias("n"), F.countDistinct("doc_id").alias("n_keys"),
+                 F.sum("copy_no").cast("bigint").alias("copies"),
+                 F.sum(F.col("doc_id") * F.col("copy_no")).cast("bigint").alias("copied_key_sum"))
+
+
+@query("category_shift", f"""
+WITH dic AS (SELECT v, coalesce(lead(v) OVER (ORDER BY v), min(v) OVER ()) AS nxt
+             FROM (SELECT DISTINCT c_mktsegment AS v FROM {MIXED_SQL} WHERE c_mktsegment IS NOT NULL)),
+s AS (SELECT o_orderkey, c_mktsegment AS old, CASE WHEN m THEN nxt ELSE c_mktsegment END AS new
+      FROM (SELECT *, {mask_sql(OK, 0.3, salt='catshift')} AS m FROM {MIXED_SQL}) LEFT JOIN dic ON c_mktsegment = v)
+SELECT old, new, count(*) AS n FROM s GROUP BY ALL""")
+def category_shift(spark, sf_dir):
+    """30% of market segments moved to the next segment (derangement)."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "c_mktsegment").withColumn("old", F.col("c_mktsegment"))
+    s = C.category_shift(m, "o_orderkey", ["c_mktsegment"], 0.3)
+    return s.groupBy("old", F.col("c_mktsegment").alias("new")).agg(_n().alias("n"))
+
+
+@query("class_shift", f"""
+SELECT label AS old, CASE WHEN m THEN 0 ELSE label END AS new, count(*) AS n FROM (
+  SELECT label, {mask_sql(OK, 0.4, salt='classshift', where='label = 1', rounding='half_even')} AS m FROM {MIXED_SQL}) GROUP BY ALL""")
+def class_shift(spark, sf_dir):
+    """40% of class 1 relabelled 0."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "label").withColumn("old", F.col("label"))
+    s = C.class_shift(m, "o_orderkey", "label", 1, 0, 0.4)
+    return s.groupBy("old", F.col("label").alias("new")).agg(_n().alias("n"))
+
+
+def _typo_sql(col, key):
+    x = f"CAST({col} AS VARCHAR)"
+    i = f"CAST(floor({sql_uniform(key, 42, 'typo:' + col)} * length({x})) AS INTEGER)"
+    return f"CASE WHEN length({x}) <= 1 THEN {x} ELSE substr({x}, 1, {i}) || substr({x}, {i} + 2) END"
+
+
+@query("category_typo", f"""
+SELECT c_mktsegment AS old, CASE WHEN m THEN {_typo_sql('c_mktsegment', OK)} ELSE c_mktsegment END AS new,
+       count(*) AS n FROM (SELECT *, {mask_sql(OK, 0.3)} AS m FROM {MIXED_SQL}) GROUP BY ALL""")
+def category_typo(spark, sf_dir):
+    """One character deleted at a hashed position in 30% of segments."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "c_mktsegment").withColumn("old", F.col("c_mktsegment"))
+    s = C.category_typo(m, "o_orderkey", ["c_mktsegment"], 0.3)
+    return s.groupBy("old", F.col("c_mktsegment").alias("new")).agg(_n().alias("n"))
+
+
+@query("category_default", f"""
+SELECT CASE WHEN m THEN 'Default' ELSE o_orderpriority END AS o_orderpriority, count(*) AS n
+FROM (SELECT *, {mask_sql(OK, 0.3)} AS m FROM {MIXED_SQL}) GROUP BY 1""")
+def category_default(spark, sf_dir):
+    """30% of priorities replaced by 'Default'."""
+    s = C.category_default(mixed(spark, sf_dir).select("o_orderkey", "o_orderpriority"), "o_orderkey", ["o_orderpriority"], 0.3)
+    return s.groupBy("o_orderpriority").agg(_n().alias("n"))
+
+
+@query("broken_chars", f"""
+WITH s AS (SELECT CASE WHEN {mask_sql(DK, 0.25, salt='broken:title')} THEN translate(title, 'aAeEoOuU', 'áÁéÉóÓúÚ') ELSE title END AS title
+           FROM {TEXT_SQL})
+SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(title, '[áÁéÉóÓúÚ]')) AS with_accent,
+       sum(length(title))::BIGINT AS chars, md5(string_agg(title, '|' ORDER BY title)) AS digest FROM s""")
+def broken_chars(spark, sf_dir):
+    """C11: vowels replaced by accented look-alikes in 25% of titles."""
+    s = C.broken_characters(text_table(spark, sf_dir).select("doc_id", "title"), "doc_id", ["title"], 0.25)
+    return s.agg(_n().alias("n"), F.count_if(F.col("title").rlike("[áÁéÉóÓúÚ]")).alias("with_accent"),
+                 F.sum(F.length("title")).cast("bigint").alias("chars"),
+                 F.md5(F.array_join(F.array_sort(F.collect_list("title")), "|")).alias("digest"))
+
+
+@query("truncate_text", f"""
+SELECT count(*) AS n, sum(length(substr(text, 1, 150)))::BIGINT AS chars, max(length(substr(text, 1, 150))) AS max_len,
+       count(*) FILTER (WHERE length(text) > 150) AS truncated FROM documents""")
+def truncate_text(spark, sf_dir):
+    """Every text cut to 150 characters (characters, not bytes)."""
+    from tamis.sources.tables import table
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("orig_len", F.length("text"))
+    s = C.text_length_limit(d, "doc_id", ["text"], 150)
+    return s.agg(_n().alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"),
+                 F.max(F.length("text")).cast("bigint").alias("max_len"), F.count_if(F.col("orig_len") > 150).alias("truncated"))
+
+
+@query("truncate_text_half", f"""
+SELECT count(*) AS n, sum(length(CASE WHEN m THEN substr(text, 1, 50) ELSE text END))::BIGINT AS chars
+FROM (SELECT *, {mask_sql(DK, 0.5)} AS m FROM documents)""")
+def truncate_text_half(spark, sf_dir):
+    """C12 variant: half of the texts cut to 50 characters."""
+    from tamis.sources.tables import table
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = C.text_length_limit(d, "doc_id", ["text"], 50, fraction=0.5)
+    return s.agg(_n().alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
+# -- numeric corruption ---------------------------------------------------------------------
+
+def _noise_sql(col, frac=0.1):
+    salt = f"noise:{col}"
+    m = 1.0 + 4.0 * C.py_uniform(42, salt, "scale")
+    return (f"CASE WHEN {mask_sql(TK, frac, salt=salt, where=f'{col} IS NOT NULL')} "
+            f"THEN {col} + {sql_normal(TK, 42, salt + ':z')} * {m!r} * sd ELSE {col} END")
+
+
+@query("gaussian_noise", f"""
+WITH t AS (SELECT *, stddev_pop(distance) OVER () AS sd FROM {TRIP_SQL}),
+s AS (SELECT distance AS old, {_noise_sql('distance')} AS new FROM t)
+SELECT count(*) AS n, count(*) FILTER (WHERE old <> new) AS changed,
+       {sig_sql('sum(new - old)', 8)} AS total_shift, {sig_sql('max(abs(new - old))', 8)} AS max_shift FROM s""")
+def gaussian_noise(spark, sf_dir):
+    """Gaussian noise (m x population std) on 10% of distances."""
+    t = trip(spark, sf_dir).select("trip_id", "distance").withColumn("old", F.col("distance"))
+    s = C.gaussian_noise(t, "trip_id", ["distance"], 0.1)
+    d = F.col("distance") - F.col("old")
+    return s.agg(_n().alias("n"), F.count_if(F.col("old") != F.col("distance")).alias("changed"),
+                 sig(F.sum(d), 8).alias("total_shift"), sig(F.max(F.abs(d)), 8).alias("max_shift"))
+
+
+_SCALE = C.SCALE_FACTORS[int(C.py_uniform(42, "scaling:distance", "factor") * 3)]
+
+
+@query("scaling", f"""
+SELECT count(*) AS n, count(*) FILTER (WHERE m) AS scaled, sum(CASE WHEN m THEN distance * {_SCALE} ELSE distance END) AS sum_distance
+FROM (SELECT *, {mask_sql(TK, 0.1, salt='scaling:distance')} AS m FROM {TRIP_SQL})""")
+def scaling(spark, sf_dir):
+    """C14: 10% of distances multiplied by one power of ten."""
+    t = trip(spark, sf_dir).select("trip_id", "distance").withColumn("old", F.col("distance"))
+    s = C.scaling(t, "trip_id", ["distance"], 0.1)
+    return s.agg(_n().alias("n"), F.count_if(F.col("old") != F.col("distance")).alias("scaled"),
+                 F.sum("distance").alias("sum_distance"))
+
+
+@query("constraint_violation", f"""
+WITH s AS (SELECT CASE WHEN {mask_sql(TK, 0.1)} THEN
+    CASE WHEN {sql_uniform(TK, 42, 'viol:distance:side')} > 0.5 THEN 50.0 + {sql_uniform(TK, 42, 'viol:distance:mag')} * 50.0
+         ELSE 0.0 - {sql_uniform(TK, 42, 'viol:distance:mag')} * 0.0 END ELSE distance END AS d FROM {TRIP_SQL})
+SELECT count(*) AS n, count(*) FILTER (WHERE d > 50) AS above, count(*) FILTER (WHERE d = 0) AS at_zero,
+       {sig_sql('sum(d)')} AS sum_d FROM s""")
+def constraint_violation(spark, sf_dir):
+    """Half above ``upper + u*|upper|``, half at the lower bound 0."""
+    t = trip(spark, sf_dir).select("trip_id", "distance")
+    s = C.constraint_violation(t, "trip_id", "distance", 0.0, 50.0, 0.1)
+    return s.agg(_n().alias("n"), F.count_if(F.col("distance") > 50).alias("above"),
+                 F.count_if(F.col("distance") == 0).alias("at_zero"), sig(F.sum("distance")).alias("sum_d"))
+
+
+@query("numeric_to_text", f"""
+WITH s AS (SELECT {mask_sql(OK, 0.1)} AS is_text, o_totalprice FROM {MIXED_SQL})
+SELECT count(*) FILTER (WHERE is_text) AS text_cells, count(*) AS n, sum(o_totalprice)::DECIMAL(20,2)::DOUBLE AS parsed_sum FROM s""")
+def numeric_to_text(spark, sf_dir):
+    """The price column becomes text; a flag marks the converted cells."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice")
+    s = C.numeric_to_text(m, "o_orderkey", ["o_totalprice"], 0.1)
+    return s.agg(F.count_if("o_totalprice_is_text").alias("text_cells"), _n().alias("n"),
+                 F.sum(F.col("o_totalprice").cast("double")).cast("decimal(20,2)").cast("double").alias("parsed_sum"))
+
+
+@query("negative_values", f"""
+SELECT count(*) FILTER (WHERE v < 0) AS negative, sum(v)::DECIMAL(20,2)::DOUBLE AS total FROM (
+  SELECT CASE WHEN {mask_sql(OK, 0.1)} THEN -abs(c_acctbal) ELSE c_acctbal END AS v FROM {MIXED_SQL})""")
+def negative_values(spark, sf_dir):
+    """C17: ``-abs(x)`` on 10% of account balances."""
+    s = C.negative_values(mixed(spark, sf_dir).select("o_orderkey", "c_acctbal"), "o_orderkey", ["c_acctbal"], 0.1)
+    return s.agg(F.count_if(F.col("c_acctbal") < 0).alias("negative"), _dec("c_acctbal").alias("total"))
+
+
+@query("label_flip", f"""
+SELECT label AS old, CASE WHEN m THEN 1 - label ELSE label END AS new, count(*) AS n
+FROM (SELECT *, {mask_sql(DK, 0.3, salt='flip', rounding='half_even')} AS m FROM {TEXT_SQL}) GROUP BY ALL""")
+def label_flip(spark, sf_dir):
+    """30% of binary labels flipped."""
+    t = text_table(spark, sf_dir).select("doc_id", "label").withColumn("old", F.col("label"))
+    s = C.label_flip(t, "doc_id", "label", 0.3)
+    return s.groupBy("old", F.col("label").alias("new")).agg(_n().alias("n"))
+
+
+@query("label_swap_classes", f"""
+WITH k AS (SELECT *, {mask_sql(OK, 0.2, salt='flip', rounding='half_even')} AS m FROM {MIXED_SQL})
+SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS old,
+       CASE WHEN m THEN (CAST(substr(o_orderpriority, 1, 1) AS INTEGER) % 5) + 1 ELSE CAST(substr(o_orderpriority, 1, 1) AS INTEGER) END AS new,
+       count(*) AS n FROM k GROUP BY ALL""")
+def label_swap_classes(spark, sf_dir):
+    """Manual label swap among classes 1..5 (to the next class)."""
+    m = mixed(spark, sf_dir).select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("label"))
+    m = m.withColumn("old", F.col("label"))
+    s = C.label_flip(m, "o_orderkey", "label", 0.2, classes=[1, 2, 3, 4, 5])
+    return s.groupBy("old", F.col("label").alias("new")).agg(_n().alias("n"))
+
+
+def _dirty_num_sql(col, key, p_neg=0.1, p=0.1, a=0.5, b=10.0):
+    def u(tag):
+        return sql_uniform(key, 42, f"dirtynum:{col}:{tag}")
+    x = f"CAST({col} AS DOUBLE)"
+    v1 = f"CASE WHEN {u('neg')} < {p_neg} THEN -abs({x}) ELSE {x} END"
+    v2 = f"CASE WHEN {u('mul')} < {p} THEN ({v1}) * ({a} + {b - a} * {u('fac')}) ELSE {v1} END"
+    ch = f"['#', '@', '!', 'x', 'a'][CAST(floor({u('chr')} * 5) AS INTEGER) + 1]"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN {u('q')} < {p} THEN '?' "
+            f"WHEN {u('inj')} < {p} THEN 'INJ' || {ch} ELSE 'NUM' END"), v2
+
+
+@query("dirty_numeric_cells", f"""
+SELECT kind, count(*) AS n, {sig_sql('sum(v)')} AS value_sum FROM (
+  SELECT CASE WHEN k LIKE 'INJ%' THEN 'injected:' || substr(k, 4) WHEN k = 'NUM' THEN 'number' ELSE k END AS kind,
+         CASE WHEN k = 'NUM' THEN v END AS v FROM (
+    SELECT {_dirty_num_sql('o_totalprice', OK)[0]} AS k, {_dirty_num_sql('o_totalprice', OK)[1]} AS v FROM {MIXED_SQL}))
+GROUP BY kind""")
+def dirty_numeric_cells(spark, sf_dir):
+    """C20: negate / multiply / '?' / appended character / re-printed float."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice")
+    s = C.dirty_numeric_cells(m, "o_orderkey", ["o_totalprice"])
+    x = F.col("o_totalprice")
+    kind = (F.when(x.isNull(), F.lit(None).cast("string")).when(x == "?", F.lit("?"))
+             .when(x.rlike("[#@!xa]$"), F.concat(F.lit("injected:"), F.substring(x, -1, 1)))
+             .otherwise(F.lit("number")))
+    return s.groupBy(kind.alias("kind")).agg(_n().alias("n"),
+                                             sig(F.sum(F.when(kind == "number", x.try_cast("double")))).alias("value_sum"))
+
+
+def _dirty_cat_sql(col, key):
+    def u(tag):
+        return sql_uniform(key, 42, f"dirtycat:{col}:{tag}")
+    chars = "['#', '@', '!', 'x', 'a']"
+
+    def ins(x, t):
+        pos = f"CAST(floor({u('pos' + t)} * (length({x}) + 1)) AS INTEGER)"
+        ch = f"{chars}[CAST(floor({u('chr' + t)} * 5) AS INTEGER) + 1]"
+        return f"(substr({x}, 1, {pos}) || {ch} || substr({x}, {pos} + 1))"
+    x = f"coalesce(CAST({col} AS VARCHAR), 'None')"
+    once = ins(x, "1")
+    twice = ins(once, "2")
+    return f"CASE WHEN {u('apply')} < 0.1 THEN CASE WHEN {u('n')} < 0.5 THEN {once} ELSE {twice} END ELSE {col} END"
+
+
+@query("dirty_category_cells", f"""
+SELECT c_mktsegment AS old, {_dirty_cat_sql('c_mktsegment', OK)} AS new, count(*) AS n FROM {MIXED_SQL} GROUP BY ALL""")
+def dirty_category_cells(spark, sf_dir):
+    """One or two injected characters at hashed positions in 10% of cells."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "c_mktsegment").withColumn("old", F.col("c_mktsegment"))
+    s = C.dirty_category_cells(m, "o_orderkey", ["c_mktsegment"])
+    return s.groupBy("old", F.col("c_mktsegment").alias("new")).agg(_n().alias("n"))
+
+
+_TPL = "[" + ", ".join("'" + t + "'" for t in C.SPAM_TEMPLATES) + "]"
+
+
+@query("templated_spam", f"""
+WITH s AS (SELECT *, {mask_sql(DK, 0.3, salt='spam')} AS m FROM {TEXT_SQL})
+SELECT CASE WHEN m THEN {_TPL}[CAST(floor({sql_uniform(DK, 42, 'spam:which')} * 4) AS INTEGER) + 1] ELSE 'original' END AS content,
+       CASE WHEN m THEN 1 ELSE label END AS label, count(*) AS n FROM s GROUP BY ALL""")
+def templated_spam(spark, sf_dir):
+    """30% of contents replaced by one of four templates, label 1."""
+    t = text_table(spark, sf_dir).select("doc_id", "content", "label").withColumn("orig", F.col("content"))
+    s = C.templated_spam(t, "doc_id", "content", "label", 0.3)
+    content = F.when(F.col("content").isin(*C.SPAM_TEMPLATES) & (F.col("content") != F.col("orig")), F.col("content")) \
+               .otherwise(F.lit("original"))
+    return s.groupBy(content.alias("content"), "label").agg(_n().alias("n"))
+
+
+@query("hour_shift", """
+SELECT CAST((hour(ts) + 6) % 24 AS INTEGER) AS shifted, hour(ts)::INTEGER AS hour, count(*) AS n FROM events GROUP BY ALL""")
+def hour_shift(spark, sf_dir):
+    """Event hour shifted by +6 modulo 24."""
+    from tamis.sources.tables import table
+    e = table(spark, sf_dir, "events").select(F.hour(F.col("ts").cast("timestamp")).alias("hour"))
+    s = C.hour_shift(e.withColumn("shifted", F.col("hour")), "shifted", 6)
+    return s.groupBy("shifted", "hour").agg(_n().alias("n"))
+
+
+@query("category_concentration", f"""
+SELECT CASE WHEN m THEN 2 ELSE do_loc END = 2 AS is_two, count(*) AS n
+FROM (SELECT *, {mask_sql(TK, 0.8, salt='concentrate')} AS m FROM {TRIP_SQL}) GROUP BY 1""")
+def category_concentration(spark, sf_dir):
+    """80% of location codes set to one code."""
+    t = trip(spark, sf_dir).select("trip_id", "do_loc")
+    s = C.category_concentration(t, "trip_id", "do_loc", 2, 0.8)
+    return s.groupBy((F.col("do_loc") == 2).alias("is_two")).agg(_n().alias("n"))
+
+
+@query("total_inconsistency", f"""
+SELECT count(*) FILTER (WHERE tot < fare) AS below_fare, sum(tot)::DECIMAL(20,2)::DOUBLE AS total FROM (
+  SELECT fare, CASE WHEN {mask_sql(TK, 0.4, salt='inconsistent')} THEN fare * 0.7 ELSE total END AS tot FROM {TRIP_SQL})""")
+def total_inconsistency(spark, sf_dir):
+    """Total set to 0.7 x fare on 40% of trips."""
+    t = trip(spark, sf_dir).select("trip_id", "fare", "total")
+    s = C.total_inconsistency(t, "trip_id", "total", "fare", 0.7, 0.4)
+    return s.agg(F.count_if(F.col("total") < F.col("fare")).alias("below_fare"), _dec("total").alias("total"))
+
+
+@query("target_noise", f"""
+WITH s AS (SELECT duration_minutes AS old, CASE WHEN {mask_sql(TK, 0.3, salt='targetnoise')} AND duration_minutes IS NOT NULL
+    THEN greatest(duration_minutes + {sql_normal(TK, 42, 'targetnoise:z')} * 10.0, 0.0) ELSE duration_minutes END AS new
+  FROM {TRIP_SQL})
+SELECT count(*) FILTER (WHERE old <> new) AS changed, count(*) FILTER (WHERE new = 0 AND old <> 0) AS clipped,
+       {sig_sql('sum(new - old)', 8)} AS shift FROM s""")
+def target_noise(spark, sf_dir):
+    """N(0, 10) minutes on 30% of durations, clipped at 0."""
+    t = trip(spark, sf_dir).select("trip_id", "duration_minutes").withColumn("old", F.col("duration_minutes"))
+    s = C.target_noise(t, "trip_id", "duration_minutes", 10.0, 0.3)
+    new, old = F.col("duration_minutes"), F.col("old")
+    return s.agg(F.count_if(old != new).alias("changed"), F.count_if((new == 0) & (old != 0)).alias("clipped"),
+                 sig(F.sum(new - old), 8).alias("shift"))
+
+
+# -- composites, registry, log (C27-C35) ---------------------------------------------------------
+
+@query("composite_text")
+def composite_text(spark, sf_dir):
+    """Missing, swapped, duplicated, broken and truncated text."""
+    t = text_table(spark, sf_dir).select("doc_id", "title", "content")
+    s = C.composite_text(t, "doc_id", ["title", "content"])
+    return s.agg(_n().alias("n"), _n("title").alias("title_present"), _n("content").alias("content_present"),
+                 F.max(F.length("content")).alias("max_len"))
+
+
+@query("composite_numeric")
+def composite_numeric(spark, sf_dir):
+    """The numeric combination on the mixed table (violation column is
+    an argument)."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal")
+    s = C.composite_numeric(m, "o_orderkey", ["o_totalprice", "c_acctbal"], "c_acctbal", 0.0, 10000.0)
+    return s.agg(_n().alias("n"), F.count_if("o_totalprice_is_text").alias("price_text"),
+                 _n("o_totalprice").alias("price_present"))
+
+
+@query("composite_all")
+def composite_all(spark, sf_dir):
+    """Text and numeric combinations, then a 10% category shift."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "o_orderpriority", "c_mktsegment", "o_totalprice", "c_acctbal")
+    s = C.composite_all(m, "o_orderkey", ["o_orderpriority", "c_mktsegment"], ["o_totalprice", "c_acctbal"],
+                        "c_acctbal", category_columns=["c_mktsegment"])
+    return s.agg(_n().alias("n"), F.countDistinct("c_mktsegment").alias("segments"))
+
+
+def _register_defaults():
+    C.REGISTRY.clear()
+    C.register("01_missing_values", C.missing_values, columns=["o_totalprice", "c_mktsegment"], fraction=0.3)
+    C.register("03_duplicate_rows", C.duplicate_rows, fraction=0.1)
+    C.register("04_category_shift", C.category_shift, columns=["c_mktsegment"], fraction=0.3)
+    C.register("08_scaling", C.scaling, columns=["o_totalprice"], fraction=0.1)
+    C.register("11_negative_values", C.negative_values, columns=["c_acctbal"], fraction=0.1)
+    C.register("CATEGORY_TYPO", C.category_typo, columns=["c_mktsegment"], fraction=0.3)
+    C.register("CATEGORY_DEFAULT", C.category_default, columns=["c_mktsegment"], fraction=0.3)
+
+
+@query("registry_counts", f"""
+WITH m AS (SELECT o_orderkey, o_totalprice, c_acctbal, c_mktsegment FROM {MIXED_SQL})
+SELECT '01_missing_values' AS corruption, count(*) AS n FROM m
+UNION ALL SELECT '03_duplicate_rows', count(*) + floor(count(*) * 0.1::DOUBLE)::BIGINT FROM m
+UNION ALL SELECT '04_category_shift', count(*) FROM m UNION ALL SELECT '08_scaling', count(*) FROM m
+UNION ALL SELECT '11_negative_values', count(*) FROM m UNION ALL SELECT 'CATEGORY_TYPO', count(*) FROM m
+UNION ALL SELECT 'CATEGORY_DEFAULT', count(*) FROM m""")
+def registry_counts(spark, sf_dir):
+    """Every registered corruption applied to the same input in
+    ONE stacked table tagged by name (written partitioned by it)."""
+    _register_defaults()
+    m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal", "c_mktsegment")
+    out = C.apply_registered(m, "o_orderkey")
+    return out.groupBy("corruption").agg(_n().alias("n"))
+
+
+@query("corruption_log", f"""
+SELECT 1 AS batch, 'MissingValues' AS corruption, 'missing price in ' || count(*) FILTER (WHERE m) || ' rows' AS details,
+       'JENGA-style' AS source FROM (SELECT {mask_sql(OK, 0.3, salt='mcar:o_totalprice')} AS m FROM {MIXED_SQL})""")
+def corruption_log(spark, sf_dir):
+    """A log row per injected batch, with the measured count."""
+    m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice")
+    c = C.missing_values(m, "o_orderkey", ["o_totalprice"], 0.3)
+    return c.agg(F.lit(1).alias("batch"), F.lit("MissingValues").alias("corruption"),
+                 F.concat(F.lit("missing price in "), F.count_if(F.col("o_totalprice").isNull()).cast("string"),
+                          F.lit(" rows")).alias("details"), F.lit("JENGA-style").alias("source"))
