@@ -118,10 +118,11 @@ def unicode_repair(df: DataFrame, columns: Sequence[str], nfkc: bool = True) ->
 # -- swapped columns (R12-R14) --------------------------------------------------------
 
 def _swap(df: DataFrame, a: str, b: str, cond: Column, flag: str | None) -> DataFrame:
-    m = F.coalesce(cond, F.lit(False))
-    out = _replace(df, {a: F.when(m, F.col(b)).otherwise(F.col(a)),
-                        b: F.when(m, F.col(a)).otherwise(F.col(b))})
-    return out.withColumn(flag, m) if flag else out
+    d = df.withColumn("_tm_sw", F.coalesce(cond, F.lit(False)))
+    m = F.col("_tm_sw")
+    out = _replace(d, {a: F.when(m, F.col(b)).otherwise(F.col(a)),
+                       b: F.when(m, F.col(a)).otherwise(F.col(b))})
+    return out.withColumnRenamed("_tm_sw", flag) if flag else out.drop("_tm_sw")
 
 
 def swap_back_length(df: DataFrame, title: str = "title", content: str = "content",
@@ -224,10 +225,9 @@ def short_text_backoff(df: DataFrame, content: str = "content", title: str = "ti
 
 def clip_max(df: DataFrame, column: str, maximum: float, flag: str | None = None) -> DataFrame:
     """Clip above a maximum (nulls pass)."""
-    out = _replace(df, {column: N.clip(F.col(column), high=maximum)})
-    if flag:
-        out = out.withColumn(flag, F.coalesce(F.col(column) >= F.lit(maximum), F.lit(False)))
-    return out
+    d = df.withColumn("_tm_x", F.coalesce(F.col(column) >= F.lit(maximum), F.lit(False)))
+    out = _replace(d, {column: N.clip(F.col(column), high=maximum)})
+    return out.withColumnRenamed("_tm_x", flag) if flag else out.drop("_tm_x")
 
 
 def zscore_outliers(df: DataFrame, column: str, z: float = 5.0) -> DataFrame:
@@ -255,12 +255,10 @@ def recompute_total(df: DataFrame, total: str, parts: Sequence[str], only_violat
     s = None
     for p in parts:
         s = F.col(p) if s is None else s + F.col(p)
-    viol = F.coalesce(F.col(total) < F.col(parts[0]), F.lit(False))
-    new_total = F.when(viol, s).otherwise(F.col(total)) if only_violations else s
-    out = _replace(df, {total: new_total})
-    if flag:
-        out = out.withColumn(flag, viol)
-    return out
+    d = df.withColumn("_tm_v", F.coalesce(F.col(total) < F.col(parts[0]), F.lit(False)))
+    new_total = F.when(F.col("_tm_v"), s).otherwise(F.col(total)) if only_violations else s
+    out = _replace(d, {total: new_total})
+    return out.withColumnRenamed("_tm_v", flag) if flag else out.drop("_tm_v")
 
 
 def recompute_duration(df: DataFrame, target: str, start: str, end: str, tolerance: float = 10.0,
