@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 def sig(x: Column | str, digits: int = 10) -> Column:
     c = F.col(x) if isinstance(x, str) else x
-    return F.format_string(f"%.{digits - 1}e", c.cast("double")).try_cast("double")
+    # "+ 0.0" turns a negative zero into zero
+    return F.format_string(f"%.{digits - 1}e", c.cast("double")).try_cast("double") + F.lit(0.0)
 
 
 def sig_sql(expr: str, digits: int = 10) -> str:
-    return f"TRY_CAST(printf('%.{digits - 1}e', ({expr})::DOUBLE) AS DOUBLE)"
+    return f"(TRY_CAST(printf('%.{digits - 1}e', ({expr})::DOUBLE) AS DOUBLE) + 0.0)"

@@ -202,9 +202,10 @@ def quarantine_templates(df: DataFrame, column: str, min_entropy: float = 3.0, f
                          token: str = T.TEMPLATE_TOKEN) -> DataFrame:
     """Flag low-entropy rows, collapse whitespace and append a token;
     all rows kept, the mask is a column of the same frame."""
-    q = T.word_entropy(F.coalesce(F.col(column), F.lit(""))) < min_entropy
+    d = df.withColumn("_tm_q", T.word_entropy(F.coalesce(F.col(column), F.lit(""))) < min_entropy)
     fixed = F.concat(T.collapse_whitespace(F.coalesce(F.col(column), F.lit(""))), F.lit(" " + token))
-    return _replace(df, {column: F.when(q, fixed).otherwise(F.col(column))}).withColumn(flag, q)
+    out = _replace(d, {column: F.when(F.col("_tm_q"), fixed).otherwise(F.col(column))})
+    return out.withColumnRenamed("_tm_q", flag)
 
 
 def drop_short(df: DataFrame, column: str, min_length: int = 100) -> DataFrame:
