@@ -1,3 +1,141 @@
-"""Registered queries."""
+"""Drift, distance and significance queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tamis.functions.fmt import sig, sig_sql
+from tamis.functions.keys import sql_normal
+from tamis.operators import corrupt as C
+from tamis.operators import drift as D
+from tamis.plans.registry import query
+from tamis.plans.sqlkit import key_sql, mask_sql
+from tamis.sources.tables import TEXT_SQL, TRIP_SQL, table, text_table, trip
+
+DK = key_sql("doc_id")
+TK = key_sql("trip_id")
+
+
+def _flipped(spark, sf_dir):
+    t = text_table(spark, sf_dir).select("doc_id", "title", "content", "label")
+    return C.label_flip(t, "doc_id", "label", 0.3)
+
+
+FLIP_SQL = f"""(SELECT doc_id, title, content, CASE WHEN m THEN 1 - label ELSE label END AS label
+  FROM (SELECT *, {mask_sql(DK, 0.3, salt='flip', rounding='half_even')} AS m FROM {TEXT_SQL}))"""
+
+
+def _dist_sql(src):
+    return f"(SELECT label, count(*) / sum(count(*)) OVER () AS p FROM {src} WHERE label IS NOT NULL GROUP BY label)"
+
+
+@query("tv_distance", f"""
+WITH b AS {_dist_sql(TEXT_SQL)}, c AS {_dist_sql(FLIP_SQL)}
+SELECT {sig_sql('sum(abs(coalesce(b.p, 0) - coalesce(c.p, 0))) / 2')} AS tv_distance
+FROM b FULL OUTER JOIN c ON b.label = c.label""")
+def tv_distance(spark, sf_dir):
+    """Label distribution of the clean vs the 30%-flipped batch."""
+    r = D.tv_distance(text_table(spark, sf_dir), _flipped(spark, sf_dir), "label")
+    return r.select(sig("tv_distance").alias("tv_distance"))
+
+
+@query("js_distance", f"""
+WITH b AS {_dist_sql(TEXT_SQL)}, c AS {_dist_sql(FLIP_SQL)},
+a AS (SELECT coalesce(b.p, 0) + 1e-10 AS p, coalesce(c.p, 0) + 1e-10 AS q FROM b FULL OUTER JOIN c ON b.label = c.label),
+n AS (SELECT p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM a)
+SELECT {sig_sql('sqrt(greatest(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 0))', 8)} AS js_distance FROM n""")
+def js_distance(spark, sf_dir):
+    """Jensen-Shannon distance (natural log, square root, smoothed)."""
+    r = D.js_distance(text_table(spark, sf_dir), _flipped(spark, sf_dir), "label")
+    return r.select(sig("js_distance", 8).alias("js_distance"))
+
+
+def _ks_sql(a_src, b_src, col):
+    return f"""
+WITH a AS (SELECT {col}::DOUBLE AS v FROM {a_src} WHERE {col} IS NOT NULL AND NOT isnan({col}::DOUBLE)),
+b AS (SELECT {col}::DOUBLE AS v FROM {b_src} WHERE {col} IS NOT NULL AND NOT isnan({col}::DOUBLE)),
+g AS (SELECT v, sum(ia) AS na, sum(ib) AS nb FROM (SELECT v, 1 AS ia, 0 AS ib FROM a UNION ALL SELECT v, 0, 1 FROM b) GROUP BY v),
+n AS (SELECT sum(na) AS n_a, sum(nb) AS n_b FROM g),
+c AS (SELECT abs(sum(na) OVER w / n.n_a - sum(nb) OVER w / n.n_b) AS d FROM g, n
+      WINDOW w AS (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, (SELECT max(d) FROM c) AS ks_statistic FROM n),
+l AS (SELECT *, sqrt(n_a * n_b / (n_a + n_b)::DOUBLE) * ks_statistic AS lam FROM s)
+SELECT n_a, n_b, {sig_sql('ks_statistic')} AS ks_statistic,
+  {sig_sql('CASE WHEN lam <= 0 THEN 1.0 ELSE least(greatest(2.0 * (SELECT sum(pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) r(k)), 0.0), 1.0) END', 8)} AS ks_pvalue
+FROM l"""
+
+
+@query("ks_two_sample", _ks_sql(TEXT_SQL, FLIP_SQL, "label"))
+def ks_two_sample(spark, sf_dir):
+    """KS of the label column, clean vs flipped batch."""
+    r = D.ks_two_sample(text_table(spark, sf_dir), _flipped(spark, sf_dir), "label")
+    return r.select("n_a", "n_b", sig("ks_statistic").alias("ks_statistic"), sig("ks_pvalue", 8).alias("ks_pvalue"))
+
+
+_SD_SALT = "noise:total"
+NOISY_TOTAL_SQL = f"""(SELECT total_old AS total0, CASE WHEN m THEN total_old + z * {1.0 + 4.0 * C.py_uniform(42, _SD_SALT, 'scale')!r} * sd ELSE total_old END AS total
+  FROM (SELECT total AS total_old, stddev_pop(total) OVER () AS sd,
+               {mask_sql(TK, 0.2, salt=_SD_SALT, where='total IS NOT NULL')} AS m,
+               {sql_normal(TK, 42, _SD_SALT + ':z')} AS z FROM {TRIP_SQL}))"""
+
+
+@query("ks_continuous", _ks_sql(TRIP_SQL, NOISY_TOTAL_SQL, "total"))
+def ks_continuous(spark, sf_dir):
+    """D13 on a continuous column: clean totals vs 20% Gaussian-noised
+    totals (whole tables; distributed running sums)."""
+    t = trip(spark, sf_dir).select("trip_id", "total")
+    noisy = C.gaussian_noise(t, "trip_id", ["total"], 0.2)
+    r = D.ks_two_sample(t, noisy, "total")
+    return r.select("n_a", "n_b", sig("ks_statistic").alias("ks_statistic"), sig("ks_pvalue", 8).alias("ks_pvalue"))
+
+
+@query("completeness_drift", f"""
+WITH b AS (SELECT count(title) / count(*) AS title, count(content) / count(*) AS content FROM {TEXT_SQL}),
+c AS (SELECT count(title) / count(*) AS title, count(c) / count(*) AS content FROM (
+        SELECT title, CASE WHEN {mask_sql(DK, 0.3, salt='mcar:content')} THEN NULL ELSE content END AS c FROM {TEXT_SQL}))
+SELECT 'title' AS column, {sig_sql('b.title')} AS base, {sig_sql('c.title')} AS batch, {sig_sql('abs(b.title - c.title)')} AS drift FROM b, c
+UNION ALL SELECT 'content', {sig_sql('b.content')}, {sig_sql('c.content')}, {sig_sql('abs(b.content - c.content)')} FROM b, c""")
+def completeness_drift(spark, sf_dir):
+    """Completeness per column, baseline vs batch with 30% missing content."""
+    t = text_table(spark, sf_dir)
+    batch = C.missing_values(t.select("doc_id", "title", "content"), "doc_id", ["content"], 0.3)
+    r = D.completeness_drift(t, batch, ["title", "content"])
+    return r.select("column", sig("base").alias("base"), sig("batch").alias("batch"), sig("drift").alias("drift"))
+
+
+@query("length_change", f"""
+WITH b AS (SELECT avg(length(content)) AS base_len FROM {TEXT_SQL}),
+c AS (SELECT avg(length(CASE WHEN m THEN substr(content, 1, 50) ELSE content END)) AS batch_len
+      FROM (SELECT *, {mask_sql(DK, 0.5)} AS m FROM {TEXT_SQL}))
+SELECT {sig_sql('base_len')} AS base_len, {sig_sql('batch_len')} AS batch_len,
+       {sig_sql('CASE WHEN base_len > 0 THEN (batch_len - base_len) / base_len * 100 ELSE 0 END')} AS length_change_pct FROM b, c""")
+def length_change(spark, sf_dir):
+    """Mean content length change after truncating half to 50."""
+    t = text_table(spark, sf_dir)
+    batch = C.text_length_limit(t.select("doc_id", "content"), "doc_id", ["content"], 50, fraction=0.5)
+    r = D.length_change(t, batch, "content")
+    return r.select(*[sig(c).alias(c) for c in r.columns])
+
+
+@query("detectability", f"""
+WITH b AS {_dist_sql(TEXT_SQL)}, c AS {_dist_sql(FLIP_SQL)},
+tv AS (SELECT sum(abs(coalesce(b.p, 0) - coalesce(c.p, 0))) / 2 AS tv FROM b FULL OUTER JOIN c ON b.label = c.label),
+cm AS (SELECT abs(1 - count(c) / count(*)) AS comp FROM (
+        SELECT CASE WHEN {mask_sql(DK, 0.3, salt='mcar:content')} THEN NULL ELSE content END AS c FROM {TEXT_SQL})),
+s AS (SELECT tv, comp / 2 AS completeness, 1 AS anomalies FROM tv, cm)
+SELECT {sig_sql('0.4 * completeness + 0.4 * tv + 0.2 * least(anomalies / 2.0, 1.0)')} AS score,
+  CASE WHEN 0.4 * completeness + 0.4 * tv + 0.2 * least(anomalies / 2.0, 1.0) > 0.2 THEN 'High'
+       WHEN 0.4 * completeness + 0.4 * tv + 0.2 * least(anomalies / 2.0, 1.0) > 0.05 THEN 'Medium' ELSE 'Low' END AS level,
+  CASE WHEN anomalies > 0 OR completeness > 0.05 THEN 'High' WHEN completeness > 0.01 THEN 'Medium' ELSE 'Low' END AS rule_level
+FROM s""")
+def detectability(spark, sf_dir):
+    """Rule level and weighted score (.4 completeness, .4 TV,
+    .2 anomalies) of a batch with flipped labels and missing content."""
+    t = text_table(spark, sf_dir)
+    tv = D.tv_distance(t, _flipped(spark, sf_dir), "label")
+    batch = C.missing_values(t.select("doc_id", "content"), "doc_id", ["content"], 0.3)
+    comp = D.completeness_drift(t.select("content"), batch, ["content"]).select((F.col("drift") / 2).alias("completeness"))
+    s = tv.crossJoin(comp).withColumn("anomalies", F.lit(1))
+    score = D.detectability_score(F.col("completeness"), F.col("tv_distance"), F.col("anomalies"))
+    return s.select(sig(score).alias("score"), D.detectability_level(score).alias("level"),
+                    D.detectability_rule(F.col("anomalies"), F.col("completeness")).alias("rule_level"))
