@@ -121,16 +121,6 @@ def clean_review(x: Column) -> Column:
     return F.array_join(w, " ")
 
 
-def char_ngrams(x: Column, n_min: int = 3, n_max: int = 5) -> Column:
-    """M3: all character n-grams of lengths n_min..n_max (order kept)."""
-    grams = []
-    for n in range(n_min, n_max + 1):
-        grams.append(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(0))),
-                                 lambda i, n=n: F.substring(x, i, n)))
-    arr = F.concat(*grams)
-    return F.filter(arr, lambda g: F.length(g) > 0)
-
-
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))

@@ -1,3 +1,149 @@
-"""Registered queries."""
+"""Feature and model queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tamis.functions.fmt import sig, sig_sql
+from tamis.operators import features as FT
+from tamis.operators import models as M
+from tamis.operators import sampling as S
+from tamis.plans.registry import query
+from tamis.sources.tables import TEXT_SQL, mixed, table, text_table, trip
+
+
+def _tfidf_sql(src: str, terms_sql: str, min_df=2, max_df=1.0, max_features=5000, sublinear=False) -> str:
+    tfw = "(1.0 + ln(tf))" if sublinear else "tf::DOUBLE"
+    return f"""
+WITH d AS (SELECT doc_id, {terms_sql} AS terms FROM {src}),
+nd AS (SELECT count(DISTINCT doc_id) AS n FROM {src}),
+t AS (SELECT doc_id, unnest(terms) AS term FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term),
+v AS (SELECT term, df FROM df, nd WHERE df >= {min_df} AND df <= {float(max_df)!r} * nd.n
+      ORDER BY total DESC, term LIMIT {max_features}),
+w AS (SELECT doc_id, term, {tfw} * (ln((1.0 + nd.n) / (1.0 + df)) + 1.0) AS raw FROM tf JOIN v USING (term), nd),
+nw AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM w)
+SELECT doc_id, count(*) AS n_terms, {sig_sql('max(weight)')} AS max_weight,
+       min_by(term, (-weight, term)) AS top_term FROM nw GROUP BY doc_id"""
+
+
+WORDS_SQL = ("list_concat(a, CASE WHEN len(a) >= 2 THEN list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) "
+             "ELSE [] END)")
+
+
+@query("word_tfidf", _tfidf_sql(
+    f"(SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{FT.TOKEN_RE}') AS a FROM documents)", WORDS_SQL))
+def word_tfidf(spark, sf_dir):
+    """M1: word 1-2 gram TF-IDF (min_df 2, 5,000 features, smoothed idf + 1,
+    L2 norm) over every whole document; per-document top term."""
+    d = table(spark, sf_dir, "documents").select("doc_id", FT.tokens(F.col("text")).alias("toks"))
+    w = FT.tfidf(d, "doc_id", FT.with_bigrams(F.col("toks")), min_df=2, max_features=5000)
+    t = FT.top_terms(w, "doc_id")
+    return t.select("doc_id", "n_terms", sig("max_weight").alias("max_weight"), "top_term")
+
+
+@query("word_tfidf_sublinear", _tfidf_sql(
+    f"(SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{FT.TOKEN_RE}') AS a FROM documents)", "a",
+    min_df=2, max_df=0.95, max_features=10000, sublinear=True))
+def word_tfidf_sublinear(spark, sf_dir):
+    """M2: unigram variant with max_df 0.95, 10,000 features, sublinear tf."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    w = FT.tfidf(d, "doc_id", FT.tokens(F.col("text")), min_df=2, max_df=0.95, max_features=10000, sublinear=True)
+    t = FT.top_terms(w, "doc_id")
+    return t.select("doc_id", "n_terms", sig("max_weight").alias("max_weight"), "top_term")
+
+
+CHAR_SQL = ("list_concat(" + ", ".join(
+    f"CASE WHEN length(s) >= {n} THEN list_transform(range(1, length(s) - {n} + 2), lambda i: substr(s, i, {n})) ELSE [] END"
+    for n in (3, 4, 5)) + ")")
+
+
+@query("char_ngram_tfidf", _tfidf_sql(f"(SELECT doc_id, lower(coalesce(title, '')) AS s FROM {TEXT_SQL})", CHAR_SQL,
+                                      min_df=2, max_features=20000))
+def char_ngram_tfidf(spark, sf_dir):
+    """M3: character 3-5 gram TF-IDF of every title (whole field)."""
+    t = text_table(spark, sf_dir).select("doc_id", F.lower(F.coalesce("title", F.lit(""))).alias("s"))
+    w = FT.tfidf(t, "doc_id", FT.char_ngrams(F.col("s"), 3, 5), min_df=2, max_features=20000)
+    r = FT.top_terms(w, "doc_id")
+    return r.select("doc_id", "n_terms", sig("max_weight").alias("max_weight"), "top_term")
+
+
+# -- Spark ML (rows-only checks: model fits are not SQL-expressible) ---------------------------
+
+@query("onehot_scaled")
+def onehot_scaled(spark, sf_dir):
+    """Index (alphabetical, unknown kept), one-hot, assemble,
+    mean-centred scaling of the mixed table; one row per order."""
+    m = mixed(spark, sf_dir)
+    model = M.fit_pipeline(M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment", "o_orderpriority"]), m)
+    out = model.transform(m)
+    return out.select("o_orderkey", F.size(M.vector_to_array("features")).alias("width"),
+                      sig(F.aggregate(M.vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)).alias("feature_sum"))
+
+
+@query("logreg_scores")
+def logreg_scores(spark, sf_dir):
+    """M1 + M9 + M12: TF-IDF and balanced logistic regression on the text
+    table (80/20 keyed split); per test row the probability, arg-max and max."""
+    t = S.split_random(text_table(spark, sf_dir), "doc_id", 0.8)
+    t = M.balanced_weights(t, "label")
+    train = t.filter(F.col("split") == "train")
+    n = train.count()
+    model = M.fit_pipeline([*M.text_features("text", vocab=5000, min_df=2.0), M.logistic(C=1.0, n_rows=n)], train)
+    pred = M.with_probabilities(model.transform(t.filter(F.col("split") == "test")))
+    return pred.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"), "argmax", "max_proba")
+
+
+@query("gbt_scores")
+def gbt_scores(spark, sf_dir):
+    """Gradient-boosted trees on the mixed numerics and categories."""
+    m = S.split_random(mixed(spark, sf_dir), "o_orderkey", 0.8)
+    stages = M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment", "o_orderpriority"], scale=False)
+    model = M.fit_pipeline([*stages, M.gbt(max_iter=10, depth=4)], m.filter(F.col("split") == "train"))
+    pred = model.transform(m.filter(F.col("split") == "test"))
+    return pred.select("o_orderkey", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("ridge_duration")
+def ridge_duration(spark, sf_dir):
+    """Ridge regression of the trip duration, MAE and RMSE on the
+    test split."""
+    from tamis.operators.evaluate import mae_rmse
+    t = S.split_random(trip(spark, sf_dir).select("trip_id", "distance", "fare", "discount", "tax", "flag", "duration_minutes"),
+                       "trip_id", 0.8)
+    train = t.filter(F.col("split") == "train")
+    stages = M.tabular_preprocessor(["distance", "fare", "discount", "tax"], ["flag"])
+    model = M.fit_pipeline([*stages, M.ridge(1.0, 1, label="duration_minutes")], train)
+    pred = model.transform(t.filter(F.col("split") == "test"))
+    return mae_rmse(pred, "duration_minutes", "prediction")
+
+
+@query("cv_accuracy")
+def cv_accuracy(spark, sf_dir):
+    """5-fold CV (stratified fold column) with a grid over
+    the regularisation of a logistic regression on the mixed table."""
+    m = S.kfold(mixed(spark, sf_dir), "label", "o_orderkey", 5)
+    pre = M.fit_pipeline(M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment", "o_orderpriority"]), m)
+    feats = pre.transform(m).select("features", "label", "fold")
+    lr = M.logistic(C=1.0, n_rows=1, weight_col=None)
+    cv = M.cross_validated(lr, lr.regParam, [0.01, 0.1], folds=5, fold_col="fold").fit(feats)
+    return spark.createDataFrame([(float(r), float(a)) for r, a in zip([0.01, 0.1], cv.avgMetrics)],
+                                 "reg_param double, cv_accuracy double")
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, sf_dir):
+    """A fitted pipeline written to the shared folder and read back;
+    predictions of both must agree."""
+    from tamis.session import ensure_checkpoint_dir
+    import uuid
+    m = mixed(spark, sf_dir)
+    model = M.fit_pipeline([*M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment"]),
+                            M.logistic(1.0, 1, weight_col=None)], m)
+    path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
+    loaded = M.save_model(model, path)
+    a = model.transform(m).select("o_orderkey", F.col("prediction").alias("p1"))
+    b = loaded.transform(m).select("o_orderkey", F.col("prediction").alias("p2"))
+    j = a.join(b, "o_orderkey")
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p2")).alias("agree"))
