@@ -1,3 +1,87 @@
-"""Registered queries."""
+"""Streaming queries (T1-T6): batch twins with SQL oracles, streams rows-only."""
 
 from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tamis.functions.fmt import sig, sig_sql
+from tamis.functions.keys import sql_uniform
+from tamis.plans.registry import query
+from tamis.sources.tables import table
+from tamis.streaming import monitor as T
+
+U_SQL = sql_uniform("CAST(event_id AS VARCHAR)", 42, "stream:missing")
+EVENTS_SQL = f"""(SELECT event_id, ts, user_id, event_type, CASE WHEN {U_SQL} < 0.1 THEN NULL ELSE value END AS value,
+  TRY_CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"""
+
+
+def _events(spark, sf_dir):
+    return T.prepare_events(table(spark, sf_dir, "events"))
+
+
+@query("window_quality", f"""
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n,
+       {sig_sql('avg((value IS NULL)::INTEGER::DOUBLE)')} AS missing_share,
+       count(*) FILTER (WHERE value < 0 OR value > 100.0) AS violations,
+       {sig_sql('avg(value)')} AS mean_value, {sig_sql('avg(k)')} AS mean_k
+FROM {EVENTS_SQL} GROUP BY ALL""")
+def window_quality(spark, sf_dir):
+    """T2 (batch twin): hourly quality metrics per event type."""
+    w = T.window_quality(_events(spark, sf_dir))
+    return w.select("window_start", "event_type", "n", sig("missing_share").alias("missing_share"), "violations",
+                    sig("mean_value").alias("mean_value"), sig("mean_k").alias("mean_k"))
+
+
+@query("burst_windows", f"""
+WITH s AS (SELECT time_bucket(INTERVAL '15 minutes', ts) - j * INTERVAL '15 minutes' AS window_start, event_type
+           FROM {EVENTS_SQL}, range(0, 4) r(j))
+SELECT window_start, count(*) AS n, {sig_sql("avg((event_type = 'error')::INTEGER::DOUBLE)")} AS error_share,
+       count(*) > 40 OR avg((event_type = 'error')::INTEGER::DOUBLE) > 0.3 AS burst
+FROM s GROUP BY window_start""")
+def burst_windows(spark, sf_dir):
+    """T3 (batch twin): 1-hour windows sliding by 15 minutes; bursts flagged."""
+    b = T.burst_windows(_events(spark, sf_dir))
+    return b.select("window_start", "n", sig("error_share").alias("error_share"), "burst")
+
+
+@query("window_drift", f"""
+WITH b AS (SELECT event_type, count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY 1),
+c AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL),
+q AS (SELECT window_start, event_type, n / sum(n) OVER (PARTITION BY window_start) AS q FROM c),
+g AS (SELECT DISTINCT window_start FROM c),
+f AS (SELECT coalesce(x.window_start, q.window_start) AS window_start, coalesce(x.p, 0) AS p, coalesce(q.q, 0) AS q
+      FROM (SELECT * FROM g, b) x FULL OUTER JOIN q ON x.window_start = q.window_start AND x.event_type = q.event_type)
+SELECT window_start, {sig_sql('sum(abs(p - q)) / 2')} AS tv_distance FROM f GROUP BY window_start""")
+def window_drift(spark, sf_dir):
+    """T5 (batch twin): daily TV distance of event types to the baseline."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    base = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    base = base.select("event_type", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
+    d = T.window_drift(e, base, "1 day")
+    return d.select("window_start", sig("tv_distance").alias("tv_distance"))
+
+
+@query("stream_window_quality")
+def stream_window_quality(spark, sf_dir):
+    """T2 as a stream: watermark 1 hour, append mode, availableNow; windows
+    still open when the input ends are not emitted (append semantics)."""
+    s = T.window_quality(T.events_stream(spark, sf_dir), watermark="1 hour")
+    return T.run_available_now(s, "window_quality")
+
+
+@query("stream_monitor")
+def stream_monitor(spark, sf_dir):
+    """Per micro-batch verdicts, accepted and quarantined sinks,
+    metrics with the Layer 2 trigger; returns the metrics table."""
+    rules = {"value_missing": F.col("value").isNull(), "value_range": (F.col("value") < 0) | (F.col("value") > 100),
+             "unknown_type": ~F.col("event_type").isin("view", "click", "purchase", "signup", "error")}
+    base = T.monitor_batches(T.events_stream(spark, sf_dir), rules)
+    return spark.read.parquet(f"{base}/metrics")
+
+
+@query("stream_dedup")
+def stream_dedup(spark, sf_dir):
+    """T4: stream deduplication within the watermark on (user, event type)."""
+    s = T.dedup_stream(T.events_stream(spark, sf_dir), ["user_id", "event_type"], "1 hour")
+    return T.run_available_now(s.select("event_id", "ts", "user_id", "event_type"), "dedup")
