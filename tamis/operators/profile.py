@@ -93,8 +93,9 @@ def ranked_in_range(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 # distinct values up to which Spark's exact ``percentile`` aggregate is used:
-# its buffer is a value -> count map, so its memory is bounded by this check
-DISTINCT_BOUND = 500_000
+# its buffer is a value -> count map (about 32 bytes an entry), so the memory
+# of its final merge is bounded by this check (~64 MB)
+DISTINCT_BOUND = 2_000_000
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float],

@@ -7,9 +7,9 @@ Scale notes
 -----------
 * Bernoulli masks (D3) are narrow: no shuffle at all.
 * Exact-k masks (D4) never sort the table.  A 16-bit prefix histogram of the
-  hash (at most 65,536 rows, partially aggregated map-side) finds the bucket
-  that holds the k-th row; while that bucket is large, another 16-bit
-  histogram inside it narrows it (about n / 2^32 rows after two levels); only
+  hash (at most 4,096 rows, partially aggregated map-side) finds the bucket
+  that holds the k-th row; while that bucket is large, another 12-bit
+  histogram inside it narrows it (about n / 2^24 rows after two levels); only
   those few rows are ranked, on the driver.  The result is a single
   ``(hash, key)`` threshold literal, and the mask is a plain comparison.
 * Ranks (D8) add a per-bucket offset (from the same bounded histogram) to a
@@ -58,11 +58,17 @@ def _k_of(total: int, fraction: float | None, n: int | None, rounding: str) -> i
     raise ValueError(f"unknown rounding {rounding!r}")
 
 
+# hex digits of the hash per histogram level: 4,096 buckets, so a map task
+# emits at most 4,096 partial counts and each level narrows the boundary
+# bucket 4,096-fold (1e12 rows need two levels to reach ~60,000 rows)
+_LEVEL_HEX = 3
+
+
 def _narrow(d: DataFrame, prefix: str, start: int, need: int) -> tuple[str, int, int]:
-    """One histogram level: 16 more bits of the hash inside ``prefix``.
+    """One histogram level: 12 more bits of the hash inside ``prefix``.
     Returns (new prefix, rows still needed inside it, its size)."""
     sub = d.filter(F.substring(H, 1, len(prefix)) == prefix) if prefix else d
-    hist = sorted(sub.groupBy(F.substring(H, start, 4).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    hist = sorted(sub.groupBy(F.substring(H, start, _LEVEL_HEX).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
     acc = 0
     for b, c in hist:
         if acc + c >= need:
@@ -75,12 +81,12 @@ def exact_threshold(d: DataFrame, fraction: float | None = None, n: int | None =
                     rounding: str = "floor"):
     """The k-th smallest ``(hash, key)`` of ``d`` (columns H, K) and k.
 
-    Jobs: one 16-bit histogram (<= 65,536 rows to the driver, with the total);
-    while the boundary bucket is large, one more 16-bit level inside it; then
+    Jobs: one 12-bit histogram (<= 4,096 rows to the driver, with the total);
+    while the boundary bucket is large, one more 12-bit level inside it; then
     the boundary bucket's rows (a bounded handful) are ranked on the driver.
     Returns ``(None, 0)`` when k = 0 and ``("ALL", k)`` when every row is taken.
     """
-    hist = sorted(d.groupBy(F.substring(H, 1, 4).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    hist = sorted(d.groupBy(F.substring(H, 1, _LEVEL_HEX).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
     total = sum(c for _, c in hist)
     k = _k_of(total, fraction, n, rounding)
     if k <= 0:
@@ -93,10 +99,10 @@ def exact_threshold(d: DataFrame, fraction: float | None = None, n: int | None =
             prefix, need, size = b, k - acc, c
             break
         acc += c
-    start = 5
-    while size > _BOUNDARY_ROWS and start <= 29:
+    start = 1 + _LEVEL_HEX
+    while size > _BOUNDARY_ROWS and start + _LEVEL_HEX <= 33:
         prefix, need, size = _narrow(d, prefix, start, need)
-        start += 4
+        start += _LEVEL_HEX
     rows = sorted((r[0], r[1]) for r in
                   d.filter(F.substring(H, 1, len(prefix)) == prefix).select(H, K).collect())
     return rows[need - 1], k
