@@ -32,7 +32,7 @@ RECOVERY_LEVELS = [(0.0, "Negative (Cleaning Hurt)"), (0.01, "Negligible"), (0.0
 def completeness_drift(base: DataFrame, batch: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, base, batch, drift)`` with drift = |c0 - c1|."""
     def comp(df, name):
-        w = df.agg(*[(F.count(c) / F.count(F.lit(1))).alias(c) for c in cols])
+        w = df.agg(*[F.try_divide(F.count(c), F.count(F.lit(1))).alias(c) for c in cols])
         return w.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias(name)) for c in cols]))
                         .alias("s")).select("s.*")
     j = comp(base, "base").join(comp(batch, "batch"), "column")

@@ -204,8 +204,8 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, digits: in
             (F.avg(x.isNull().cast("double")) * 100).alias(f"m{i}"),
             F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"),
             F.stddev_samp(x).alias(f"sd{i}"),
-            (F.count_if(x < 0) / nn * 100).alias(f"ng{i}"),
-            (F.count_if(x == 0) / nn * 100).alias(f"zr{i}"),
+            (F.try_divide(F.count_if(x < 0), nn) * 100).alias(f"ng{i}"),
+            (F.try_divide(F.count_if(x == 0), nn) * 100).alias(f"zr{i}"),
         ]
     wide = df.agg(*aggs)
     long = wide.select(F.explode(F.array(*[
@@ -286,7 +286,7 @@ def mode_by_group(df: DataFrame, group: Sequence[str] | str, col: str, name: str
 
 def completeness(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Non-null share per column, one row."""
-    return df.agg(*[(F.count(c) / F.count(F.lit(1))).alias(c) for c in cols])
+    return df.agg(*[F.try_divide(F.count(c), F.count(F.lit(1))).alias(c) for c in cols])
 
 
 # -- V1 / V2 / V4 -----------------------------------------------------------------

@@ -45,7 +45,7 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None, max_domain
     kinds = {f.name: _kind(f.dataType) for f in df.schema.fields}
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [(F.count(c) / F.count(F.lit(1))).alias(f"p{i}")]
+        aggs += [F.try_divide(F.count(c), F.count(F.lit(1))).alias(f"p{i}")]
         if kinds[c] == "numeric":
             aggs += [F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}")]
         else:
@@ -143,7 +143,7 @@ def violation_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     wide = df.agg(F.count(F.lit(1)).alias("_tm_n"), *[F.count_if(p).alias(f"r{i}") for i, p in enumerate(rules.values())])
     long = wide.select("_tm_n", stack([(n, F.col(f"r{i}")) for i, n in enumerate(rules)], "rule", "violations").alias("s"))
     return long.select("s.rule", "s.violations",
-                       (F.col("s.violations") / F.col("_tm_n")).alias("share"))
+                       F.try_divide(F.col("s.violations"), F.col("_tm_n")).alias("share"))
 
 
 def missing_rate_check(df: DataFrame, allowances: dict[str, float]) -> DataFrame:
