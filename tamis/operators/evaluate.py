@@ -126,3 +126,15 @@ def layer_summary(results: DataFrame, layer: str = "layer", value: str = "recove
     return results.groupBy(layer).agg(F.avg(value).alias("mean"),
                                       F.max_by(name, F.struct(F.col(value), F.col(name))).alias("best"),
                                       F.min_by(name, F.struct(F.col(value), F.col(name))).alias("worst"))
+
+
+def format_number(x: Column, digits: int = 3, percent: bool = False) -> Column:
+    """presentation only (tables keep numbers numeric)."""
+    if percent:
+        return F.format_string(f"%.{digits}f%%", x * 100)
+    return F.format_string(f"%.{digits}f", x)
+
+
+def drop_percent(baseline: Column, metric: Column) -> Column:
+    """D20 input: relative drop in percent (0 when the baseline is 0)."""
+    return F.when(baseline != 0, (baseline - metric) / baseline * 100).otherwise(F.lit(0.0))

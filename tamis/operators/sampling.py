@@ -255,3 +255,10 @@ def numbered_batches(df: DataFrame, key, size: int = 5000, n_batches: int | None
                                                F.raise_error(F.lit("not enough rows for the batches"))))
             r = r.drop("_tm_chk")
     return r.drop("_tm_r")
+
+
+def shuffle_rows(df: DataFrame, key, seed: int = 42, salt: str | None = "shuffle") -> DataFrame:
+    """A full, reproducible shuffle (order by keyed hash).  Only when an
+    order is really needed: everything else here is order-free."""
+    d = with_hash(df, key, seed, salt)
+    return d.orderBy(H, K).drop(H, K)

@@ -170,3 +170,22 @@ def split_verdicts(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame,
 def classify_anomaly(missing_rate: Column, high: float = 0.2) -> Column:
     """V13: 'missing' / 'high_missing' / 'ok' text for a missing rate."""
     return F.when(missing_rate > high, "high_missing").when(missing_rate > 0, "missing").otherwise("ok")
+
+
+def target_column(df: DataFrame, candidates: Sequence[str] = ("class", "income")) -> str:
+    """The first candidate target column present, else an error."""
+    for c in candidates:
+        if c in df.columns:
+            return c
+    raise KeyError(f"no target column among {list(candidates)}")
+
+
+def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
+    """Required columns absent from the frame (schema only)."""
+    return sorted(set(required) - set(df.columns))
+
+
+def wanted_columns(df: DataFrame, wanted: Sequence[str]) -> list[str]:
+    """U4: wanted columns that exist, in the wanted order (schema only)."""
+    have = set(df.columns)
+    return [c for c in wanted if c in have]

@@ -492,3 +492,34 @@ def corruption_log(spark, sf_dir):
     return c.agg(F.lit(1).alias("batch"), F.lit("MissingValues").alias("corruption"),
                  F.concat(F.lit("missing price in "), F.count_if(F.col("o_totalprice").isNull()).cast("string"),
                           F.lit(" rows")).alias("details"), F.lit("JENGA-style").alias("source"))
+
+
+@query("missing_and_swapped_labels", f"""
+WITH a AS (SELECT doc_id, CASE WHEN m THEN NULL ELSE label END AS label FROM (
+             SELECT *, {mask_sql(DK, 0.2, salt='mcar:label')} AS m FROM {TEXT_SQL})),
+b AS (SELECT *, {mask_sql(DK, 0.1, salt='perm', where='label IS NOT NULL', rounding='half_even')} AS m,
+             md5(concat_ws(':', '42', 'perm:order', CAST(doc_id AS VARCHAR))) AS h2 FROM a),
+p AS (SELECT doc_id, label AS old, coalesce(lead(label) OVER w, first_value(label) OVER w) AS new FROM b WHERE m
+      WINDOW w AS (ORDER BY h2, CAST(doc_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+c AS (SELECT b.doc_id, coalesce(p.new, b.label) AS label, p.doc_id IS NOT NULL AS permuted FROM b LEFT JOIN p USING (doc_id))
+SELECT label, permuted, count(*) AS n FROM c GROUP BY ALL""")
+def missing_and_swapped_labels(spark, sf_dir):
+    """20% of labels missing, then 10% of the remaining labels permuted."""
+    t = text_table(spark, sf_dir).select("doc_id", "label")
+    t = C.missing_values(t, "doc_id", ["label"], 0.2)
+    m = C.exact_mask_frame(t, "doc_id", fraction=0.1, salt="perm", where=F.col("label").isNotNull(),
+                           rounding="half_even", out="permuted").select("doc_id", "permuted")
+    p = C.permute_column(t, "doc_id", "label", 0.1)
+    return p.join(m, "doc_id").groupBy("label", "permuted").agg(_n().alias("n"))
+
+
+@query("small_composites")
+def small_composites(spark, sf_dir):
+    """The four small text-and-label composites, stacked in one table."""
+    t = text_table(spark, sf_dir).select("doc_id", "content", "label")
+    parts = [C.composite_small(t, "doc_id", "content", "label", v).withColumn("variant", F.lit(v))
+             for v in ("broken_missing", "swapped_text_labels", "heavy_missing", "all")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("variant").agg(_n().alias("n"), _n("content").alias("with_content"), _n("label").alias("with_label"))

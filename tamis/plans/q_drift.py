@@ -139,3 +139,59 @@ def detectability(spark, sf_dir):
     score = D.detectability_score(F.col("completeness"), F.col("tv_distance"), F.col("anomalies"))
     return s.select(sig(score).alias("score"), D.detectability_level(score).alias("level"),
                     D.detectability_rule(F.col("anomalies"), F.col("completeness")).alias("rule_level"))
+
+
+def _drift_report_sql() -> str:
+    from tamis.plans.q_eval import BASE_SQL, LN_SQL, MC_SQL, TR_SQL
+    stacked = (f"(SELECT 'missing_content' AS corruption, * FROM {MC_SQL} UNION ALL SELECT 'truncation', * FROM {TR_SQL} "
+               f"UNION ALL SELECT 'label_noise', * FROM {LN_SQL})")
+    return f"""
+WITH b AS (SELECT count(content) / count(*) AS comp0, avg(length(content)) AS len0 FROM {BASE_SQL}),
+bd AS (SELECT label, count(*) / sum(count(*)) OVER () AS p FROM {BASE_SQL} WHERE label IS NOT NULL GROUP BY label),
+s AS {stacked},
+c AS (SELECT corruption, count(content) / count(*) AS comp1, avg(length(content)) AS len1 FROM s GROUP BY corruption),
+cd AS (SELECT corruption, label, count(*) / sum(count(*)) OVER (PARTITION BY corruption) AS q FROM s WHERE label IS NOT NULL GROUP BY corruption, label),
+g AS (SELECT c.corruption, bd.label, bd.p FROM c, bd),
+tv AS (SELECT coalesce(g.corruption, cd.corruption) AS corruption, sum(abs(coalesce(g.p, 0) - coalesce(cd.q, 0))) / 2 AS tv
+       FROM g FULL OUTER JOIN cd ON g.corruption = cd.corruption AND g.label = cd.label GROUP BY 1),
+r AS (SELECT c.corruption, abs(comp0 - comp1) AS completeness_drift, tv.tv AS tv_distance,
+             CASE WHEN len0 > 0 THEN (len1 - len0) / len0 * 100 ELSE 0 END AS length_change_pct
+      FROM c JOIN tv USING (corruption), b),
+a AS (SELECT *, (completeness_drift > 0.05)::INTEGER + (tv_distance > 0.05)::INTEGER + (abs(length_change_pct) > 20)::INTEGER AS anomalies FROM r),
+sc AS (SELECT *, 0.4 * completeness_drift + 0.4 * tv_distance + 0.2 * least(anomalies / 2.0, 1.0) AS score FROM a)
+SELECT corruption, {sig_sql('completeness_drift')} AS completeness_drift, {sig_sql('tv_distance')} AS tv_distance,
+       {sig_sql('length_change_pct')} AS length_change_pct, anomalies, {sig_sql('score')} AS score,
+       CASE WHEN score > 0.2 THEN 'High' WHEN score > 0.05 THEN 'Medium' ELSE 'Low' END AS level,
+       CASE WHEN anomalies > 0 OR completeness_drift > 0.05 THEN 'High' WHEN completeness_drift > 0.01 THEN 'Medium' ELSE 'Low' END AS rule_level
+FROM sc"""
+
+
+@query("drift_report", _drift_report_sql())
+def drift_report(spark, sf_dir):
+    """Drift report over all corruptions in ONE grouped pass over the
+    stacked corrupted table (completeness drift, label TV, length change,
+    anomaly count, detectability score and levels per corruption)."""
+    from tamis.plans.q_eval import experiments
+    from pyspark.sql import Window
+    x = experiments(spark, sf_dir)
+    base = x.filter(F.col("stage") == "CLEAN")
+    s = x.filter(F.col("stage") == "CORRUPTED").withColumnRenamed("experiment", "corruption")
+    b = base.agg(F.try_divide(F.count("content"), F.count(F.lit(1))).alias("comp0"), F.avg(F.length("content")).alias("len0"))
+    c = s.groupBy("corruption").agg(F.try_divide(F.count("content"), F.count(F.lit(1))).alias("comp1"),
+                                    F.avg(F.length("content")).alias("len1"))
+    bd = D.distribution(base, "label", "p")
+    cd = s.filter(F.col("label").isNotNull()).groupBy("corruption", "label").agg(F.count(F.lit(1)).alias("_n"))
+    cd = cd.select("corruption", "label", (F.col("_n") / F.sum("_n").over(Window.partitionBy("corruption"))).alias("q"))
+    grid = c.select("corruption").crossJoin(F.broadcast(bd))  # one row per (corruption, label): bounded
+    tv = grid.join(cd, ["corruption", "label"], "full_outer").groupBy("corruption").agg(
+        (F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("tv_distance"))
+    r = c.join(tv, "corruption").crossJoin(F.broadcast(b)).select(
+        "corruption", F.abs(F.col("comp0") - F.col("comp1")).alias("completeness_drift"), "tv_distance",
+        F.when(F.col("len0") > 0, (F.col("len1") - F.col("len0")) / F.col("len0") * 100).otherwise(F.lit(0.0)).alias("length_change_pct"))
+    r = r.withColumn("anomalies", (F.col("completeness_drift") > 0.05).cast("int") + (F.col("tv_distance") > 0.05).cast("int")
+                     + (F.abs("length_change_pct") > 20).cast("int"))
+    score = D.detectability_score(F.col("completeness_drift"), F.col("tv_distance"), F.col("anomalies"))
+    return r.select("corruption", sig("completeness_drift").alias("completeness_drift"), sig("tv_distance").alias("tv_distance"),
+                    sig("length_change_pct").alias("length_change_pct"), "anomalies", sig(score).alias("score"),
+                    D.detectability_level(score).alias("level"),
+                    D.detectability_rule(F.col("anomalies"), F.col("completeness_drift")).alias("rule_level"))

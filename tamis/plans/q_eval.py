@@ -360,3 +360,27 @@ def robustness_suite(spark, sf_dir):
     return out.select("feature", "corruption", F.lit(1.0).alias("severity"), "clean_accuracy",
                       F.col("accuracy").alias("corrupted_accuracy"),
                       (F.col("clean_accuracy") - F.col("accuracy")).alias("accuracy_drop")).orderBy(F.desc("accuracy_drop"))
+
+
+@query("most_damaging", f"""
+SELECT max_by(experiment, (abs(damage), experiment)) AS most_damaging, min_by(experiment, (abs(damage), experiment)) AS least_damaging,
+       max_by(experiment, (recovery, experiment)) AS best_recovery FROM {STATS_SQL}""")
+def most_damaging(spark, sf_dir):
+    """Arg-max of the ABSOLUTE damage (sign stripped), arg-min,
+    and the best recovery; ties broken by name."""
+    s = _stats(metrics(spark, sf_dir))
+    return s.agg(F.max_by("experiment", F.struct(F.abs("damage"), F.col("experiment"))).alias("most_damaging"),
+                 F.min_by("experiment", F.struct(F.abs("damage"), F.col("experiment"))).alias("least_damaging"),
+                 F.max_by("experiment", F.struct(F.col("recovery"), F.col("experiment"))).alias("best_recovery"))
+
+
+@query("drop_severity_report", f"""
+SELECT experiment, {sig_sql('CASE WHEN baseline <> 0 THEN (baseline - corrupted) / baseline * 100 ELSE 0 END')} AS drop_pct,
+  CASE WHEN (CASE WHEN baseline <> 0 THEN (baseline - corrupted) / baseline * 100 ELSE 0 END) > 10 THEN 'significant'
+       WHEN (CASE WHEN baseline <> 0 THEN (baseline - corrupted) / baseline * 100 ELSE 0 END) > 5 THEN 'moderate'
+       ELSE 'minimal' END AS severity FROM {STATS_SQL}""")
+def drop_severity_report(spark, sf_dir):
+    """Relative accuracy drop per corruption and its severity."""
+    s = _stats(metrics(spark, sf_dir))
+    d = E.drop_percent(F.col("baseline"), F.col("corrupted"))
+    return s.select("experiment", sig(d).alias("drop_pct"), D.drop_severity(d).alias("severity"))

@@ -273,3 +273,14 @@ def missing_rate_check(spark, sf_dir):
     r = V.missing_rate_check(_mixed_missing(spark, sf_dir), {"o_totalprice": 0.05, "o_orderstatus": 0.05})
     return r.select("column", F.round("missing_rate", 6).alias("missing_rate"), "allowed", "exceeded",
                     V.classify_anomaly(F.col("missing_rate")).alias("anomaly"))
+
+
+@query("distinct_rows", """
+SELECT (SELECT count(*) FROM lineitem) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS distinct_rows,
+       (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS distinct_keys""")
+def distinct_rows(spark, sf_dir):
+    """Exact distinct rows and distinct (order, line) keys of lineitem."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.agg(F.count(F.lit(1)).alias("n")).crossJoin(
+        li.dropDuplicates().agg(F.count(F.lit(1)).alias("distinct_rows"))).crossJoin(
+        li.select("l_orderkey", "l_linenumber").dropDuplicates().agg(F.count(F.lit(1)).alias("distinct_keys")))

@@ -133,3 +133,32 @@ def positional_slice(spark, sf_dir):
     return s.agg(F.count(F.lit(1)).alias("n"),
                  F.sum("o_totalprice").cast("decimal(18,2)").cast("double").alias("sum_price"),
                  F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+
+
+@query("shuffled_order", f"""
+SELECT o_orderkey, row_number() OVER (ORDER BY {sql_hash(key_sql('o_orderkey'), 42, 'shuffle')}, {key_sql('o_orderkey')}) AS pos
+FROM orders QUALIFY pos <= 10""")
+def shuffled_order(spark, sf_dir):
+    """The first ten orders of a reproducible full shuffle (a
+    top-k of the hash order: TakeOrdered, no global sort)."""
+    from tamis.functions.keys import hash_hex
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    k = F.col("o_orderkey").cast("string")
+    top = o.withColumn("_h", hash_hex(k, 42, "shuffle")).orderBy("_h", k).limit(10)
+    from pyspark.sql import Window
+    return top.select("o_orderkey", F.row_number().over(Window.orderBy("_h", k)).cast("bigint").alias("pos"))
+
+
+@query("downsample_new_rows", f"""
+WITH base AS (SELECT o_orderkey FROM orders WHERE {bernoulli_sql(key_sql('o_orderkey'), 0.5, salt='seen')}),
+new AS (SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM base)),
+r AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(key_sql('o_orderkey'), 42, 'k7')}, {key_sql('o_orderkey')}) AS rn FROM new)
+SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS sum_key FROM r WHERE rn <= 1000""")
+def downsample_new_rows(spark, sf_dir):
+    """K7: rows not seen in the baseline (anti join), down-sampled to an
+    exact target of 1,000 (no early stop needed)."""
+    o = table(spark, sf_dir, "orders")
+    base = S.sample_bernoulli(o, "o_orderkey", 0.5, salt="seen").select("o_orderkey")
+    new = o.join(base, "o_orderkey", "left_anti")
+    s = S.sample_exact(new, "o_orderkey", n=1000, salt="k7")
+    return s.agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("sum_key"))
