@@ -159,15 +159,17 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
 
     The survivor is chosen by ``min(struct(order...))`` per group: a partial
     aggregation before the shuffle, so a group holding a third of the rows is
-    reduced map-side; then a left-semi join keeps exactly that row.
+    reduced map-side; then a left-semi join on the (unique) order struct alone
+    keeps exactly that row -- hashed by a unique value, so the hot group's
+    rows are spread evenly, never sent to one task.
     """
     keys, order = list(keys), list(order)
     # null-safe grouping: a null key is its own value
     gk = [F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("v")).alias(f"_tm_g{i}") for i, k in enumerate(keys)]
-    d = df.select("*", *gk, F.struct(*[F.col(o) for o in order]).alias("_tm_o"))
     gcols = [f"_tm_g{i}" for i in range(len(keys))]
-    first = d.groupBy(*gcols).agg(F.min("_tm_o").alias("_tm_o"))
-    return d.join(first, [*gcols, "_tm_o"], "left_semi").drop(*gcols, "_tm_o")
+    o = F.struct(*[F.col(c) for c in order]).alias("_tm_o")
+    first = df.select(*gk, o).groupBy(*gcols).agg(F.min("_tm_o").alias("_tm_o")).select("_tm_o")
+    return df.withColumn("_tm_o", o).join(first, "_tm_o", "left_semi").drop("_tm_o")
 
 
 def dup_flag(df: DataFrame, keys: Sequence[str], out: str = "is_duplicate") -> DataFrame:

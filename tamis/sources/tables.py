@@ -32,14 +32,14 @@ LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_exten
 SMALL_INPUT_BYTES = 1 << 30
 
 
-def input_bytes(df: DataFrame) -> int | None:
+def input_bytes(df: DataFrame, files: list[str] | None = None) -> int | None:
     """Total size of the files behind a scan (Hadoop FileSystem, any scheme)."""
     try:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         total = 0
-        for f in df.inputFiles():
+        for f in files if files is not None else df.inputFiles():
             path = jvm.org.apache.hadoop.fs.Path(f)
             total += path.getFileSystem(conf).getFileStatus(path).getLen()
         return total
@@ -48,10 +48,18 @@ def input_bytes(df: DataFrame) -> int | None:
 
 
 def balanced(df: DataFrame) -> DataFrame:
-    """Spread a small, poorly split input over the available cores."""
+    """Spread a small, poorly split input over the available cores.
+
+    Only a handful of files is ever inspected: an input with at least as many
+    files as cores is left alone without asking the file system anything.
+    The spread is a hash partitioning on the first column (no sort needed,
+    unlike a round-robin repartition)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = input_bytes(df)
-    if size is not None and size < SMALL_INPUT_BYTES and df.rdd.getNumPartitions() < cores:
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    size = input_bytes(df, files)
+    if size is not None and size < SMALL_INPUT_BYTES:
         return df.repartition(cores, df.columns[0])
     return df
 
