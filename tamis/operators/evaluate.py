@@ -138,3 +138,34 @@ def format_number(x: Column, digits: int = 3, percent: bool = False) -> Column:
 def drop_percent(baseline: Column, metric: Column) -> Column:
     """D20 input: relative drop in percent (0 when the baseline is 0)."""
     return F.when(baseline != 0, (baseline - metric) / baseline * 100).otherwise(F.lit(0.0))
+
+
+# fixed values: evaluation presets (range rules on duration and distance)
+PRESETS = {
+    "minimal": {"duration": (0.1, 360.0, "open_closed")},
+    "full": {"duration": (0.0, 180.0, "open_open"), "distance": (0.0, 200.0, "closed_closed")},
+    "with_extremes": {},
+}
+
+
+def preset_mask(preset: str, columns: dict[str, str]) -> Column:
+    """The row filter of an evaluation preset (null = excluded)."""
+    cond = F.lit(True)
+    for name, (lo, hi, kind) in PRESETS[preset].items():
+        x = F.col(columns[name])
+        if kind == "open_closed":
+            c = (x > lo) & (x <= hi)
+        elif kind == "open_open":
+            c = (x > lo) & (x < hi)
+        else:
+            c = (x >= lo) & (x <= hi)
+        cond = cond & F.coalesce(c, F.lit(False))
+    return cond
+
+
+def preset_mae(df: DataFrame, target: str, pred: str, preset: str, columns: dict[str, str]) -> DataFrame:
+    """MAE on the rows a preset keeps; infinite when no row is valid."""
+    m = preset_mask(preset, columns)
+    e = F.abs(F.col(target) - F.col(pred))
+    return df.agg(F.lit(preset).alias("preset"), F.count_if(m).alias("kept"),
+                  F.coalesce(F.avg(F.when(m, e)), F.lit(float("inf"))).alias("mae"))

@@ -225,3 +225,17 @@ def column_join_back(spark, sf_dir):
     target = m.select("o_orderkey", "label")
     j = feats.join(target, "o_orderkey")
     return j.agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").cast("decimal(18,2)").cast("double").alias("acct"))
+
+
+@query("placeholders_to_null", f"""
+WITH d AS {_dirty_labels_sql()}
+SELECT count(label) AS before_present,
+       count(CASE WHEN trim(label) IN ('?', 'nan', '') THEN NULL ELSE label END) AS after_present,
+       count(CASE WHEN trim(text) IN ('?', 'nan', '') THEN NULL ELSE text END) AS text_present FROM d""")
+def placeholders_to_null(spark, sf_dir):
+    """V3: '?', 'nan' and '' (after trim) become SQL NULL."""
+    from tamis.operators.validate import placeholders_to_null as ph
+    d = _dirty_labels(spark, sf_dir)
+    c = ph(d, ["label", "text"])
+    return d.agg(F.count("label").alias("before_present")).crossJoin(
+        c.agg(F.count("label").alias("after_present"), F.count("text").alias("text_present")))

@@ -16,7 +16,7 @@ from tamis.operators import corrupt as C
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
 from tamis.functions.keys import sql_normal, sql_uniform
-from tamis.sources.tables import MIXED_SQL, TEXT_SQL, TRIP_SQL, mixed, text_table, trip
+from tamis.sources.tables import MIXED_SQL, TEXT_SQL, TRIP_SQL, materialized, mixed, text_table, trip
 
 TK = key_sql("trip_id")
 OK = key_sql("o_orderkey")
@@ -477,7 +477,7 @@ def registry_counts(spark, sf_dir):
     """Every registered corruption applied to the same input in
     ONE stacked table tagged by name (written partitioned by it)."""
     _register_defaults()
-    m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal", "c_mktsegment")
+    m = materialized(mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal", "c_mktsegment"))
     out = C.apply_registered(m, "o_orderkey")
     return out.groupBy("corruption").agg(_n().alias("n"))
 

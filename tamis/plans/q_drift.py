@@ -10,7 +10,7 @@ from tamis.operators import corrupt as C
 from tamis.operators import drift as D
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import TEXT_SQL, TRIP_SQL, table, text_table, trip
+from tamis.sources.tables import TEXT_SQL, TRIP_SQL, materialized, table, text_table, trip
 
 DK = key_sql("doc_id")
 TK = key_sql("trip_id")
@@ -83,7 +83,7 @@ NOISY_TOTAL_SQL = f"""(SELECT total_old AS total0, CASE WHEN m THEN total_old +
 def ks_continuous(spark, sf_dir):
     """D13 on a continuous column: clean totals vs 20% Gaussian-noised
     totals (whole tables; distributed running sums)."""
-    t = trip(spark, sf_dir).select("trip_id", "total")
+    t = materialized(trip(spark, sf_dir).select("trip_id", "total"))
     noisy = C.gaussian_noise(t, "trip_id", ["total"], 0.2)
     r = D.ks_two_sample(t, noisy, "total")
     return r.select("n_a", "n_b", sig("ks_statistic").alias("ks_statistic"), sig("ks_pvalue", 8).alias("ks_pvalue"))

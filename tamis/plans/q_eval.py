@@ -18,7 +18,7 @@ from tamis.operators import evaluate as E
 from tamis.operators import repair as R
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import MIXED_SQL, TEXT_SQL, TRIP_SQL, mixed, text_table, trip
+from tamis.sources.tables import MIXED_SQL, TEXT_SQL, TRIP_SQL, materialized, mixed, text_table, trip
 
 DK = key_sql("doc_id")
 TK = key_sql("trip_id")
@@ -29,7 +29,7 @@ BASELINE_N = None  # the z-test uses the CLEAN row count of each run
 def experiments(spark, sf_dir) -> DataFrame:
     """Baseline, and per experiment a corrupted and a cleaned copy,
     stacked; every row scored once."""
-    base = text_table(spark, sf_dir).select("doc_id", "title", "content", "label")
+    base = materialized(text_table(spark, sf_dir).select("doc_id", "title", "content", "label"))
 
     def tag(df, exp, stage):
         return df.select("doc_id", "title", "content", "label").withColumn("experiment", F.lit(exp)) \
@@ -384,3 +384,22 @@ def drop_severity_report(spark, sf_dir):
     s = _stats(metrics(spark, sf_dir))
     d = E.drop_percent(F.col("baseline"), F.col("corrupted"))
     return s.select("experiment", sig(d).alias("drop_pct"), D.drop_severity(d).alias("severity"))
+
+
+@query("evaluation_presets", f"""
+WITH t AS (SELECT duration_minutes AS y, distance FROM {TRIP_SQL}), m AS (SELECT avg(y) AS mu FROM t)
+SELECT 'minimal' AS preset, count(*) FILTER (WHERE y > 0.1 AND y <= 360.0) AS kept,
+       {sig_sql("coalesce(avg(abs(y - mu)) FILTER (WHERE y > 0.1 AND y <= 360.0), 'inf'::DOUBLE)")} AS mae FROM t, m
+UNION ALL SELECT 'full', count(*) FILTER (WHERE y > 0 AND y < 180.0 AND distance >= 0 AND distance <= 200.0),
+       {sig_sql("coalesce(avg(abs(y - mu)) FILTER (WHERE y > 0 AND y < 180.0 AND distance >= 0 AND distance <= 200.0), 'inf'::DOUBLE)")} FROM t, m
+UNION ALL SELECT 'with_extremes', count(*), {sig_sql('coalesce(avg(abs(y - mu)), ' + "'inf'::DOUBLE)")} FROM t, m""")
+def evaluation_presets(spark, sf_dir):
+    """The same mean predictor scored under three row presets
+    (open/closed range rules); infinite error when a preset keeps nothing."""
+    t = materialized(trip(spark, sf_dir).select("duration_minutes", "distance"))
+    mu = t.agg(F.avg("duration_minutes")).first()[0]
+    t = t.withColumn("pred", F.lit(mu))
+    cols = {"duration": "duration_minutes", "distance": "distance"}
+    parts = [E.preset_mae(t, "duration_minutes", "pred", p, cols) for p in E.PRESETS]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("preset", "kept", sig("mae").alias("mae"))

@@ -10,7 +10,7 @@ from tamis.operators import validate as V
 from tamis.plans.registry import query
 from tamis.functions.fmt import sig, sig_sql
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import MIXED_SQL, TRIP_SQL, mixed, table, trip
+from tamis.sources.tables import MIXED_SQL, TRIP_SQL, materialized, mixed, table, trip
 
 MIX_COLS = ["o_totalprice", "c_acctbal", "o_orderpriority", "c_mktsegment"]
 
@@ -53,7 +53,7 @@ def _num_sql(c):
 @query("profile_numeric", f"WITH t AS {TRIP_SQL}\n" + "\nUNION ALL\n".join(_num_sql(c) for c in NUM))
 def profile_numeric(spark, sf_dir):
     """A3: numeric summary of four trip columns (exact percentiles)."""
-    return P.numeric_summary(trip(spark, sf_dir), NUM, digits=10)
+    return P.numeric_summary(materialized(trip(spark, sf_dir).select(*NUM)), NUM, digits=10)
 
 
 @query("profile_duration", f"""
@@ -183,10 +183,34 @@ def _batch_vs_schema(spark, sf_dir):
     return V.validate_against_schema(bad.drop("trip_id").withColumn("extra", F.lit(1)), schema)
 
 
-@query("validate_against_schema")
+def _vas_sql() -> str:
+    tk = key_sql("trip_id")
+    f = C.SCALE_FACTORS[int(C.py_uniform(42, "scaling:distance", "factor") * 3)]
+    def stats(src):
+        return f"""(SELECT count(distance) / count(*) AS p_distance, min(distance) AS lo_distance, max(distance) AS hi_distance,
+          count(fare) / count(*) AS p_fare, min(fare) AS lo_fare, max(fare) AS hi_fare,
+          count(flag) / count(*) AS p_flag, list_sort(list(DISTINCT flag) FILTER (WHERE flag IS NOT NULL)) AS d_flag,
+          count(priority) / count(*) AS p_priority,
+          list_sort(list(DISTINCT priority) FILTER (WHERE priority IS NOT NULL)) AS d_priority FROM {src})"""
+    bad = f"""(SELECT CASE WHEN m3 THEN distance * {f} ELSE distance END AS distance, CASE WHEN m2 THEN NULL ELSE fare END AS fare,
+        CASE WHEN m1 THEN 'Default' ELSE flag END AS flag, priority FROM (
+        SELECT *, {mask_sql(tk, 0.10)} AS m1, {mask_sql(tk, 0.20, salt='mcar:fare')} AS m2,
+               {mask_sql(tk, 0.05, salt='scaling:distance')} AS m3 FROM {TRIP_SQL}))"""
+    parts = ["SELECT 'extra' AS column, 'new_column' AS kind"]
+    for c in ("distance", "fare", "flag", "priority"):
+        parts.append(f"SELECT '{c}', 'low_presence' FROM s, b WHERE b.p_{c} < s.p_{c}")
+    for c in ("distance", "fare"):
+        parts.append(f"SELECT '{c}', 'out_of_range' FROM s, b WHERE b.lo_{c} < s.lo_{c} OR b.hi_{c} > s.hi_{c}")
+    for c in ("flag", "priority"):
+        parts.append(f"SELECT '{c}', 'unexpected_value' FROM s, b WHERE len(list_filter(b.d_{c}, lambda x: NOT list_contains(s.d_{c}, x))) > 0")
+    return f"WITH s AS {stats(TRIP_SQL)}, b AS {stats(bad)}\n" + "\nUNION ALL ".join(parts)
+
+
+@query("validate_against_schema", _vas_sql())
 def validate_against_schema(spark, sf_dir):
-    """Anomalies of a corrupted batch against the learnt schema
-    (rows-only check: the detail strings are engine-formatted)."""
+    """Anomalies (column, kind) of a corrupted batch against the
+    learnt schema: new column, presence below the learnt share, value outside
+    the domain, value outside the range."""
     return _batch_vs_schema(spark, sf_dir).select("column", "kind")
 
 

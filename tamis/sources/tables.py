@@ -143,3 +143,12 @@ TEXT_SQL = """(SELECT doc_id,
   CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS content,
   text, lang, source, quality AS label, toxic
 FROM documents JOIN labels USING (doc_id))"""
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write a derived input once (reliable checkpoint in the shared folder)
+    when several learning jobs read it: each job then scans the written
+    columns instead of recomputing the joins that produced them."""
+    from tamis.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
