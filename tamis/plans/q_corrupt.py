@@ -427,13 +427,36 @@ def target_noise(spark, sf_dir):
 
 # -- composites, registry, log (C27-C35) ---------------------------------------------------------
 
-@query("composite_text")
+def _composite_text_sql() -> str:
+    k2 = key_sql("doc_id", "copy_no")
+    tr = "'aAeEoOuU', 'áÁéÉóÓúÚ'"
+    return f"""
+WITH a AS (SELECT doc_id, CASE WHEN m1 THEN NULL ELSE title END AS title, CASE WHEN m2 THEN NULL ELSE content END AS content
+           FROM (SELECT *, {mask_sql(DK, 0.05, salt='mcar:title')} AS m1, {mask_sql(DK, 0.05, salt='mcar:content')} AS m2 FROM {TEXT_SQL})),
+b AS (SELECT doc_id, CASE WHEN m THEN content ELSE title END AS title, CASE WHEN m THEN title ELSE content END AS content
+      FROM (SELECT *, {mask_sql(DK, 0.05, salt='swap')} AS m FROM a)),
+c AS (SELECT doc_id, 0 AS copy_no, title, content FROM b
+      UNION ALL SELECT doc_id, 1, title, content FROM (SELECT *, {mask_sql(DK, 0.10)} AS m FROM b) WHERE m),
+d AS (SELECT CASE WHEN m1 THEN translate(title, {tr}) ELSE title END AS title,
+             CASE WHEN m2 THEN translate(content, {tr}) ELSE content END AS content
+      FROM (SELECT *, {mask_sql(k2, 0.08, salt='broken:title')} AS m1, {mask_sql(k2, 0.08, salt='broken:content')} AS m2 FROM c)),
+e AS (SELECT substr(title, 1, 150) AS title, substr(content, 1, 150) AS content FROM d)
+SELECT count(*) AS n, count(title) AS title_present, count(content) AS content_present, max(length(content)) AS max_len,
+       sum(('0x' || substr(md5(content), 1, 8))::BIGINT)::BIGINT AS content_digest,
+       sum(('0x' || substr(md5(title), 1, 8))::BIGINT)::BIGINT AS title_digest FROM e"""
+
+
+@query("composite_text", _composite_text_sql())
 def composite_text(spark, sf_dir):
-    """Missing, swapped, duplicated, broken and truncated text."""
+    """Missing 5%, swapped 5%, duplicated 10%, broken 8% and truncated
+    to 150 characters (keys stay unique through ``copy_no``)."""
     t = text_table(spark, sf_dir).select("doc_id", "title", "content")
     s = C.composite_text(t, "doc_id", ["title", "content"])
+    def digest(c):
+        return F.sum(F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint"))
     return s.agg(_n().alias("n"), _n("title").alias("title_present"), _n("content").alias("content_present"),
-                 F.max(F.length("content")).alias("max_len"))
+                 F.max(F.length("content")).cast("bigint").alias("max_len"),
+                 digest("content").alias("content_digest"), digest("title").alias("title_digest"))
 
 
 @query("composite_numeric")
