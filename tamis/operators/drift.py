@@ -42,7 +42,8 @@ def completeness_drift(base: DataFrame, batch: DataFrame, cols: Sequence[str]) -
 def distribution(df: DataFrame, col: str, name: str) -> DataFrame:
     """Normalised value distribution (nulls dropped) over a grouped frame."""
     g = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    return g.select(col, (F.col("_n") / F.sum("_n").over(Window.partitionBy())).alias(name))
+    tot = F.broadcast(g.agg(F.sum("_n").alias("_tot")))  # one row
+    return g.crossJoin(tot).select(col, (F.col("_n") / F.col("_tot")).alias(name))
 
 
 def aligned(p: DataFrame, q: DataFrame, col: str) -> DataFrame:
@@ -62,8 +63,8 @@ def js_distance(base: DataFrame, batch: DataFrame, col: str, eps: float = 1e-10)
     distributions after adding ``eps`` and renormalising."""
     a = aligned(distribution(base, col, "p"), distribution(batch, col, "q"), col)
     a = a.withColumn("p", F.col("p") + eps).withColumn("q", F.col("q") + eps)
-    w = Window.partitionBy()
-    a = a.withColumn("p", F.col("p") / F.sum("p").over(w)).withColumn("q", F.col("q") / F.sum("q").over(w))
+    sums = F.broadcast(a.agg(F.sum("p").alias("_sp"), F.sum("q").alias("_sq")))  # one row
+    a = a.crossJoin(sums).withColumn("p", F.col("p") / F.col("_sp")).withColumn("q", F.col("q") / F.col("_sq"))
     m = (F.col("p") + F.col("q")) / 2
     kl = F.col("p") * F.log(F.col("p") / m) + F.col("q") * F.log(F.col("q") / m)
     return a.agg(F.sqrt(F.greatest(F.sum(kl) / 2, F.lit(0.0))).alias("js_distance"))

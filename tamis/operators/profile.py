@@ -256,11 +256,13 @@ def value_counts(df: DataFrame, col: str, k: int | None = 20) -> DataFrame:
 
 
 def distribution(df: DataFrame, col: str, name: str = "share", dropna: bool = True) -> DataFrame:
-    """Normalised distribution of a column, sorted by value.
-    The window runs over the grouped (small) result only."""
+    """Normalised distribution of a column, sorted by value."""
     src = df.filter(F.col(col).isNotNull()) if dropna else df
     g = src.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(col, "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias(name)).orderBy(col)
+    # the total is a one-row aggregate broadcast to every group: no window
+    # over a single partition even when the column has many distinct values
+    tot = F.broadcast(g.agg(F.sum("n").alias("_tm_tot")))
+    return g.crossJoin(tot).select(col, "n", (F.col("n") / F.col("_tm_tot")).alias(name)).orderBy(col)
 
 
 def distinct_capped(df: DataFrame, col: str, k: int = 50) -> DataFrame:
