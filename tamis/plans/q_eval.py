@@ -403,3 +403,45 @@ def evaluation_presets(spark, sf_dir):
     parts = [E.preset_mae(t, "duration_minutes", "pred", p, cols) for p in E.PRESETS]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("preset", "kept", sig("mae").alias("mae"))
+
+
+# -- the planned names of SURVEY 7.4, as views of the stacked experiments ------------------
+
+@query("accuracy", f"SELECT experiment, stage, n, {sig_sql('accuracy')} AS accuracy FROM {METRICS_SQL}")
+def accuracy_by_stage(spark, sf_dir):
+    """Accuracy (missing rows count as wrong) per experiment and stage."""
+    return metrics(spark, sf_dir).select("experiment", "stage", "n", sig("accuracy").alias("accuracy"))
+
+
+@query("weighted_prf", f"""
+SELECT experiment, stage, {sig_sql('precision')} AS precision, {sig_sql('recall')} AS recall, {sig_sql('f1')} AS f1
+FROM {METRICS_SQL}""")
+def weighted_prf(spark, sf_dir):
+    """Support-weighted precision, recall and F1 (zero division = 0)."""
+    m = metrics(spark, sf_dir)
+    return m.select("experiment", "stage", *[sig(c).alias(c) for c in ["precision", "recall", "f1"]])
+
+
+@query("missing_penalty_accuracy", f"""
+SELECT experiment, stage, n - n_usable AS unusable, {sig_sql('accuracy')} AS accuracy FROM {METRICS_SQL}""")
+def missing_penalty_accuracy(spark, sf_dir):
+    """E5: correct usable predictions over ALL rows, with the unusable count."""
+    m = metrics(spark, sf_dir)
+    return m.select("experiment", "stage", (F.col("n") - F.col("n_usable")).alias("unusable"), sig("accuracy").alias("accuracy"))
+
+
+@query("z_test", f"SELECT experiment, n_test, {sig_sql('p_value', 6)} AS p_value, significant FROM {STATS_SQL}")
+def z_test(spark, sf_dir):
+    """Two-proportion z-test of cleaned vs corrupted accuracy."""
+    s = _stats(metrics(spark, sf_dir))
+    return s.select("experiment", "n_test", sig("p_value", 6).alias("p_value"), "significant")
+
+
+@query("damage_recovery", f"""
+SELECT experiment, {', '.join(f"{sig_sql(c)} AS {c}" for c in ['damage', 'recovery', 'recovery_pct', 'recovery_pct_abs'])},
+       damage_level, recovery_level FROM {STATS_SQL}""")
+def damage_recovery(spark, sf_dir):
+    """Damage, recovery, both recovery percentages and levels."""
+    s = _stats(metrics(spark, sf_dir))
+    return s.select("experiment", *[sig(c).alias(c) for c in ["damage", "recovery", "recovery_pct", "recovery_pct_abs"]],
+                    "damage_level", "recovery_level")

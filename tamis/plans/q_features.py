@@ -9,7 +9,7 @@ from tamis.operators import features as FT
 from tamis.operators import models as M
 from tamis.operators import sampling as S
 from tamis.plans.registry import query
-from tamis.sources.tables import TEXT_SQL, mixed, table, text_table, trip
+from tamis.sources.tables import TEXT_SQL, materialized, mixed, table, text_table, trip
 
 
 def _tfidf_sql(src: str, terms_sql: str, min_df=2, max_df=1.0, max_features=5000, sublinear=False) -> str:
@@ -125,9 +125,10 @@ def cv_accuracy(spark, sf_dir):
     the regularisation of a logistic regression on the mixed table."""
     m = S.kfold(mixed(spark, sf_dir), "label", "o_orderkey", 5)
     pre = M.fit_pipeline(M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment", "o_orderpriority"]), m)
-    feats = pre.transform(m).select("features", "label", "fold")
-    lr = M.logistic(C=1.0, n_rows=1, weight_col=None)
-    cv = M.cross_validated(lr, lr.regParam, [0.01, 0.1], folds=5, fold_col="fold").fit(feats)
+    # the folds are fitted many times: their features are written once
+    feats = materialized(pre.transform(m).select("features", "label", "fold"))
+    lr = M.logistic(C=1.0, n_rows=1, weight_col=None, max_iter=20)
+    cv = M.cross_validated(lr, lr.regParam, [0.01, 0.1], folds=5, fold_col="fold").setParallelism(4).fit(feats)
     return spark.createDataFrame([(float(r), float(a)) for r, a in zip([0.01, 0.1], cv.avgMetrics)],
                                  "reg_param double, cv_accuracy double")
 

@@ -178,3 +178,12 @@ def sentence_and_title_features(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.sentence_ends(F.col("text")).alias("sentence_ends"),
                     F.length(T.collapse_whitespace(F.col("text"))).alias("collapsed_chars"))
+
+
+@query("lexical_diversity", f"""
+SELECT doc_id, {sig_sql(f"CASE WHEN len({_words_sql('content')}) = 0 THEN 0.0 ELSE len(list_distinct({_words_sql('content')}))::DOUBLE / len({_words_sql('content')}) END")} AS diversity
+FROM {TEXT_SQL}""")
+def lexical_diversity(spark, sf_dir):
+    """distinct words / words of every content (0 when empty)."""
+    t = text_table(spark, sf_dir)
+    return t.select("doc_id", sig(T.lexical_diversity(F.col("content"))).alias("diversity"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions.keys import hash_hex, hex_uniform
@@ -116,16 +116,22 @@ def monitor_batches(stream: DataFrame, rules: dict[str, Column], baseline_accept
                  .withColumn("batch_id", F.lit(batch_id))
         v.persist()
         try:
-            ok = v.filter(F.size("violations") == 0).drop("violations")
-            bad = v.filter(F.size("violations") > 0)
+            # counters are observed during the two writes: no extra pass
+            o_ok, o_bad = Observation(f"accepted_{batch_id}"), Observation(f"quarantined_{batch_id}")
+            ok = v.filter(F.size("violations") == 0).drop("violations").observe(
+                o_ok, F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("missing"))
+            bad = v.filter(F.size("violations") > 0).observe(
+                o_bad, F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("missing"))
             w = {"partitionOverwriteMode": "dynamic"}
             ok.write.mode("overwrite").options(**w).partitionBy("batch_id").parquet(f"{base}/accepted")
             bad.write.mode("overwrite").options(**w).partitionBy("batch_id").parquet(f"{base}/quarantine")
-            m = v.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("violations") == 0).alias("accepted"),
-                      F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"))
-            m = m.withColumn("accepted_share", F.col("accepted") / F.col("n")) \
-                 .withColumn("layer2_triggered", F.col("accepted_share") < F.lit(baseline_accept)) \
-                 .withColumn("batch_id", F.lit(batch_id))
+            a, q = o_ok.get, o_bad.get
+            n = a.get("n", 0) + q.get("n", 0)
+            share = a.get("n", 0) / n if n else None
+            row = (batch_id, n, a.get("n", 0), (a.get("missing", 0) + q.get("missing", 0)) / n if n else None,
+                   share, share is not None and share < baseline_accept)
+            m = batch.sparkSession.createDataFrame([row], "batch_id long, n long, accepted long, missing_rate double, "
+                                             "accepted_share double, layer2_triggered boolean")
             m.write.mode("overwrite").options(**w).partitionBy("batch_id").parquet(f"{base}/metrics")
             if on_batch:
                 on_batch(v, batch_id)
