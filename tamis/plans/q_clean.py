@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tamis.functions import numeric as N
 from tamis.functions.keys import sql_uniform
-from tamis.operators import corrupt as C
 from tamis.operators import profile as P
 from tamis.operators import repair as R
 from tamis.operators import sampling as S

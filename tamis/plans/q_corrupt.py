@@ -7,8 +7,6 @@ recomputes from the same keyed hash definitions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from tamis.functions.fmt import sig, sig_sql

@@ -10,7 +10,7 @@ from tamis.operators import corrupt as C
 from tamis.operators import drift as D
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import TEXT_SQL, TRIP_SQL, materialized, table, text_table, trip
+from tamis.sources.tables import TEXT_SQL, TRIP_SQL, materialized, text_table, trip
 
 DK = key_sql("doc_id")
 TK = key_sql("trip_id")

@@ -8,7 +8,7 @@ from tamis.operators import corrupt as C
 from tamis.operators import profile as P
 from tamis.operators import validate as V
 from tamis.plans.registry import query
-from tamis.functions.fmt import sig, sig_sql
+from tamis.functions.fmt import sig_sql
 from tamis.plans.sqlkit import key_sql, mask_sql
 from tamis.sources.tables import MIXED_SQL, TRIP_SQL, materialized, mixed, table, trip
 

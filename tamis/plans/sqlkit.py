@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tamis.functions.keys import sql_hash, sql_normal, sql_uniform  # noqa: F401
+from tamis.functions.keys import sql_hash, sql_uniform
 
 
 def key_sql(*cols: str) -> str:
