@@ -457,14 +457,51 @@ def composite_text(spark, sf_dir):
                  digest("content").alias("content_digest"), digest("title").alias("title_digest"))
 
 
-@query("composite_numeric")
+def _composite_numeric_sql() -> str:
+    cols = ["o_totalprice", "c_acctbal"]
+    k2 = key_sql("o_orderkey", "copy_no")
+    h = "md5(concat_ws(':', '42', 'perm:order', CAST(o_orderkey AS VARCHAR)))"
+
+    def perm(src, c):
+        other = [x for x in cols if x != c][0]
+        return f"""(SELECT o_orderkey, CASE WHEN s THEN coalesce(lead({c}) OVER w, first_value({c}) OVER w) ELSE {c} END AS {c}, {other}
+  FROM (SELECT *, {mask_sql(OK, 0.5, salt='perm', where=f'{c} IS NOT NULL', rounding='half_even')} AS s, {h} AS h FROM {src})
+  WINDOW w AS (PARTITION BY s ORDER BY h, CAST(o_orderkey AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+    m0 = f"(SELECT o_orderkey, o_totalprice, c_acctbal FROM {MIXED_SQL})"
+    p2 = perm(perm(m0, "o_totalprice"), "c_acctbal")
+    mv = (f"(SELECT o_orderkey, " + ", ".join(f"CASE WHEN m_{c} THEN NULL ELSE {c} END AS {c}" for c in cols)
+          + " FROM (SELECT *, " + ", ".join(f"{mask_sql(OK, 0.3, salt='mcar:' + c)} AS m_{c}" for c in cols) + f" FROM {p2}))")
+    dup = (f"(SELECT *, 0 AS copy_no FROM {mv} UNION ALL SELECT o_orderkey, o_totalprice, c_acctbal, 1 FROM "
+           f"(SELECT *, {mask_sql(OK, 0.1)} AS m FROM {mv}) WHERE m)")
+    noise_m = {c: 1.0 + 4.0 * C.py_uniform(42, f"noise:{c}", "scale") for c in cols}
+    nz = ("(SELECT o_orderkey, copy_no, " + ", ".join(
+        f"CASE WHEN n_{c} AND sd_{c} IS NOT NULL THEN {c} + z_{c} * {noise_m[c]!r} * sd_{c} ELSE {c} END AS {c}" for c in cols)
+        + " FROM (SELECT *, " + ", ".join(
+        f"{mask_sql(k2, 0.25, salt='noise:' + c, where=f'{c} IS NOT NULL')} AS n_{c}, stddev_pop({c}) OVER () AS sd_{c}, "
+        f"{sql_normal(k2, 42, 'noise:' + c + ':z')} AS z_{c}" for c in cols) + f" FROM {dup}))")
+    fac = {c: C.SCALE_FACTORS[int(C.py_uniform(42, f"scaling:{c}", "factor") * 3)] for c in cols}
+    sc = ("(SELECT o_orderkey, copy_no, " + ", ".join(f"CASE WHEN s_{c} THEN {c} * {fac[c]} ELSE {c} END AS {c}" for c in cols)
+          + " FROM (SELECT *, " + ", ".join(f"{mask_sql(k2, 0.25, salt='scaling:' + c)} AS s_{c}" for c in cols) + f" FROM {nz}))")
+    u1 = sql_uniform(k2, 42, "viol:c_acctbal:side")
+    u2 = sql_uniform(k2, 42, "viol:c_acctbal:mag")
+    cv = (f"(SELECT o_totalprice, CASE WHEN v THEN CASE WHEN {u1} > 0.5 THEN 10000.0 + {u2} * 10000.0 ELSE 0.0 - {u2} * 0.0 END "
+          f"ELSE c_acctbal END AS c_acctbal, v AND o_totalprice IS NOT NULL AS price_text "
+          f"FROM (SELECT *, {mask_sql(k2, 0.25)} AS v FROM {sc}))")
+    return f"""SELECT count(*) AS n, count(*) FILTER (WHERE price_text) AS price_text, count(o_totalprice) AS price_present,
+  {sig_sql('sum(o_totalprice)')} AS price_sum, {sig_sql('sum(c_acctbal)')} AS acct_sum FROM {cv}"""
+
+
+@query("composite_numeric", _composite_numeric_sql())
 def composite_numeric(spark, sf_dir):
     """The numeric combination on the mixed table (violation column is
-    an argument)."""
+    an argument): permute 50%, missing 30%, duplicates 10%, then noise,
+    scaling, violation and to-text at 25% each."""
     m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal")
     s = C.composite_numeric(m, "o_orderkey", ["o_totalprice", "c_acctbal"], "c_acctbal", 0.0, 10000.0)
     return s.agg(_n().alias("n"), F.count_if("o_totalprice_is_text").alias("price_text"),
-                 _n("o_totalprice").alias("price_present"))
+                 _n("o_totalprice").alias("price_present"),
+                 sig(F.sum(F.col("o_totalprice").cast("double"))).alias("price_sum"),
+                 sig(F.sum(F.col("c_acctbal").cast("double"))).alias("acct_sum"))
 
 
 @query("composite_all")
