@@ -332,7 +332,35 @@ def swap_back_score(spark, sf_dir):
 
 # -- robustness suite (C35) ---------------------------------------------------------------------
 
-@query("robustness_suite")
+def _robustness_sql() -> str:
+    ok = key_sql("o_orderkey")
+    feats = ["days", "o_totalprice", "c_acctbal"]
+    base = (f"(SELECT o_orderkey, o_totalprice, c_acctbal, label, "
+            f"datediff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS days FROM {MIXED_SQL})")
+    parts = [f"SELECT 'none' AS feature, 'clean' AS corruption, days, label FROM b"]
+    for f in feats:
+        h = f"md5(concat_ws(':', '42', 'suite:{f}:order', {ok}))"
+        perm = (f"SELECT '{f}', 'permutation', "
+                + ("CASE WHEN s THEN coalesce(lead(days) OVER w, first_value(days) OVER w) ELSE days END" if f == "days" else "days")
+                + f", label FROM (SELECT *, {mask_sql(ok, 1.0, salt='suite:' + f, where=f'{f} IS NOT NULL', rounding='half_even')} AS s, "
+                  f"{h} AS h FROM b) WINDOW w AS (PARTITION BY s ORDER BY h, {ok} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+        salt = f"suite:{f}:{f}"
+        noise = (f"SELECT '{f}', 'noise', "
+                 + (f"CASE WHEN m THEN days + {sql_normal(ok, 42, salt + ':z')} * 1.0 * sd ELSE days END" if f == "days" else "days")
+                 + f", label FROM (SELECT *, {mask_sql(ok, 1.0, salt=salt, where=f'{f} IS NOT NULL')} AS m, "
+                   f"stddev_pop({f}) OVER () AS sd FROM b)")
+        parts += [perm, noise]
+    return f"""
+WITH b AS {base}, cut AS (SELECT quantile_cont(days, 0.5) AS c FROM b),
+v AS ({' UNION ALL '.join(parts)}),
+a AS (SELECT feature, corruption, avg((label = (days < cut.c)::INTEGER)::INTEGER::DOUBLE) AS accuracy FROM v, cut GROUP BY ALL),
+c AS (SELECT accuracy AS clean_accuracy FROM a WHERE corruption = 'clean')
+SELECT feature, corruption, 1.0::DOUBLE AS severity, {sig_sql('clean_accuracy')} AS clean_accuracy,
+       {sig_sql('accuracy')} AS corrupted_accuracy, {sig_sql('clean_accuracy - accuracy')} AS accuracy_drop
+FROM a, c WHERE corruption <> 'clean'"""
+
+
+@query("robustness_suite", _robustness_sql())
 def robustness_suite(spark, sf_dir):
     """Corrupt one numeric feature at a time (permutation, noise) and
     rescore a rule model; all variants scored in ONE job with the corrupted
@@ -357,9 +385,9 @@ def robustness_suite(spark, sf_dir):
     acc = E.accuracy(allv, by=["feature", "corruption"])
     clean = acc.filter(F.col("corruption") == "clean").select(F.col("accuracy").alias("clean_accuracy"))
     out = acc.filter(F.col("corruption") != "clean").crossJoin(F.broadcast(clean))
-    return out.select("feature", "corruption", F.lit(1.0).alias("severity"), "clean_accuracy",
-                      F.col("accuracy").alias("corrupted_accuracy"),
-                      (F.col("clean_accuracy") - F.col("accuracy")).alias("accuracy_drop")).orderBy(F.desc("accuracy_drop"))
+    return out.select("feature", "corruption", F.lit(1.0).alias("severity"), sig("clean_accuracy").alias("clean_accuracy"),
+                      sig("accuracy").alias("corrupted_accuracy"),
+                      sig(F.col("clean_accuracy") - F.col("accuracy")).alias("accuracy_drop")).orderBy(F.desc("accuracy_drop"))
 
 
 @query("most_damaging", f"""
