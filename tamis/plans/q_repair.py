@@ -307,11 +307,29 @@ def reverse_hour_shift(spark, sf_dir):
     return s.agg(F.count_if(F.col("h") == F.col("orig")).alias("restored"), _n().alias("n"))
 
 
-@query("auto_clean_chain")
+def _auto_clean_sql() -> str:
+    s = "regexp_replace(trim(CAST(o_totalprice AS VARCHAR)), '[a-zA-Z]', '', 'g')"
+    m = f"regexp_extract({s}, '[+-]?\\d+(\\.\\d+)?', 0)"
+    salvage = f"CASE WHEN {m} = '' THEN NULL ELSE abs(CAST(trunc(TRY_CAST({m} AS DOUBLE)) AS BIGINT))::DOUBLE END"
+    return f"""
+WITH a AS (SELECT o_orderkey, c_mktsegment, {salvage} AS p FROM {MIXED_SEG_SQL}),
+b AS (SELECT o_orderkey, c_mktsegment, coalesce(p, avg(p) OVER ()) AS p FROM a),
+c AS (SELECT o_orderkey, c_mktsegment, (p - avg(p) OVER ()) / CASE WHEN stddev_pop(p) OVER () = 0 THEN 1.0
+             ELSE stddev_pop(p) OVER () END AS p FROM b),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p, c_mktsegment ORDER BY o_orderkey) AS rn FROM c) WHERE rn = 1),
+e AS (SELECT o_orderkey, coalesce(p, (SELECT quantile_cont(p, 0.5) FROM d)) AS p,
+             coalesce(c_mktsegment, (SELECT c_mktsegment FROM d WHERE c_mktsegment IS NOT NULL GROUP BY 1
+                                     ORDER BY count(*) DESC, 1 LIMIT 1)) AS c_mktsegment FROM d),
+q AS (SELECT quantile_cont(p, 0.25) AS q1, quantile_cont(p, 0.75) AS q3 FROM e),
+f AS (SELECT o_orderkey, c_mktsegment, least(greatest(p, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) AS p FROM e, q)
+SELECT count(*) AS n, count(p) AS price_present, count(c_mktsegment) AS segment_present, {sig_sql('sum(p)', 8)} AS price_sum FROM f"""
+
+
+@query("auto_clean_chain", _auto_clean_sql())
 def auto_clean_chain(spark, sf_dir):
     """Salvage -> mean fill -> standardise -> dedup -> median and
     mode fill -> 1.5 IQR clip (documented rules)."""
     m = _mixed_seg_missing(spark, sf_dir).withColumn("o_totalprice", F.col("o_totalprice").cast("string"))
     r = R.numeric_clean_chain(m, "o_orderkey", ["o_totalprice"], ["c_mktsegment"])
     return r.agg(_n().alias("n"), F.count("o_totalprice").alias("price_present"),
-                 F.count("c_mktsegment").alias("segment_present"))
+                 F.count("c_mktsegment").alias("segment_present"), sig(F.sum("o_totalprice"), 8).alias("price_sum"))
