@@ -571,7 +571,39 @@ def missing_and_swapped_labels(spark, sf_dir):
     return p.join(m, "doc_id").groupBy("label", "permuted").agg(_n().alias("n"))
 
 
-@query("small_composites")
+def _small_composites_sql() -> str:
+    cols = "doc_id, content, label"
+
+    def broken(src):
+        return (f"(SELECT doc_id, CASE WHEN m THEN translate(content, 'aAeEoOuU', 'áÁéÉóÓúÚ') ELSE content END AS content, label "
+                f"FROM (SELECT *, {mask_sql(DK, 0.25, salt='broken:content')} AS m FROM {src}))")
+
+    def missing(src, c, frac, salt):
+        sel = ", ".join(f"CASE WHEN m THEN NULL ELSE {x} END AS {x}" if x == c else x for x in ["doc_id", "content", "label"])
+        return f"(SELECT {sel} FROM (SELECT *, {mask_sql(DK, frac, salt=salt)} AS m FROM {src}))"
+
+    def perm(src, c, salt):
+        h = f"md5(concat_ws(':', '42', '{salt}:order', {DK}))"
+        sel = ", ".join(f"CASE WHEN s THEN coalesce(lead({x}) OVER w, first_value({x}) OVER w) ELSE {x} END AS {x}" if x == c else x
+                        for x in ["doc_id", "content", "label"])
+        return (f"(SELECT {sel} FROM (SELECT *, {mask_sql(DK, 0.10, salt=salt, where=f'{c} IS NOT NULL', rounding='half_even')} AS s, "
+                f"{h} AS h FROM {src}) WINDOW w AS (PARTITION BY s ORDER BY h, {DK} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))")
+
+    base = f"(SELECT {cols} FROM {TEXT_SQL})"
+    v = {
+        "broken_missing": missing(broken(base), "content", 0.10, "mcar:content"),
+        "swapped_text_labels": perm(perm(base, "content", "small:text"), "label", "small:label"),
+        "heavy_missing": missing(missing(base, "content", 0.5, "heavy:content"), "label", 0.5, "heavy:label"),
+    }
+    v["all"] = missing(missing(perm(perm(missing(broken(base), "content", 0.10, "mcar:content"), "content", "small:text"),
+                                    "label", "small:label"), "content", 0.5, "heavy:content"), "label", 0.5, "heavy:label")
+    return " UNION ALL ".join(
+        f"SELECT '{k}' AS variant, count(*) AS n, count(content) AS with_content, count(label) AS with_label, "
+        f"sum(('0x' || substr(md5(content), 1, 8))::BIGINT)::BIGINT AS content_digest, sum(label)::BIGINT AS label_sum FROM {q}"
+        for k, q in v.items())
+
+
+@query("small_composites", _small_composites_sql())
 def small_composites(spark, sf_dir):
     """The four small text-and-label composites, stacked in one table."""
     t = text_table(spark, sf_dir).select("doc_id", "content", "label")
@@ -580,4 +612,6 @@ def small_composites(spark, sf_dir):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("variant").agg(_n().alias("n"), _n("content").alias("with_content"), _n("label").alias("with_label"))
+    return out.groupBy("variant").agg(_n().alias("n"), _n("content").alias("with_content"), _n("label").alias("with_label"),
+                                      F.sum(F.conv(F.substring(F.md5("content"), 1, 8), 16, 10).cast("bigint")).alias("content_digest"),
+                                      F.sum("label").cast("bigint").alias("label_sum"))
