@@ -53,3 +53,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="tamis-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def cluster_settings(input_tb: float = 100.0, executors: int = 1000, cores_per_executor: int = 4) -> dict[str, str]:
+    """Runtime settings for a large cluster (applied with ``apply_settings``).
+
+    * shuffle partitions start high (about 256 MB of shuffle data per task for
+      the largest shuffle, at least three per core, capped at 100,000 so the
+      map-output bookkeeping stays small) and AQE coalesces the small ones;
+    * scans read 256 MB splits;
+    * AQE splits skewed join partitions (a key holding a third of the rows is
+      cut into advisory-size pieces) and turns joins with a small measured
+      side into broadcast joins at run time; the static broadcast threshold
+      stays modest, so nothing large is ever broadcast on an estimate.
+    """
+    cores = executors * cores_per_executor
+    shuffle_bytes = input_tb * (1 << 40) * 0.3          # projected columns of the widest shuffle
+    partitions = min(max(cores * 3, int(shuffle_bytes // (256 << 20))), 100_000)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def apply_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """Apply runtime SQL settings to an existing session."""
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return spark
