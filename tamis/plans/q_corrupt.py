@@ -504,13 +504,106 @@ def composite_numeric(spark, sf_dir):
                  sig(F.sum(F.col("c_acctbal").cast("double"))).alias("acct_sum"))
 
 
-@query("composite_all")
+# generic SQL steps (DuckDB ``* EXCLUDE / REPLACE``): each wraps a source subquery
+def _s_missing(src, key, c, frac, salt):
+    return (f"(SELECT * EXCLUDE (m) REPLACE (CASE WHEN m THEN NULL ELSE {c} END AS {c}) "
+            f"FROM (SELECT *, {mask_sql(key, frac, salt=salt)} AS m FROM {src}))")
+
+
+def _s_swap(src, key, a, b, frac, salt):
+    return (f"(SELECT * EXCLUDE (m) REPLACE (CASE WHEN m THEN {b} ELSE {a} END AS {a}, CASE WHEN m THEN {a} ELSE {b} END AS {b}) "
+            f"FROM (SELECT *, {mask_sql(key, frac, salt=salt)} AS m FROM {src}))")
+
+
+def _s_dup(src, key, frac, copy):
+    return (f"(SELECT *, 0 AS {copy} FROM {src} UNION ALL SELECT * EXCLUDE (m), 1 AS {copy} FROM "
+            f"(SELECT *, {mask_sql(key, frac)} AS m FROM {src}) WHERE m)")
+
+
+def _s_broken(src, key, c, frac, salt):
+    return (f"(SELECT * EXCLUDE (m) REPLACE (CASE WHEN m THEN translate({c}, 'aAeEoOuU', 'áÁéÉóÓúÚ') ELSE {c} END AS {c}) "
+            f"FROM (SELECT *, {mask_sql(key, frac, salt=salt)} AS m FROM {src}))")
+
+
+def _s_perm(src, key, c, frac, salt):
+    h = f"md5(concat_ws(':', '42', '{salt}:order', {key}))"
+    return (f"(SELECT * EXCLUDE (s, h) REPLACE (CASE WHEN s THEN coalesce(lead({c}) OVER w, first_value({c}) OVER w) ELSE {c} END AS {c}) "
+            f"FROM (SELECT *, {mask_sql(key, frac, salt=salt, where=f'{c} IS NOT NULL', rounding='half_even')} AS s, {h} AS h FROM {src}) "
+            f"WINDOW w AS (PARTITION BY s ORDER BY h, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))")
+
+
+def _s_noise(src, key, c, frac):
+    salt = f"noise:{c}"
+    m = 1.0 + 4.0 * C.py_uniform(42, salt, "scale")
+    return (f"(SELECT * EXCLUDE (n, sd) REPLACE (CASE WHEN n AND sd IS NOT NULL THEN {c} + {sql_normal(key, 42, salt + ':z')} * {m!r} * sd "
+            f"ELSE {c} END AS {c}) FROM (SELECT *, {mask_sql(key, frac, salt=salt, where=f'{c} IS NOT NULL')} AS n, "
+            f"stddev_pop({c}) OVER () AS sd FROM {src}))")
+
+
+def _s_scale(src, key, c, frac):
+    f = C.SCALE_FACTORS[int(C.py_uniform(42, f"scaling:{c}", "factor") * 3)]
+    return (f"(SELECT * EXCLUDE (m) REPLACE (CASE WHEN m THEN {c} * {f} ELSE {c} END AS {c}) "
+            f"FROM (SELECT *, {mask_sql(key, frac, salt='scaling:' + c)} AS m FROM {src}))")
+
+
+def _s_violation_text(src, key, c, lower, upper, frac, text_cols):
+    u1, u2 = sql_uniform(key, 42, f"viol:{c}:side"), sql_uniform(key, 42, f"viol:{c}:mag")
+    flags = ", ".join(f"v AND {t} IS NOT NULL AS {t}_is_text" for t in text_cols)
+    return (f"(SELECT * EXCLUDE (v) REPLACE (CASE WHEN v THEN CASE WHEN {u1} > 0.5 THEN {float(upper)!r} + {u2} * {abs(float(upper))!r} "
+            f"ELSE {float(lower)!r} - {u2} * {abs(float(lower))!r} END ELSE {c} END AS {c}), {flags} "
+            f"FROM (SELECT *, {mask_sql(key, frac)} AS v FROM {src}))")
+
+
+def _s_catshift(src, key, c, frac, salt):
+    return f"""(SELECT x.* EXCLUDE (m) REPLACE (CASE WHEN m AND d.nxt IS NOT NULL THEN d.nxt ELSE x.{c} END AS {c})
+  FROM (SELECT *, {mask_sql(key, frac, salt=salt)} AS m FROM {src}) x
+  LEFT JOIN (SELECT v, coalesce(lead(v) OVER (ORDER BY v), min(v) OVER ()) AS nxt
+             FROM (SELECT DISTINCT {c} AS v FROM {src} WHERE {c} IS NOT NULL)) d ON x.{c} = d.v)"""
+
+
+def _composite_all_sql() -> str:
+    text, nums = ["o_orderpriority", "c_mktsegment"], ["o_totalprice", "c_acctbal"]
+    kc = key_sql("o_orderkey", "copy_no")
+    k3 = key_sql("o_orderkey", "copy_text")
+    k2 = key_sql("o_orderkey", "copy_text", "copy_no")
+    q = f"(SELECT o_orderkey, o_orderpriority, c_mktsegment, o_totalprice, c_acctbal FROM {MIXED_SQL})"
+    for c in text:
+        q = _s_missing(q, OK, c, 0.05, f"mcar:{c}")
+    q = _s_swap(q, OK, text[0], text[1], 0.05, "swap")
+    q = _s_dup(q, OK, 0.10, "copy_no")
+    for c in text:
+        q = _s_broken(q, kc, c, 0.08, f"broken:{c}")
+    q = f"(SELECT * EXCLUDE (copy_no) REPLACE ({', '.join(f'substr({c}, 1, 150) AS {c}' for c in text)}), copy_no AS copy_text FROM {q})"
+    for c in nums:
+        q = _s_perm(q, k3, c, 0.5, "perm")
+    for c in nums:
+        q = _s_missing(q, k3, c, 0.3, f"mcar:{c}")
+    q = _s_dup(q, k3, 0.10, "copy_no")
+    for c in nums:
+        q = _s_noise(q, k2, c, 0.25)
+    for c in nums:
+        q = _s_scale(q, k2, c, 0.25)
+    q = _s_violation_text(q, k2, "c_acctbal", 0.0, 100.0, 0.25, nums)
+    q = _s_catshift(q, k2, "c_mktsegment", 0.10, "catshift")
+    return f"""SELECT count(*) AS n, count(DISTINCT c_mktsegment) AS segments,
+  sum(('0x' || substr(md5(c_mktsegment), 1, 8))::BIGINT)::BIGINT AS segment_digest,
+  sum(('0x' || substr(md5(o_orderpriority), 1, 8))::BIGINT)::BIGINT AS priority_digest,
+  count(*) FILTER (WHERE o_totalprice_is_text) AS price_text, {sig_sql('sum(c_acctbal)')} AS acct_sum FROM {q}"""
+
+
+@query("composite_all", _composite_all_sql())
 def composite_all(spark, sf_dir):
     """Text and numeric combinations, then a 10% category shift."""
     m = mixed(spark, sf_dir).select("o_orderkey", "o_orderpriority", "c_mktsegment", "o_totalprice", "c_acctbal")
     s = C.composite_all(m, "o_orderkey", ["o_orderpriority", "c_mktsegment"], ["o_totalprice", "c_acctbal"],
                         "c_acctbal", category_columns=["c_mktsegment"])
-    return s.agg(_n().alias("n"), F.countDistinct("c_mktsegment").alias("segments"))
+
+    def digest(c):
+        return F.sum(F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint"))
+    return s.agg(_n().alias("n"), F.countDistinct("c_mktsegment").alias("segments"),
+                 digest("c_mktsegment").alias("segment_digest"), digest("o_orderpriority").alias("priority_digest"),
+                 F.count_if("o_totalprice_is_text").alias("price_text"),
+                 sig(F.sum(F.col("c_acctbal").cast("double"))).alias("acct_sum"))
 
 
 def _register_defaults():
