@@ -10,7 +10,8 @@ from conftest import SF
 
 NAMES = ["layer1_monitor", "profile_nulls", "exact_sample", "stratified_split_counts", "clean_all",
          "category_shift", "permute_column", "fill_mode_by_class", "dedup_keep_first", "word_entropy",
-         "ks_two_sample", "statistics_report", "word_tfidf", "window_quality"]
+         "ks_two_sample", "statistics_report", "word_tfidf", "window_quality", "composite_numeric",
+         "robustness_suite", "drift_report", "auto_clean_chain", "validate_against_schema"]
 
 
 @pytest.fixture(scope="module")
