@@ -62,26 +62,48 @@ def window_drift(spark, sf_dir):
     return d.select("window_start", sig("tv_distance").alias("tv_distance"))
 
 
-@query("stream_window_quality")
+@query("stream_window_quality", f"""
+SELECT * FROM (
+  SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n,
+         {sig_sql('avg((value IS NULL)::INTEGER::DOUBLE)')} AS missing_share,
+         count(*) FILTER (WHERE value < 0 OR value > 100.0) AS violations,
+         {sig_sql('avg(value)')} AS mean_value, {sig_sql('avg(k)')} AS mean_k
+  FROM {EVENTS_SQL} GROUP BY 1, 2)
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_window_quality(spark, sf_dir):
-    """T2 as a stream: watermark 1 hour, append mode, availableNow; windows
-    still open when the input ends are not emitted (append semantics)."""
+    """T2 as a stream: watermark 1 hour, append mode, availableNow; only the
+    windows closed by the watermark (end <= max event time - 1 hour) are
+    emitted, the open ones stay in the state store (append semantics)."""
     s = T.window_quality(T.events_stream(spark, sf_dir), watermark="1 hour")
-    return T.run_available_now(s, "window_quality")
+    w = T.run_available_now(s, "window_quality")
+    return w.select("window_start", "event_type", "n", sig("missing_share").alias("missing_share"), "violations",
+                    sig("mean_value").alias("mean_value"), sig("mean_k").alias("mean_k"))
 
 
-@query("stream_monitor")
+@query("stream_monitor", f"""
+WITH v AS (SELECT value IS NULL OR coalesce(value < 0 OR value > 100, false)
+                  OR coalesce(event_type NOT IN ('view', 'click', 'purchase', 'signup', 'error'), false) AS bad, value FROM {EVENTS_SQL})
+SELECT count(*) AS n, count(*) FILTER (WHERE NOT bad) AS accepted,
+       {sig_sql('avg((value IS NULL)::INTEGER::DOUBLE)')} AS missing_rate,
+       {sig_sql('count(*) FILTER (WHERE NOT bad) / count(*)')} AS accepted_share,
+       count(*) FILTER (WHERE NOT bad) / count(*) < 0.95 AS layer2_triggered, 0 AS batch_id FROM v""")
 def stream_monitor(spark, sf_dir):
     """Per micro-batch verdicts, accepted and quarantined sinks,
-    metrics with the Layer 2 trigger; returns the metrics table."""
+    metrics with the Layer 2 trigger; returns the metrics table (one
+    micro-batch here: the events arrive as one file)."""
     rules = {"value_missing": F.col("value").isNull(), "value_range": (F.col("value") < 0) | (F.col("value") > 100),
              "unknown_type": ~F.col("event_type").isin("view", "click", "purchase", "signup", "error")}
     base = T.monitor_batches(T.events_stream(spark, sf_dir), rules)
-    return spark.read.parquet(f"{base}/metrics")
+    m = spark.read.parquet(f"{base}/metrics")
+    return m.select("n", "accepted", sig("missing_rate").alias("missing_rate"), sig("accepted_share").alias("accepted_share"),
+                    "layer2_triggered", F.col("batch_id").cast("int").alias("batch_id"))
 
 
-@query("stream_dedup")
+@query("stream_dedup", """
+SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1""")
 def stream_dedup(spark, sf_dir):
-    """T4: stream deduplication within the watermark on (user, event type)."""
+    """T4: stream deduplication within the watermark on (user, event type);
+    the events arrive in one micro-batch, so one row survives per key."""
     s = T.dedup_stream(T.events_stream(spark, sf_dir), ["user_id", "event_type"], "1 hour")
-    return T.run_available_now(s.select("event_id", "ts", "user_id", "event_type"), "dedup")
+    d = T.run_available_now(s.select("event_id", "ts", "user_id", "event_type"), "dedup")
+    return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
