@@ -9,7 +9,7 @@ from tamis.operators import features as FT
 from tamis.operators import models as M
 from tamis.operators import sampling as S
 from tamis.plans.registry import query
-from tamis.sources.tables import TEXT_SQL, materialized, mixed, table, text_table, trip
+from tamis.sources.tables import MIXED_SQL, TEXT_SQL, materialized, mixed, table, text_table, trip
 
 
 def _tfidf_sql(src: str, terms_sql: str, min_df=2, max_df=1.0, max_features=5000, sublinear=False) -> str:
@@ -71,15 +71,34 @@ def char_ngram_tfidf(spark, sf_dir):
 
 # -- Spark ML (rows-only checks: model fits are not SQL-expressible) ---------------------------
 
-@query("onehot_scaled")
+def _onehot_sql() -> str:
+    def cat(c):
+        return f"""{c}_s AS (SELECT {c} AS v, c / n AS m, sqrt((c * (1 - c / n) * (1 - c / n) + (n - c) * (c / n) * (c / n)) / (n - 1)) AS s
+              FROM (SELECT {c}, count(*)::DOUBLE AS c FROM x GROUP BY 1), (SELECT count(*)::DOUBLE AS n FROM x)),
+{c}_t AS (SELECT sum(CASE WHEN s > 0 THEN m / s ELSE 0 END) AS tot, count(*) AS k FROM {c}_s)"""
+    total = ("(o_totalprice - mp) / sp + (c_acctbal - ma) / sa"
+             " + CASE WHEN g.s > 0 THEN 1 / g.s ELSE 0 END - c_mktsegment_t.tot"
+             " + CASE WHEN q.s > 0 THEN 1 / q.s ELSE 0 END - o_orderpriority_t.tot")
+    return f"""
+WITH x AS (SELECT o_orderkey, o_totalprice, c_acctbal, c_mktsegment, o_orderpriority FROM {MIXED_SQL}),
+st AS (SELECT avg(o_totalprice) AS mp, stddev_samp(o_totalprice) AS sp, avg(c_acctbal) AS ma, stddev_samp(c_acctbal) AS sa FROM x),
+{cat('c_mktsegment')},
+{cat('o_orderpriority')}
+SELECT o_orderkey, (2 + c_mktsegment_t.k + 2 + o_orderpriority_t.k + 2)::INTEGER AS width, {sig_sql(total, 8)} AS feature_sum
+FROM x, st, c_mktsegment_t, o_orderpriority_t, c_mktsegment_s g, o_orderpriority_s q
+WHERE g.v = x.c_mktsegment AND q.v = x.o_orderpriority"""
+
+
+@query("onehot_scaled", _onehot_sql())
 def onehot_scaled(spark, sf_dir):
     """Index (alphabetical, unknown kept), one-hot, assemble,
-    mean-centred scaling of the mixed table; one row per order."""
+    mean-centred scaling (sample deviation, as Spark ML) of the mixed table;
+    per order the vector width and the sum of its scaled features."""
     m = mixed(spark, sf_dir)
     model = M.fit_pipeline(M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment", "o_orderpriority"]), m)
     out = model.transform(m)
     return out.select("o_orderkey", F.size(M.vector_to_array("features")).alias("width"),
-                      sig(F.aggregate(M.vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)).alias("feature_sum"))
+                      sig(F.aggregate(M.vector_to_array("features"), F.lit(0.0), lambda a, x: a + x), 8).alias("feature_sum"))
 
 
 @query("logreg_scores")
@@ -133,7 +152,7 @@ def cv_accuracy(spark, sf_dir):
                                  "reg_param double, cv_accuracy double")
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"SELECT count(*) AS n, count(*) AS agree FROM {MIXED_SQL}")
 def model_roundtrip(spark, sf_dir):
     """A fitted pipeline written to the shared folder and read back;
     predictions of both must agree."""
