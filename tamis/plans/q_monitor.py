@@ -35,11 +35,12 @@ def layer1_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trip(spark, sf_dir).select("trip_id", "distance", "total").checkpoint(eager=True)
     m = exact_mask_frame(t, "trip_id", fraction=FRACTION, seed=42, salt="mcar:distance", out="_hit")
     m = m.withColumn("d_corrupt", F.when(F.col("_hit"), F.lit(None)).otherwise(F.col("distance")))
-    # learnt constraints (V2) and fill value (R4): a few numbers, used as literals
-    q = quantile_values(t, ["distance", "total"], [0.001, 0.999])
+    # learnt constraints (V2, on the clean columns) and the fill value (R4, on
+    # the corrupted column) in one pass: a few numbers, used as literals
+    q = quantile_values(m, ["distance", "total", "d_corrupt"], [0.001, 0.5, 0.999])
     d_hi = lit_or_null(q.get(("distance", 0.999)))
     t_lo, t_hi = lit_or_null(q.get(("total", 0.001))), lit_or_null(q.get(("total", 0.999)))
-    med = quantile_values(m.select("d_corrupt"), ["d_corrupt"], [0.5]).get(("d_corrupt", 0.5))
+    med = q.get(("d_corrupt", 0.5))
     m = m.withColumn("d_repair", F.coalesce(F.col("d_corrupt"), lit_or_null(med)))
 
     def stage_aggs(x, tag):
