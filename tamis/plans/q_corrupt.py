@@ -635,14 +635,14 @@ def registry_counts(spark, sf_dir):
 
 @query("corruption_log", f"""
 SELECT 1 AS batch, 'MissingValues' AS corruption, 'missing price in ' || count(*) FILTER (WHERE m) || ' rows' AS details,
-       'JENGA-style' AS source FROM (SELECT {mask_sql(OK, 0.3, salt='mcar:o_totalprice')} AS m FROM {MIXED_SQL})""")
+       'keyed injection' AS source FROM (SELECT {mask_sql(OK, 0.3, salt='mcar:o_totalprice')} AS m FROM {MIXED_SQL})""")
 def corruption_log(spark, sf_dir):
     """A log row per injected batch, with the measured count."""
     m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice")
     c = C.missing_values(m, "o_orderkey", ["o_totalprice"], 0.3)
     return c.agg(F.lit(1).alias("batch"), F.lit("MissingValues").alias("corruption"),
                  F.concat(F.lit("missing price in "), F.count_if(F.col("o_totalprice").isNull()).cast("string"),
-                          F.lit(" rows")).alias("details"), F.lit("JENGA-style").alias("source"))
+                          F.lit(" rows")).alias("details"), F.lit("keyed injection").alias("source"))
 
 
 @query("missing_and_swapped_labels", f"""
