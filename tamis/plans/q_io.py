@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tamis.operators import corrupt as C
 from tamis.operators import sampling as S
 from tamis.plans.registry import query
-from tamis.plans.sqlkit import key_sql
+from tamis.plans.sqlkit import bernoulli_sql, key_sql
 from tamis.functions.keys import sql_hash
 from tamis.session import ensure_checkpoint_dir
 from tamis.sources import files as IO
@@ -20,16 +20,19 @@ def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark)}/io/{name}-{uuid.uuid4().hex}"
 
 
-@query("csv_roundtrip", """
+@query("csv_roundtrip", f"""
 SELECT o_orderstatus, count(*) AS n, sum(o_totalprice)::DECIMAL(20,2)::DOUBLE AS price, count(bad) AS bad_numbers
-FROM (SELECT o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN 'x' || o_totalprice::VARCHAR END AS bad FROM orders)
+FROM (SELECT o_orderstatus, o_totalprice,
+             CASE WHEN {bernoulli_sql(key_sql('o_orderkey'), 0.15, salt='dirtycsv')} THEN 'x' || o_totalprice::VARCHAR END AS bad
+      FROM orders)
 GROUP BY 1""")
 def csv_roundtrip(spark, sf_dir):
     """Orders written as CSV with a header (a
     dirty text column included), read back with an explicit typed schema and
     as all strings; the dirty cells survive only in the string read."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    o = o.withColumn("bad", F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("x"), F.col("o_totalprice").cast("string"))))
+    o = o.withColumn("bad", F.when(S.bernoulli_mask(o, "o_orderkey", 0.15, salt="dirtycsv"),
+                                   F.concat(F.lit("x"), F.col("o_totalprice").cast("string"))))
     path = _scratch(spark, "orders_csv")
     IO.write_csv(o, path)
     typed = IO.read_csv(spark, path, "o_orderkey bigint, o_orderstatus string, o_totalprice double, bad double")
