@@ -106,12 +106,13 @@ def penalised_mae(df: DataFrame, usable: Column, target: str, pred: str, penalty
                                F.count_if(~u).alias("unusable"))
 
 
-def layer2_decision(metric: Column, baseline: float, kind: str = "accuracy", drop: float = 0.15,
+def layer2_decision(metric: Column, baseline: Column | float, kind: str = "accuracy", drop: float = 0.15,
                     rise: float = 1.15) -> Column:
     """Trigger Layer 2 when accuracy < base - drop, or MAE > rise x base."""
+    base = baseline if isinstance(baseline, Column) else F.lit(float(baseline))
     if kind == "accuracy":
-        return metric < F.lit(baseline - drop)
-    return metric > F.lit(baseline * rise)
+        return metric < base - F.lit(drop)
+    return metric > base * F.lit(rise)
 
 
 def vulnerability_matrix(results: DataFrame, row: str = "corruption", col: str = "dataset",

@@ -139,8 +139,7 @@ def _stats(m: DataFrame) -> DataFrame:
     return j.select("experiment", "baseline", "corrupted", "cleaned", *[v.alias(k) for k, v in dr.items()],
                     D.damage_level(dr["damage"]).alias("damage_level"), D.recovery_level(dr["recovery"]).alias("recovery_level"),
                     p.alias("p_value"), stars.alias("significant"),
-                    D.suspicious_gain(F.col("cleaned"), F.col("baseline")).alias("suspicious_gain"),
-                    E.layer2_decision(F.col("corrupted"), 0.0).alias("_unused"), "n_test").drop("_unused")
+                    D.suspicious_gain(F.col("cleaned"), F.col("baseline")).alias("suspicious_gain"), "n_test")
 
 
 def _erf_sql(x):
@@ -189,8 +188,8 @@ def layer2_decision(spark, sf_dir):
     """Layer 2 is triggered when accuracy falls more than 0.15 below
     the baseline (a second, stricter rule at 0.05 shown alongside)."""
     s = _stats(metrics(spark, sf_dir))
-    return s.select("experiment", (F.col("corrupted") < F.col("baseline") - 0.15).alias("layer2_triggered"),
-                    (F.col("corrupted") < F.col("baseline") - 0.05).alias("warn_at_5pts"))
+    return s.select("experiment", E.layer2_decision(F.col("corrupted"), F.col("baseline"), drop=0.15).alias("layer2_triggered"),
+                    E.layer2_decision(F.col("corrupted"), F.col("baseline"), drop=0.05).alias("warn_at_5pts"))
 
 
 @query("vulnerability_matrix", f"""
@@ -473,3 +472,34 @@ def damage_recovery(spark, sf_dir):
     s = _stats(metrics(spark, sf_dir))
     return s.select("experiment", *[sig(c).alias(c) for c in ["damage", "recovery", "recovery_pct", "recovery_pct_abs"]],
                     "damage_level", "recovery_level")
+
+
+@query("two_layer_monitor", f"""
+WITH s AS (
+  SELECT 'BASELINE' AS stage, content, label FROM {BASE_SQL}
+  UNION ALL SELECT 'CORRUPTED', content, label FROM {MC_SQL}
+  UNION ALL SELECT 'LAYER1', coalesce(content, ''), label FROM {MC_SQL}),
+x AS (SELECT stage, content, label, ({_p1_sql('content')} >= 0.5)::INTEGER AS pred FROM s),
+a AS (SELECT stage, avg((content IS NULL)::INTEGER::DOUBLE) AS missing_rate,
+             avg((content IS NOT NULL AND pred = label)::INTEGER::DOUBLE) AS accuracy FROM x GROUP BY stage),
+b AS (SELECT accuracy AS base FROM a WHERE stage = 'BASELINE')
+SELECT stage, {sig_sql('missing_rate')} AS missing_rate, missing_rate > 0.05 AS layer1_alarm, {sig_sql('accuracy')} AS accuracy,
+       accuracy < base - 0.15 AS layer2_triggered FROM a, b""")
+def two_layer_monitor(spark, sf_dir):
+    """3.4 / E5 / E10 / V9 / R1: a text batch loses 30% of its content; the
+    missing-penalty accuracy drops; Layer 1 sees the missing rate and fills
+    the gaps; the Layer 2 trigger compares the repaired accuracy with the
+    baseline minus 0.15.  All stages in one grouped job."""
+    base = materialized(text_table(spark, sf_dir).select("doc_id", "title", "content", "label"))
+    bad = C.missing_values(base, "doc_id", ["content"], 0.3)
+    fixed = R.fill_text(bad, ["content"], "")
+    stages = (base.withColumn("stage", F.lit("BASELINE")).unionByName(bad.withColumn("stage", F.lit("CORRUPTED")))
+              .unionByName(fixed.withColumn("stage", F.lit("LAYER1"))))
+    x = SCORER.score(stages)
+    a = x.groupBy("stage").agg(F.avg(F.col("content").isNull().cast("double")).alias("missing_rate"),
+                               F.avg((F.col("content").isNotNull() & (F.col("pred") == F.col("label"))).cast("double")).alias("accuracy"))
+    b = a.filter(F.col("stage") == "BASELINE").select(F.col("accuracy").alias("base"))
+    j = a.crossJoin(F.broadcast(b))
+    return j.select("stage", sig("missing_rate").alias("missing_rate"), (F.col("missing_rate") > 0.05).alias("layer1_alarm"),
+                    sig("accuracy").alias("accuracy"),
+                    E.layer2_decision(F.col("accuracy"), F.col("base"), "accuracy", drop=0.15).alias("layer2_triggered"))
