@@ -87,3 +87,14 @@ def test_one_row_class_split(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "k long, y string")
     s = S.split_stratified(df, "y", "k", 0.2)
     assert s.filter("y = 'a'").first().split == "train"
+
+
+def test_exact_k_narrowing_levels(spark, monkeypatch):
+    """Force extra 12-bit histogram levels: the sample must not change."""
+    li = table(spark, SF, "lineitem", balance=False)
+    one = sorted(tuple(r) for r in S.sample_exact(li, LINEITEM_KEY, fraction=0.37, salt="lv")
+                 .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").collect())
+    monkeypatch.setattr(S, "_BOUNDARY_ROWS", 0)
+    deep = sorted(tuple(r) for r in S.sample_exact(li, LINEITEM_KEY, fraction=0.37, salt="lv")
+                  .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").collect())
+    assert one == deep and len(one) == math.floor(li.count() * 0.37)
