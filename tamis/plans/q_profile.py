@@ -8,7 +8,7 @@ from tamis.operators import corrupt as C
 from tamis.operators import profile as P
 from tamis.operators import validate as V
 from tamis.plans.registry import query
-from tamis.functions.fmt import sig_sql
+from tamis.functions.fmt import sig, sig_sql
 from tamis.plans.sqlkit import key_sql, mask_sql
 from tamis.sources.tables import MIXED_SQL, TRIP_SQL, materialized, mixed, table, trip
 
@@ -308,3 +308,16 @@ def distinct_rows(spark, sf_dir):
     return li.agg(F.count(F.lit(1)).alias("n")).crossJoin(
         li.dropDuplicates().agg(F.count(F.lit(1)).alias("distinct_rows"))).crossJoin(
         li.select("l_orderkey", "l_linenumber").dropDuplicates().agg(F.count(F.lit(1)).alias("distinct_keys")))
+
+
+@query("percentiles_by_segment", f"""
+SELECT c_mktsegment, p, {sig_sql('value')} AS value FROM (
+  SELECT c_mktsegment, 0.5::DOUBLE AS p, quantile_cont(o_totalprice, 0.5) AS value FROM {MIXED_SQL} GROUP BY 1
+  UNION ALL SELECT c_mktsegment, 0.9::DOUBLE, quantile_cont(o_totalprice, 0.9) FROM {MIXED_SQL} GROUP BY 1)""")
+def percentiles_by_segment(spark, sf_dir):
+    """A3 / A17 per group: exact percentiles of the price per market segment
+    through the distributed ranked path (range partition on group, column,
+    value and a tie-breaker; no group is gathered into one task)."""
+    m = mixed(spark, sf_dir).select("c_mktsegment", "o_totalprice")
+    q = P.quantiles(m, ["o_totalprice"], [0.5, 0.9], group=["c_mktsegment"])
+    return q.select("c_mktsegment", "p", sig("value").alias("value"))
