@@ -173,8 +173,12 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
 
 def dup_flag(df: DataFrame, keys: Sequence[str], out: str = "is_duplicate") -> DataFrame:
     """Flag every member of a duplicate group (``keep=False``).
-    Group sizes come from a partial aggregation joined back (skew-safe: the
-    aggregated side is one row per group)."""
+
+    Group sizes come from a partial aggregation (one row per group) joined
+    back -- never a window over the group, which would put a hot group in
+    one task.  At run time AQE broadcasts the size table when it is small; when
+    it is large, the join partition of a hot group is split by AQE's skew-join
+    handling (the size side holds a single row per key)."""
     keys = list(keys)
     gk = [F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("v")).alias(f"_tm_g{i}") for i, k in enumerate(keys)]
     gcols = [f"_tm_g{i}" for i in range(len(keys))]
