@@ -8,6 +8,7 @@ from tamis.functions.fmt import sig, sig_sql
 from tamis.functions.keys import sql_normal
 from tamis.operators import corrupt as C
 from tamis.operators import drift as D
+from tamis.operators import repair as R
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
 from tamis.sources.tables import TEXT_SQL, TRIP_SQL, materialized, text_table, trip
@@ -162,7 +163,8 @@ sc AS (SELECT *, 0.4 * completeness_drift + 0.4 * tv_distance + 0.2 * least(anom
 SELECT corruption, {sig_sql('completeness_drift')} AS completeness_drift, {sig_sql('tv_distance')} AS tv_distance,
        {sig_sql('length_change_pct')} AS length_change_pct, anomalies, {sig_sql('score')} AS score,
        CASE WHEN score > 0.2 THEN 'High' WHEN score > 0.05 THEN 'Medium' ELSE 'Low' END AS level,
-       CASE WHEN anomalies > 0 OR completeness_drift > 0.05 THEN 'High' WHEN completeness_drift > 0.01 THEN 'Medium' ELSE 'Low' END AS rule_level
+       CASE WHEN anomalies > 0 OR completeness_drift > 0.05 THEN 'High' WHEN completeness_drift > 0.01 THEN 'Medium' ELSE 'Low' END AS rule_level,
+       CASE WHEN corruption IN ('class_shift', 'CategoricalShift') THEN 'retrain' ELSE 'repair' END AS action
 FROM sc"""
 
 
@@ -194,4 +196,5 @@ def drift_report(spark, sf_dir):
     return r.select("corruption", sig("completeness_drift").alias("completeness_drift"), sig("tv_distance").alias("tv_distance"),
                     sig("length_change_pct").alias("length_change_pct"), "anomalies", sig(score).alias("score"),
                     D.detectability_level(score).alias("level"),
-                    D.detectability_rule(F.col("anomalies"), F.col("completeness_drift")).alias("rule_level"))
+                    D.detectability_rule(F.col("anomalies"), F.col("completeness_drift")).alias("rule_level"),
+                    R.retrain_action(F.col("corruption")).alias("action"))
