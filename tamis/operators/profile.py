@@ -99,7 +99,7 @@ DISTINCT_BOUND = 2_000_000
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float],
-              group: Sequence[str] = ()) -> DataFrame:
+              group: Sequence[str] = (), distinct: dict | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles: ``(*group, column, p, value)``.
 
     Size-checked strategy: one cheap job estimates each column's distinct
@@ -111,7 +111,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float],
     cols = list(cols)
     if group or not cols:
         return ranked_quantiles(df, cols, ps, group)
-    est = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first()
+    est = distinct or df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first().asDict()
     small = [c for c in cols if est[c] <= DISTINCT_BOUND]
     big = [c for c in cols if c not in small]
     parts = []
@@ -191,10 +191,14 @@ def median_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # -- A3 / A4 -------------------------------------------------------------------
 
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
-    """(``digits``: significant digits of the output, see ``fmt.sig``.)"""
     """A3: one row per column: missing_percent, min, p01, median, p99, max,
     mean, std (sample), neg_percent, zero_percent.  Shares of negatives and
-    zeros are over non-null rows; null when the column is empty."""
+    zeros are over non-null rows; null when the column is empty.
+
+    Two passes in all: one aggregation learns every moment of every column
+    together with the distinct-count estimates (a handful of numbers), one
+    aggregation computes every percentile.  ``digits``: significant digits
+    of the output (see ``fmt.sig``)."""
     cols = list(cols or numeric_columns(df))
     aggs = []
     for i, c in enumerate(cols):
@@ -206,15 +210,16 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, digits: in
             F.stddev_samp(x).alias(f"sd{i}"),
             (F.try_divide(F.count_if(x < 0), nn) * 100).alias(f"ng{i}"),
             (F.try_divide(F.count_if(x == 0), nn) * 100).alias(f"zr{i}"),
+            F.approx_count_distinct(x).alias(f"nd{i}"),
         ]
-    wide = df.agg(*aggs)
-    long = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing_percent"),
-                 F.col(f"mn{i}").alias("min"), F.col(f"mx{i}").alias("max"),
-                 F.col(f"av{i}").alias("mean"), F.col(f"sd{i}").alias("std"),
-                 F.col(f"ng{i}").alias("neg_percent"), F.col(f"zr{i}").alias("zero_percent"))
-        for i, c in enumerate(cols)])).alias("s")).select("s.*")
-    q = quantiles(df, cols, [0.01, 0.5, 0.99]).groupBy("column").agg(
+    row = df.agg(*aggs).first()
+    names = ["missing_percent", "min", "max", "mean", "std", "neg_percent", "zero_percent"]
+    tags = ["m", "mn", "mx", "av", "sd", "ng", "zr"]
+    long = df.sparkSession.createDataFrame(
+        [(c, *[None if row[f"{t}{i}"] is None else float(row[f"{t}{i}"]) for t in tags]) for i, c in enumerate(cols)],
+        "column string, " + ", ".join(f"{n} double" for n in names))
+    distinct = {c: row[f"nd{i}"] for i, c in enumerate(cols)}
+    q = quantiles(df, cols, [0.01, 0.5, 0.99], distinct=distinct).groupBy("column").agg(
         F.max(F.when(F.col("p") == 0.01, F.col("value"))).alias("p01"),
         F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
         F.max(F.when(F.col("p") == 0.99, F.col("value"))).alias("p99"))
