@@ -23,8 +23,9 @@ def salvage_number(x: Column) -> Column:
     to an integer, absolute value; null when nothing is found."""
     s = F.regexp_replace(F.trim(x.cast("string")), "[a-zA-Z]", "")
     m = F.regexp_extract(s, SALVAGE_RE, 0)
-    return F.when(m == "", F.lit(None).cast("double")).otherwise(
-        F.abs(m.try_cast("double").cast("bigint")).cast("double"))
+    v = m.try_cast("double")
+    # truncation toward zero in double arithmetic: no integer overflow
+    return F.when(m == "", F.lit(None).cast("double")).otherwise(F.abs(v - v % F.lit(1.0)))
 
 
 def coerce_label(x: Column) -> Column:

@@ -23,7 +23,7 @@ def _parse_sql(x: str) -> str:
 def _salvage_sql(x: str) -> str:
     s = f"regexp_replace(trim(CAST({x} AS VARCHAR)), '[a-zA-Z]', '', 'g')"
     m = f"regexp_extract({s}, '[+-]?\\d+(\\.\\d+)?', 0)"
-    return f"CASE WHEN {m} = '' THEN NULL ELSE abs(CAST(trunc(TRY_CAST({m} AS DOUBLE)) AS BIGINT))::DOUBLE END"
+    return f"CASE WHEN {m} = '' THEN NULL ELSE abs(trunc(TRY_CAST({m} AS DOUBLE))) END"
 
 
 # dirty label strings derived from the data: '1'..'5' from the priority, with

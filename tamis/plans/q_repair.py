@@ -310,7 +310,7 @@ def reverse_hour_shift(spark, sf_dir):
 def _auto_clean_sql() -> str:
     s = "regexp_replace(trim(CAST(o_totalprice AS VARCHAR)), '[a-zA-Z]', '', 'g')"
     m = f"regexp_extract({s}, '[+-]?\\d+(\\.\\d+)?', 0)"
-    salvage = f"CASE WHEN {m} = '' THEN NULL ELSE abs(CAST(trunc(TRY_CAST({m} AS DOUBLE)) AS BIGINT))::DOUBLE END"
+    salvage = f"CASE WHEN {m} = '' THEN NULL ELSE abs(trunc(TRY_CAST({m} AS DOUBLE))) END"
     return f"""
 WITH a AS (SELECT o_orderkey, c_mktsegment, {salvage} AS p FROM {MIXED_SEG_SQL}),
 b AS (SELECT o_orderkey, c_mktsegment, coalesce(p, avg(p) OVER ()) AS p FROM a),
