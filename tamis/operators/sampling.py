@@ -248,12 +248,9 @@ def numbered_batches(df: DataFrame, key, size: int = 5000, n_batches: int | None
     b = F.floor((F.col("_tm_r") - 1) / F.lit(size)).cast("int")
     r = r.withColumn(out, b)
     if n_batches is not None:
+        if strict and df.count() < size * n_batches:
+            raise ValueError(f"not enough rows for {n_batches} batches of {size}")
         r = r.filter(F.col(out) < n_batches)
-        if strict:
-            total = df.agg(F.count(F.lit(1))).scalar()
-            r = r.withColumn("_tm_chk", F.when(total < F.lit(size * n_batches),
-                                               F.raise_error(F.lit("not enough rows for the batches"))))
-            r = r.drop("_tm_chk")
     return r.drop("_tm_r")
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tamis.functions.keys import row_key
 
@@ -52,15 +53,17 @@ def balanced(df: DataFrame) -> DataFrame:
 
     Only a handful of files is ever inspected: an input with at least as many
     files as cores is left alone without asking the file system anything.
-    The spread is a hash partitioning on the first column (no sort needed,
-    unlike a round-robin repartition)."""
+    The spread is a hash partitioning on the whole row (no sort needed,
+    unlike a round-robin repartition, and no hot value of one column can
+    gather its rows in one task)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = df.inputFiles()
     if len(files) >= cores:
         return df
     size = input_bytes(df, files)
     if size is not None and size < SMALL_INPUT_BYTES:
-        return df.repartition(cores, df.columns[0])
+        hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+        return df.repartition(cores, *hashable) if hashable else df.repartition(cores)
     return df
 
 

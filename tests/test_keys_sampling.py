@@ -98,3 +98,11 @@ def test_exact_k_narrowing_levels(spark, monkeypatch):
     deep = sorted(tuple(r) for r in S.sample_exact(li, LINEITEM_KEY, fraction=0.37, salt="lv")
                   .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").collect())
     assert one == deep and len(one) == math.floor(li.count() * 0.37)
+
+
+def test_numbered_batches_strict(spark):
+    import pytest
+    df = spark.range(25).withColumnRenamed("id", "k")
+    assert S.numbered_batches(df, "k", size=10, n_batches=2).count() == 20
+    with pytest.raises(ValueError):
+        S.numbered_batches(df, "k", size=10, n_batches=3, strict=True)
