@@ -320,3 +320,33 @@ def learn_ranges(df: DataFrame, fixed_low: dict[str, float] | None = None,
 def flat_report(pairs: DataFrame) -> DataFrame:
     """Identity on a ``(metric, value)`` frame, ordered."""
     return pairs.orderBy("metric")
+
+
+def baseline_profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), top: int = 20) -> DataFrame:
+    """V1: the baseline profile as ONE row of nested values: row and column
+    counts, missing percent per column (map), numeric summaries per column
+    (map of structs) and the top value counts of each categorical column
+    (map of maps).  Every piece is an aggregate of bounded size (one entry
+    per column, at most ``top`` values per categorical column)."""
+    shape_row = shape(df)
+    miss = null_percent(df).agg(F.map_from_entries(F.collect_list(F.struct("column", "missing_percent"))).alias("missing_percent"))
+    summ = numeric_summary(df, numeric)
+    num = summ.agg(F.map_from_entries(F.collect_list(
+        F.struct("column", F.struct(*[c for c in summ.columns if c != "column"])))).alias("numeric"))
+    out = shape_row.crossJoin(miss).crossJoin(num)
+    if categorical:
+        parts = []
+        for c in categorical:
+            vc = value_counts(df, c, top).select(F.coalesce(F.col("value").cast("string"), F.lit("null")).alias("v"), "count")
+            parts.append(vc.agg(F.map_from_entries(F.collect_list(F.struct("v", "count"))).alias("m"))
+                         .select(F.lit(c).alias("column"), "m"))
+        cat = parts[0]
+        for p in parts[1:]:
+            cat = cat.unionByName(p)
+        out = out.crossJoin(cat.agg(F.map_from_entries(F.collect_list(F.struct("column", "m"))).alias("categorical")))
+    return out
+
+
+def profile_json(profile: DataFrame) -> DataFrame:
+    """The profile row as one JSON document."""
+    return profile.select(F.to_json(F.struct(*profile.columns)).alias("json"))

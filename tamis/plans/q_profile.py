@@ -321,3 +321,22 @@ def percentiles_by_segment(spark, sf_dir):
     m = mixed(spark, sf_dir).select("c_mktsegment", "o_totalprice")
     q = P.quantiles(m, ["o_totalprice"], [0.5, 0.9], group=["c_mktsegment"])
     return q.select("c_mktsegment", "p", sig("value").alias("value"))
+
+
+@query("profile_json_roundtrip", f"""
+WITH t AS {TRIP_SQL}
+SELECT 'distance' AS column, count(*) AS n_rows, {sig_sql('quantile_cont(distance, 0.5)')} AS median,
+       {sig_sql('avg(distance)')} AS mean FROM t
+UNION ALL SELECT 'total', count(*), {sig_sql('quantile_cont(total, 0.5)')}, {sig_sql('avg(total)')} FROM t""")
+def profile_json_roundtrip(spark, sf_dir):
+    """The nested baseline profile written as JSON to the
+    shared folder, read back with its schema, numeric part exploded."""
+    import uuid
+    from tamis.session import ensure_checkpoint_dir
+    t = materialized(trip(spark, sf_dir).select("distance", "total", "flag", "status"))
+    prof = P.baseline_profile(t, ["distance", "total"], ["flag", "status"])
+    path = f"{ensure_checkpoint_dir(spark)}/io/profile-{uuid.uuid4().hex}"
+    P.profile_json(prof).write.mode("overwrite").text(path)
+    back = spark.read.text(path).select(F.from_json("value", prof.schema).alias("p")).select("p.*")
+    num = back.select("n_rows", F.explode("numeric").alias("column", "s"))
+    return num.select("column", "n_rows", sig("s.median").alias("median"), sig("s.mean").alias("mean"))
