@@ -184,9 +184,10 @@ def drift_report(spark, sf_dir):
     bd = D.distribution(base, "label", "p")
     cd = s.filter(F.col("label").isNotNull()).groupBy("corruption", "label").agg(F.count(F.lit(1)).alias("_n"))
     cd = cd.select("corruption", "label", (F.col("_n") / F.sum("_n").over(Window.partitionBy("corruption"))).alias("q"))
-    grid = c.select("corruption").crossJoin(F.broadcast(bd))  # one row per (corruption, label): bounded
-    tv = grid.join(cd, ["corruption", "label"], "full_outer").groupBy("corruption").agg(
-        (F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("tv_distance"))
+    # TV over the labels a corruption has (absent ones add their baseline
+    # share): (sum(|p - q| - p) + 1) / 2, no corruption x label grid
+    tv = cd.join(F.broadcast(bd), "label", "left").withColumn("p", F.coalesce("p", F.lit(0.0))).groupBy("corruption").agg(
+        ((F.sum(F.abs(F.col("p") - F.col("q")) - F.col("p")) + F.lit(1.0)) / 2).alias("tv_distance"))
     r = c.join(tv, "corruption").crossJoin(F.broadcast(b)).select(
         "corruption", F.abs(F.col("comp0") - F.col("comp1")).alias("completeness_drift"), "tv_distance",
         F.when(F.col("len0") > 0, (F.col("len1") - F.col("len0")) / F.col("len0") * 100).otherwise(F.lit(0.0)).alias("length_change_pct"))
