@@ -22,7 +22,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from tamis.functions.keys import hash_hex, hex_uniform, key_of, normal
 from tamis.operators.profile import learn, lit_or_null, ranked_in_range
-from tamis.operators.sampling import bernoulli_mask, exact_mask_frame
+from tamis.operators.sampling import bernoulli_mask, exact_mask_frame, exact_masks_frame
 
 # fixed values: look-alike characters used by broken_characters
 BROKEN_FROM = "aAeEoOuU"
@@ -61,6 +61,20 @@ def _mask(df: DataFrame, key, fraction: float, seed: int, salt: str | None, exac
     return df.withColumn(name, m)
 
 
+def _masks(df: DataFrame, key, fraction: float, seed: int, salts: Sequence[str | None], exact: bool,
+           wheres: Sequence[Column | None] | None = None) -> tuple[DataFrame, list[str]]:
+    """One mask per salt; exact masks are learnt together (two passes)."""
+    names = [f"_tm_m{i}" for i in range(len(salts))]
+    wheres = list(wheres) if wheres is not None else [None] * len(salts)
+    if exact:
+        specs = [{"out": n, "fraction": fraction, "salt": s, "where": w} for n, s, w in zip(names, salts, wheres)]
+        return exact_masks_frame(df, key, specs, seed), names
+    cur = df
+    for n, s, w in zip(names, salts, wheres):
+        cur = _mask(cur, key, fraction, seed, s, False, where=w, name=n)
+    return cur, names
+
+
 def _cols_of(df: DataFrame, columns, kinds, key) -> list[str]:
     keys = {key} if isinstance(key, str) else set(key if not isinstance(key, Column) else [])
     if columns:
@@ -82,12 +96,7 @@ def missing_values(df: DataFrame, key, columns: Sequence[str] | None = None, fra
     cols = _cols_of(df, columns, (NumericType, StringType), key) if not columns else list(columns)
     if not columns:
         cols = [c for c in df.columns if c not in ([key] if isinstance(key, str) else list(key))]
-    cur = df
-    names = []
-    for i, c in enumerate(cols):
-        nm = f"_tm_m{i}"
-        cur = _mask(cur, key, fraction, seed, None if salt is None else f"{salt}:{c}", exact, name=nm)
-        names.append(nm)
+    cur, names = _masks(df, key, fraction, seed, [None if salt is None else f"{salt}:{c}" for c in cols], exact)
     return _replace(cur, {c: F.when(F.col(n), F.lit(None)).otherwise(F.col(c)) for c, n in zip(cols, names)},
                     drop=names)
 
@@ -224,11 +233,7 @@ def broken_characters(df: DataFrame, key, columns: Sequence[str] | None = None,
                       seed: int = 42, salt: str | None = "broken", exact: bool = True) -> DataFrame:
     """C11: vowels replaced by accented look-alikes on the sample (per column)."""
     cols = _cols_of(df, columns, (StringType,), key)
-    cur, names = df, []
-    for i, c in enumerate(cols):
-        nm = f"_tm_m{i}"
-        cur = _mask(cur, key, fraction, seed, None if salt is None else f"{salt}:{c}", exact, name=nm)
-        names.append(nm)
+    cur, names = _masks(df, key, fraction, seed, [None if salt is None else f"{salt}:{c}" for c in cols], exact)
     return _replace(cur, {c: F.when(F.col(n), F.translate(F.col(c), BROKEN_FROM, BROKEN_TO)).otherwise(F.col(c))
                           for c, n in zip(cols, names)}, drop=names)
 
@@ -255,12 +260,9 @@ def gaussian_noise(df: DataFrame, key, columns: Sequence[str], fraction: float =
     subquery over a one-row aggregate."""
     if not columns:
         return df
-    cur, names, new = df, [], {}
-    for i, c in enumerate(columns):
-        nm = f"_tm_m{i}"
-        s = None if salt is None else f"{salt}:{c}"
-        cur = _mask(cur, key, fraction, seed, s, exact, where=F.col(c).isNotNull(), name=nm)
-        names.append(nm)
+    new = {}
+    cur, names = _masks(df, key, fraction, seed, [None if salt is None else f"{salt}:{c}" for c in columns], exact,
+                        wheres=[F.col(c).isNotNull() for c in columns])
     for c, nm in zip(columns, names):
         sd = lit_or_null(learn(df, F.stddev_pop(F.col(c).cast("double")))[0])
         m = scale if scale is not None else 1.0 + 4.0 * py_uniform(seed, f"{salt}:{c}", "scale")
@@ -273,11 +275,7 @@ def scaling(df: DataFrame, key, columns: Sequence[str] | None = None, fraction:
             salt: str | None = "scaling", exact: bool = True) -> DataFrame:
     """C14: the sample multiplied by one power of ten per column (10, 100, 1000)."""
     cols = _cols_of(df, columns, (NumericType,), key)
-    cur, names = df, []
-    for i, c in enumerate(cols):
-        nm = f"_tm_m{i}"
-        cur = _mask(cur, key, fraction, seed, None if salt is None else f"{salt}:{c}", exact, name=nm)
-        names.append(nm)
+    cur, names = _masks(df, key, fraction, seed, [None if salt is None else f"{salt}:{c}" for c in cols], exact)
     new = {}
     for c, nm in zip(cols, names):
         f = SCALE_FACTORS[int(py_uniform(seed, f"{salt}:{c}", "factor") * len(SCALE_FACTORS))]

@@ -259,3 +259,75 @@ def shuffle_rows(df: DataFrame, key, seed: int = 42, salt: str | None = "shuffle
     order is really needed: everything else here is order-free."""
     d = with_hash(df, key, seed, salt)
     return d.orderBy(H, K).drop(H, K)
+
+
+def exact_masks_frame(df: DataFrame, key, specs: Sequence[dict], seed: int = 42) -> DataFrame:
+    """Several D4 masks (one per spec) learnt together.
+
+    ``specs``: dicts with ``out``, ``fraction``, ``salt`` and optional
+    ``where`` / ``rounding``.  The per-mask hashes are stacked so that ONE
+    histogram job serves every mask (at most 4,096 rows per mask to the
+    driver) and ONE job fetches every boundary bucket; a wide table therefore
+    costs two passes, not two per column.  Each mask equals what
+    ``exact_mask_frame`` gives for its spec alone.
+    """
+    if len(specs) == 1:
+        s = specs[0]
+        return exact_mask_frame(df, key, fraction=s["fraction"], seed=seed, salt=s.get("salt"),
+                                where=s.get("where"), rounding=s.get("rounding", "floor"), out=s["out"])
+    d = df.withColumn(K, key_of(df, key))
+    eligs = [F.lit(True) if s.get("where") is None else F.coalesce(s["where"], F.lit(False)) for s in specs]
+    hashes = [hash_hex(F.col(K), seed, s.get("salt")) for s in specs]
+    st = (d.select(K, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), h.alias("h"), e.alias("e"))
+                                            for i, (h, e) in enumerate(zip(hashes, eligs))])).alias("x"))
+           .select(F.col("x.i").alias("i"), F.col("x.h").alias(H), K, F.col("x.e").alias("e")).filter("e").drop("e"))
+    hist: dict[int, list] = {}
+    for i, b, c in st.groupBy("i", F.substring(H, 1, _LEVEL_HEX).alias("b")).agg(F.count(F.lit(1))).collect():
+        hist.setdefault(i, []).append((b, c))
+    plans = {}
+    for i, s in enumerate(specs):
+        h = sorted(hist.get(i, []))
+        total = sum(c for _, c in h)
+        k = _k_of(total, s["fraction"], None, s.get("rounding", "floor"))
+        if k <= 0:
+            plans[i] = None
+            continue
+        if k >= total:
+            plans[i] = "ALL"
+            continue
+        acc = 0
+        for b, c in h:
+            if acc + c >= k:
+                prefix, need, size = b, k - acc, c
+                break
+            acc += c
+        start = 1 + _LEVEL_HEX
+        sub = st.filter(F.col("i") == i).select(H, K)
+        while size > _BOUNDARY_ROWS and start + _LEVEL_HEX <= 33:
+            prefix, need, size = _narrow(sub, prefix, start, need)
+            start += _LEVEL_HEX
+        plans[i] = (prefix, need)
+    pending = {i: p for i, p in plans.items() if isinstance(p, tuple)}
+    thresholds = {}
+    if pending:
+        cond = None
+        for i, (prefix, _) in pending.items():
+            c = (F.col("i") == i) & (F.substring(H, 1, len(prefix)) == prefix)
+            cond = c if cond is None else cond | c
+        rows: dict[int, list] = {}
+        for i, h, kk in st.filter(cond).select("i", H, K).collect():
+            rows.setdefault(i, []).append((h, kk))
+        for i, (prefix, need) in pending.items():
+            thresholds[i] = sorted(r for r in rows[i] if r[0].startswith(prefix))[need - 1]
+    out = d
+    for i, s in enumerate(specs):
+        p = plans[i]
+        if p is None:
+            m = F.lit(False)
+        elif p == "ALL":
+            m = eligs[i]
+        else:
+            th, tk = thresholds[i]
+            m = eligs[i] & ((hashes[i] < F.lit(th)) | ((hashes[i] == F.lit(th)) & (F.col(K) <= F.lit(tk))))
+        out = out.withColumn(s["out"], m)
+    return out.drop(K)

@@ -106,3 +106,20 @@ def test_numbered_batches_strict(spark):
     assert S.numbered_batches(df, "k", size=10, n_batches=2).count() == 20
     with pytest.raises(ValueError):
         S.numbered_batches(df, "k", size=10, n_batches=3, strict=True)
+
+
+def test_masks_learnt_together_equal_single_masks(spark, monkeypatch):
+    t = table(spark, SF, "orders", balance=False).select("o_orderkey", "o_totalprice", "o_orderstatus")
+    specs = [{"out": "a", "fraction": 0.3, "salt": "x"},
+             {"out": "b", "fraction": 0.25, "salt": "y", "where": F.col("o_orderstatus") == "O", "rounding": "half_even"},
+             {"out": "c", "fraction": 0.0, "salt": "z"},
+             {"out": "d", "fraction": 1.0, "salt": "w"}]
+    for limit in (S._BOUNDARY_ROWS, 0):
+        monkeypatch.setattr(S, "_BOUNDARY_ROWS", limit)
+        together = S.exact_masks_frame(t, "o_orderkey", specs)
+        alone = t
+        for sp in specs:
+            alone = S.exact_mask_frame(alone, "o_orderkey", fraction=sp["fraction"], salt=sp["salt"], where=sp.get("where"),
+                                       rounding=sp.get("rounding", "floor"), out=sp["out"])
+        cols = ["o_orderkey", "a", "b", "c", "d"]
+        assert sorted(map(tuple, together.select(*cols).collect())) == sorted(map(tuple, alone.select(*cols).collect()))
