@@ -148,10 +148,15 @@ def permute_column(df: DataFrame, key, column: str, fraction: float = 0.01, seed
     value (cyclic).  The multiset of values is kept; no window spans the table.
     """
     where = F.col(column).isNotNull()
-    d = _mask(df, key, fraction, seed, salt, exact, where=where, rounding="half_even")
+    if exact:
+        # the sample size is known from the learnt threshold: no extra count
+        d, n_s = exact_mask_frame(df, key, fraction=fraction, seed=seed, salt=salt, where=where,
+                                  rounding="half_even", out="_tm_m", return_k=True)
+    else:
+        d = _mask(df, key, fraction, seed, salt, exact, where=where, rounding="half_even")
+        n_s = d.agg(F.count_if("_tm_m")).first()[0]
     k = key_of(d, key)
     d = d.withColumn("_tm_k", k).withColumn("_tm_h", hash_hex(F.col("_tm_k"), seed, f"{salt}:order"))
-    n_s = d.agg(F.count_if("_tm_m")).first()[0]
     nb = F.lit(max(1, -(-n_s // rows_per_bucket)))
     d = d.withColumn("_tm_b", F.when(F.col("_tm_m"), F.pmod(F.conv(F.substring("_tm_h", 9, 8), 16, 10).cast("bigint"), nb)))
     w = Window.partitionBy("_tm_b").orderBy("_tm_h", "_tm_k")

@@ -110,25 +110,27 @@ def exact_threshold(d: DataFrame, fraction: float | None = None, n: int | None =
 
 def exact_mask_frame(df: DataFrame, key, fraction: float | None = None, n: int | None = None,
                      seed: int = 42, salt: str | None = None, where: Column | None = None,
-                     rounding: str = "floor", out: str = "sampled") -> DataFrame:
+                     rounding: str = "floor", out: str = "sampled", return_k: bool = False):
     """Add boolean ``out``: the k eligible rows smallest by ``(hash, key)``.
 
     ``k = floor(eligible * fraction)`` (``rounding='half_even'`` for pandas
     ``sample(frac=)``) or ``min(n, eligible)``.  ``where`` limits eligibility
     (nulls count as not eligible).  The threshold is learnt by two or three
     small jobs (bounded histograms); the mask itself is a narrow comparison.
+    ``return_k`` also returns the number of sampled rows.
     """
     d = with_hash(df, key, seed, salt)
     elig_col = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    thr, _ = exact_threshold(d.filter(elig_col).select(H, K), fraction, n, rounding)
+    thr, k = exact_threshold(d.filter(elig_col).select(H, K), fraction, n, rounding)
     if thr is None:
         mask = F.lit(False)
     elif thr == "ALL":
         mask = elig_col
     else:
-        h, k = thr
-        mask = elig_col & ((F.col(H) < F.lit(h)) | ((F.col(H) == F.lit(h)) & (F.col(K) <= F.lit(k))))
-    return d.withColumn(out, mask).drop(H, K)
+        h, kk = thr
+        mask = elig_col & ((F.col(H) < F.lit(h)) | ((F.col(H) == F.lit(h)) & (F.col(K) <= F.lit(kk))))
+    res = d.withColumn(out, mask).drop(H, K)
+    return (res, k) if return_k else res
 
 
 def sample_exact(df: DataFrame, key, fraction: float | None = None, n: int | None = None,
