@@ -11,7 +11,8 @@ from conftest import SF
 NAMES = ["layer1_monitor", "profile_nulls", "exact_sample", "stratified_split_counts", "clean_all",
          "category_shift", "permute_column", "fill_mode_by_class", "dedup_keep_first", "word_entropy",
          "ks_two_sample", "statistics_report", "word_tfidf", "window_quality", "composite_numeric",
-         "robustness_suite", "drift_report", "auto_clean_chain", "validate_against_schema"]
+         "robustness_suite", "drift_report", "auto_clean_chain", "validate_against_schema",
+         "profile_json_roundtrip", "two_layer_monitor", "percentiles_by_segment", "onehot_scaled"]
 
 
 @pytest.fixture(scope="module")
