@@ -24,3 +24,16 @@ def test_monitor_writes_idempotent_batches(spark):
     acc = spark.read.parquet(f"{base}/accepted").count()
     q = spark.read.parquet(f"{base}/quarantine").count()
     assert acc + q == m.n and acc == m.accepted
+
+
+def test_monitor_restart_does_not_duplicate(spark, tmp_path):
+    """A restarted stream (same checkpoint) neither reprocesses nor duplicates."""
+    from tamis.session import ensure_checkpoint_dir
+    import uuid
+    out = f"{ensure_checkpoint_dir(spark)}/streams/restart-{uuid.uuid4().hex}"
+    rules = {"value_missing": F.col("value").isNull()}
+    T.monitor_batches(T.events_stream(spark, SF), rules, out_dir=out)
+    first = spark.read.parquet(f"{out}/accepted").count()
+    T.monitor_batches(T.events_stream(spark, SF), rules, out_dir=out)
+    assert spark.read.parquet(f"{out}/accepted").count() == first
+    assert spark.read.parquet(f"{out}/metrics").count() == 1
