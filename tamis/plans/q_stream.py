@@ -107,3 +107,23 @@ def stream_dedup(spark, sf_dir):
     s = T.dedup_stream(T.events_stream(spark, sf_dir), ["user_id", "event_type"], "1 hour")
     d = T.run_available_now(s.select("event_id", "ts", "user_id", "event_type"), "dedup")
     return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_window_drift", f"""
+WITH b AS (SELECT event_type, count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY 1),
+c AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL),
+q AS (SELECT window_start, event_type, n / sum(n) OVER (PARTITION BY window_start) AS q FROM c),
+g AS (SELECT DISTINCT window_start FROM c),
+f AS (SELECT coalesce(x.window_start, q.window_start) AS window_start, coalesce(x.p, 0) AS p, coalesce(q.q, 0) AS q
+      FROM (SELECT * FROM g, b) x FULL OUTER JOIN q ON x.window_start = q.window_start AND x.event_type = q.event_type)
+SELECT window_start, {sig_sql('sum(abs(p - q)) / 2')} AS tv_distance FROM f
+WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY window_start""")
+def stream_window_drift(spark, sf_dir):
+    """T5 as a stream: daily windows closed by a 1-hour watermark, each
+    compared in ``foreachBatch`` with the static baseline distribution."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    base = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    base = base.select("event_type", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
+    out = T.window_drift_stream(T.events_stream(spark, sf_dir), base, "1 day", "1 hour")
+    d = spark.read.parquet(f"{out}/drift")
+    return d.select("window_start", sig("tv_distance").alias("tv_distance"))

@@ -153,3 +153,34 @@ def monitor_batches(stream: DataFrame, rules: dict[str, Column], baseline_accept
 def dedup_stream(stream: DataFrame, keys: list[str], watermark: str = "1 hour") -> DataFrame:
     """T4: drop duplicates of ``keys`` within the watermark delay."""
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+
+
+def window_drift_stream(stream: DataFrame, baseline: DataFrame, window: str = "1 day", watermark: str = "1 hour",
+                        col: str = "event_type", out_dir: str | None = None, timeout_s: int = 600) -> str:
+    """T5 as a stream: windowed category counts (append mode: a window is
+    emitted once, when the watermark closes it); in ``foreachBatch`` each
+    closed window is joined with the static baseline distribution (broadcast,
+    one row per category) and its total variation distance is written to a
+    partition per ``batch_id`` (idempotent).  Returns the output folder."""
+    spark = stream.sparkSession
+    base = out_dir or f"{ensure_checkpoint_dir(spark)}/streams/drift-{uuid.uuid4().hex}"
+    counts = (stream.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), col)
+                    .agg(F.count(F.lit(1)).alias("n")))
+    p = F.broadcast(baseline.select(col, "p"))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        tot = batch.groupBy("w").agg(F.sum("n").alias("tot"))
+        q = batch.join(tot, "w").select("w", col, (F.col("n") / F.col("tot")).alias("q"))
+        j = q.join(p, col, "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+        tv = j.groupBy(F.col("w.start").alias("window_start")).agg(
+            ((F.sum(F.abs(F.col("p") - F.col("q")) - F.col("p")) + F.lit(1.0)) / 2).alias("tv_distance"))
+        (tv.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+           .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{base}/drift"))
+
+    q = (counts.writeStream.outputMode("append").foreachBatch(handle)
+               .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError(f"drift stream did not finish in {timeout_s}s")
+    return base
