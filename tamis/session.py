@@ -42,7 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a private folder is created and registered.
+    in a local session (tests) a private folder is created and registered.  On a
+    cluster a private folder would exist on one machine only, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        # local runs only: the cluster names its shared folder in the setting
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tamis-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
