@@ -162,11 +162,10 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
 
     improved = True
     while improved and count > least:
-        before = count
+        improved = False
         for a in np.argsort(fill, kind="stable"):
             while 0 < fill[a] < capacity and count > least and step(int(a)):
-                pass
-        improved = count < before
+                improved = True
     return [b for b in bins if b]
 
 

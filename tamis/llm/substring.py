@@ -26,7 +26,9 @@ as they are; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,16 +40,22 @@ from tamis.llm.arrays import WordHashes, by_part, mix, pack, runs, unpack, unpac
 from tamis.llm.store import new_folder, open_array, save_array, text_bytes
 
 WINDOW = 20
-#: counters of one segment of a row, and counters for each window
-SEGMENT = 1 << 23
-PER_WINDOW = 4
-ROWS = 2
-#: words that a task hashes before it hands on what it has found
-CHUNK = 3_000_000
+ROWS = 2  # of counters
 _NO_ID = np.iinfo(np.int64).max
 _TAG = 0xFFFF
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Words of a window; counters of one segment of a row (a power of two) and for each window;
+    words that a task hashes before it hands on what it has found."""
+
+    window: int = WINDOW
+    segment: int = 1 << 23
+    per_window: float = 4
+    chunk: int = 2_000_000
+
+
 # -- windows -----------------------------------------------------------------
 
 def _joined(a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
@@ -86,16 +94,16 @@ class _Windows:
         self.h1 = window_hashes(words, size, 0x9E3779B97F4A7C15)[at] if len(at) else np.zeros(0, np.uint64)
         self.h2 = window_hashes(words, size, 0xC2B2AE3D27D4EB4F)[at] if len(at) else np.zeros(0, np.uint64)
 
-    def counters(self, row: int, segments: int):
+    def counters(self, row: int, segments: int, size: int):
         """Segment and place of each window's counter in a row of the sketch."""
         g = self.h1 if row == 0 else mix(self.h2 ^ np.uint64(row))
         segment = ((g >> np.uint64(40)) * np.uint64(segments)) >> np.uint64(24)
-        return segment.astype(np.int64), (g & np.uint64(SEGMENT - 1)).astype(np.uint32)
+        return segment.astype(np.int64), (g & np.uint64(size - 1)).astype(np.uint32)
 
 
-def _chunks(batches, size: int):
+def _chunks(batches, sizes: Sizes):
     """Chunks of documents (doc_id, tag, word hashes) as _Windows with their ids and tags."""
-    hashes, docs, n = WordHashes(), [], 0
+    hashes, docs, n, size = WordHashes(), [], 0, sizes.window
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = (text or b"").split()
@@ -103,7 +111,7 @@ def _chunks(batches, size: int):
                 continue
             docs.append((_NO_ID if doc_id is None else doc_id, zlib.crc32(text) & _TAG, hashes.of(words)))
             n += len(words)
-            if n >= CHUNK:
+            if n >= sizes.chunk:
                 yield docs, _Windows(docs, size)
                 docs, n = [], 0
     if docs:
@@ -117,18 +125,18 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 # -- 1: the sketch -----------------------------------------------------------
 
-def _sketch(size: int, segments: int):
+def _sketch(sizes: Sizes, segments: int):
     def increments(batches):
-        for _, windows in _chunks(batches, size):
+        for _, windows in _chunks(batches, sizes):
             for row in range(ROWS):
-                segment, place = windows.counters(row, segments)
+                segment, place = windows.counters(row, segments, sizes.segment)
                 yield _blobs([(row * segments + s, pack(np.sort(place[i]))) for s, i in by_part(segment, segments)])
     return increments
 
 
-def _merge(folder: str):
+def _merge(folder: str, size: int):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(SEGMENT, np.uint8)  # saturating at 2
+        counts = np.zeros(size, np.uint8)  # saturating at 2
         for blob in pdf["blob"]:
             places = unpack(blob)[0]
             first = runs(places)
@@ -142,12 +150,12 @@ def _merge(folder: str):
 
 # -- 2: candidates -----------------------------------------------------------
 
-def _candidates(size: int, segments: int, present: set[int], folder: str, parts: int):
+def _candidates(sizes: Sizes, segments: int, present: set[int], folder: str, parts: int):
     def find(batches):
         maps = {}
 
         def reached(windows, row):
-            segment, place = windows.counters(row, segments)
+            segment, place = windows.counters(row, segments, sizes.segment)
             out = np.zeros(len(place), bool)
             for s, i in by_part(segment, segments):
                 k = row * segments + s
@@ -159,7 +167,7 @@ def _candidates(size: int, segments: int, present: set[int], folder: str, parts:
                 out[i] = (maps[k][p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1
             return out
 
-        for docs, w in _chunks(batches, size):
+        for docs, w in _chunks(batches, sizes):
             may = np.flatnonzero(reached(w, 0) & reached(w, 1))
             if not len(may):
                 continue
@@ -233,7 +241,7 @@ def _covers(size: int):
     return cover
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """Rows (id, tag, spans) for the documents with words to remove.
 
     id is the doc_id (the largest long for null), tag the low 16 bits of the text's
@@ -242,14 +250,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     windows = text_bytes(docs) // 6 + 1  # about: sizes the sketch only
-    segments = -(-PER_WINDOW * windows // SEGMENT)
+    segments = max(1, math.ceil(sizes.per_window * windows / sizes.segment))
     folder = new_folder(spark, "sketch")
-    present = {r["part"] for r in base.mapInArrow(_sketch(window, segments), "part bigint, blob binary")
-               .groupBy("part").applyInPandas(_merge(folder), "part bigint").collect()}  # the segments' numbers
+    present = {r["part"] for r in base.mapInArrow(_sketch(sizes, segments), "part bigint, blob binary")
+               .groupBy("part").applyInPandas(_merge(folder, sizes.segment), "part bigint").collect()}  # the segments' numbers
     parts = max(64, ROWS * segments)
-    found = (base.mapInArrow(_candidates(window, segments, present, folder, parts), "part bigint, blob binary")
+    found = (base.mapInArrow(_candidates(sizes, segments, present, folder, parts), "part bigint, blob binary")
              .groupBy("part").applyInPandas(_group(parts), "part bigint, blob binary"))
-    return found.groupBy("part").applyInPandas(_covers(window), "id bigint, tag bigint, spans array<bigint>")
+    return found.groupBy("part").applyInPandas(_covers(sizes.window), "id bigint, tag bigint, spans array<bigint>")
 
 
 _RESULT = "n_words long, n_removed long, kept string"
@@ -270,11 +278,11 @@ def _keep(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, out: str = "dedup") -> DataFrame:
+def deduplicate(docs: DataFrame, sizes: Sizes = Sizes(), out: str = "dedup") -> DataFrame:
     """``docs`` with a column ``out``: struct of n_words, n_removed and kept (the kept words, one space between)."""
     own = "_of_".join(["", out, *docs.columns])
     ident, tag, spans = f"id{own}", f"tag{own}", f"spans{own}"
-    runs_ = repeated_spans(docs, window).select(F.col("id").alias(ident), F.col("tag").alias(tag),
+    runs_ = repeated_spans(docs, sizes).select(F.col("id").alias(ident), F.col("tag").alias(tag),
                                                 F.col("spans").alias(spans))
     raw = F.col("text").cast("binary")
     marked = docs.withColumns({
