@@ -86,6 +86,15 @@ def pick(key: Column, n: int, seed: int = 42, salt: str | None = None) -> Column
     return F.floor(uniform(key, seed, salt) * F.lit(n)).cast("int")
 
 
+def key_digest(cols: Sequence[str]) -> Column:
+    """128-bit digest of a composite key, null-safe and unambiguous (each value with its length)."""
+    parts = []
+    for c in cols:
+        v = F.col(c).cast("string")
+        parts.append(F.when(v.isNull(), F.lit("-")).otherwise(F.concat(F.length(v).cast("string"), F.lit(":"), v)))
+    return F.md5(F.concat_ws(",", *parts))
+
+
 def words(x: Column) -> Column:
     """Whitespace words, empty tokens removed."""
     return F.filter(F.split(x, r"\s+"), lambda w: w != F.lit(""))

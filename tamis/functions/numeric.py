@@ -12,10 +12,10 @@ SALVAGE_RE = r"[+-]?\d+(\.\d+)?"
 
 
 def parse_number(x: Column) -> Column:
-    """Numeric coerce, failure = null (also 'nan', '3d', '')."""
+    """Numeric coerce, failure = null (also 'nan', '3d', '' and what overflows a double)."""
     s = x.cast("string")
-    return F.when(s.rlike(NUMBER_RE), F.trim(s).try_cast("double")) \
-            .otherwise(F.lit(None).cast("double"))
+    v = F.when(s.rlike(NUMBER_RE), F.trim(s).try_cast("double"))
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
 
 
 def salvage_number(x: Column) -> Column:
@@ -29,8 +29,8 @@ def salvage_number(x: Column) -> Column:
 
 
 def coerce_label(x: Column) -> Column:
-    """Numeric coerce then truncate toward zero (no range check)."""
-    return parse_number(x).cast("int")
+    """Numeric coerce then truncate toward zero; null beyond a bigint."""
+    return parse_number(x).try_cast("bigint")
 
 
 def is_integral(x: Column) -> Column:

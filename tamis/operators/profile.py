@@ -1,13 +1,10 @@
 """Profiling.
 
-All per-column statistics of a frame are computed in F.lit(1) aggregation (all
+All per-column statistics of a frame are computed in one aggregation (all
 partial, map-side combined).  Exact percentiles (linear interpolation, as
-numpy / Spark ``percentile`` / DuckDB ``quantile_cont``) never gather a column
-into one task: the values of every column are stacked into one long table,
-range-partitioned by ``(column, value, tiebreak)`` -- so a value held by a third
-of all rows is still spread over many partitions -- ranked with per-partition
-offsets (D8), and only the two rows around each wanted position are joined
-back.
+numpy / Spark ``percentile`` / DuckDB ``quantile_cont``) never gather or sort a
+column: the wanted rows are found by histograms that narrow an interval of values
+(``quantiles``), for all columns, percentiles and groups in the same few passes.
 """
 
 from __future__ import annotations
@@ -19,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tamis.functions.fmt import sig
+from tamis.functions.frames import join_null_safe
 from tamis.session import ensure_checkpoint_dir
 
 
@@ -87,79 +85,62 @@ def ranked_in_range(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     counts = rp.groupBy(*keys, "_tm_pid").agg(F.count(F.lit(1)).alias("_tm_n"), F.min("_tm_i").alias("_tm_i0"))
     w = Window.partitionBy(*keys).orderBy("_tm_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_tm_off", F.coalesce(F.sum("_tm_n").over(w), F.lit(0))).drop("_tm_n")
-    return (rp.join(F.broadcast(offs), [*keys, "_tm_pid"])
+    return (join_null_safe(rp, offs if keys else F.broadcast(offs), [*keys, "_tm_pid"])  # no keys: a row per partition
               .withColumn(out, F.col("_tm_off") + F.col("_tm_i") - F.col("_tm_i0"))
               .drop("_tm_pid", "_tm_i", "_tm_i0", "_tm_off"))
 
 
-# distinct values up to which Spark's exact ``percentile`` aggregate is used:
-# its buffer is a value -> count map (about 32 bytes an entry) merged and
-# sorted in one final task, so this check bounds that task (~3 MB); columns
-# with more distinct values take the distributed ranked path, which measured
-# faster already at a few hundred thousand distinct values
-DISTINCT_BOUND = 100_000
+# bins of one narrowing pass, besides the two ends of the interval
+_BINS = 4096
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float],
-              group: Sequence[str] = (), distinct: dict | None = None) -> DataFrame:
+def quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolation percentiles: ``(*group, column, p, value)``.
 
-    Size-checked strategy: one cheap job estimates each column's distinct
-    count (HyperLogLog, partial aggregation).  Columns with at most
-    ``DISTINCT_BOUND`` distinct values use the built-in exact ``percentile``
-    (value -> count buffer, bounded by that check); the others take the
-    distributed ranked path below, which holds no column in one task.
+    Selection by narrowing, the same at every size, for all columns, percentiles
+    and groups together.  The rows wanted (two positions per percentile) start
+    with the interval from the least to the largest value; each pass counts, per
+    interval, its two ends and ``_BINS`` bins between them (partial aggregation,
+    with the least and largest value of each bin) and goes on with the bin that
+    holds the wanted row, until an interval is a single value.  Nothing is sorted
+    or written but the intervals; a null group is a group.
     """
-    cols = list(cols)
-    if group or not cols:
-        return ranked_quantiles(df, cols, ps, group)
-    est = distinct or df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first().asDict()
-    small = [c for c in cols if est[c] <= DISTINCT_BOUND]
-    big = [c for c in cols if c not in small]
-    parts = []
-    if small:
-        parr = [float(p) for p in ps]
-        wide = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")),
-                                     F.array(*[F.lit(p) for p in parr])).alias(c) for c in small])
-        rows = [F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), F.col(c)[i].alias("value"))
-                for c in small for i, p in enumerate(parr)]
-        parts.append(wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*"))
-    if big:
-        parts.append(ranked_quantiles(df, big, ps))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def ranked_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float],
-                     group: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolation percentiles by distributed ranking.
-
-    One range shuffle of the stacked values; per-partition counts (a few rows
-    per partition) are the only thing broadcast, and only the rows at the
-    wanted positions are joined back.
-    """
-    group = list(group)
-    base = df.select(*group, stack([(c, F.col(c).cast("double")) for c in cols], "column", "v").alias("s")) \
-             .select(*group, "s.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    keys = [*group, "column"]
-    base = base.withColumn("_tm_t", F.monotonically_increasing_id())
-    ranked = ranked_in_range(base, keys, ["v", "_tm_t"])
-    totals = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tm_total"))
-    parr = F.array(*[F.lit(float(p)) for p in ps])
-    targets = (totals.select(*keys, "_tm_total", F.explode(parr).alias("p"))
-                     .withColumn("_tm_pos", F.col("p") * (F.col("_tm_total") - 1))
-                     .withColumn("_tm_lo", F.floor("_tm_pos").cast("bigint"))
-                     .withColumn("_tm_hi", F.ceil("_tm_pos").cast("bigint")))
-    want = targets.select(*keys, F.explode(F.array_distinct(F.array("_tm_lo", "_tm_hi"))).alias("_tm_r")).distinct()
-    picked = ranked.join(F.broadcast(want), [*keys, "_tm_r"], "left_semi").select(*keys, "_tm_r", "v")
-    lo = picked.withColumnRenamed("_tm_r", "_tm_lo").withColumnRenamed("v", "_tm_vlo")
-    hi = picked.withColumnRenamed("_tm_r", "_tm_hi").withColumnRenamed("v", "_tm_vhi")
-    res = (targets.join(lo, [*keys, "_tm_lo"]).join(hi, [*keys, "_tm_hi"])
-                  .withColumn("value", F.col("_tm_vlo") + (F.col("_tm_vhi") - F.col("_tm_vlo"))
-                              * (F.col("_tm_pos") - F.col("_tm_lo"))))
-    return res.select(*group, "column", "p", "value")
+    keys, cols = [*group, "column"], list(cols)
+    out = [*group, "column", "p", "value"]
+    base = (df.select(*group, stack([(c, F.col(c).cast("double")) for c in cols], "column", "v").alias("s"))
+              .select(*group, "s.*").filter(F.col("v").isNotNull() & ~F.isnan("v")))
+    ensure_checkpoint_dir(df.sparkSession)
+    ends = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wanted = (ends.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
+                  .withColumn("pos", F.col("p") * (F.col("n") - 1))
+                  .withColumns({"first": F.floor("pos").cast("bigint"), "second": F.ceil("pos").cast("bigint")})
+                  .checkpoint(eager=True))
+    state = wanted.select(*keys, F.explode(F.array_distinct(F.array("first", "second"))).alias("r"), "lo", "hi",
+                          F.lit(0).cast("bigint").alias("before")).distinct()
+    span = [*keys, "lo", "hi"]
+    while True:
+        state = state.checkpoint(eager=True)
+        open_ = state.filter(F.col("lo") < F.col("hi"))
+        if open_.isEmpty():
+            break
+        inside = join_null_safe(base, open_.select(*span).distinct(), keys).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        share = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+        bin_ = (F.when(F.col("v") == F.col("lo"), F.lit(0)).when(F.col("v") == F.col("hi"), F.lit(_BINS + 1))
+                 .otherwise(F.least(F.lit(_BINS), F.lit(1) + F.floor(F.coalesce(share, F.lit(0.0)) * _BINS).cast("int"))))
+        hist = inside.groupBy(*span, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"),
+                                                            F.max("v").alias("most"))
+        smaller = Window.partitionBy(*span).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # _BINS + 2 rows
+        hist = hist.withColumn("under", F.coalesce(F.sum("c").over(smaller), F.lit(0))).drop("bin")
+        here = F.col("r") - F.col("before")
+        found = (join_null_safe(open_, hist, span)
+                 .filter((here >= F.col("under")) & (here < F.col("under") + F.col("c")))
+                 .select(*keys, "r", F.col("least").alias("lo"), F.col("most").alias("hi"),
+                         (F.col("before") + F.col("under")).alias("before")))
+        state = state.filter(F.col("lo") == F.col("hi")).unionByName(found)
+    value = lambda r, name: state.select(*keys, F.col("r").alias(r), F.col("lo").alias(name))
+    both = join_null_safe(join_null_safe(wanted.drop("lo", "hi"), value("first", "a"), [*keys, "first"]),
+                          value("second", "b"), [*keys, "second"])
+    return both.withColumn("value", F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.col("first"))).select(*out)
 
 
 def quantile_values(df: DataFrame, cols: Sequence[str], ps: Sequence[float]) -> dict:
@@ -197,9 +178,8 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, digits: in
     mean, std (sample), neg_percent, zero_percent.  Shares of negatives and
     zeros are over non-null rows; null when the column is empty.
 
-    Two passes in all: one aggregation learns every moment of every column
-    together with the distinct-count estimates (a handful of numbers), one
-    aggregation computes every percentile.  ``digits``: significant digits
+    One aggregation learns every moment of every column; a few narrowing passes
+    select every percentile together.  ``digits``: significant digits
     of the output (see ``fmt.sig``)."""
     cols = list(cols or numeric_columns(df))
     aggs = []
@@ -212,7 +192,6 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, digits: in
             F.stddev_samp(x).alias(f"sd{i}"),
             (F.try_divide(F.count_if(x < 0), nn) * 100).alias(f"ng{i}"),
             (F.try_divide(F.count_if(x == 0), nn) * 100).alias(f"zr{i}"),
-            F.approx_count_distinct(x).alias(f"nd{i}"),
         ]
     row = df.agg(*aggs).first()
     names = ["missing_percent", "min", "max", "mean", "std", "neg_percent", "zero_percent"]
@@ -220,8 +199,7 @@ def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, digits: in
     long = df.sparkSession.createDataFrame(
         [(c, *[None if row[f"{t}{i}"] is None else float(row[f"{t}{i}"]) for t in tags]) for i, c in enumerate(cols)],
         "column string, " + ", ".join(f"{n} double" for n in names))
-    distinct = {c: row[f"nd{i}"] for i, c in enumerate(cols)}
-    q = quantiles(df, cols, [0.01, 0.5, 0.99], distinct=distinct).groupBy("column").agg(
+    q = quantiles(df, cols, [0.01, 0.5, 0.99]).groupBy("column").agg(
         F.max(F.when(F.col("p") == 0.01, F.col("value"))).alias("p01"),
         F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
         F.max(F.when(F.col("p") == 0.99, F.col("value"))).alias("p99"))
@@ -273,11 +251,12 @@ def distribution(df: DataFrame, col: str, name: str = "share", dropna: bool = Tr
 
 
 def distinct_capped(df: DataFrame, col: str, k: int = 50) -> DataFrame:
-    """Sorted distinct non-null values, the first k (after sorting).
-    Distinct values are found by a shuffle aggregation; only k reach the
-    final array."""
+    """The sorted set of distinct non-null values where there are at most k,
+    else null: a larger column is no coded one and gets no rule.
+    Distinct values are found by a shuffle aggregation; at most k + 1 reach the array."""
     d = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    return d.orderBy(col).limit(k).agg(F.array_sort(F.collect_list(col)).alias("allowed"))
+    few = d.limit(k + 1).agg(F.array_sort(F.collect_list(col)).alias("allowed"))
+    return few.select(F.when(F.size("allowed") <= k, F.col("allowed")).alias("allowed"))
 
 
 def min_class_size(df: DataFrame, label: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import numeric as N
 from tamis.functions import text as T
+from tamis.functions.keys import key_digest
 from tamis.operators.profile import learn, lit_or_null, mode_by_group, quantile_values
 
 
@@ -30,11 +31,11 @@ def _replace(df: DataFrame, new: dict[str, Column], drop: Sequence[str] = ()) ->
 
 def clean_all(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Drop null text/label, text 'nan' or empty, label not numeric;
-    label truncated to int.  One narrow stage."""
+    label truncated to a bigint.  One narrow stage."""
     t = F.col(text).cast("string")
-    lab = N.parse_number(F.col(label))
+    lab = N.coerce_label(F.col(label))
     keep = t.isNotNull() & (t != "nan") & (F.length(t) > 0) & lab.isNotNull()
-    return _replace(df.filter(F.coalesce(keep, F.lit(False))), {text: t, label: lab.cast("int")})
+    return _replace(df.filter(F.coalesce(keep, F.lit(False))), {text: t, label: lab})
 
 
 def valid_row_mask(text: Column, label: Column) -> Column:
@@ -97,7 +98,7 @@ def salvage_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """F21 on listed columns; KeyError on an absent column."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise KeyError(f"Column '{missing[0]}' not found in DataFrame.")
+        raise KeyError(f"cannot salvage absent columns: {', '.join(missing)}")
     return _replace(df, {c: N.salvage_number(F.col(c)) for c in columns})
 
 
@@ -150,41 +151,42 @@ def swap_back_votes(df: DataFrame, title: str = "title", content: str = "content
     return _swap(df, title, content, votes >= 2, flag)
 
 
+# shares into which the rows of one duplicate group are dealt
+_SALTS = 16
+
 # -- duplicates (W1, W2, R20, R21) -----------------------------------------------------------
 
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key group (null keys equal), the first by
-    ``order`` (the caller's row order, e.g. the row key).
+    ``order`` (the caller's row order, e.g. the row key; unique within a group).
 
-    The survivor is chosen by ``min(struct(order...))`` per group: a partial
-    aggregation before the shuffle, so a group holding a third of the rows is
-    reduced map-side; then a left-semi join on the (unique) order struct alone
-    keeps exactly that row -- hashed by a unique value, so the hot group's
-    rows are spread evenly, never sent to one task.
+    The survivor is chosen by ``min(struct(order...))`` per digest of the keys: a
+    partial aggregation before the shuffle, so a group holding a third of the rows
+    is reduced map-side and no text is ever a shuffle key; then a left-semi join on
+    digest and order keeps exactly that row.  Both are hashed together, so a hot
+    group's rows are spread evenly.
     """
     keys, order = list(keys), list(order)
-    # null-safe grouping: a null key is its own value
-    gk = [F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("v")).alias(f"_tm_g{i}") for i, k in enumerate(keys)]
-    gcols = [f"_tm_g{i}" for i in range(len(keys))]
-    o = F.struct(*[F.col(c) for c in order]).alias("_tm_o")
-    first = df.select(*gk, o).groupBy(*gcols).agg(F.min("_tm_o").alias("_tm_o")).select("_tm_o")
-    return df.withColumn("_tm_o", o).join(first, "_tm_o", "left_semi").drop("_tm_o")
+    o = F.struct(*[F.col(c) for c in order])
+    first = df.select(key_digest(keys).alias("_tm_g"), o.alias("_tm_o")).groupBy("_tm_g").agg(F.min("_tm_o").alias("_tm_o"))
+    return (df.withColumns({"_tm_g": key_digest(keys), "_tm_o": o})
+              .join(first, ["_tm_g", "_tm_o"], "left_semi").drop("_tm_g", "_tm_o"))
 
 
 def dup_flag(df: DataFrame, keys: Sequence[str], out: str = "is_duplicate") -> DataFrame:
     """Flag every member of a duplicate group (``keep=False``).
 
-    Group sizes come from a partial aggregation (one row per group) joined
-    back -- never a window over the group, which would put a hot group in
-    one task.  At run time AQE broadcasts the size table when it is small; when
-    it is large, the join partition of a hot group is split by AQE's skew-join
-    handling (the size side holds a single row per key)."""
+    Groups of more than one row come from a partial aggregation over digests of
+    the keys (one row per group); the rows are salted into ``_SALTS`` shares of each
+    group and joined with as many copies of its one row, so a group holding a third
+    of all rows is met by that many tasks whatever the join strategy."""
     keys = list(keys)
-    gk = [F.struct(F.col(k).isNull().alias("n"), F.col(k).alias("v")).alias(f"_tm_g{i}") for i, k in enumerate(keys)]
-    gcols = [f"_tm_g{i}" for i in range(len(keys))]
-    d = df.select("*", *gk)
-    sizes = d.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_tm_c"))
-    return d.join(sizes, gcols).withColumn(out, F.col("_tm_c") > 1).drop(*gcols, "_tm_c")
+    digest = key_digest(keys)
+    many = (df.groupBy(digest.alias("_tm_g")).agg(F.count(F.lit(1)).alias("_tm_c")).where("_tm_c > 1")
+              .select("_tm_g", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_tm_s"), F.lit(True).alias("_tm_d")))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int")
+    return (df.withColumns({"_tm_g": digest, "_tm_s": salt}).join(many, ["_tm_g", "_tm_s"], "left")
+              .withColumn(out, F.coalesce("_tm_d", F.lit(False))).drop("_tm_g", "_tm_s", "_tm_d"))
 
 
 # -- templates and short text (R22-R26) ----------------------------------------------------------

@@ -6,12 +6,13 @@ result is the same for any partitioning and survives task retries.
 Scale notes
 -----------
 * Bernoulli masks (D3) are narrow: no shuffle at all.
-* Exact-k masks (D4) never sort the table.  A 16-bit prefix histogram of the
+* Exact-k masks (D4) never sort the table.  A 12-bit prefix histogram of the
   hash (at most 4,096 rows, partially aggregated map-side) finds the bucket
-  that holds the k-th row; while that bucket is large, another 12-bit
-  histogram inside it narrows it (about n / 2^24 rows after two levels); only
-  those few rows are ranked, on the driver.  The result is a single
-  ``(hash, key)`` threshold literal, and the mask is a plain comparison.
+  that holds the k-th row, another 12-bit histogram inside it narrows it, and so
+  on until few distinct hashes are left; only their counts reach the driver.  The
+  result is a single ``(hash, key)`` threshold literal, and the mask is a plain
+  comparison.  Where rows share the boundary key, a digest of the whole row
+  decides among them; k rows are not defined among equal rows, which is an error.
 * Ranks (D8) add a per-bucket offset (from the same bounded histogram) to a
   ``row_number`` partitioned by hash bucket, so no window runs over a single
   partition.  Buckets are hash-uniform: no skew whatever the data.
@@ -26,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.functions.frames import join_null_safe
 from tamis.functions.keys import hash_hex, hex_uniform, key_of
 
 H, K = "_tm_h", "_tm_k"
@@ -43,7 +45,7 @@ def bernoulli_mask(df: DataFrame, key, fraction: float, seed: int = 42,
     return hex_uniform(hash_hex(k, seed, salt)) < F.lit(float(fraction))
 
 
-# bucket size below which the boundary bucket is ranked on the driver
+# distinct hashes below which the boundary bucket's counts go to the driver
 _BOUNDARY_ROWS = 200_000
 
 
@@ -83,7 +85,8 @@ def exact_threshold(d: DataFrame, fraction: float | None = None, n: int | None =
 
     Jobs: one 12-bit histogram (<= 4,096 rows to the driver, with the total);
     while the boundary bucket is large, one more 12-bit level inside it; then
-    the boundary bucket's rows (a bounded handful) are ranked on the driver.
+    the counts of its few distinct hashes.  The threshold is ``(hash, key, rows
+    taken of it, rows that have it)``.
     Returns ``(None, 0)`` when k = 0 and ``("ALL", k)`` when every row is taken.
     """
     hist = sorted(d.groupBy(F.substring(H, 1, _LEVEL_HEX).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
@@ -103,9 +106,32 @@ def exact_threshold(d: DataFrame, fraction: float | None = None, n: int | None =
     while size > _BOUNDARY_ROWS and start + _LEVEL_HEX <= 33:
         prefix, need, size = _narrow(d, prefix, start, need)
         start += _LEVEL_HEX
-    rows = sorted((r[0], r[1]) for r in
-                  d.filter(F.substring(H, 1, len(prefix)) == prefix).select(H, K).collect())
-    return rows[need - 1], k
+    return _boundary(d.filter(F.substring(H, 1, len(prefix)) == prefix), need), k
+
+
+def _boundary(rows: DataFrame, need: int) -> tuple[str, str, int, int]:
+    """(hash, key) of the wanted row among few distinct ones, how many rows with it are
+    taken and how many there are."""
+    for h, key, n in sorted(tuple(r) for r in rows.groupBy(H, K).agg(F.count(F.lit(1))).collect()):
+        if need <= n:
+            return h, key, need, n
+        need -= n
+    raise RuntimeError("histogram does not hold the wanted row")
+
+
+def _within(d: DataFrame, hash_: Column, thr: tuple, where: Column, seed: int) -> Column:
+    """The mask of a threshold; among rows of the boundary key a digest of the row decides."""
+    h, key, take, ties = thr
+    below = (hash_ < F.lit(h)) | ((hash_ == F.lit(h)) & (F.col(K) < F.lit(key)))
+    at = (hash_ == F.lit(h)) & (F.col(K) == F.lit(key))
+    if take == ties:
+        return where & (below | at)
+    row = hash_hex(F.to_json(F.struct(*[c for c in d.columns if not c.startswith("_tm_")])), seed, "row")
+    tied = d.filter(where & at).select(row.alias(H)).withColumn(K, F.col(H))
+    (rh, _, take, ties), _ = exact_threshold(tied, n=take)
+    if take != ties:
+        raise ValueError(f"{ties} equal rows share the key {key!r} at the boundary of the sample")
+    return where & (below | (at & (row <= F.lit(rh))))
 
 
 def exact_mask_frame(df: DataFrame, key, fraction: float | None = None, n: int | None = None,
@@ -127,8 +153,7 @@ def exact_mask_frame(df: DataFrame, key, fraction: float | None = None, n: int |
     elif thr == "ALL":
         mask = elig_col
     else:
-        h, kk = thr
-        mask = elig_col & ((F.col(H) < F.lit(h)) | ((F.col(H) == F.lit(h)) & (F.col(K) <= F.lit(kk))))
+        mask = _within(d, F.col(H), thr, elig_col, seed)
     res = d.withColumn(out, mask).drop(H, K)
     return (res, k) if return_k else res
 
@@ -163,7 +188,7 @@ def rank_by_hash(df: DataFrame, key, seed: int = 42, salt: str | None = None,
         # at most 65,536 rows: a proven bound, safe to broadcast
         offs = F.broadcast(offs)
     wr = Window.partitionBy(*part, "_tm_b").orderBy(H, K)
-    return (d.join(offs, [*part, "_tm_b"])
+    return (join_null_safe(d, offs, [*part, "_tm_b"])
              .withColumn(out, (F.col("_tm_off") + F.row_number().over(wr)).cast("bigint"))
              .drop(H, K, "_tm_b", "_tm_off"))
 
@@ -217,7 +242,7 @@ def split_stratified(df: DataFrame, label: str, key, test_fraction: float = 0.2,
     n_class = F.count(F.lit(1)).over(Window.partitionBy(label))
     sizes = df.groupBy(label).agg(
         F.floor(F.count(F.lit(1)).cast("double") * F.lit(float(test_fraction))).alias("_tm_nt"))
-    return (ranked.join(sizes, label, "left")
+    return (join_null_safe(ranked, sizes, [label], "left")
                   .withColumn(out, F.when(F.col("_tm_r") <= F.col("_tm_nt"), F.lit("test"))
                                     .otherwise(F.lit("train")))
                   .drop("_tm_r", "_tm_nt"))
@@ -239,12 +264,12 @@ def three_way_split(df: DataFrame, key, n_train: int = 8000, n_test: int = 2000,
                               .otherwise(F.lit("incoming"))).drop("_tm_r")
 
 
-def numbered_batches(df: DataFrame, key, size: int = 5000, n_batches: int | None = 10,
+def numbered_batches(df: DataFrame, key, size: int = 5000, n_batches: int | None = None,
                      seed: int = 42, out: str = "batch_id", strict: bool = False) -> DataFrame:
     """Rows in hash order cut into numbered batches of ``size``.
 
-    Rows beyond ``n_batches * size`` are not assigned (dropped, as the
-    reference only writes ten batches).  ``strict`` raises when short.
+    All rows are assigned unless ``n_batches`` asks for the first so many
+    batches only; ``strict`` raises when there are too few rows for them.
     """
     r = rank_by_hash(df, key, seed, "batches", out="_tm_r")
     b = F.floor((F.col("_tm_r") - 1) / F.lit(size)).cast("int")
@@ -317,10 +342,14 @@ def exact_masks_frame(df: DataFrame, key, specs: Sequence[dict], seed: int = 42)
             c = (F.col("i") == i) & (F.substring(H, 1, len(prefix)) == prefix)
             cond = c if cond is None else cond | c
         rows: dict[int, list] = {}
-        for i, h, kk in st.filter(cond).select("i", H, K).collect():
-            rows.setdefault(i, []).append((h, kk))
+        for i, h, kk, n in st.filter(cond).groupBy("i", H, K).agg(F.count(F.lit(1))).collect():
+            rows.setdefault(i, []).append((h, kk, n))
         for i, (prefix, need) in pending.items():
-            thresholds[i] = sorted(r for r in rows[i] if r[0].startswith(prefix))[need - 1]
+            for h, kk, n in sorted(rows[i]):
+                if need <= n:
+                    thresholds[i] = (h, kk, need, n)
+                    break
+                need -= n
     out = d
     for i, s in enumerate(specs):
         p = plans[i]
@@ -329,7 +358,6 @@ def exact_masks_frame(df: DataFrame, key, specs: Sequence[dict], seed: int = 42)
         elif p == "ALL":
             m = eligs[i]
         else:
-            th, tk = thresholds[i]
-            m = eligs[i] & ((hashes[i] < F.lit(th)) | ((hashes[i] == F.lit(th)) & (F.col(K) <= F.lit(tk))))
+            m = _within(d, hashes[i], thresholds[i], eligs[i], seed)
         out = out.withColumn(s["out"], m)
     return out.drop(K)

@@ -17,7 +17,7 @@ NUM_RE = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def _parse_sql(x: str) -> str:
-    return f"CASE WHEN regexp_matches(CAST({x} AS VARCHAR), '{NUM_RE}') THEN TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE) END"
+    return f"CASE WHEN regexp_matches(CAST({x} AS VARCHAR), '{NUM_RE}') AND isfinite(TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)) THEN TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE) END"
 
 
 def _salvage_sql(x: str) -> str:
@@ -39,6 +39,8 @@ def _dirty_labels(spark, sf_dir):
             .when(u < 0.15, F.lit(None))
             .when(u < 0.17, F.lit("nan"))
             .when(u < 0.19, F.concat(F.lit(" "), digit, F.lit(" ")))
+            .when(u < 0.20, F.lit("3e9"))
+            .when(u < 0.21, F.lit("1E309"))
             .otherwise(digit))
     txt = F.when(u > 0.97, F.lit("")).when(u > 0.95, F.lit("nan")).otherwise(F.col("o_orderpriority"))
     return m.select("o_orderkey", txt.alias("text"), lab.alias("label"), "o_totalprice")
@@ -48,7 +50,8 @@ def _label_case_sql() -> str:
     u = sql_uniform("CAST(o_orderkey AS VARCHAR)", 42, "dirty")
     d = "substr(o_orderpriority, 1, 1)"
     return f"""CASE WHEN {u} < 0.05 THEN {d} || '.7' WHEN {u} < 0.10 THEN {d} || 'x' WHEN {u} < 0.13 THEN '?'
-       WHEN {u} < 0.15 THEN NULL WHEN {u} < 0.17 THEN 'nan' WHEN {u} < 0.19 THEN ' ' || {d} || ' ' ELSE {d} END"""
+       WHEN {u} < 0.15 THEN NULL WHEN {u} < 0.17 THEN 'nan' WHEN {u} < 0.19 THEN ' ' || {d} || ' '
+       WHEN {u} < 0.20 THEN '3e9' WHEN {u} < 0.21 THEN '1E309' ELSE {d} END"""
 
 
 def _dirty_labels_sql() -> str:
@@ -61,7 +64,7 @@ def _dirty_labels_sql() -> str:
 @query("clean_all", f"""
 WITH d AS {_dirty_labels_sql()},
 p AS (SELECT *, {_parse_sql('label')} AS lab FROM d)
-SELECT CAST(trunc(lab) AS INTEGER) AS label, count(*) AS n, sum(o_orderkey)::BIGINT AS sum_key FROM p
+SELECT CAST(trunc(lab) AS BIGINT) AS label, count(*) AS n, sum(o_orderkey)::BIGINT AS sum_key FROM p
 WHERE text IS NOT NULL AND text <> 'nan' AND length(text) > 0 AND lab IS NOT NULL GROUP BY 1""")
 def clean_all(spark, sf_dir):
     """Drop null / 'nan' / empty text and non-numeric labels, truncate."""

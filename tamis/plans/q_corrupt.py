@@ -14,7 +14,7 @@ from tamis.operators import corrupt as C
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
 from tamis.functions.keys import sql_normal, sql_uniform
-from tamis.sources.tables import MIXED_SQL, TEXT_SQL, TRIP_SQL, materialized, mixed, text_table, trip
+from tamis.sources.tables import DOCUMENT_SQL, MIXED_SQL, TEXT_SQL, TRIP_SQL, document_table, materialized, mixed, text_table, trip
 
 TK = key_sql("trip_id")
 OK = key_sql("o_orderkey")
@@ -86,12 +86,12 @@ def mnar_missing(spark, sf_dir):
 
 @query("swap_columns", f"""
 WITH s AS (SELECT doc_id, CASE WHEN m THEN content ELSE title END AS title, CASE WHEN m THEN title ELSE content END AS content
-           FROM (SELECT *, {mask_sql(DK, 0.05, salt='swap')} AS m FROM {TEXT_SQL}))
+           FROM (SELECT *, {mask_sql(DK, 0.05, salt='swap')} AS m FROM {DOCUMENT_SQL}))
 SELECT count(*) AS n, sum(length(title))::BIGINT AS title_chars, sum(length(content))::BIGINT AS content_chars,
        count(*) FILTER (WHERE length(title) > length(content)) AS title_longer FROM s""")
 def swap_columns(spark, sf_dir):
     """C4: title and content exchanged on 5% of the documents."""
-    s = C.swap_columns(text_table(spark, sf_dir), "doc_id", "title", "content", 0.05)
+    s = C.swap_columns(document_table(spark, sf_dir), "doc_id", "title", "content", 0.05)
     return s.agg(_n().alias("n"), F.sum(F.length("title")).cast("bigint").alias("title_chars"),
                  F.sum(F.length("content")).cast("bigint").alias("content_chars"),
                  F.count_if(F.length("title") > F.length("content")).alias("title_longer"))
@@ -124,7 +124,7 @@ SELECT count(*) AS n, count(DISTINCT doc_id) AS n_keys, sum(copy_no)::BIGINT AS
        sum(doc_id * copy_no)::BIGINT AS copied_key_sum FROM d""")
 def dup_rows(spark, sf_dir):
     """10% of the documents appended again (copy_no keeps keys distinct)."""
-    from tamis.sources.tables import table
+    from tamis.sources.tables import DOCUMENT_SQL, document_table, table
     d = C.duplicate_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.1)
     return d.agg(_n().alias("n"), F.countDistinct("doc_id").alias("n_keys"),
                  F.sum("copy_no").cast("bigint").alias("copies"),
@@ -180,16 +180,16 @@ def category_default(spark, sf_dir):
 
 
 @query("broken_chars", f"""
-WITH s AS (SELECT CASE WHEN {mask_sql(DK, 0.25, salt='broken:title')} THEN translate(title, 'aAeEoOuU', 'áÁéÉóÓúÚ') ELSE title END AS title
-           FROM {TEXT_SQL})
-SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(title, '[áÁéÉóÓúÚ]')) AS with_accent,
-       sum(length(title))::BIGINT AS chars, sum(('0x' || substr(md5(title), 1, 8))::BIGINT)::BIGINT AS digest FROM s""")
+WITH s AS (SELECT CASE WHEN {mask_sql(DK, 0.25, salt='broken:text')} THEN translate(text, 'aAeEoOuU', 'áÁéÉóÓúÚ') ELSE text END AS text
+           FROM {DOCUMENT_SQL})
+SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '[áÁéÉóÓúÚ]')) AS with_accent,
+       sum(length(text))::BIGINT AS chars, sum(('0x' || substr(md5(text), 1, 8))::BIGINT)::BIGINT AS digest FROM s""")
 def broken_chars(spark, sf_dir):
-    """C11: vowels replaced by accented look-alikes in 25% of titles."""
-    s = C.broken_characters(text_table(spark, sf_dir).select("doc_id", "title"), "doc_id", ["title"], 0.25)
-    return s.agg(_n().alias("n"), F.count_if(F.col("title").rlike("[áÁéÉóÓúÚ]")).alias("with_accent"),
-                 F.sum(F.length("title")).cast("bigint").alias("chars"),
-                 F.sum(F.conv(F.substring(F.md5("title"), 1, 8), 16, 10).cast("bigint")).alias("digest"))
+    """C11: vowels replaced by accented look-alikes in 25% of whole texts."""
+    s = C.broken_characters(document_table(spark, sf_dir).select("doc_id", "text"), "doc_id", ["text"], 0.25)
+    return s.agg(_n().alias("n"), F.count_if(F.col("text").rlike("[áÁéÉóÓúÚ]")).alias("with_accent"),
+                 F.sum(F.length("text")).cast("bigint").alias("chars"),
+                 F.sum(F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint")).alias("digest"))
 
 
 @query("truncate_text", f"""
@@ -197,7 +197,7 @@ SELECT count(*) AS n, sum(length(substr(text, 1, 150)))::BIGINT AS chars, max(le
        count(*) FILTER (WHERE length(text) > 150) AS truncated FROM documents""")
 def truncate_text(spark, sf_dir):
     """Every text cut to 150 characters (characters, not bytes)."""
-    from tamis.sources.tables import table
+    from tamis.sources.tables import DOCUMENT_SQL, document_table, table
     d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("orig_len", F.length("text"))
     s = C.text_length_limit(d, "doc_id", ["text"], 150)
     return s.agg(_n().alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"),
@@ -209,7 +209,7 @@ SELECT count(*) AS n, sum(length(CASE WHEN m THEN substr(text, 1, 50) ELSE text
 FROM (SELECT *, {mask_sql(DK, 0.5)} AS m FROM documents)""")
 def truncate_text_half(spark, sf_dir):
     """C12 variant: half of the texts cut to 50 characters."""
-    from tamis.sources.tables import table
+    from tamis.sources.tables import DOCUMENT_SQL, document_table, table
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     s = C.text_length_limit(d, "doc_id", ["text"], 50, fraction=0.5)
     return s.agg(_n().alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
@@ -382,7 +382,7 @@ def templated_spam(spark, sf_dir):
 SELECT CAST((hour(ts) + 6) % 24 AS INTEGER) AS shifted, hour(ts)::INTEGER AS hour, count(*) AS n FROM events GROUP BY ALL""")
 def hour_shift(spark, sf_dir):
     """Event hour shifted by +6 modulo 24."""
-    from tamis.sources.tables import table
+    from tamis.sources.tables import DOCUMENT_SQL, document_table, table
     e = table(spark, sf_dir, "events").select(F.hour(F.col("ts").cast("timestamp")).alias("hour"))
     s = C.hour_shift(e.withColumn("shifted", F.col("hour")), "shifted", 6)
     return s.groupBy("shifted", "hour").agg(_n().alias("n"))
@@ -430,7 +430,7 @@ def _composite_text_sql() -> str:
     tr = "'aAeEoOuU', 'áÁéÉóÓúÚ'"
     return f"""
 WITH a AS (SELECT doc_id, CASE WHEN m1 THEN NULL ELSE title END AS title, CASE WHEN m2 THEN NULL ELSE content END AS content
-           FROM (SELECT *, {mask_sql(DK, 0.05, salt='mcar:title')} AS m1, {mask_sql(DK, 0.05, salt='mcar:content')} AS m2 FROM {TEXT_SQL})),
+           FROM (SELECT *, {mask_sql(DK, 0.05, salt='mcar:title')} AS m1, {mask_sql(DK, 0.05, salt='mcar:content')} AS m2 FROM {DOCUMENT_SQL})),
 b AS (SELECT doc_id, CASE WHEN m THEN content ELSE title END AS title, CASE WHEN m THEN title ELSE content END AS content
       FROM (SELECT *, {mask_sql(DK, 0.05, salt='swap')} AS m FROM a)),
 c AS (SELECT doc_id, 0 AS copy_no, title, content FROM b
@@ -448,7 +448,7 @@ SELECT count(*) AS n, count(title) AS title_present, count(content) AS content_p
 def composite_text(spark, sf_dir):
     """Missing 5%, swapped 5%, duplicated 10%, broken 8% and truncated
     to 150 characters (keys stay unique through ``copy_no``)."""
-    t = text_table(spark, sf_dir).select("doc_id", "title", "content")
+    t = document_table(spark, sf_dir).select("doc_id", "title", "content")
     s = C.composite_text(t, "doc_id", ["title", "content"])
     def digest(c):
         return F.sum(F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint"))

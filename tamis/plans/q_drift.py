@@ -11,7 +11,7 @@ from tamis.operators import drift as D
 from tamis.operators import repair as R
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import TEXT_SQL, TRIP_SQL, materialized, text_table, trip
+from tamis.sources.tables import DOCUMENT_SQL, TEXT_SQL, TRIP_SQL, document_table, materialized, text_table, trip
 
 DK = key_sql("doc_id")
 TK = key_sql("trip_id")
@@ -91,28 +91,28 @@ def ks_continuous(spark, sf_dir):
 
 
 @query("completeness_drift", f"""
-WITH b AS (SELECT count(title) / count(*) AS title, count(content) / count(*) AS content FROM {TEXT_SQL}),
+WITH b AS (SELECT count(title) / count(*) AS title, count(content) / count(*) AS content FROM {DOCUMENT_SQL}),
 c AS (SELECT count(title) / count(*) AS title, count(c) / count(*) AS content FROM (
-        SELECT title, CASE WHEN {mask_sql(DK, 0.3, salt='mcar:content')} THEN NULL ELSE content END AS c FROM {TEXT_SQL}))
+        SELECT title, CASE WHEN {mask_sql(DK, 0.3, salt='mcar:content')} THEN NULL ELSE content END AS c FROM {DOCUMENT_SQL}))
 SELECT 'title' AS column, {sig_sql('b.title')} AS base, {sig_sql('c.title')} AS batch, {sig_sql('abs(b.title - c.title)')} AS drift FROM b, c
 UNION ALL SELECT 'content', {sig_sql('b.content')}, {sig_sql('c.content')}, {sig_sql('abs(b.content - c.content)')} FROM b, c""")
 def completeness_drift(spark, sf_dir):
     """Completeness per column, baseline vs batch with 30% missing content."""
-    t = text_table(spark, sf_dir)
+    t = document_table(spark, sf_dir)
     batch = C.missing_values(t.select("doc_id", "title", "content"), "doc_id", ["content"], 0.3)
     r = D.completeness_drift(t, batch, ["title", "content"])
     return r.select("column", sig("base").alias("base"), sig("batch").alias("batch"), sig("drift").alias("drift"))
 
 
 @query("length_change", f"""
-WITH b AS (SELECT avg(length(content)) AS base_len FROM {TEXT_SQL}),
+WITH b AS (SELECT avg(length(content)) AS base_len FROM {DOCUMENT_SQL}),
 c AS (SELECT avg(length(CASE WHEN m THEN substr(content, 1, 50) ELSE content END)) AS batch_len
-      FROM (SELECT *, {mask_sql(DK, 0.5)} AS m FROM {TEXT_SQL}))
+      FROM (SELECT *, {mask_sql(DK, 0.5)} AS m FROM {DOCUMENT_SQL}))
 SELECT {sig_sql('base_len')} AS base_len, {sig_sql('batch_len')} AS batch_len,
        {sig_sql('CASE WHEN base_len > 0 THEN (batch_len - base_len) / base_len * 100 ELSE 0 END')} AS length_change_pct FROM b, c""")
 def length_change(spark, sf_dir):
     """Mean content length change after truncating half to 50."""
-    t = text_table(spark, sf_dir)
+    t = document_table(spark, sf_dir)
     batch = C.text_length_limit(t.select("doc_id", "content"), "doc_id", ["content"], 50, fraction=0.5)
     r = D.length_change(t, batch, "content")
     return r.select(*[sig(c).alias(c) for c in r.columns])

@@ -18,7 +18,7 @@ from tamis.operators import evaluate as E
 from tamis.operators import repair as R
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import MIXED_SQL, TEXT_SQL, TRIP_SQL, materialized, mixed, text_table, trip
+from tamis.sources.tables import DOCUMENT_SQL, MIXED_SQL, TEXT_SQL, TRIP_SQL, document_table, materialized, mixed, text_table, trip
 
 DK = key_sql("doc_id")
 TK = key_sql("trip_id")
@@ -315,14 +315,14 @@ def confident_issues(spark, sf_dir):
 
 @query("swap_back_score", f"""
 WITH s AS (SELECT doc_id, CASE WHEN m THEN content ELSE title END AS title, CASE WHEN m THEN title ELSE content END AS content
-           FROM (SELECT *, {mask_sql(DK, 0.05, salt='swap')} AS m FROM {TEXT_SQL})),
+           FROM (SELECT *, {mask_sql(DK, 0.05, salt='swap')} AS m FROM {DOCUMENT_SQL})),
 c AS (SELECT *, greatest({_p1_sql('content')}, 1 - {_p1_sql('content')}) AS c_orig,
              greatest({_p1_sql('title')}, 1 - {_p1_sql('title')}) AS c_swap FROM s)
 SELECT coalesce(c_swap > c_orig + 0.02, false) AS swapped, count(*) AS n FROM c GROUP BY 1""")
 def swap_back_score(spark, sf_dir):
     """Swap back when the scorer is more confident on the swapped text
     by a 0.02 margin (both variants scored in the same projection)."""
-    s = C.swap_columns(text_table(spark, sf_dir).select("doc_id", "title", "content"), "doc_id", "title", "content", 0.05)
+    s = C.swap_columns(document_table(spark, sf_dir).select("doc_id", "title", "content"), "doc_id", "title", "content", 0.05)
     c_orig = F.greatest(SCORER.prob1(F.col("content")), F.lit(1.0) - SCORER.prob1(F.col("content")))
     c_swap = F.greatest(SCORER.prob1(F.col("title")), F.lit(1.0) - SCORER.prob1(F.col("title")))
     r = R._swap(s, "title", "content", c_swap > c_orig + F.lit(0.02), "swapped")

@@ -9,7 +9,7 @@ from tamis.operators import features as FT
 from tamis.operators import models as M
 from tamis.operators import sampling as S
 from tamis.plans.registry import query
-from tamis.sources.tables import MIXED_SQL, TEXT_SQL, materialized, mixed, table, text_table, trip
+from tamis.sources.tables import MIXED_SQL, materialized, mixed, table, text_table, trip
 
 
 def _tfidf_sql(src: str, terms_sql: str, min_df=2, max_df=1.0, max_features=5000, sublinear=False) -> str:
@@ -59,11 +59,11 @@ CHAR_SQL = ("list_concat(" + ", ".join(
     for n in (3, 4, 5)) + ")")
 
 
-@query("char_ngram_tfidf", _tfidf_sql(f"(SELECT doc_id, lower(coalesce(title, '')) AS s FROM {TEXT_SQL})", CHAR_SQL,
+@query("char_ngram_tfidf", _tfidf_sql(f"(SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents)", CHAR_SQL,
                                       min_df=2, max_features=20000))
 def char_ngram_tfidf(spark, sf_dir):
-    """M3: character 3-5 gram TF-IDF of every title (whole field)."""
-    t = text_table(spark, sf_dir).select("doc_id", F.lower(F.coalesce("title", F.lit(""))).alias("s"))
+    """M3: character 3-5 gram TF-IDF of every whole text."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("s"))
     w = FT.tfidf(t, "doc_id", FT.char_ngrams(F.col("s"), 3, 5), min_df=2, max_features=20000)
     r = FT.top_terms(w, "doc_id")
     return r.select("doc_id", "n_terms", sig("max_weight").alias("max_weight"), "top_term")

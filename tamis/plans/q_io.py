@@ -81,15 +81,15 @@ def partitioned_corruptions(spark, sf_dir):
 @query("written_batches", f"""
 WITH r AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(key_sql('o_orderkey'), 42, 'batches')}, {key_sql('o_orderkey')}) AS rn
            FROM orders)
-SELECT CAST(floor((rn - 1) / 500) AS INTEGER) AS batch_id, count(*) AS n FROM r WHERE floor((rn - 1) / 500) < 10 GROUP BY 1""")
+SELECT CAST(floor((rn - 1) / 500) AS INTEGER) AS batch_id, count(*) AS n FROM r GROUP BY 1""")
 def written_batches(spark, sf_dir):
-    """Ten numbered batches written partitioned by ``batch_id``; one
+    """All numbered batches written partitioned by ``batch_id``; one
     batch read back by partition pruning at a time."""
-    b = S.numbered_batches(table(spark, sf_dir, "orders"), "o_orderkey", size=500, n_batches=10)
+    b = S.numbered_batches(table(spark, sf_dir, "orders"), "o_orderkey", size=500)
     path = _scratch(spark, "batches")
     IO.write_parquet(b, path, ["batch_id"])
     back = spark.read.parquet(path)
-    assert back.filter(F.col("batch_id") == 3).count() == 500 or back.count() < 5000
+    assert back.filter(F.col("batch_id") == 0).count() <= 500
     return back.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 

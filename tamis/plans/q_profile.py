@@ -98,7 +98,7 @@ def learn_ranges(spark, sf_dir):
 
 @query("learn_allowed_sets", f"""
 WITH t AS {TRIP_SQL}
-SELECT 'flag' AS column, list_sort(list(DISTINCT flag) FILTER (WHERE flag IS NOT NULL))[1:50] AS allowed FROM t
+SELECT 'flag' AS column, list_sort(list(DISTINCT flag) FILTER (WHERE flag IS NOT NULL)) AS allowed FROM t
 UNION ALL SELECT 'status', list_sort(list(DISTINCT status) FILTER (WHERE status IS NOT NULL))[1:50] FROM t
 UNION ALL SELECT 'priority', list_sort(list(DISTINCT priority) FILTER (WHERE priority IS NOT NULL))[1:50] FROM t""")
 def learn_allowed_sets(spark, sf_dir):

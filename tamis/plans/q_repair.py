@@ -10,7 +10,7 @@ from tamis.operators import corrupt as C
 from tamis.operators import repair as R
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import MIXED_SQL, TEXT_SQL, TRIP_SQL, mixed, table, text_table, trip
+from tamis.sources.tables import DOCUMENT_SQL, MIXED_SQL, TEXT_SQL, TRIP_SQL, document_table, mixed, table, text_table, trip
 
 TK = key_sql("trip_id")
 OK = key_sql("o_orderkey")
@@ -100,12 +100,12 @@ def fill_constant(spark, sf_dir):
 
 
 def _text_missing(spark, sf_dir):
-    t = text_table(spark, sf_dir).select("doc_id", "title", "content", "label")
+    t = document_table(spark, sf_dir).select("doc_id", "title", "content")
     return C.missing_values(t, "doc_id", ["content"], 0.3)
 
 
-TEXT_MISSING_SQL = f"""(SELECT doc_id, title, CASE WHEN {mask_sql(DK, 0.3, salt='mcar:content')} THEN NULL ELSE content END AS content,
-  label FROM {TEXT_SQL})"""
+TEXT_MISSING_SQL = f"""(SELECT doc_id, title, CASE WHEN {mask_sql(DK, 0.3, salt='mcar:content')} THEN NULL ELSE content END AS content
+  FROM {DOCUMENT_SQL})"""
 
 
 @query("fill_from_title", f"""
@@ -131,12 +131,12 @@ def fill_text_empty(spark, sf_dir):
 # -- swapped columns ---------------------------------------------------------------------
 
 def _swapped_text(spark, sf_dir):
-    t = text_table(spark, sf_dir).select("doc_id", "title", "content")
+    t = document_table(spark, sf_dir).select("doc_id", "title", "content")
     return C.swap_columns(t, "doc_id", "title", "content", 0.05)
 
 
 SWAPPED_SQL = f"""(SELECT doc_id, CASE WHEN m THEN content ELSE title END AS title, CASE WHEN m THEN title ELSE content END AS content
-  FROM (SELECT *, {mask_sql(DK, 0.05, salt='swap')} AS m FROM {TEXT_SQL}))"""
+  FROM (SELECT *, {mask_sql(DK, 0.05, salt='swap')} AS m FROM {DOCUMENT_SQL}))"""
 
 
 def _wc(x):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tamis.functions.keys import sql_hash
 from tamis.operators import sampling as S
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import bernoulli_sql, key_sql
-from tamis.sources.tables import LINEITEM_KEY, MIXED_SQL, mixed, table
+from tamis.sources.tables import LINEITEM_KEY, MIXED_SQL, materialized, mixed, table
 
 LI_KEY_SQL = ("concat_ws(':', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, "
               "l_suppkey::VARCHAR, l_extendedprice::DECIMAL(12,2)::VARCHAR)")
@@ -104,10 +105,10 @@ def sample_per_group(spark, sf_dir):
 WITH r AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(key_sql('o_orderkey'), 42, 'batches')}, {key_sql('o_orderkey')}) AS rn
            FROM orders)
 SELECT CAST(floor((rn - 1) / 1000) AS INTEGER) AS batch_id, count(*) AS n, sum(o_orderkey)::BIGINT AS sum_key
-FROM r WHERE floor((rn - 1) / 1000) < 10 GROUP BY batch_id""")
+FROM r GROUP BY batch_id""")
 def numbered_batches(spark, sf_dir):
-    """Ten numbered batches of 1,000 orders in hash order."""
-    b = S.numbered_batches(table(spark, sf_dir, "orders"), "o_orderkey", size=1000, n_batches=10)
+    """Every order in numbered batches of 1,000 in hash order."""
+    b = S.numbered_batches(table(spark, sf_dir, "orders"), "o_orderkey", size=1000)
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("sum_key"))
 
 
@@ -137,16 +138,19 @@ def positional_slice(spark, sf_dir):
 
 @query("shuffled_order", f"""
 SELECT o_orderkey, row_number() OVER (ORDER BY {sql_hash(key_sql('o_orderkey'), 42, 'shuffle')}, {key_sql('o_orderkey')}) AS pos
-FROM orders QUALIFY pos <= 10""")
+FROM orders""")
 def shuffled_order(spark, sf_dir):
-    """The first ten orders of a reproducible full shuffle (a
-    top-k of the hash order: TakeOrdered, no global sort)."""
-    from tamis.functions.keys import hash_hex
+    """Every order with its position in the reproducible full shuffle: the shuffled
+    rows keep their order in the written files, whose row positions give the ranks."""
     o = table(spark, sf_dir, "orders").select("o_orderkey")
-    k = F.col("o_orderkey").cast("string")
-    top = o.withColumn("_h", hash_hex(k, 42, "shuffle")).orderBy("_h", k).limit(10)
-    from pyspark.sql import Window
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy("_h", k)).cast("bigint").alias("pos"))
+    shuffled = S.shuffle_rows(o, "o_orderkey")
+    place = shuffled.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    place = materialized(place)
+    sizes = place.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return place.join(F.broadcast(starts), "_part").select(
+        "o_orderkey", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("pos"))
 
 
 @query("downsample_new_rows", f"""

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tamis.functions.fmt import sig, sig_sql
 from tamis.functions.keys import sql_uniform
-from tamis.plans.registry import query
+from tamis.plans.registry import ORACLES, query
 from tamis.sources.tables import table
 from tamis.streaming import monitor as T
 
@@ -57,73 +56,58 @@ def window_drift(spark, sf_dir):
     """T5 (batch twin): daily TV distance of event types to the baseline."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     base = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    base = base.select("event_type", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
+    base = base.crossJoin(F.broadcast(base.agg(F.sum("n").alias("tot")))).select("event_type", (F.col("n") / F.col("tot")).alias("p"))
     d = T.window_drift(e, base, "1 day")
     return d.select("window_start", sig("tv_distance").alias("tv_distance"))
 
 
-@query("stream_window_quality", f"""
-SELECT * FROM (
-  SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n,
-         {sig_sql('avg((value IS NULL)::INTEGER::DOUBLE)')} AS missing_share,
-         count(*) FILTER (WHERE value < 0 OR value > 100.0) AS violations,
-         {sig_sql('avg(value)')} AS mean_value, {sig_sql('avg(k)')} AS mean_k
-  FROM {EVENTS_SQL} GROUP BY 1, 2)
-WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+@query("stream_window_quality", ORACLES["window_quality"])
 def stream_window_quality(spark, sf_dir):
-    """T2 as a stream: watermark 1 hour, append mode, availableNow; only the
-    windows closed by the watermark (end <= max event time - 1 hour) are
-    emitted, the open ones stay in the state store (append semantics)."""
-    s = T.window_quality(T.events_stream(spark, sf_dir), watermark="1 hour")
-    w = T.run_available_now(s, "window_quality")
+    """T2 as a stream (update mode, availableNow): every window, open ones included."""
+    w = T.run_updates(T.window_quality(T.events_stream(spark, sf_dir)), "window_quality", ["window_start", "event_type"])
     return w.select("window_start", "event_type", "n", sig("missing_share").alias("missing_share"), "violations",
                     sig("mean_value").alias("mean_value"), sig("mean_k").alias("mean_k"))
 
 
+@query("stream_burst_windows", ORACLES["burst_windows"])
+def stream_burst_windows(spark, sf_dir):
+    """T3 as a stream: sliding windows in update mode."""
+    b = T.run_updates(T.burst_windows(T.events_stream(spark, sf_dir)), "bursts", ["window_start"])
+    return b.select("window_start", "n", sig("error_share").alias("error_share"), "burst")
+
+
 @query("stream_monitor", f"""
 WITH v AS (SELECT value IS NULL OR coalesce(value < 0 OR value > 100, false)
                   OR coalesce(event_type NOT IN ('view', 'click', 'purchase', 'signup', 'error'), false) AS bad, value FROM {EVENTS_SQL})
 SELECT count(*) AS n, count(*) FILTER (WHERE NOT bad) AS accepted,
        {sig_sql('avg((value IS NULL)::INTEGER::DOUBLE)')} AS missing_rate,
        {sig_sql('count(*) FILTER (WHERE NOT bad) / count(*)')} AS accepted_share,
-       count(*) FILTER (WHERE NOT bad) / count(*) < 0.95 AS layer2_triggered, 0 AS batch_id FROM v""")
+       count(*) FILTER (WHERE NOT bad) / count(*) < 0.95 AS layer2_triggered FROM v""")
 def stream_monitor(spark, sf_dir):
-    """Per micro-batch verdicts, accepted and quarantined sinks,
-    metrics with the Layer 2 trigger; returns the metrics table (one
-    micro-batch here: the events arrive as one file)."""
+    """Per micro-batch verdicts, accepted and quarantined sinks and
+    metrics; returns the metrics of all batches together with the Layer 2 trigger."""
     rules = {"value_missing": F.col("value").isNull(), "value_range": (F.col("value") < 0) | (F.col("value") > 100),
              "unknown_type": ~F.col("event_type").isin("view", "click", "purchase", "signup", "error")}
     base = T.monitor_batches(T.events_stream(spark, sf_dir), rules)
-    m = spark.read.parquet(f"{base}/metrics")
+    m = T.monitor_totals(spark.read.parquet(f"{base}/metrics"))
     return m.select("n", "accepted", sig("missing_rate").alias("missing_rate"), sig("accepted_share").alias("accepted_share"),
-                    "layer2_triggered", F.col("batch_id").cast("int").alias("batch_id"))
+                    "layer2_triggered")
 
 
 @query("stream_dedup", """
 SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1""")
 def stream_dedup(spark, sf_dir):
-    """T4: stream deduplication within the watermark on (user, event type);
-    the events arrive in one micro-batch, so one row survives per key."""
-    s = T.dedup_stream(T.events_stream(spark, sf_dir), ["user_id", "event_type"], "1 hour")
+    """T4: stream deduplication on (user, event type)."""
+    s = T.dedup_stream(T.events_stream(spark, sf_dir), ["user_id", "event_type"])
     d = T.run_available_now(s.select("event_id", "ts", "user_id", "event_type"), "dedup")
     return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_window_drift", f"""
-WITH b AS (SELECT event_type, count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY 1),
-c AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL),
-q AS (SELECT window_start, event_type, n / sum(n) OVER (PARTITION BY window_start) AS q FROM c),
-g AS (SELECT DISTINCT window_start FROM c),
-f AS (SELECT coalesce(x.window_start, q.window_start) AS window_start, coalesce(x.p, 0) AS p, coalesce(q.q, 0) AS q
-      FROM (SELECT * FROM g, b) x FULL OUTER JOIN q ON x.window_start = q.window_start AND x.event_type = q.event_type)
-SELECT window_start, {sig_sql('sum(abs(p - q)) / 2')} AS tv_distance FROM f
-WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY window_start""")
+@query("stream_window_drift", ORACLES["window_drift"])
 def stream_window_drift(spark, sf_dir):
-    """T5 as a stream: daily windows closed by a 1-hour watermark, each
-    compared in ``foreachBatch`` with the static baseline distribution."""
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """T5 as a stream: daily category counts compared with the static baseline distribution."""
+    e = table(spark, sf_dir, "events")
     base = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    base = base.select("event_type", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
-    out = T.window_drift_stream(T.events_stream(spark, sf_dir), base, "1 day", "1 hour")
-    d = spark.read.parquet(f"{out}/drift")
+    base = base.crossJoin(F.broadcast(base.agg(F.sum("n").alias("tot")))).select("event_type", (F.col("n") / F.col("tot")).alias("p"))
+    d = T.window_drift_stream(T.events_stream(spark, sf_dir), base, "1 day")
     return d.select("window_start", sig("tv_distance").alias("tv_distance"))

@@ -11,7 +11,7 @@ from tamis.operators import corrupt as C
 from tamis.operators import repair as R
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import TEXT_SQL, table, text_table
+from tamis.sources.tables import DOCUMENT_SQL, TEXT_SQL, document_table, table, text_table
 
 DK = key_sql("doc_id")
 
@@ -91,14 +91,14 @@ def quarantine_templates(spark, sf_dir):
 
 
 def _short_text(spark, sf_dir):
-    t = text_table(spark, sf_dir).select("doc_id", "title", "content")
+    t = document_table(spark, sf_dir).select("doc_id", "title", "content")
     t = C.missing_values(t, "doc_id", ["content"], 0.1)
     return C.text_length_limit(t, "doc_id", ["content"], 80, fraction=0.3, salt="short")
 
 
 SHORT_SQL = f"""(SELECT doc_id, title, CASE WHEN m2 THEN substr(content, 1, 80) ELSE content END AS content FROM (
   SELECT doc_id, title, CASE WHEN m1 THEN NULL ELSE content END AS content, m2 FROM (
-    SELECT *, {mask_sql(DK, 0.1, salt='mcar:content')} AS m1, {mask_sql(DK, 0.3, salt='short')} AS m2 FROM {TEXT_SQL})))"""
+    SELECT *, {mask_sql(DK, 0.1, salt='mcar:content')} AS m1, {mask_sql(DK, 0.3, salt='short')} AS m2 FROM {DOCUMENT_SQL})))"""
 
 
 @query("drop_short", f"""
@@ -182,8 +182,8 @@ def sentence_and_title_features(spark, sf_dir):
 
 @query("lexical_diversity", f"""
 SELECT doc_id, {sig_sql(f"CASE WHEN len({_words_sql('content')}) = 0 THEN 0.0 ELSE len(list_distinct({_words_sql('content')}))::DOUBLE / len({_words_sql('content')}) END")} AS diversity
-FROM {TEXT_SQL}""")
+FROM {DOCUMENT_SQL}""")
 def lexical_diversity(spark, sf_dir):
     """distinct words / words of every content (0 when empty)."""
-    t = text_table(spark, sf_dir)
+    t = document_table(spark, sf_dir)
     return t.select("doc_id", sig(T.lexical_diversity(F.col("content"))).alias("diversity"))

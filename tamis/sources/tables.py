@@ -6,7 +6,8 @@
 * mixed = orders JOIN customer  (numerics, categories, target ``label``).
   Key: ``o_orderkey``.
 * text  = documents JOIN labels (title = first line, content = the rest,
-  label = quality).  Key: ``doc_id``.
+  label = quality).  Key: ``doc_id``.  Queries that need no label read
+  ``document_table``: every document.
 
 Each Spark builder has a DuckDB twin (``*_SQL``) used by the oracles.  The
 joins are plain equi-joins: Spark's size estimate (and AQE at run time)
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
 from tamis.functions.keys import row_key
 
@@ -27,53 +27,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-# inputs below this size that arrive in fewer splits than the cluster has
-# cores are spread round-robin once after the scan (a cheap shuffle); large
-# inputs already come in many splits and are never repartitioned
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def input_bytes(df: DataFrame, files: list[str] | None = None) -> int | None:
-    """Total size of the files behind a scan (Hadoop FileSystem, any scheme)."""
-    try:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        total = 0
-        for f in files if files is not None else df.inputFiles():
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            total += path.getFileSystem(conf).getFileStatus(path).getLen()
-        return total
-    except Exception:  # noqa: BLE001 - unknown size: leave the scan alone
-        return None
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a small, poorly split input over the available cores.
-
-    Only a handful of files is ever inspected: an input with at least as many
-    files as cores is left alone without asking the file system anything.
-    The spread is a hash partitioning on the whole row (no sort needed,
-    unlike a round-robin repartition, and no hot value of one column can
-    gather its rows in one task)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    size = input_bytes(df, files)
-    if size is not None and size < SMALL_INPUT_BYTES:
-        hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
-        return df.repartition(cores, *hashable) if hashable else df.repartition(cores)
-    return df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
-    """Scan one driver table (column pruning and pushdown are automatic).
-
-    A small table stored as a single row group is read by one task; it is
-    spread over the cores once (see ``balanced``)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return balanced(df) if balance else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan one driver table (column pruning and pushdown are automatic)."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _minutes(a, b):
@@ -130,21 +86,32 @@ MIXED_SQL = """(SELECT o_orderkey, o_custkey, o_totalprice, c_acctbal, o_orderpr
 FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
+def _title_and_content(text: str = "text") -> dict:
+    pos = F.instr(F.col(text), "\n")
+    return {"title": F.when(pos > 0, F.substring_index(text, "\n", 1)).otherwise(F.col(text)),
+            "content": F.when(pos > 0, F.expr(f"substring({text}, instr({text}, '\\n') + 1)")).otherwise(F.lit(""))}
+
+
+def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its title and content; no label."""
+    d = table(spark, sf_dir, "documents").withColumns(_title_and_content())
+    return d.select("doc_id", "title", "content", "text", "lang", "source")
+
+
 def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    """The documents that have a label."""
     lab = table(spark, sf_dir, "labels")
-    pos = F.instr(F.col("text"), "\n")
-    return d.join(lab, "doc_id").select(
-        "doc_id",
-        F.when(pos > 0, F.expr("substring(text, 1, instr(text, '\\n') - 1)")).otherwise(F.col("text")).alias("title"),
-        F.when(pos > 0, F.expr("substring(text, instr(text, '\\n') + 1)")).otherwise(F.lit("")).alias("content"),
-        "text", "lang", "source", F.col("quality").alias("label"), "toxic")
+    return document_table(spark, sf_dir).join(lab, "doc_id").select(
+        "doc_id", "title", "content", "text", "lang", "source", F.col("quality").alias("label"), "toxic")
 
 
-TEXT_SQL = """(SELECT doc_id,
-  CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS title,
+_TITLE_SQL = """CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10)) - 1) ELSE text END AS title,
   CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS content,
-  text, lang, source, quality AS label, toxic
+  text, lang, source"""
+
+DOCUMENT_SQL = f"(SELECT doc_id, {_TITLE_SQL} FROM documents)"
+
+TEXT_SQL = f"""(SELECT doc_id, {_TITLE_SQL}, quality AS label, toxic
 FROM documents JOIN labels USING (doc_id))"""
 
 

@@ -1,8 +1,10 @@
 """Structured Streaming re-aim of the "real-time" monitor.
 
 The same window functions run on a static table (batch twin, oracle-checked)
-and on a stream (``readStream`` over the events files).  Streams use event
-time with a watermark; late rows beyond it are dropped by Spark.  Custom
+and on a stream (``readStream`` over the events files).  Windows go by event time;
+a stream over available input delivers every window, open ones too, and its result
+does not depend on the number of micro-batches (a watermark, which drops late
+rows, is an option).  Custom
 per-batch logic (Layer 1 verdicts, the Layer 2 trigger, drift against a static
 baseline) runs in ``foreachBatch`` and writes each micro-batch idempotently:
 a partition per ``batch_id`` is overwritten, so a retried batch replaces its
@@ -16,7 +18,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from tamis.functions.frames import join_null_safe
 from tamis.functions.keys import hash_hex, hex_uniform
 from tamis.session import ensure_checkpoint_dir
 
@@ -69,48 +73,91 @@ def burst_windows(df: DataFrame, window: str = "1 hour", slide: str = "15 minute
                     ((F.col("n") > max_rows) | (F.col("error_share") > max_error_share)).alias("burst"))
 
 
-def window_drift(df: DataFrame, baseline: DataFrame, window: str = "1 day", col: str = "event_type") -> DataFrame:
-    """T5 (batch twin): per window, total variation distance of the category
-    distribution to a static baseline distribution ``(col, p)`` (summing to 1).
+def window_counts(df: DataFrame, window: str = "1 day", col: str = "event_type") -> DataFrame:
+    """Rows per window and category (a static table or a stream)."""
+    g = df.groupBy(F.window("ts", window).alias("w"), col).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("w.start").alias("window_start"), col, "n")
+
+
+def drift_of_counts(counts: DataFrame, baseline: DataFrame, col: str = "event_type") -> DataFrame:
+    """T5: per window, total variation distance of the category distribution
+    to a static baseline distribution ``(col, p)`` (summing to 1).
 
     Categories absent from a window contribute their baseline share, so
     ``TV = (sum over present categories of (|p - q| - p) + 1) / 2``: only the
     categories a window has are touched -- no window x category grid."""
-    c = df.groupBy(F.window("ts", window).alias("w"), col).agg(F.count(F.lit(1)).alias("n"))
-    tot = c.groupBy("w").agg(F.sum("n").alias("tot"))
-    q = c.join(tot, "w").select("w", col, (F.col("n") / F.col("tot")).alias("q"))
-    # baseline: one row per category (bounded by the category count)
-    j = q.join(F.broadcast(baseline.select(col, "p")), col, "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
-    return j.groupBy(F.col("w.start").alias("window_start")).agg(
+    tot = counts.groupBy("window_start").agg(F.sum("n").alias("tot"))
+    q = counts.join(tot, "window_start").select("window_start", col, (F.col("n") / F.col("tot")).alias("q"))
+    j = join_null_safe(q, baseline.select(col, "p"), [col], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    return j.groupBy("window_start").agg(
         ((F.sum(F.abs(F.col("p") - F.col("q")) - F.col("p")) + F.lit(1.0)) / 2).alias("tv_distance"))
 
 
+def window_drift(df: DataFrame, baseline: DataFrame, window: str = "1 day", col: str = "event_type") -> DataFrame:
+    """T5 on a static table."""
+    return drift_of_counts(window_counts(df, window, col), baseline, col)
+
+
+def finish(query: StreamingQuery, timeout_s: int | None = None) -> None:
+    """Wait until the available input is consumed; without a limit unless one is asked for."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream did not finish in {timeout_s} s")
+
+
+def _stream_folder(spark: SparkSession, name: str, out_dir: str | None) -> str:
+    return out_dir or f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+
 def run_available_now(stream: DataFrame, name: str, mode: str = "append", out_dir: str | None = None,
-                      timeout_s: int = 600) -> DataFrame:
+                      timeout_s: int | None = None) -> DataFrame:
     """Run a streaming query until the available input is consumed (file
     sink, exactly-once via its log) and return the written table."""
     spark = stream.sparkSession
-    base = out_dir or f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    base = _stream_folder(spark, name, out_dir)
     q = (stream.writeStream.format("parquet").outputMode(mode)
                .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/data")
                .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    return spark.read.parquet(f"{base}/data")
+    finish(q, timeout_s)
+    return spark.read.schema(stream.schema).parquet(f"{base}/data")
+
+
+def run_updates(stream: DataFrame, name: str, keys: list[str], out_dir: str | None = None,
+                timeout_s: int | None = None) -> DataFrame:
+    """Run an aggregating stream in update mode over the available input and
+    return its last state: every group, windows still open included.
+
+    Each micro-batch's changed groups are written to a partition of its
+    ``batch_id`` (overwritten by a retry); of each group the row of the latest
+    batch counts.  The result does not depend on how the input is cut into batches
+    as long as the stream has no watermark that drops late rows."""
+    spark = stream.sparkSession
+    base = _stream_folder(spark, name, out_dir)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{base}/updates"))
+
+    finish(stream.writeStream.outputMode("update").foreachBatch(handle)
+           .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start(), timeout_s)
+    written = spark.read.schema(stream.schema.add("batch_id", "bigint")).parquet(f"{base}/updates")
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch_id").alias("last"))
+    return last.select(*keys, "last.*").select(*stream.columns)
 
 
 def monitor_batches(stream: DataFrame, rules: dict[str, Column], baseline_accept: float = 0.95,
-                    out_dir: str | None = None, timeout_s: int = 600,
+                    out_dir: str | None = None, timeout_s: int | None = None,
                     on_batch: Callable[[DataFrame, int], None] | None = None) -> str:
     """Per micro-batch, row verdicts (array of violated rules),
-    accepted and quarantined rows written to two sinks, and a metrics row with
-    the Layer 2 trigger (accepted share below ``baseline_accept``).  Each
+    accepted and quarantined rows written to two sinks, and a metrics row (rows,
+    accepted rows, missing values) with the Layer 2 trigger (accepted share below
+    ``baseline_accept``); ``monitor_totals`` adds the batches up.  Each
     output is partitioned by ``batch_id`` and overwritten per batch
     (idempotent on retry).  Returns the output folder."""
     spark = stream.sparkSession
-    base = out_dir or f"{ensure_checkpoint_dir(spark)}/streams/monitor-{uuid.uuid4().hex}"
+    base = _stream_folder(spark, "monitor", out_dir)
     arr = F.array(*[F.when(F.coalesce(p, F.lit(False)), F.lit(n)) for n, p in rules.items()])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -130,9 +177,9 @@ def monitor_batches(stream: DataFrame, rules: dict[str, Column], baseline_accept
             a, q = o_ok.get, o_bad.get
             n = a.get("n", 0) + q.get("n", 0)
             share = a.get("n", 0) / n if n else None
-            row = (batch_id, n, a.get("n", 0), (a.get("missing", 0) + q.get("missing", 0)) / n if n else None,
+            row = (batch_id, n, a.get("n", 0), a.get("missing", 0) + q.get("missing", 0),
                    share, share is not None and share < baseline_accept)
-            m = batch.sparkSession.createDataFrame([row], "batch_id long, n long, accepted long, missing_rate double, "
+            m = batch.sparkSession.createDataFrame([row], "batch_id long, n long, accepted long, missing long, "
                                              "accepted_share double, layer2_triggered boolean")
             m.write.mode("overwrite").options(**w).partitionBy("batch_id").parquet(f"{base}/metrics")
             if on_batch:
@@ -143,44 +190,30 @@ def monitor_batches(stream: DataFrame, rules: dict[str, Column], baseline_accept
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{base}/_checkpoint")
                .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"monitor did not finish in {timeout_s}s")
+    finish(q, timeout_s)
     return base
 
 
-def dedup_stream(stream: DataFrame, keys: list[str], watermark: str = "1 hour") -> DataFrame:
-    """T4: drop duplicates of ``keys`` within the watermark delay."""
-    return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+def monitor_totals(metrics: DataFrame, baseline_accept: float = 0.95) -> DataFrame:
+    """The metrics of all micro-batches as one row, whatever their number."""
+    share = F.try_divide(F.sum("accepted"), F.sum("n"))
+    return metrics.agg(F.sum("n").alias("n"), F.sum("accepted").alias("accepted"),
+                       F.try_divide(F.sum("missing"), F.sum("n")).alias("missing_rate"), share.alias("accepted_share"),
+                       F.coalesce(share < baseline_accept, F.lit(False)).alias("layer2_triggered"))
 
 
-def window_drift_stream(stream: DataFrame, baseline: DataFrame, window: str = "1 day", watermark: str = "1 hour",
-                        col: str = "event_type", out_dir: str | None = None, timeout_s: int = 600) -> str:
-    """T5 as a stream: windowed category counts (append mode: a window is
-    emitted once, when the watermark closes it); in ``foreachBatch`` each
-    closed window is joined with the static baseline distribution (broadcast,
-    one row per category) and its total variation distance is written to a
-    partition per ``batch_id`` (idempotent).  Returns the output folder."""
-    spark = stream.sparkSession
-    base = out_dir or f"{ensure_checkpoint_dir(spark)}/streams/drift-{uuid.uuid4().hex}"
-    counts = (stream.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), col)
-                    .agg(F.count(F.lit(1)).alias("n")))
-    p = F.broadcast(baseline.select(col, "p"))
+def dedup_stream(stream: DataFrame, keys: list[str], watermark: str | None = None) -> DataFrame:
+    """T4: drop duplicates of ``keys``: over the whole stream (the state holds every key),
+    or, given a watermark, within its delay (bounded state; what counts as a
+    duplicate then depends on when rows arrive)."""
+    if watermark is None:
+        return stream.dropDuplicates(keys)
+    return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        tot = batch.groupBy("w").agg(F.sum("n").alias("tot"))
-        q = batch.join(tot, "w").select("w", col, (F.col("n") / F.col("tot")).alias("q"))
-        j = q.join(p, col, "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
-        tv = j.groupBy(F.col("w.start").alias("window_start")).agg(
-            ((F.sum(F.abs(F.col("p") - F.col("q")) - F.col("p")) + F.lit(1.0)) / 2).alias("tv_distance"))
-        (tv.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{base}/drift"))
-
-    q = (counts.writeStream.outputMode("append").foreachBatch(handle)
-               .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"drift stream did not finish in {timeout_s}s")
-    return base
+
+def window_drift_stream(stream: DataFrame, baseline: DataFrame, window: str = "1 day", col: str = "event_type",
+                        out_dir: str | None = None, timeout_s: int | None = None) -> DataFrame:
+    """T5 as a stream: category counts per window in update mode; the last
+    count of every window, open ones included, is compared with the static baseline."""
+    counts = run_updates(window_counts(stream, window, col), "drift", ["window_start", col], out_dir, timeout_s)
+    return drift_of_counts(counts, baseline, col)

@@ -79,3 +79,17 @@ def test_registry_stacks_one_table(spark):
     counts = {r.corruption: r["count"] for r in out.groupBy("corruption").count().collect()}
     n = m.count()
     assert counts == {"neg": n, "dup": n + int(n * 0.1)}
+
+
+def test_duplicates_with_a_hot_null_and_long_key(spark):
+    from tamis.operators import repair as R
+    df = spark.range(3000).select(
+        "id", F.when(F.col("id") % 2 == 0, "x" * 50).when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("a"),
+        F.lit(None).cast("string").alias("b"))
+    flags = R.dup_flag(df, ["a", "b"]).groupBy("is_duplicate").count().collect()
+    assert {r[0]: r[1] for r in flags} == {True: 1800, False: 1200}
+    kept = R.dedup_keep_first(df, ["a", "b"], ["id"])
+    assert kept.count() == 1202 and kept.filter("a like 'x%'").first()["id"] == 0
+    # two groups with the same order value keep a row each
+    same = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1), (None, 1), (None, 1)], "a string, o int")
+    assert sorted(map(str, (r[0] for r in R.dedup_keep_first(same.distinct(), ["a"], ["o"]).collect()))) == ["None", "p", "q"]

@@ -3,6 +3,8 @@
 import hashlib
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tamis.functions.keys import hash_hex, normal, uniform
@@ -38,7 +40,7 @@ def _keys(df):
 
 
 def test_exact_k_count_and_partition_independence(spark):
-    li = table(spark, SF, "lineitem", balance=False)
+    li = table(spark, SF, "lineitem")
     n = li.count()
     outs = []
     for parts in (1, 4, 17):
@@ -91,7 +93,7 @@ def test_one_row_class_split(spark):
 
 def test_exact_k_narrowing_levels(spark, monkeypatch):
     """Force extra 12-bit histogram levels: the sample must not change."""
-    li = table(spark, SF, "lineitem", balance=False)
+    li = table(spark, SF, "lineitem")
     one = sorted(tuple(r) for r in S.sample_exact(li, LINEITEM_KEY, fraction=0.37, salt="lv")
                  .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").collect())
     monkeypatch.setattr(S, "_BOUNDARY_ROWS", 0)
@@ -109,7 +111,7 @@ def test_numbered_batches_strict(spark):
 
 
 def test_masks_learnt_together_equal_single_masks(spark, monkeypatch):
-    t = table(spark, SF, "orders", balance=False).select("o_orderkey", "o_totalprice", "o_orderstatus")
+    t = table(spark, SF, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
     specs = [{"out": "a", "fraction": 0.3, "salt": "x"},
              {"out": "b", "fraction": 0.25, "salt": "y", "where": F.col("o_orderstatus") == "O", "rounding": "half_even"},
              {"out": "c", "fraction": 0.0, "salt": "z"},
@@ -123,3 +125,25 @@ def test_masks_learnt_together_equal_single_masks(spark, monkeypatch):
                                        rounding=sp.get("rounding", "floor"), out=sp["out"])
         cols = ["o_orderkey", "a", "b", "c", "d"]
         assert sorted(map(tuple, together.select(*cols).collect())) == sorted(map(tuple, alone.select(*cols).collect()))
+
+
+def test_exact_sample_on_a_repeated_key(spark):
+    df = spark.range(1000).select((F.col("id") % 10).cast("string").alias("k"), "id")
+    assert S.sample_exact(df, "k", n=150).count() == 150
+    two = S.exact_masks_frame(df, "k", [{"out": "a", "fraction": 0.15, "salt": "a"}, {"out": "b", "fraction": 0.333, "salt": "b"}])
+    assert two.filter("a").count() == 150 and two.filter("b").count() == 333
+    with pytest.raises(ValueError):
+        S.sample_exact(df.select("k"), "k", n=150)
+
+
+def test_null_classes_are_kept(spark):
+    df = spark.range(100).select(F.when(F.col("id") % 5 > 0, (F.col("id") % 2).cast("int")).alias("label"), "id")
+    assert S.split_stratified(df, "label", "id").count() == 100
+    assert S.kfold(df, "label", "id").groupBy("fold").count().count() == 5
+    assert S.kfold(df, "label", "id").count() == 100
+    assert S.sample_per_group(df, "label", 7, "id").count() == 21
+
+
+def test_all_rows_are_batched(spark):
+    df = spark.range(60_001).withColumnRenamed("id", "k")
+    assert S.numbered_batches(df, "k", size=5000).groupBy("batch_id").count().count() == 13

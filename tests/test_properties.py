@@ -30,6 +30,7 @@ def py_parse(x):
 @settings(max_examples=3, deadline=None)
 @given(st.lists(st.text(alphabet=ALPHABET, max_size=12), min_size=50, max_size=120))
 def test_salvage_and_parse_match_python(spark, values):
+    values += ["1E309", "3e9", "-1e400", "1e-400", "9" * 400]
     df = spark.createDataFrame([(v,) for v in values], "x string")
     got = df.select("x", N.salvage_number(F.col("x")).alias("s"), N.parse_number(F.col("x")).alias("p")).collect()
     for r in got:

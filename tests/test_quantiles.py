@@ -1,5 +1,4 @@
-"""Both percentile paths (size-checked built-in and distributed ranked) agree
-with Spark's exact ``percentile`` and with linear interpolation."""
+"""The selection agrees with sorting and linear interpolation."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -15,31 +14,34 @@ def _reference(df, col, ps):
     return [float(np.percentile(vals, p * 100)) for p in ps]
 
 
-def test_ranked_path_matches_builtin(spark, monkeypatch):
+def test_selection_matches_sorting(spark):
     t = trip(spark, SF).select("distance", "total", "fare")
     ps = [0.0, 0.001, 0.01, 0.25, 0.5, 0.99, 1.0]
-    small = P.quantile_values(t, ["distance", "total"], ps)
-    monkeypatch.setattr(P, "DISTINCT_BOUND", 0)        # force the distributed ranked path
-    ranked = P.quantile_values(t, ["distance", "total"], ps)
+    got = P.quantile_values(t, ["distance", "total"], ps)
     for c in ("distance", "total"):
-        ref = _reference(t, c, ps)
-        for p, r in zip(ps, ref):
-            assert abs(small[(c, p)] - r) <= 1e-9 * max(1.0, abs(r))
-            assert abs(ranked[(c, p)] - r) <= 1e-9 * max(1.0, abs(r))
+        for p, r in zip(ps, _reference(t, c, ps)):
+            assert abs(got[(c, p)] - r) <= 1e-9 * max(1.0, abs(r))
 
 
-def test_grouped_ranked_quantiles(spark):
-    t = trip(spark, SF).select("flag", "total")
-    q = P.quantiles(t, ["total"], [0.5], group=["flag"]).collect()
+def test_groups_and_the_null_group(spark):
+    t = trip(spark, SF).select(F.when(F.col("flag") != "R", F.col("flag")).alias("flag"), "total")
+    q = P.quantiles(t, ["total"], [0.5, 0.9], group=["flag"]).collect()
+    assert {(r.flag, r.p) for r in q} == {(f, p) for f in ("A", "N", None) for p in (0.5, 0.9)}
     for r in q:
-        ref = _reference(t.filter(F.col("flag") == r.flag), "total", [0.5])[0]
+        ref = _reference(t.filter(F.col("flag").eqNullSafe(F.lit(r.flag))), "total", [r.p])[0]
         assert abs(r.value - ref) <= 1e-9 * abs(ref)
 
 
-def test_heavy_value_is_spread(spark, monkeypatch):
-    # a third of the rows share one value: ranks stay exact
-    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.col("id").cast("double")).alias("v"))
-    monkeypatch.setattr(P, "DISTINCT_BOUND", 0)
-    got = P.quantile_values(df, ["v"], [0.1, 0.5, 0.9])
-    ref = _reference(df, "v", [0.1, 0.5, 0.9])
-    assert [round(got[("v", p)], 9) for p in (0.1, 0.5, 0.9)] == [round(x, 9) for x in ref]
+def test_heavy_values_and_extremes(spark):
+    # a third of the rows share one value; magnitudes from 1e-300 to 1e300
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(5.0)).when(F.col("id") % 3 == 1, F.pow(
+        F.lit(10.0), F.col("id") / 5 - 300)).otherwise(-F.col("id").cast("double")).alias("v"))
+    ps = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = P.quantile_values(df, ["v"], ps)
+    for p, r in zip(ps, _reference(df, "v", ps)):
+        assert abs(got[("v", p)] - r) <= 1e-9 * abs(r)
+
+
+def test_no_plan_sorts_by_range(spark):
+    plan = P.quantiles(trip(spark, SF), ["total"], [0.5])._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan

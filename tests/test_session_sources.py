@@ -1,7 +1,9 @@
-"""Session settings, checkpoint folder and scan balancing."""
+"""Session settings, checkpoint folder and scans."""
+
+from pyspark.sql import functions as F
 
 from tamis.session import apply_settings, cluster_settings, ensure_checkpoint_dir
-from tamis.sources.tables import balanced, input_bytes, table
+from tamis.sources.tables import table
 
 from conftest import SF
 
@@ -20,12 +22,9 @@ def test_checkpoint_dir_is_reused(spark):
     assert a == b and a
 
 
-def test_small_single_file_is_spread(spark):
-    raw = spark.read.parquet(f"{SF}/orders.parquet")
-    assert input_bytes(raw) > 0
-    b = balanced(raw)
-    assert b.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert table(spark, SF, "orders", balance=False).rdd.getNumPartitions() == raw.rdd.getNumPartitions()
+def test_scans_are_pruned(spark):
+    plan = table(spark, SF, "lineitem").agg(F.sum("l_quantity"))._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<l_quantity:double>" in plan and "hashpartitioning" not in plan
 
 
 def test_apply_settings(spark):

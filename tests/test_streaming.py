@@ -1,4 +1,9 @@
-"""Streaming twins: the stream result equals the batch twin on closed windows."""
+"""Streams equal their batch twins on all windows, whatever the number of input files."""
+
+import os
+import shutil
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -8,13 +13,40 @@ from tamis.streaming import monitor as T
 from conftest import SF
 
 
-def test_window_quality_stream_equals_batch(spark):
-    batch = T.window_quality(T.prepare_events(table(spark, SF, "events")))
-    stream = T.run_available_now(T.window_quality(T.events_stream(spark, SF), watermark="1 hour"), "t_wq")
-    s = {(r.window_start, r.event_type): (r.n, r.violations) for r in stream.collect()}
-    b = {(r.window_start, r.event_type): (r.n, r.violations) for r in batch.collect()}
-    assert s and all(b[k] == v for k, v in s.items())
-    assert len(s) <= len(b)
+@pytest.fixture(scope="module")
+def cut_events(spark, tmp_path_factory):
+    """The events as one file, and dealt out of order over five."""
+    out = {}
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    for n in (1, 5):
+        out[n] = str(tmp_path_factory.mktemp(f"events{n}"))
+        for k in range(n):
+            e.filter(F.pmod(F.hash("event_id"), F.lit(n)) == k).coalesce(1).write.parquet(f"{out[n]}/tmp-{k}")
+            part = next(p for p in os.listdir(f"{out[n]}/tmp-{k}") if p.endswith(".parquet"))
+            shutil.copy(f"{out[n]}/tmp-{k}/{part}", f"{out[n]}/events-{k}.parquet")
+    return out
+
+
+def _rows(df):
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_streams_equal_batches_whatever_the_files(spark, cut_events, files):
+    stream = lambda: T.events_stream(spark, cut_events[files], max_files=1)
+    batch = T.prepare_events(table(spark, SF, "events"))
+    assert _rows(T.run_updates(T.window_quality(stream()), "q", ["window_start", "event_type"])) == _rows(T.window_quality(batch))
+    assert _rows(T.run_updates(T.burst_windows(stream()), "b", ["window_start"])) == _rows(T.burst_windows(batch))
+    n = batch.count()
+    base = batch.groupBy("event_type").agg((F.count("*") / n).alias("p"))
+    assert _rows(T.window_drift_stream(stream(), base)) == _rows(T.window_drift(batch, base))
+    dedup = T.run_available_now(T.dedup_stream(stream(), ["user_id", "event_type"]).select("user_id", "event_type"), "d")
+    assert _rows(dedup) == _rows(batch.select("user_id", "event_type").distinct())
+    folder = T.monitor_batches(stream(), {"missing": F.col("value").isNull()})
+    metrics = spark.read.parquet(f"{folder}/metrics")
+    total = T.monitor_totals(metrics).first()
+    assert metrics.count() == files
+    assert (total.n, total.accepted) == (n, batch.filter(F.col("value").isNotNull()).count())
 
 
 def test_monitor_writes_idempotent_batches(spark):
