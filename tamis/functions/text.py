@@ -8,7 +8,6 @@ a non-ASCII character.
 
 from __future__ import annotations
 
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -123,12 +122,12 @@ def clean_review(x: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    return s.str.normalize("NFKC")
 
 
 def nfkc(x: Column) -> Column:
-    """Unicode NFKC (Arrow UDF), only where a non-ASCII character occurs."""
-    return F.when(x.rlike(r"[^\x00-\x7F]"), _nfkc(x)).otherwise(x)
+    """Unicode NFKC (Arrow UDF); ASCII texts, which it leaves as they are, reach Python as null."""
+    return F.coalesce(_nfkc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
 
 
 def unicode_repair(x: Column) -> Column:

@@ -13,14 +13,19 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import (CountVectorizer, IDF, NGram, OneHotEncoder, RegexTokenizer, SQLTransformer,
-                                StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, OneHotEncoder, RegexTokenizer,
+                                SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.operators.evaluate import weighted_prf
+from tamis.operators.profile import mode_by_group, quantile_values
+from tamis.operators.sampling import split_stratified
+
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """``n / (k * n_class)`` per row (a small per-class table joined back)."""
@@ -28,62 +33,107 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     k = counts.count()
     n = df.count()
     w = counts.select(label, (F.lit(float(n)) / (F.lit(float(k)) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(w), label)  # one row per class: bounded by the class count
+    return df.join(w, label)  # one row per class
 
 
 def tabular_preprocessor(numeric: Sequence[str], categorical: Sequence[str], scale: bool = True) -> list:
-    """M6-M8: index + one-hot (unknown kept in an extra slot), assemble,
-    standardise (mean-centred)."""
-    stages = []
-    oh_in, oh_out = [], []
-    for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        oh_in.append(f"{c}_idx")
-        oh_out.append(f"{c}_oh")
+    """M6-M8: categories indexed (alphabetical) and one-hot encoded, numerics
+    standardised (mean-centred), then assembled.
+
+    Only the numerics are centred, so the one-hot part stays sparse; an unknown
+    or null category has no slot and encodes as zeros."""
+    stages, hot = [], [f"{c}_oh" for c in categorical]
     if categorical:
-        stages.append(OneHotEncoder(inputCols=oh_in, outputCols=oh_out, dropLast=False, handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[*numeric, *oh_out], outputCol="raw_features", handleInvalid="keep"))
-    if scale:
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
-    else:
-        stages.append(SQLTransformer(statement="SELECT *, raw_features AS features FROM __THIS__"))
-    return stages
-
-
-def text_features(text: str = "text", vocab: int = 5000, min_df: float = 2.0, ngrams: bool = True) -> list:
-    """M1 in Spark ML: tokens, stop words, 1-2 grams, counts, IDF."""
-    stages = [RegexTokenizer(inputCol=text, outputCol="tok", pattern=r"[a-z0-9]{2,}", gaps=False, toLowercase=True),
-              StopWordsRemover(inputCol="tok", outputCol="tok_sw")]
+        index = [f"{c}_idx" for c in categorical]
+        stages += [StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep",
+                                 stringOrderType="alphabetAsc"),
+                   OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True)]  # the last index: unknown
+    parts = hot
+    if numeric:
+        stages.append(VectorAssembler(inputCols=list(numeric), outputCol="numeric_raw", handleInvalid="keep"))
+        if scale:
+            stages.append(StandardScaler(inputCol="numeric_raw", outputCol="numeric_scaled", withMean=True, withStd=True))
+        parts = ["numeric_scaled" if scale else "numeric_raw", *hot]
+    return [*stages, VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep")]
+
+
+def imputers(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list:
+    """M8: a stage that fills numerics with the training median and categories with
+    the most frequent training value (smallest on ties); a column without any value
+    is left alone."""
+    fills = {c: v for (c, _), v in quantile_values(train, numeric, [0.5]).items()} if numeric else {}
+    whole = train.withColumn("_tm_all", F.lit(0))
+    for c in categorical:
+        m = mode_by_group(whole, ["_tm_all"], c, "m").first()
+        if m is not None:
+            fills[c] = m["m"]
+    if not fills:
+        return []
+    quoted = {c: f"{float(v)!r}D" if c in numeric else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+              for c, v in fills.items()}
+    new = ", ".join(f"coalesce(`{c}`, {v}) AS `{c}`" for c, v in quoted.items())
+    return [SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(f'`{c}`' for c in fills)}), {new} FROM __THIS__")]
+
+
+def text_features(train: DataFrame, text: str = "text", vocab: int = 5000, min_df: float = 2.0, ngrams: bool = True,
+                  stop_words: Sequence[str] | None = None) -> PipelineModel:
+    """M1 / M5: tokens, stop words (Spark's English list by default), 1-2 grams,
+    counts, smoothed idf plus one, L2 norm; fitted on ``train``, applied to any batch."""
+    words = RegexTokenizer(inputCol=text, outputCol="tok", pattern=r"[a-z0-9]{2,}", gaps=False, toLowercase=True)
+    stop = StopWordsRemover(inputCol="tok", outputCol="tok_sw")
+    if stop_words is not None:
+        stop.setStopWords(list(stop_words))
+    head: list = [words, stop]
     if ngrams:
-        stages += [NGram(n=2, inputCol="tok_sw", outputCol="bigrams"),
-                   SQLTransformer(statement="SELECT *, concat(tok_sw, bigrams) AS grams FROM __THIS__")]
-        src = "grams"
-    else:
-        src = "tok_sw"
-    stages += [CountVectorizer(inputCol=src, outputCol="tf", vocabSize=vocab, minDF=min_df),
-               IDF(inputCol="tf", outputCol="features")]
-    return stages
-
-
-def logistic(C: float = 1.0, n_rows: int = 1, weight_col: str | None = "weight", max_iter: int = 100,
+        head += [NGram(n=2, inputCol="tok_sw", outputCol="bigrams"),
+                 SQLTransformer(statement="SELECT *, concat(tok_sw, bigrams) AS grams FROM __THIS__")]
+    return _weighted(train, head, "grams" if ngrams else "tok_sw", "features", vocab, min_df)
+
+
+def _weighted(train: DataFrame, head: list, grams: str, out: str, vocab: int, min_df: float) -> PipelineModel:
+    """Counts times (smoothed idf + 1), L2 norm (Spark's IDF has no + 1)."""
+    counts = [*head, CountVectorizer(inputCol=grams, outputCol=f"{out}_tf", vocabSize=vocab, minDF=min_df),
+              IDF(inputCol=f"{out}_tf", outputCol=f"{out}_idf")]
+    fitted = Pipeline(stages=counts).fit(train)
+    idf = fitted.stages[-1].idf.toArray() + 1.0
+    return PipelineModel([*fitted.stages[:-1],
+                          ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=f"{out}_tf", outputCol=f"{out}_w"),
+                          Normalizer(p=2.0, inputCol=f"{out}_w", outputCol=out)])
+
+
+def word_char_features(train: DataFrame, text: str = "text", word_vocab: int = 5000, char_vocab: int = 20000,
+                       min_df: float = 2.0, n_min: int = 3, n_max: int = 5) -> PipelineModel:
+    """M4: the union of word 1-2 gram and character n-gram TF-IDF features."""
+    words = text_features(train, text, word_vocab, min_df)
+    starts = f"CASE WHEN length({text}) >= n THEN sequence(1, length({text}) - n + 1) ELSE array() END"
+    spread = SQLTransformer(statement=f"SELECT *, flatten(transform(sequence({n_min}, {n_max}), n -> transform({starts}, "
+                                      f"i -> lower(substring({text}, i, n))))) AS char_grams FROM __THIS__")
+    chars = _weighted(train, [spread], "char_grams", "char_features", char_vocab, min_df)
+    rename = SQLTransformer(statement="SELECT * EXCEPT (features), features AS word_features FROM __THIS__")
+    union = VectorAssembler(inputCols=["word_features", "char_features"], outputCol="features")
+    return PipelineModel([*words.stages, rename, *chars.stages, union])
+
+
+def logistic(C: float = 1.0, n_rows: int = 1, weight_col: str | None = "weight", max_iter: int = 2000,
              label: str = "label") -> LogisticRegression:
-    """M9: ``regParam = 1 / (C n)``, L2."""
-    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter,
+    """M9: ``regParam = 1 / (C n)``, L2 on the coefficients as they are."""
+    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, standardization=False,
                             regParam=1.0 / (C * max(n_rows, 1)), elasticNetParam=0.0)
     if weight_col:
         lr.setWeightCol(weight_col)
     return lr
 
 
-def gbt(max_iter: int = 30, depth: int = 5, step: float = 0.06, label: str = "label") -> GBTClassifier:
+def gbt(max_iter: int = 300, depth: int = 5, step: float = 0.06, label: str = "label") -> GBTClassifier:
     """M10 (histogram-based by construction, ``maxBins``); binary labels."""
     return GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=depth, stepSize=step, seed=42)
 
 
-def ridge(reg: float = 1.0, n_rows: int = 1, label: str = "label") -> LinearRegression:
-    """ridge = L2-penalised least squares."""
-    return LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0, regParam=reg / max(n_rows, 1))
+def ridge(alpha: float = 1.0, n_rows: int = 1, label: str = "label") -> LinearRegression:
+    """Least squares plus ``alpha`` times the squared coefficients (Spark
+    averages its loss over the ``n_rows`` training rows, hence alpha / n)."""
+    return LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0, standardization=False,
+                            regParam=alpha / max(n_rows, 1))
 
 
 def with_probabilities(pred: DataFrame) -> DataFrame:
@@ -114,3 +164,25 @@ def save_model(model: PipelineModel, path: str) -> PipelineModel:
 
 def fit_pipeline(stages: list, df: DataFrame) -> PipelineModel:
     return Pipeline(stages=stages).fit(df)
+
+
+def refit_and_grade(variants: dict[str, DataFrame], key: str, label: str, fit, valid: Column, test_fraction: float = 0.2,
+                    seed: int = 42) -> DataFrame:
+    """Of every variant of a batch (clean, corrupted, cleaned): split by
+    class, REFIT on its valid training rows and grade the valid test rows.
+
+    ``fit(train)`` returns a fitted model whose ``transform`` adds ``prediction``;
+    ``valid`` is the mask of usable rows.  One row per variant: train_total,
+    train_valid, test_total, test_valid, accuracy, precision, recall, f1.
+    """
+    out = None
+    for name, df in variants.items():
+        parts = split_stratified(df.withColumn("_tm_ok", F.coalesce(valid, F.lit(False))), label, key, test_fraction, seed)
+        of = lambda which: parts.filter(F.col("split") == which)
+        counts = parts.agg(*[F.count_if((F.col("split") == w) & ok).alias(f"{w}_{kind}") for w in ("train", "test")
+                             for kind, ok in (("total", F.lit(True)), ("valid", F.col("_tm_ok")))])
+        model = fit(of("train").filter("_tm_ok"))
+        graded = weighted_prf(model.transform(of("test").filter("_tm_ok")), label, "prediction")
+        row = F.broadcast(counts).crossJoin(graded).select(F.lit(name).alias("variant"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamis.functions.fmt import sig, sig_sql
+from tamis.functions.keys import sql_hash
+from tamis.operators import corrupt as C
 from tamis.operators import features as FT
 from tamis.operators import models as M
+from tamis.operators import repair as R
 from tamis.operators import sampling as S
 from tamis.plans.registry import query
-from tamis.sources.tables import MIXED_SQL, materialized, mixed, table, text_table, trip
+from tamis.plans.sqlkit import key_sql, mask_sql
+from tamis.sources.tables import MIXED_SQL, TRIP_SQL, materialized, mixed, table, text_table, trip
 
 
 def _tfidf_sql(src: str, terms_sql: str, min_df=2, max_df=1.0, max_features=5000, sublinear=False) -> str:
@@ -71,29 +75,18 @@ def char_ngram_tfidf(spark, sf_dir):
 
 # -- Spark ML (rows-only checks: model fits are not SQL-expressible) ---------------------------
 
-def _onehot_sql() -> str:
-    def cat(c):
-        return f"""{c}_s AS (SELECT {c} AS v, c / n AS m, sqrt((c * (1 - c / n) * (1 - c / n) + (n - c) * (c / n) * (c / n)) / (n - 1)) AS s
-              FROM (SELECT {c}, count(*)::DOUBLE AS c FROM x GROUP BY 1), (SELECT count(*)::DOUBLE AS n FROM x)),
-{c}_t AS (SELECT sum(CASE WHEN s > 0 THEN m / s ELSE 0 END) AS tot, count(*) AS k FROM {c}_s)"""
-    total = ("(o_totalprice - mp) / sp + (c_acctbal - ma) / sa"
-             " + CASE WHEN g.s > 0 THEN 1 / g.s ELSE 0 END - c_mktsegment_t.tot"
-             " + CASE WHEN q.s > 0 THEN 1 / q.s ELSE 0 END - o_orderpriority_t.tot")
-    return f"""
+ONEHOT_SQL = f"""
 WITH x AS (SELECT o_orderkey, o_totalprice, c_acctbal, c_mktsegment, o_orderpriority FROM {MIXED_SQL}),
-st AS (SELECT avg(o_totalprice) AS mp, stddev_samp(o_totalprice) AS sp, avg(c_acctbal) AS ma, stddev_samp(c_acctbal) AS sa FROM x),
-{cat('c_mktsegment')},
-{cat('o_orderpriority')}
-SELECT o_orderkey, (2 + c_mktsegment_t.k + 2 + o_orderpriority_t.k + 2)::INTEGER AS width, {sig_sql(total, 8)} AS feature_sum
-FROM x, st, c_mktsegment_t, o_orderpriority_t, c_mktsegment_s g, o_orderpriority_s q
-WHERE g.v = x.c_mktsegment AND q.v = x.o_orderpriority"""
+st AS (SELECT avg(o_totalprice) AS mp, stddev_samp(o_totalprice) AS sp, avg(c_acctbal) AS ma, stddev_samp(c_acctbal) AS sa,
+              count(DISTINCT c_mktsegment) + count(DISTINCT o_orderpriority) AS k FROM x)
+SELECT o_orderkey, (2 + k)::INTEGER AS width, {sig_sql('(o_totalprice - mp) / sp + (c_acctbal - ma) / sa + 2', 8)} AS feature_sum
+FROM x, st"""
 
 
-@query("onehot_scaled", _onehot_sql())
+@query("onehot_scaled", ONEHOT_SQL)
 def onehot_scaled(spark, sf_dir):
-    """Index (alphabetical, unknown kept), one-hot, assemble,
-    mean-centred scaling (sample deviation, as Spark ML) of the mixed table;
-    per order the vector width and the sum of its scaled features."""
+    """Categories one-hot, numerics mean-centred and scaled (sample
+    deviation, as Spark ML); per order the vector width and the sum of its features."""
     m = mixed(spark, sf_dir)
     model = M.fit_pipeline(M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment", "o_orderpriority"]), m)
     out = model.transform(m)
@@ -106,11 +99,11 @@ def logreg_scores(spark, sf_dir):
     """M1 + M9 + M12: TF-IDF and balanced logistic regression on the text
     table (80/20 keyed split); per test row the probability, arg-max and max."""
     t = S.split_random(text_table(spark, sf_dir), "doc_id", 0.8)
-    t = M.balanced_weights(t, "label")
     train = t.filter(F.col("split") == "train")
-    n = train.count()
-    model = M.fit_pipeline([*M.text_features("text", vocab=5000, min_df=2.0), M.logistic(C=1.0, n_rows=n)], train)
-    pred = M.with_probabilities(model.transform(t.filter(F.col("split") == "test")))
+    features = M.text_features(train, "text", vocab=5000, min_df=2.0)
+    ready = materialized(M.balanced_weights(features.transform(train), "label").select("features", "label", "weight"))
+    model = M.logistic(C=1.0, n_rows=ready.count()).fit(ready)
+    pred = M.with_probabilities(model.transform(features.transform(t.filter(F.col("split") == "test"))))
     return pred.select("doc_id", "label", F.col("prediction").cast("int").alias("prediction"), "argmax", "max_proba")
 
 
@@ -119,7 +112,8 @@ def gbt_scores(spark, sf_dir):
     """Gradient-boosted trees on the mixed numerics and categories."""
     m = S.split_random(mixed(spark, sf_dir), "o_orderkey", 0.8)
     stages = M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment", "o_orderpriority"], scale=False)
-    model = M.fit_pipeline([*stages, M.gbt(max_iter=10, depth=4)], m.filter(F.col("split") == "train"))
+    model = M.fit_pipeline([*stages, M.gbt(max_iter=60)]  # fewer rounds than the default of 300
+                           , m.filter(F.col("split") == "train"))
     pred = model.transform(m.filter(F.col("split") == "test"))
     return pred.select("o_orderkey", "label", F.col("prediction").cast("int").alias("prediction"))
 
@@ -133,7 +127,7 @@ def ridge_duration(spark, sf_dir):
                        "trip_id", 0.8)
     train = t.filter(F.col("split") == "train")
     stages = M.tabular_preprocessor(["distance", "fare", "discount", "tax"], ["flag"])
-    model = M.fit_pipeline([*stages, M.ridge(1.0, 1, label="duration_minutes")], train)
+    model = M.fit_pipeline([*stages, M.ridge(1.0, train.count(), label="duration_minutes")], train)
     pred = model.transform(t.filter(F.col("split") == "test"))
     return mae_rmse(pred, "duration_minutes", "prediction")
 
@@ -146,7 +140,7 @@ def cv_accuracy(spark, sf_dir):
     pre = M.fit_pipeline(M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment", "o_orderpriority"]), m)
     # the folds are fitted many times: their features are written once
     feats = materialized(pre.transform(m).select("features", "label", "fold"))
-    lr = M.logistic(C=1.0, n_rows=1, weight_col=None, max_iter=20)
+    lr = M.logistic(weight_col=None)
     cv = M.cross_validated(lr, lr.regParam, [0.01, 0.1], folds=5, fold_col="fold").setParallelism(4).fit(feats)
     return spark.createDataFrame([(float(r), float(a)) for r, a in zip([0.01, 0.1], cv.avgMetrics)],
                                  "reg_param double, cv_accuracy double")
@@ -160,10 +154,59 @@ def model_roundtrip(spark, sf_dir):
     import uuid
     m = mixed(spark, sf_dir)
     model = M.fit_pipeline([*M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment"]),
-                            M.logistic(1.0, 1, weight_col=None)], m)
+                            M.logistic(1.0, m.count(), weight_col=None)], m)
     path = f"{ensure_checkpoint_dir(spark)}/models/{uuid.uuid4().hex}"
     loaded = M.save_model(model, path)
     a = model.transform(m).select("o_orderkey", F.col("prediction").alias("p1"))
     b = loaded.transform(m).select("o_orderkey", F.col("prediction").alias("p2"))
     j = a.join(b, "o_orderkey")
     return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p2")).alias("agree"))
+
+
+_RIDGE_SQL = f"""
+WITH t AS (SELECT distance AS x, fare AS y FROM {TRIP_SQL} WHERE distance IS NOT NULL AND fare IS NOT NULL),
+m AS (SELECT avg(x) AS mx, avg(y) AS my FROM t)
+SELECT {sig_sql('b', 6)} AS slope, {sig_sql('my - b * mx', 6)} AS intercept
+FROM (SELECT mx, my, sum((x - mx) * (y - my)) / (sum((x - mx) * (x - mx)) + 1000.0) AS b FROM t, m GROUP BY mx, my)"""
+
+
+@query("ridge_coefficients", _RIDGE_SQL)
+def ridge_coefficients(spark, sf_dir):
+    """Ridge of the fare on the distance (alpha 1000), against the closed form."""
+    t = trip(spark, sf_dir).select("distance", F.col("fare").alias("label")).dropna()
+    model = M.fit_pipeline([M.VectorAssembler(inputCols=["distance"], outputCol="features"), M.ridge(1000.0, t.count())], t)
+    fit = model.stages[-1]
+    row = spark.createDataFrame([(float(fit.coefficients[0]), float(fit.intercept))], "slope double, intercept double")
+    return row.select(sig("slope", 6).alias("slope"), sig("intercept", 6).alias("intercept"))
+
+
+_REFIT_SQL = f"""
+WITH base AS (SELECT o_orderkey, o_totalprice, label FROM {MIXED_SQL}),
+c AS (SELECT o_orderkey, CASE WHEN {mask_sql(key_sql('o_orderkey'), 0.3, salt='mcar:o_totalprice')} THEN NULL ELSE o_totalprice END AS o_totalprice,
+             label FROM base),
+v AS (SELECT 'clean' AS variant, * FROM base UNION ALL SELECT 'corrupted', * FROM c
+      UNION ALL SELECT 'cleaned', o_orderkey, coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM c)), label FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY variant, label ORDER BY {sql_hash(key_sql('o_orderkey'), 42, 'strat')}, {key_sql('o_orderkey')})
+        <= floor(count(*) OVER (PARTITION BY variant, label) * 0.2::DOUBLE) AS test FROM v)
+SELECT variant, count(*) FILTER (WHERE NOT test) AS train_total, count(*) FILTER (WHERE NOT test AND o_totalprice IS NOT NULL) AS train_valid,
+       count(*) FILTER (WHERE test) AS test_total, count(*) FILTER (WHERE test AND o_totalprice IS NOT NULL) AS test_valid
+FROM r GROUP BY 1"""
+
+
+def refit_report(spark, sf_dir):
+    """E8 / E9 on the mixed table: clean, corrupted (missing prices) and cleaned
+    (median) variants, a logistic regression refitted on each."""
+    base = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal", "c_mktsegment", "label")
+    bad = C.missing_values(base, "o_orderkey", ["o_totalprice"], 0.3)
+    variants = {"clean": base, "corrupted": bad, "cleaned": R.fill_median(bad, ["o_totalprice"])}
+
+    def fit(train):
+        pre = M.tabular_preprocessor(["o_totalprice", "c_acctbal"], ["c_mktsegment"])
+        return M.fit_pipeline([*pre, M.logistic(1.0, train.count(), weight_col=None)], train)
+    return M.refit_and_grade(variants, "o_orderkey", "label", fit, F.col("o_totalprice").isNotNull())
+
+
+@query("refit_counts", _REFIT_SQL)
+def refit_counts(spark, sf_dir):
+    """The four row counts of every refitted variant."""
+    return refit_report(spark, sf_dir).select("variant", "train_total", "train_valid", "test_total", "test_valid")

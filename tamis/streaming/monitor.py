@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tamis.functions.frames import join_null_safe
 from tamis.functions.keys import hash_hex, hex_uniform
@@ -142,7 +143,7 @@ def run_updates(stream: DataFrame, name: str, keys: list[str], out_dir: str | No
 
     finish(stream.writeStream.outputMode("update").foreachBatch(handle)
            .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start(), timeout_s)
-    written = spark.read.schema(stream.schema.add("batch_id", "bigint")).parquet(f"{base}/updates")
+    written = spark.read.schema(StructType([*stream.schema.fields, StructField("batch_id", LongType())])).parquet(f"{base}/updates")
     last = written.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch_id").alias("last"))
     return last.select(*keys, "last.*").select(*stream.columns)
 
