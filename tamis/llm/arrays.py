@@ -25,6 +25,13 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def rows_of(batch, *names: str):
+    """The rows of an Arrow batch as tuples, some hundred at a time as Python objects."""
+    for lo in range(0, batch.num_rows, 512):
+        part = batch.slice(lo, 512)
+        yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads them evenly."""
     x = np.array(x, np.uint64)

@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.arrays import WordHashes, by_part, mix, pack, runs, unpack, unpack_all
+from tamis.llm.arrays import WordHashes, by_part, mix, pack, rows_of, runs, unpack, unpack_all
 from tamis.llm.store import new_folder, open_array, save_array, text_bytes
 
 #: bytes of text for each part of the model, and the least number of parts
 PART_BYTES = 8 << 20
 MIN_PARTS = 64
 #: tokens that a task counts or scores at once
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 _END = b""  # no word is empty
 _STATS = ("total", "once", "twice", "more")
 
@@ -73,18 +73,13 @@ def _chunks(batches):
     hashes, texts, heads, n = WordHashes(), [], [], 0
 
     def chunk():
-        counts = np.array([len(t) + 1 for t in texts], np.int64)
-        words = hashes.of([w for t in texts for w in (*t, _END)])
-        return words, counts, heads
+        return np.concatenate(texts), np.array([len(t) for t in texts], np.int64), heads
 
     for batch in batches:
-        names = [c for c in batch.schema.names if c != "text"]
-        rest = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True)) if names else [()] * len(batch)
-        for head, text in zip(rest, batch.column("text").to_pylist(), strict=True):
-            words = (text or b"").lower().split()
-            texts.append(words)
+        for *head, text in rows_of(batch, *[c for c in batch.schema.names if c != "text"], "text"):
+            texts.append(hashes.of([*(text or b"").lower().split(), _END]))
             heads.append(head)
-            n += len(words) + 1
+            n += len(texts[-1])
             if n >= CHUNK:
                 yield chunk()
                 texts, heads, n = [], [], 0
