@@ -109,4 +109,65 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_kneser_ney, op2_best_fit_packing, op3_compression_langid, op4_extendible_sharding, op5_simhash,
     op6_decontamination, op7_chat_format, op8_substring_dedup, op9_fingerprints, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+
+# -- DuckDB SQL, where SQL expresses the operator --------------------------------
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4_SQL = f"""
+WITH r AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS b,
+                  lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits FROM documents),
+p AS (SELECT substr(bits, 1, d) AS shard, d, sum(b)::BIGINT AS s, count(*) AS n FROM r, range(0, 41) t(d) GROUP BY 1, 2),
+f AS (SELECT r.doc_id, b, shard, d, s, n, row_number() OVER (PARTITION BY r.doc_id ORDER BY d) AS k
+      FROM r JOIN p ON substr(bits, 1, d) = shard WHERE s <= {sharding.MAX_BYTES} OR n = 1)
+SELECT doc_id, b AS n_bytes, shard, d::INTEGER AS depth, s AS shard_bytes, n AS shard_rows,
+       s > {sharding.MAX_BYTES} AS oversized FROM f WHERE k = 1"""
+
+_TEST_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP6_SQL = f"""
+WITH b AS (SELECT item_id, ws, least({decontaminate.WINDOW}, len(ws)) AS k
+           FROM (SELECT item_id, {_TEST_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g
+      FROM b, unnest(range(1, len(ws) - k + 2)) t(i)),
+ks AS (SELECT DISTINCT k FROM w),
+d AS (SELECT doc_id, {_TEST_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g
+      FROM (SELECT doc_id, ws, k FROM d, ks) x, unnest(range(1, len(ws) - k + 2)) t(i)),
+h AS (SELECT DISTINCT doc_id, k, i, item_id FROM g JOIN w USING (k, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY 1),
+its AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM h GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256,
+       coalesce(n, 0) > 0 AND {decontaminate.COVERAGE} * coalesce(n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+_CONFLICT = r"([<\[])(\\*)(/?s>|</?SYS>>|/?INST\]|/?TURN\])"
+
+OP7_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
+e AS (SELECT *, CASE r WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+                     ELSE 14 + length(url_encode(r)) END AS marks,
+             length(regexp_extract_all(t, '{_CONFLICT}')) AS conflicts FROM c),
+a AS (SELECT conv_id, count(*) AS n_turns,
+             sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+             coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (WHERE r = 'assistant'), '') AS loss,
+             sum(marks + length(t) + conflicts)::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + {substring.WINDOW - 1}), ' ')) AS g
+      FROM d, unnest(range(1, len(ws) - {substring.WINDOW - 2})) t(i)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substring.WINDOW})) AS j FROM f WHERE k > 1),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n FROM x ANTI JOIN gone USING (doc_id, j) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+ORACLES: dict[str, str] = {
+    "op4_extendible_sharding": OP4_SQL, "op6_decontamination": OP6_SQL, "op7_chat_format": OP7_SQL,
+    "op8_substring_dedup": OP8_SQL,
+}
