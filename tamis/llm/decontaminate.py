@@ -166,7 +166,8 @@ def _blocks(bench: DataFrame, block_words: int) -> int:
 def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS,
           text: str = "text", out: str = "match") -> DataFrame:
     """``docs`` with a column ``out``: struct of n_words, n_hit, items (ids, sorted), spans
-    (start and end word of each hit span), longest (longest match, in words) and clean_text."""
+    (start and end word of each hit span), longest (longest match, in words) and clean_text
+    (the text without them; null where nothing was removed)."""
     spark = docs.sparkSession
     n_blocks = _blocks(bench, block_words)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
@@ -185,7 +186,7 @@ _RESULT = "n_words long, n_hit long, items array<long>, spans array<array<int>>,
 
 
 def _result(text, n_words, longest, spans, items):
-    clean = remove_spans(text, spans) if spans else text
+    clean = remove_spans(text, spans) if spans else None
     return n_words, sum(b - a for a, b in spans), sorted(items), spans, longest, clean
 
 
