@@ -70,11 +70,18 @@ def js_distance(base: DataFrame, batch: DataFrame, col: str, eps: float = 1e-10)
     return a.agg(F.sqrt(F.greatest(F.sum(kl) / 2, F.lit(0.0))).alias("js_distance"))
 
 
-def _kolmogorov_sf(lam: Column, terms: int = 100) -> Column:
-    """Q(lambda) = 2 sum_{k>=1} (-1)^(k-1) exp(-2 k^2 lambda^2), clipped to [0, 1]."""
+def _kolmogorov_sf(lam: Column, terms: int = 20) -> Column:
+    """Q(lambda) = 2 sum_{k>=1} (-1)^(k-1) exp(-2 k^2 lambda^2), clipped to [0, 1].
+
+    Below 1 the complementary series 1 - sqrt(2 pi) / lambda * sum exp(-(2k-1)^2 pi^2 /
+    (8 lambda^2)) is used: each converges to double precision within ``terms`` there."""
     ks = F.sequence(F.lit(1), F.lit(terms))
-    s = F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(F.lit(-2.0) * k * k * lam * lam))
-    return F.when(lam <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(F.lit(2.0) * s, F.lit(0.0)), F.lit(1.0)))
+    upper = F.lit(2.0) * F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(
+        F.lit(-2.0) * k * k * lam * lam))
+    lower = F.lit(1.0) - F.lit(math.sqrt(2 * math.pi)) / lam * F.aggregate(ks, F.lit(0.0), lambda acc, k: acc + F.exp(
+        -(F.lit(2) * k - 1) * (F.lit(2) * k - 1) * F.lit(math.pi ** 2 / 8) / (lam * lam)))
+    q = F.when(lam <= 0, F.lit(1.0)).when(lam < 1, lower).otherwise(upper)
+    return F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0))
 
 
 def ks_two_sample(a: DataFrame, b: DataFrame, col: str, partitions: int | None = None) -> DataFrame:

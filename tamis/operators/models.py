@@ -129,11 +129,14 @@ def gbt(max_iter: int = 300, depth: int = 5, step: float = 0.06, label: str = "l
     return GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=depth, stepSize=step, seed=42)
 
 
-def ridge(alpha: float = 1.0, n_rows: int = 1, label: str = "label") -> LinearRegression:
-    """Least squares plus ``alpha`` times the squared coefficients (Spark
-    averages its loss over the ``n_rows`` training rows, hence alpha / n)."""
+def ridge(train: DataFrame, alpha: float = 1.0, label: str = "label") -> LinearRegression:
+    """Least squares plus ``alpha`` times the squared coefficients.
+
+    Spark averages its loss over the rows and solves for the label divided by its
+    standard deviation, so its parameter is ``alpha * deviation / n``; both are read from ``train``."""
+    row = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("deviation")).first()
     return LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0, standardization=False,
-                            regParam=alpha / max(n_rows, 1))
+                            solver="normal", regParam=alpha * (row["deviation"] or 0.0) / max(row["n"], 1))
 
 
 def with_probabilities(pred: DataFrame) -> DataFrame:

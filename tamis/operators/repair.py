@@ -11,7 +11,7 @@ across every map task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,6 +151,52 @@ def swap_back_votes(df: DataFrame, title: str = "title", content: str = "content
     return _swap(df, title, content, votes >= 2, flag)
 
 
+# -- repairs by a scorer (R15, R17-R19) ----------------------------------------------
+
+def swap_back_confident(df: DataFrame, confidence: Callable[[Column], Column], title: str = "title",
+                        content: str = "content", margin: float = 0.02, flag: str | None = None) -> DataFrame:
+    """Swap where the scorer is more confident on the swapped text by ``margin``;
+    ``confidence`` maps a text column to a confidence (both are scored in one projection)."""
+    return _swap(df, title, content, confidence(F.col(title)) > confidence(F.col(content)) + F.lit(margin), flag)
+
+
+def label_noise(label: str = "label", pred: str = "pred", conf: str = "conf", threshold: float = 0.85,
+                strict: bool = False) -> Column:
+    """R17 / R18 mask: the scorer disagrees with the label with a confidence of at
+    least (``strict``: above) ``threshold``; null counts as agreement."""
+    sure = F.col(conf) > threshold if strict else F.col(conf) >= threshold
+    return F.coalesce((F.col(pred) != F.col(label)) & sure, F.lit(False))
+
+
+def drop_label_noise(scored: DataFrame, threshold: float = 0.8, **names) -> DataFrame:
+    """Scored rows without the confidently contradicted ones."""
+    return scored.filter(~label_noise(threshold=threshold, strict=True, **names))
+
+
+def quarantine_label_noise(scored: DataFrame, threshold: float = 0.85, pred: str = "pred", **names) -> DataFrame:
+    """Every scored row with ``noisy_flag`` and the ``proposed_label``."""
+    return scored.withColumn("noisy_flag", label_noise(threshold=threshold, pred=pred, **names)).withColumnRenamed(
+        pred, "proposed_label")
+
+
+def confident_issues(scored: DataFrame, probabilities: dict, label: str = "label", threshold: float = 0.98) -> DataFrame:
+    """Add ``issue`` and ``removed``.
+
+    ``probabilities`` maps each class to the column of its (out-of-fold) probability.  A
+    class's threshold is its mean probability over its own rows; the most probable
+    class above its threshold (the larger class on ties) is the one given, and an issue
+    where it differs from the label; issues whose largest probability reaches
+    ``threshold`` are removed."""
+    own = [F.avg(F.when(F.col(label) == F.lit(c), F.col(p))).alias(f"t{i}") for i, (c, p) in enumerate(probabilities.items())]
+    means = learn(scored, *own)
+    given = [F.when(F.col(p) >= F.lit(means[f"t{i}"]), F.struct(F.col(p).alias("p"), F.lit(c).alias("c")))
+             for i, (c, p) in enumerate(probabilities.items()) if means[f"t{i}"] is not None]
+    best = F.array_max(F.array(*given))["c"] if given else F.lit(None)
+    issue = F.coalesce(best != F.col(label), F.lit(False))
+    largest = F.array_max(F.array(*[F.col(p) for p in probabilities.values()]))
+    return scored.withColumn("issue", issue).withColumn("removed", F.col("issue") & (largest >= threshold))
+
+
 # shares into which the rows of one duplicate group are dealt
 _SALTS = 16
 

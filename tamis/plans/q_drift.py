@@ -62,7 +62,7 @@ c AS (SELECT abs(sum(na) OVER w / n.n_a - sum(nb) OVER w / n.n_b) AS d FROM g, n
 s AS (SELECT n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, (SELECT max(d) FROM c) AS ks_statistic FROM n),
 l AS (SELECT *, sqrt(n_a * n_b / (n_a + n_b)::DOUBLE) * ks_statistic AS lam FROM s)
 SELECT n_a, n_b, {sig_sql('ks_statistic')} AS ks_statistic,
-  {sig_sql('CASE WHEN lam <= 0 THEN 1.0 ELSE least(greatest(2.0 * (SELECT sum(pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) r(k)), 0.0), 1.0) END', 8)} AS ks_pvalue
+  {sig_sql('least(greatest(CASE WHEN lam <= 0 THEN 1.0 WHEN lam < 1 THEN 1.0 - sqrt(2 * pi()) / lam * (SELECT sum(exp(-(2.0 * k - 1) * (2.0 * k - 1) * pi() * pi() / (8 * lam * lam))) FROM range(1, 21) r(k)) ELSE 2.0 * (SELECT sum(pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 21) r(k)) END, 0.0), 1.0)', 8)} AS ks_pvalue
 FROM l"""
 
 

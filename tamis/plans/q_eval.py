@@ -38,7 +38,7 @@ def experiments(spark, sf_dir) -> DataFrame:
     mc = C.missing_values(base, "doc_id", ["content"], 0.3)
     tr = C.text_length_limit(base, "doc_id", ["content"], 50, fraction=0.5)
     ln = C.label_flip(base, "doc_id", "label", 0.3)
-    ln_clean = SCORER.score(ln).filter(~((F.col("pred") != F.col("label")) & (F.col("conf") > 0.8)))
+    ln_clean = R.drop_label_noise(SCORER.score(ln), 0.8)
     parts = [tag(base, "baseline", "CLEAN"),
              tag(mc, "missing_content", "CORRUPTED"), tag(R.fill_from_title(mc), "missing_content", "CLEANED"),
              tag(tr, "truncation", "CORRUPTED"), tag(R.short_text_backoff(tr), "truncation", "CLEANED"),
@@ -286,8 +286,7 @@ def label_noise_flag(spark, sf_dir):
     """Quarantine flags (model disagrees with confidence >= 0.85),
     proposed label and confidence; rows kept."""
     x = SCORER.score(C.label_flip(text_table(spark, sf_dir).select("doc_id", "content", "label"), "doc_id", "label", 0.3))
-    x = x.withColumn("noisy_flag", (F.col("pred") != F.col("label")) & (F.col("conf") >= 0.85)) \
-         .withColumnRenamed("pred", "proposed_label")
+    x = R.quarantine_label_noise(x, 0.85)
     return x.groupBy("noisy_flag", "proposed_label", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -301,16 +300,8 @@ def confident_issues(spark, sf_dir):
     """Confident-learning label issues (per-class thresholds = mean
     own-class probability) and removal when max probability >= 0.98."""
     x = SCORER.score(C.label_flip(text_table(spark, sf_dir).select("doc_id", "content", "label"), "doc_id", "label", 0.3))
-    x = x.withColumn("p0", F.lit(1.0) - F.col("p1"))
-    th = x.agg(F.avg(F.when(F.col("label") == 1, F.col("p1"))).alias("t1"),
-               F.avg(F.when(F.col("label") == 0, F.col("p0"))).alias("t0")).first()
-    t1 = F.lit(th["t1"]) if th["t1"] is not None else F.lit(2.0)
-    t0 = F.lit(th["t0"]) if th["t0"] is not None else F.lit(2.0)
-    given = (F.when((F.col("p1") >= t1) & (F.col("p0") >= t0), (F.col("p1") >= F.col("p0")).cast("int"))
-              .when(F.col("p1") >= t1, F.lit(1)).when(F.col("p0") >= t0, F.lit(0)))
-    issue = F.coalesce(given != F.col("label"), F.lit(False))
-    return x.groupBy(issue.alias("issue"), (issue & (F.greatest("p1", "p0") >= 0.98)).alias("removed")).agg(
-        F.count(F.lit(1)).alias("n"))
+    x = R.confident_issues(x.withColumn("p0", F.lit(1.0) - F.col("p1")), {0: "p0", 1: "p1"})
+    return x.groupBy("issue", "removed").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("swap_back_score", f"""
@@ -323,9 +314,7 @@ def swap_back_score(spark, sf_dir):
     """Swap back when the scorer is more confident on the swapped text
     by a 0.02 margin (both variants scored in the same projection)."""
     s = C.swap_columns(document_table(spark, sf_dir).select("doc_id", "title", "content"), "doc_id", "title", "content", 0.05)
-    c_orig = F.greatest(SCORER.prob1(F.col("content")), F.lit(1.0) - SCORER.prob1(F.col("content")))
-    c_swap = F.greatest(SCORER.prob1(F.col("title")), F.lit(1.0) - SCORER.prob1(F.col("title")))
-    r = R._swap(s, "title", "content", c_swap > c_orig + F.lit(0.02), "swapped")
+    r = R.swap_back_confident(s, lambda x: F.greatest(SCORER.prob1(x), F.lit(1.0) - SCORER.prob1(x)), flag="swapped")
     return r.groupBy("swapped").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -13,7 +13,7 @@ from tamis.operators import repair as R
 from tamis.operators import sampling as S
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import MIXED_SQL, TRIP_SQL, materialized, mixed, table, text_table, trip
+from tamis.sources.tables import MIXED_SQL, TRIP_SQL, materialized, mixed, spread, table, text_table, trip
 
 
 def _tfidf_sql(src: str, terms_sql: str, min_df=2, max_df=1.0, max_features=5000, sublinear=False) -> str:
@@ -41,7 +41,8 @@ WORDS_SQL = ("list_concat(a, CASE WHEN len(a) >= 2 THEN list_transform(range(1,
 def word_tfidf(spark, sf_dir):
     """M1: word 1-2 gram TF-IDF (min_df 2, 5,000 features, smoothed idf + 1,
     L2 norm) over every whole document; per-document top term."""
-    d = table(spark, sf_dir, "documents").select("doc_id", FT.tokens(F.col("text")).alias("toks"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
+        "doc_id", FT.tokens(F.col("text")).alias("toks"))
     w = FT.tfidf(d, "doc_id", FT.with_bigrams(F.col("toks")), min_df=2, max_features=5000)
     t = FT.top_terms(w, "doc_id")
     return t.select("doc_id", "n_terms", sig("max_weight").alias("max_weight"), "top_term")
@@ -52,7 +53,7 @@ def word_tfidf(spark, sf_dir):
     min_df=2, max_df=0.95, max_features=10000, sublinear=True))
 def word_tfidf_sublinear(spark, sf_dir):
     """M2: unigram variant with max_df 0.95, 10,000 features, sublinear tf."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     w = FT.tfidf(d, "doc_id", FT.tokens(F.col("text")), min_df=2, max_df=0.95, max_features=10000, sublinear=True)
     t = FT.top_terms(w, "doc_id")
     return t.select("doc_id", "n_terms", sig("max_weight").alias("max_weight"), "top_term")
@@ -67,7 +68,7 @@ CHAR_SQL = ("list_concat(" + ", ".join(
                                       min_df=2, max_features=20000))
 def char_ngram_tfidf(spark, sf_dir):
     """M3: character 3-5 gram TF-IDF of every whole text."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("s"))
+    t = spread(table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("s")), "doc_id")
     w = FT.tfidf(t, "doc_id", FT.char_ngrams(F.col("s"), 3, 5), min_df=2, max_features=20000)
     r = FT.top_terms(w, "doc_id")
     return r.select("doc_id", "n_terms", sig("max_weight").alias("max_weight"), "top_term")
@@ -127,7 +128,7 @@ def ridge_duration(spark, sf_dir):
                        "trip_id", 0.8)
     train = t.filter(F.col("split") == "train")
     stages = M.tabular_preprocessor(["distance", "fare", "discount", "tax"], ["flag"])
-    model = M.fit_pipeline([*stages, M.ridge(1.0, train.count(), label="duration_minutes")], train)
+    model = M.fit_pipeline([*stages, M.ridge(train, 1.0, label="duration_minutes")], train)
     pred = model.transform(t.filter(F.col("split") == "test"))
     return mae_rmse(pred, "duration_minutes", "prediction")
 
@@ -174,7 +175,7 @@ FROM (SELECT mx, my, sum((x - mx) * (y - my)) / (sum((x - mx) * (x - mx)) + 1000
 def ridge_coefficients(spark, sf_dir):
     """Ridge of the fare on the distance (alpha 1000), against the closed form."""
     t = trip(spark, sf_dir).select("distance", F.col("fare").alias("label")).dropna()
-    model = M.fit_pipeline([M.VectorAssembler(inputCols=["distance"], outputCol="features"), M.ridge(1000.0, t.count())], t)
+    model = M.fit_pipeline([M.VectorAssembler(inputCols=["distance"], outputCol="features"), M.ridge(t, 1000.0)], t)
     fit = model.stages[-1]
     row = spark.createDataFrame([(float(fit.coefficients[0]), float(fit.intercept))], "slope double, intercept double")
     return row.select(sig("slope", 6).alias("slope"), sig("intercept", 6).alias("intercept"))

@@ -93,3 +93,10 @@ def test_duplicates_with_a_hot_null_and_long_key(spark):
     # two groups with the same order value keep a row each
     same = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1), (None, 1), (None, 1)], "a string, o int")
     assert sorted(map(str, (r[0] for r in R.dedup_keep_first(same.distinct(), ["a"], ["o"]).collect()))) == ["None", "p", "q"]
+
+
+def test_kolmogorov_p_values(spark):
+    from tamis.operators.drift import _kolmogorov_sf
+    want = {0.005: 1.0, 0.01: 1.0, 0.3: 0.99999069, 0.5: 0.96394524, 1.0: 0.26999967, 1.36: 0.04948588, 2.0: 0.00067092525}
+    got = spark.createDataFrame([(x,) for x in want], "x double").select("x", _kolmogorov_sf(F.col("x")).alias("p")).collect()
+    assert all(abs(r["p"] - want[r["x"]]) < 1e-6 for r in got)
