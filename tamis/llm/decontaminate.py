@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.store import small_batches
+
 WINDOW = 13
 BLOCK_WORDS = 500_000
 COVERAGE = 20  # contaminated: COVERAGE * n_hit >= n_words
@@ -169,6 +171,7 @@ def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words:
     (start and end word of each hit span), longest (longest match, in words) and clean_text
     (the text without them; null where nothing was removed)."""
     spark = docs.sparkSession
+    small_batches(spark)
     n_blocks = _blocks(bench, block_words)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
     found = []

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.arrays import WordHashes, by_part, mix, pack, rows_of, runs, unpack, unpack_all
-from tamis.llm.store import new_folder, open_array, save_array, text_bytes
+from tamis.llm.store import new_folder, open_array, save_array, small_batches, text_bytes
 
 #: bytes of text for each part of the model, and the least number of parts
 PART_BYTES = 8 << 20
@@ -260,6 +260,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, ...]:
 def train(texts: DataFrame) -> Model:
     """Count the texts (column text) and write the model to the shared folder."""
     spark = texts.sparkSession
+    small_batches(spark)
     folder = new_folder(spark, "model")
     parts = max(MIN_PARTS, -(-text_bytes(texts) // PART_BYTES))
     raw = texts.select(F.col("text").cast("binary").alias("text"))

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.llm.store import small_batches
+
 MAX_LANGS = 64
 SAMPLE_ROWS = 256
 EXCERPT = 1024
@@ -34,6 +36,7 @@ UNDETERMINED = "und"
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, excerpt: int = EXCERPT,
           dict_bytes: int = DICT_BYTES, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
     """Dictionary contents by language from rows (doc_id, text, lang)."""
+    small_batches(labelled.sparkSession)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = (known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
     if not langs:

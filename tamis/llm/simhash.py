@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tamis.llm.store import written
+from tamis.llm.store import small_batches, written
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -235,6 +235,7 @@ def near_groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id) of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     prints = written(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp")), "fingerprints")
     groups = near_groups(prints, max_bits)
     return prints.join(groups, "fp").select("doc_id", to_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -243,6 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
 def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one of the smallest doc_id."""
     fp, root, component, copies = (f"_{n}_of_{'_'.join(docs.columns)}" for n in ("fp", "root", "component", "copies"))
+    small_batches(docs.sparkSession)
     prints = written(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp")), "fingerprints")
     groups = near_groups(prints, max_bits).select(
         F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component),

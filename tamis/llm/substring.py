@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.arrays import WordHashes, by_part, mix, pack, runs, unpack, unpack_all
-from tamis.llm.store import new_folder, open_array, save_array, text_bytes
+from tamis.llm.arrays import WordHashes, by_part, mix, pack, rows_of, runs, unpack, unpack_all
+from tamis.llm.store import new_folder, open_array, save_array, small_batches, text_bytes
 
 WINDOW = 20
 ROWS = 2  # of counters
@@ -53,7 +53,7 @@ class Sizes:
     window: int = WINDOW
     segment: int = 1 << 23
     per_window: float = 4
-    chunk: int = 2_000_000
+    chunk: int = 1_200_000
 
 
 # -- windows -----------------------------------------------------------------
@@ -105,7 +105,7 @@ def _chunks(batches, sizes: Sizes):
     """Chunks of documents (doc_id, tag, word hashes) as _Windows with their ids and tags."""
     hashes, docs, n, size = WordHashes(), [], 0, sizes.window
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc_id, text in rows_of(batch, "doc_id", "text"):
             words = (text or b"").split()
             if len(words) < size:
                 continue
@@ -248,6 +248,7 @@ def repeated_spans(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     CRC32, spans the starts and ends of the removed words, one after the other.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     windows = text_bytes(docs) // 6 + 1  # about: sizes the sketch only
     segments = max(1, math.ceil(sizes.per_window * windows / sizes.segment))

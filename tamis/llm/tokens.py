@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm import bpe
-from tamis.llm.store import written
+from tamis.llm.arrays import rows_of
+from tamis.llm.store import small_batches, written
 
 HOT = 1 << 19
 #: pre-tokens gathered before a task hands on what it has counted
@@ -36,7 +37,7 @@ def _seen(batches):
     """Distinct pre-tokens of a task's documents, with how many documents hold each."""
     seen, n = Counter(), 0
     for batch in batches:
-        for text in batch.column("text").to_pylist():
+        for (text,) in rows_of(batch, "text"):
             found = bpe.PRE_TOKEN.findall(text or "")
             n += len(found)
             seen.update(set(found))
@@ -65,12 +66,12 @@ def _encoder(path: str):
 
 def _counter(path: str, hot) -> object:
     def count(batches):
-        known = dict(hot.value)
+        known = hot.value
         tok = bpe.load(path)
         special = bpe.added_tokens(tok)
         for batch in batches:
             sums, rare, times = [], [], []
-            for text in batch.column("text").to_pylist():
+            for (text,) in rows_of(batch, "text"):
                 text = text or ""
                 if special and special.search(text):
                     sums.append(len(tok.encode(text, add_special_tokens=False).ids))
@@ -104,6 +105,7 @@ def _cut(pieces: DataFrame, most: int) -> float:
 def count_tokens(docs: DataFrame, path: str | None = None, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, n_bytes, n_tokens) of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or bpe.default_path()
     rows = docs.select("doc_id", "text")
     seen = rows.select("text").mapInArrow(_seen, "piece string, n_docs bigint")
@@ -111,7 +113,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, hot: int = HOT) -> Da
                      .mapInArrow(_encoder(path), "piece string, n_docs bigint, n bigint"), "pieces")
     frequent = F.floor(F.log2("n_docs") * 16) >= F.lit(float(_cut(pieces, hot)))
     table = spark.sparkContext.broadcast(  # at most `hot` entries
-        [(r["piece"], r["n"]) for r in pieces.where(frequent).select("piece", "n").toLocalIterator()])
+        {r["piece"]: r["n"] for r in pieces.where(frequent).select("piece", "n").toLocalIterator()})
     counted = written(
         rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                     F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
