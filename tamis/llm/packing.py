@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm import bpe
-from tamis.llm.store import written
+from tamis.llm.arrays import rows_of
+from tamis.llm.store import small_batches, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -42,19 +43,16 @@ def _pieces(path: str, capacity: int, end_id: int):
     def cut(batches):
         tok = bpe.load(path)
         special = bpe.added_tokens(tok)
-        ids = bpe.Remembered(lambda new: [np.array(e.ids, "<u4").tobytes()
-                                          for e in tok.encode_batch_fast(new, add_special_tokens=False)])
+        ids = bpe.Remembered(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, text in rows_of(batch, "doc_id", "text"):
                 text = text or ""
                 if special and special.search(text):
                     whole = np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
                 else:
-                    found = bpe.PRE_TOKEN.findall(text)
-                    ids.learn(found)
-                    whole = b"".join(map(ids.__getitem__, found))
+                    whole = b"".join(map(ids.__getitem__, bpe.PRE_TOKEN.findall(text)))
                 whole += end
                 n = len(whole) // 4
                 first = n % capacity or capacity
@@ -72,6 +70,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
                  end_id: int = END_ID) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32), each of at most ``capacity`` ids."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _pieces(path or bpe.default_path(), capacity, end_id),
         "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
