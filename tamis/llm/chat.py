@@ -65,16 +65,21 @@ def render(turns: Column, escaped: bool) -> Column:
         turns, lambda t: _block(t["role"], escape(t["text"]) if escaped else t["text"])), "")
 
 
+def _first_that(test, marks: list[str]) -> Column:
+    """The first of the marks for which ``test`` holds."""
+    return F.coalesce(*[F.when(test(F.lit(m)), F.lit(m)) for m in marks])
+
+
 def parse(formatted: Column) -> Column:
     """The blocks of a formatted conversation: array of (role, text, open, body, close)."""
     def one(block: Column) -> Column:
-        opened = F.regexp_extract(block, _BLOCK, 1)
-        closed = F.regexp_extract(block, _BLOCK, 3)
-        body = F.regexp_extract(block, _BLOCK, 2)
+        opened = _first_that(lambda m: F.startswith(block, m), [*OPEN.values(), OPEN_OTHER])
+        closed = _first_that(lambda m: F.endswith(block, m), [*CLOSE.values(), CLOSE_OTHER])
+        body = F.substring(block, F.length(opened) + 1, F.length(block) - F.length(opened) - F.length(closed))
         role = F.when(opened == OPEN_OTHER, F.url_decode(F.substring_index(body, "\n", 1)))
         for name, mark in OPEN.items():
             role = role.when(opened == mark, F.lit(name))
-        text = F.when(opened == OPEN_OTHER, F.regexp_replace(body, r"(?s)\A[^\n]*\n", "")).otherwise(body)
+        text = F.when(opened == OPEN_OTHER, F.substring(body, F.instr(body, "\n") + 1, F.length(body))).otherwise(body)
         return F.struct(role.alias("role"), unescape(text).alias("text"),
                         opened.alias("open"), body.alias("body"), closed.alias("close"))
     return F.transform(F.regexp_extract_all(formatted, F.lit(_BLOCK), F.lit(0)), one)
