@@ -16,13 +16,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from tamis.functions.keys import hash_hex, hex_uniform, key_of, normal
 from tamis.operators.profile import learn, lit_or_null, ranked_in_range
-from tamis.operators.sampling import bernoulli_mask, exact_mask_frame, exact_masks_frame
+from tamis.operators.sampling import bernoulli_mask, exact_mask_frame, exact_masks_frame, rank_by_hash
 
 # fixed values: look-alike characters used by broken_characters
 BROKEN_FROM = "aAeEoOuU"
@@ -140,12 +140,13 @@ def swap_columns(df: DataFrame, key, column: str, swap_with: str, fraction: floa
 
 
 def permute_column(df: DataFrame, key, column: str, fraction: float = 0.01, seed: int = 42,
-                   salt: str | None = "perm", exact: bool = True, rows_per_bucket: int = 1_000_000) -> DataFrame:
+                   salt: str | None = "perm", exact: bool = True) -> DataFrame:
     """The sampled non-null values are permuted inside the column.
 
-    Sampled rows are cut into hash buckets of about ``rows_per_bucket`` rows;
-    inside a bucket, ordered by ``(hash, key)``, each row takes the next row's
-    value (cyclic).  The multiset of values is kept; no window spans the table.
+    The sampled rows, ordered by ``(hash, key)``, form one cycle at every size: each
+    takes the next row's value, the last the first one's.  Their ranks (D8) come from
+    windows over hash buckets, so no task holds the sample.  Only sampled rows are
+    shuffled; rows of an equal key are ordered by their value.
     """
     where = F.col(column).isNotNull()
     if exact:
@@ -155,16 +156,13 @@ def permute_column(df: DataFrame, key, column: str, fraction: float = 0.01, seed
     else:
         d = _mask(df, key, fraction, seed, salt, exact, where=where, rounding="half_even")
         n_s = d.agg(F.count_if("_tm_m")).first()[0]
-    k = key_of(d, key)
-    d = d.withColumn("_tm_k", k).withColumn("_tm_h", hash_hex(F.col("_tm_k"), seed, f"{salt}:order"))
-    nb = F.lit(max(1, -(-n_s // rows_per_bucket)))
-    d = d.withColumn("_tm_b", F.when(F.col("_tm_m"), F.pmod(F.conv(F.substring("_tm_h", 9, 8), 16, 10).cast("bigint"), nb)))
-    w = Window.partitionBy("_tm_b").orderBy("_tm_h", "_tm_k")
-    nxt = F.coalesce(F.lead(column).over(w), F.first(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    sampled = d.filter("_tm_m").withColumn("_tm_v", nxt)
+    ranked = rank_by_hash(d.filter("_tm_m"), key, seed, f"{salt}:order", out="_tm_r", ties=[column])
+    before = F.when(F.col("_tm_r") == 1, F.lit(n_s)).otherwise(F.col("_tm_r") - 1)
+    values = ranked.select(before.cast("bigint").alias("_tm_r"), F.col(column).alias("_tm_v"))
+    sampled = ranked.join(values, "_tm_r").drop("_tm_r")
     rest = d.filter(~F.col("_tm_m")).withColumn("_tm_v", F.col(column))
     joined = sampled.unionByName(rest)
-    return _replace(joined, {column: F.col("_tm_v")}, drop=["_tm_m", "_tm_k", "_tm_h", "_tm_b", "_tm_v"])
+    return _replace(joined, {column: F.col("_tm_v")}, drop=["_tm_m", "_tm_v"])
 
 
 def duplicate_rows(df: DataFrame, key, fraction: float = 0.10, seed: int = 42, salt: str | None = None,

@@ -173,8 +173,9 @@ def sample_bernoulli(df: DataFrame, key, fraction: float, seed: int = 42,
 # -- ranks -----------------------------------------------------------------
 
 def rank_by_hash(df: DataFrame, key, seed: int = 42, salt: str | None = None,
-                 out: str = "rank", partition: Sequence[str] = ()) -> DataFrame:
-    """Dense 1-based rank by ``(hash, key)``, optionally within groups.
+                 out: str = "rank", partition: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """Dense 1-based rank by ``(hash, key)``, optionally within groups; rows of
+    an equal key by the columns ``ties``.
 
     Global rank = rows in smaller hash buckets (bounded histogram) +
     ``row_number`` inside the bucket.  Within groups, the same holds per group.
@@ -187,7 +188,7 @@ def rank_by_hash(df: DataFrame, key, seed: int = 42, salt: str | None = None,
     if not part:
         # at most 65,536 rows: a proven bound, safe to broadcast
         offs = F.broadcast(offs)
-    wr = Window.partitionBy(*part, "_tm_b").orderBy(H, K)
+    wr = Window.partitionBy(*part, "_tm_b").orderBy(H, K, *ties)
     return (join_null_safe(d, offs, [*part, "_tm_b"])
              .withColumn(out, (F.col("_tm_off") + F.row_number().over(wr)).cast("bigint"))
              .drop(H, K, "_tm_b", "_tm_off"))

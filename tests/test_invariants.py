@@ -100,3 +100,26 @@ def test_kolmogorov_p_values(spark):
     want = {0.005: 1.0, 0.01: 1.0, 0.3: 0.99999069, 0.5: 0.96394524, 1.0: 0.26999967, 1.36: 0.04948588, 2.0: 0.00067092525}
     got = spark.createDataFrame([(x,) for x in want], "x double").select("x", _kolmogorov_sf(F.col("x")).alias("p")).collect()
     assert all(abs(r["p"] - want[r["x"]]) < 1e-6 for r in got)
+
+
+def test_permutation_is_one_cycle_at_every_size(spark):
+    from pyspark.sql import Window
+
+    from tamis.functions.keys import hash_hex
+    n = 1_000_050
+    df = spark.range(n).withColumn("v", F.col("id"))
+    p = C.permute_column(df, "id", "v", 1.0)
+    k = F.col("id").cast("string")
+    w = Window.orderBy(hash_hex(k, 42, "perm:order"), k)
+    first = F.first("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    want = df.select("id", F.coalesce(F.lead("v").over(w), first).alias("want"))
+    got = p.join(want, "id").agg(F.count(F.lit(1)), F.count_if(F.col("v") == F.col("want"))).first()
+    assert tuple(got) == (n, n)
+
+
+def test_permutation_with_repeated_keys_and_small_samples(spark):
+    for rows in ([(1, 5)], [(1, 5), (1, 6), (1, 7), (2, 8), (None, 9), (3, None)], [(1, None)], []):
+        df = spark.createDataFrame(rows, "k int, v int")
+        got = C.permute_column(df, "k", "v", 1.0).collect()
+        assert Counter(r["v"] for r in got) == Counter(v for _, v in rows)
+        assert Counter(r["k"] for r in got) == Counter(k for k, _ in rows)
