@@ -43,10 +43,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are contaminated with benchmark text."""
+    """Drops documents that are contaminated with benchmark text; removes the hit spans of the others."""
     out = _own(docs, "match")
     found = decontaminate.match(docs, table(spark, sf_dir, "benchmark"), out=out)
-    return found.where(~decontaminate.contaminated(F.col(out))).select(*docs.columns)
+    clean = F.col(out)["clean_text"]
+    sized = {"n_chars": F.coalesce(F.length(clean).cast("long"), F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return (found.where(~decontaminate.contaminated(F.col(out)))
+            .withColumns({"text": F.coalesce(clean, F.col("text")), **sized}).select(*docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

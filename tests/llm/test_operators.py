@@ -247,6 +247,19 @@ def test_removed_spans(spark):
     assert clean == {1: "Now: ! End", 2: None, 3: None}
 
 
+def test_decontamination_stage_removes_spans_below_the_coverage_limit(spark, tmp_path):
+    import corpus_pipeline
+    item = " ".join(f"item{i}" for i in range(51))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before, after = "plain word " * 600, " other words" * 100
+    rows = [(1, before + item + after, -1), (2, before, -1), (3, f"{item} tail", -1), (4, None, -1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    got = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    same([tuple(r) for r in got.collect()],
+         [(1, before + after, len(before + after)), (2, before, -1), (4, None, -1)])
+
+
 # -- 7 -----------------------------------------------------------------------
 
 def test_chat(spark, sf, conversations):
