@@ -125,8 +125,10 @@ def logistic(C: float = 1.0, n_rows: int = 1, weight_col: str | None = "weight",
 
 
 def gbt(max_iter: int = 300, depth: int = 5, step: float = 0.06, label: str = "label") -> GBTClassifier:
-    """M10 (histogram-based by construction, ``maxBins``); binary labels."""
-    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=depth, stepSize=step, seed=42)
+    """M10 (histogram-based by construction, ``maxBins``); binary labels.  The errors of
+    every tenth round are checkpointed, where the session has a folder for it."""
+    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=depth, stepSize=step, seed=42,
+                         checkpointInterval=10)
 
 
 def ridge(train: DataFrame, alpha: float = 1.0, label: str = "label") -> LinearRegression:

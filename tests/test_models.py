@@ -65,3 +65,16 @@ def test_presentation_and_guards(spark):
     cases = {"\ufb01ne": "fine", "\uff21\uff22": "AB", "plain": "plain", None: None}
     got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", T.nfkc(F.col("x")).alias("y")).collect()
     assert {r["x"]: r["y"] for r in got} == cases
+
+
+def test_gbt_scores_asks_for_the_rounds_of_the_reference(spark, monkeypatch):
+    from tamis.plans import q_features
+    made, real = [], M.gbt
+
+    def one_round(*args, **kwargs):
+        made.append(real(*args, **kwargs))
+        return real(max_iter=1)
+    monkeypatch.setattr(M, "gbt", one_round)
+    pred = q_features.gbt_scores(spark, SF)
+    assert [(g.getMaxIter(), g.getStepSize()) for g in made] == [(300, 0.06)]
+    assert pred.count() > 0 and pred.filter("prediction is null").count() == 0
