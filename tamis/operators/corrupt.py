@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from tamis.functions.fmt import sig
 from tamis.functions.keys import hash_hex, hex_uniform, key_of, normal
 from tamis.operators.profile import learn, lit_or_null, ranked_in_range
 from tamis.operators.sampling import bernoulli_mask, exact_mask_frame, exact_masks_frame, rank_by_hash
@@ -139,6 +140,16 @@ def swap_columns(df: DataFrame, key, column: str, swap_with: str, fraction: floa
                         swap_with: F.when(m, F.col(column)).otherwise(F.col(swap_with))}, drop=["_tm_m"])
 
 
+def swapped_values(df: DataFrame, key, text_columns: Sequence[str], numeric_columns: Sequence[str],
+                   fraction: float = 0.01, seed: int = 42) -> DataFrame:
+    """C4 + C5, the reference's ``swapped_values``: the first two text columns exchange
+    their values, each numeric column is permuted."""
+    d = swap_columns(df, key, *text_columns[:2], fraction, seed)
+    for c in numeric_columns:
+        d = permute_column(d, key, c, fraction, seed, salt=f"perm:{c}")
+    return d
+
+
 def permute_column(df: DataFrame, key, column: str, fraction: float = 0.01, seed: int = 42,
                    salt: str | None = "perm", exact: bool = True) -> DataFrame:
     """The sampled non-null values are permuted inside the column.
@@ -533,6 +544,46 @@ def apply_registered(df: DataFrame, key, names: Sequence[str] | None = None,
     return res
 
 
+def registered_digests(df: DataFrame, key, names: Sequence[str] | None = None, out: str = "corruption") -> DataFrame:
+    """Per registered corruption of the same input, its rows and a digest of their
+    values.  Columns that were numeric are cut to ten digits, whatever type they have now."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    res = None
+    for n in names or list(REGISTRY):
+        fn, kw = REGISTRY[n]
+        part = fn(df, key, **kw)
+        cells = [F.coalesce((sig(c) if c in numeric else F.col(c)).cast("string"), F.lit("\x00")) for c in sorted(part.columns)]
+        row = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells)), 1, 8), 16, 10).cast("bigint")
+        part = part.agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("digest")).select(F.lit(n).alias(out), "n", "digest")
+        res = part if res is None else res.unionByName(part)
+    return res
+
+
+#: The kinds of the reference
+ROBUSTNESS_KINDS = ("permutation", "noise", "swap")
+
+
+def robustness_variants(df: DataFrame, key, features: Sequence[str], kinds: Sequence[str] = ROBUSTNESS_KINDS,
+                        severity: float = 1.0) -> DataFrame:
+    """The clean table and, for each feature and kind, the table with that feature
+    corrupted, stacked and tagged by ``feature`` and ``corruption``.  A swap exchanges the
+    feature with the next one (the last with the first)."""
+    unknown = [k for k in kinds if k not in ROBUSTNESS_KINDS]
+    if unknown:
+        raise ValueError(f"unknown corruption kinds {unknown}")
+    res = df.withColumn("feature", F.lit("none")).withColumn("corruption", F.lit("clean"))
+    for i, f in enumerate(features):
+        for kind in kinds:
+            if kind == "permutation":
+                v = permute_column(df, key, f, 1.0, salt=f"suite:{f}")
+            elif kind == "noise":
+                v = gaussian_noise(df, key, [f], 1.0, salt=f"suite:{f}", scale=severity)
+            else:
+                v = swap_columns(df, key, f, features[(i + 1) % len(features)], severity, salt=f"suite:{f}")
+            res = res.unionByName(v.withColumn("feature", F.lit(f)).withColumn("corruption", F.lit(kind)))
+    return res
+
+
 def corruption_log(spark, entries: Sequence[tuple[int, str, str, str]]) -> DataFrame:
     """Log rows ``(batch, corruption, details, source)``."""
     return spark.createDataFrame(list(entries), "batch int, corruption string, details string, source string")

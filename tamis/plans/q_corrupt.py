@@ -633,6 +633,45 @@ def registry_counts(spark, sf_dir):
     return out.groupBy("corruption").agg(_n().alias("n"))
 
 
+def register_reference():
+    """The 17 named corruptions of the reference (inject.py), with its fractions."""
+    text, nums, cats = ["title", "content"], ["n_chars", "label"], ["lang", "source"]
+    C.REGISTRY.clear()
+    C.register("01_missing_values", C.missing_values)
+    C.register("02_swapped_values", C.swapped_values, text_columns=text, numeric_columns=nums)
+    C.register("03_duplicate_rows", C.duplicate_rows)
+    C.register("04_category_shift", C.category_shift, columns=cats)
+    C.register("05_broken_characters", C.broken_characters, columns=text)
+    C.register("06_text_length_limit", C.text_length_limit, columns=text)
+    C.register("07_gaussian_noise", C.gaussian_noise, columns=nums)
+    C.register("08_scaling", C.scaling, columns=nums)
+    C.register("09_constraint_violation", C.constraint_violation, column="n_chars")
+    C.register("10_numeric_to_text", C.numeric_to_text, columns=nums)
+    C.register("11_negative_values", C.negative_values, columns=nums)
+    C.register("12_all_text_corruptions", C.composite_text, columns=text)
+    C.register("13_all_numerical_corruptions", C.composite_numeric, columns=nums, violation_column="n_chars")
+    C.register("14_all_corruptions", C.composite_all, text_columns=text, numeric_columns=nums,
+               violation_column="n_chars", category_columns=cats)
+    C.register("CATEGORY_SHIFT", C.category_shift, columns=cats)
+    C.register("CATEGORY_TYPO", C.category_typo, columns=cats)
+    C.register("CATEGORY_DEFAULT", C.category_default, columns=cats)
+
+
+def registry_input(spark, sf_dir):
+    """Text, category and numeric columns of the labelled documents, written once."""
+    return materialized(text_table(spark, sf_dir).select(
+        "doc_id", "title", "content", "lang", "source", F.length("text").cast("double").alias("n_chars"),
+        F.col("label").cast("double").alias("label")))
+
+
+@query("registry_digests")
+def registry_digests(spark, sf_dir):
+    """All 17 corruptions of the reference on a table of text, categories and
+    numbers; rows and a digest of the values of each."""
+    register_reference()
+    return C.registered_digests(registry_input(spark, sf_dir), "doc_id")
+
+
 @query("corruption_log", f"""
 SELECT 1 AS batch, 'MissingValues' AS corruption, 'missing price in ' || count(*) FILTER (WHERE m) || ' rows' AS details,
        'keyed injection' AS source FROM (SELECT {mask_sql(OK, 0.3, salt='mcar:o_totalprice')} AS m FROM {MIXED_SQL})""")

@@ -348,28 +348,12 @@ SELECT feature, corruption, 1.0::DOUBLE AS severity, {sig_sql('clean_accuracy')}
 FROM a, c WHERE corruption <> 'clean'"""
 
 
-@query("robustness_suite", _robustness_sql())
-def robustness_suite(spark, sf_dir):
-    """Corrupt one numeric feature at a time (permutation, noise) and
-    rescore a rule model; all variants scored in ONE job with the corrupted
-    column as a group key; sorted by accuracy drop."""
+def _robustness(spark, sf_dir, kinds):
     m = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal", "label",
                                     (F.unix_date(F.col("o_orderdate").cast("date"))).cast("double").alias("days"))
     cut = m.agg(F.percentile("days", 0.5)).first()[0]
-
-    def predict(df):
-        return df.withColumn("pred", (F.col("days") < F.lit(cut)).cast("int"))
-
-    feats = ["days", "o_totalprice", "c_acctbal"]
-    variants = [predict(m).withColumn("feature", F.lit("none")).withColumn("corruption", F.lit("clean"))]
-    for f in feats:
-        variants.append(predict(C.permute_column(m, "o_orderkey", f, 1.0, salt=f"suite:{f}"))
-                        .withColumn("feature", F.lit(f)).withColumn("corruption", F.lit("permutation")))
-        variants.append(predict(C.gaussian_noise(m, "o_orderkey", [f], 1.0, salt=f"suite:{f}", scale=1.0))
-                        .withColumn("feature", F.lit(f)).withColumn("corruption", F.lit("noise")))
-    allv = variants[0]
-    for v in variants[1:]:
-        allv = allv.unionByName(v)
+    allv = C.robustness_variants(m, "o_orderkey", ["days", "o_totalprice", "c_acctbal"], kinds)
+    allv = allv.withColumn("pred", (F.col("days") < F.lit(cut)).cast("int"))
     acc = E.accuracy(allv, by=["feature", "corruption"])
     clean = acc.filter(F.col("corruption") == "clean").select(F.col("accuracy").alias("clean_accuracy"))
     out = acc.filter(F.col("corruption") != "clean").crossJoin(F.broadcast(clean))
@@ -378,6 +362,32 @@ def robustness_suite(spark, sf_dir):
                       sig(F.col("clean_accuracy") - F.col("accuracy")).alias("accuracy_drop")).orderBy(F.desc("accuracy_drop"))
 
 
+@query("robustness_suite", _robustness_sql())
+def robustness_suite(spark, sf_dir):
+    """Corrupt one numeric feature at a time (permutation, noise) and
+    rescore a rule model; all variants scored in ONE job with the corrupted
+    column as a group key; sorted by accuracy drop."""
+    return _robustness(spark, sf_dir, ("permutation", "noise"))
+
+
+_ROBUSTNESS_SWAP_SQL = f"""
+WITH b AS (SELECT o_totalprice, c_acctbal, label, datediff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS days
+           FROM {MIXED_SQL}), cut AS (SELECT quantile_cont(days, 0.5) AS c FROM b),
+v AS (SELECT 'none' AS feature, days, label FROM b UNION ALL SELECT 'days', o_totalprice, label FROM b
+      UNION ALL SELECT 'o_totalprice', days, label FROM b UNION ALL SELECT 'c_acctbal', c_acctbal, label FROM b),
+a AS (SELECT feature, avg((label = (days < cut.c)::INTEGER)::INTEGER::DOUBLE) AS accuracy FROM v, cut GROUP BY ALL),
+c AS (SELECT accuracy AS clean_accuracy FROM a WHERE feature = 'none')
+SELECT feature, 'swap' AS corruption, 1.0::DOUBLE AS severity, {sig_sql('clean_accuracy')} AS clean_accuracy,
+       {sig_sql('accuracy')} AS corrupted_accuracy, {sig_sql('clean_accuracy - accuracy')} AS accuracy_drop
+FROM a, c WHERE feature <> 'none'"""
+
+
+@query("robustness_swap", _ROBUSTNESS_SWAP_SQL)
+def robustness_swap(spark, sf_dir):
+    """C35, the third kind: each feature exchanged with the next one."""
+    return _robustness(spark, sf_dir, ("swap",))
+
+
 @query("most_damaging", f"""
 SELECT max_by(experiment, (abs(damage), experiment)) AS most_damaging, min_by(experiment, (abs(damage), experiment)) AS least_damaging,
        max_by(experiment, (recovery, experiment)) AS best_recovery FROM {STATS_SQL}""")

@@ -8,7 +8,7 @@ from tamis.operators import corrupt as C
 from tamis.operators import repair as R
 from tamis.sources.tables import mixed, table, text_table, trip
 
-from conftest import SF
+from conftest import SF, SF01
 
 
 def test_missing_values_exact_count_and_only_sampled(spark):
@@ -123,3 +123,31 @@ def test_permutation_with_repeated_keys_and_small_samples(spark):
         got = C.permute_column(df, "k", "v", 1.0).collect()
         assert Counter(r["v"] for r in got) == Counter(v for _, v in rows)
         assert Counter(r["k"] for r in got) == Counter(k for k, _ in rows)
+
+
+def test_every_corruption_of_the_reference_changes_values(spark):
+    from tamis.plans import q_corrupt
+    base = q_corrupt.registry_input(spark, SF01)
+    n = base.count()
+    C.REGISTRY.clear()
+    C.register("clean", lambda df, key: df)
+    clean = C.registered_digests(base, "doc_id").first()
+    got = {r["corruption"]: r for r in q_corrupt.registry_digests(spark, SF01).collect()}
+    names = ["missing_values", "swapped_values", "duplicate_rows", "category_shift", "broken_characters", "text_length_limit",
+             "gaussian_noise", "scaling", "constraint_violation", "numeric_to_text", "negative_values", "all_text_corruptions",
+             "all_numerical_corruptions", "all_corruptions"]
+    assert set(got) == {f"{i:02d}_{x}" for i, x in enumerate(names, 1)} | {"CATEGORY_SHIFT", "CATEGORY_TYPO", "CATEGORY_DEFAULT"}
+    more = n + int(n * 0.1)
+    rows = {"03_duplicate_rows": more, "12_all_text_corruptions": more, "13_all_numerical_corruptions": more,
+            "14_all_corruptions": more + int(more * 0.1)}
+    assert {k: r["n"] for k, r in got.items()} == {k: rows.get(k, n) for k in got}
+    assert [k for k, r in got.items() if r["digest"] == clean["digest"]] == []
+
+
+def test_robustness_kinds(spark):
+    import pytest
+    df = spark.createDataFrame([(1, 1.0, 10.0), (2, 2.0, 20.0)], "k int, a double, b double")
+    got = C.robustness_variants(df, "k", ["a", "b"], ["swap"]).filter("corruption = 'swap'").select("feature", "k", "a", "b")
+    assert sorted(map(tuple, got.collect())) == [(f, k, k * 10.0, k * 1.0) for f in "ab" for k in (1, 2)]
+    with pytest.raises(ValueError):
+        C.robustness_variants(df, "k", ["a"], ["other"])
