@@ -7,9 +7,11 @@ past decides throughout; the smallest encoding names the language.  A text whose
 best two sizes differ by less than ``MIN_MARGIN`` of the larger is rejected
 (``accepted`` is false), as is one without a letter (language ``und``).
 
-The sample's bounds: at most ``MAX_LANGS`` languages (the most frequent), of each
-``SAMPLE_ROWS`` rows chosen by a hash, and ``EXCERPT`` characters from each at a
-hash-chosen place.  Every text is classified whole.
+Every label that occurs has a dictionary.  The sample of each: ``SAMPLE_ROWS`` rows
+chosen by a hash, and ``EXCERPT`` bytes from each at a hash-chosen place, which fill
+``DICT_BYTES`` and no more.  Where the labels' dictionaries would exceed ``TOTAL_BYTES``
+together (over 64 labels), each takes fewer rows, one at least.  Every text is
+classified whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 ties go to the first language by name; with no labelled row at all every text is ``und``.
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 
 from tamis.llm.store import small_batches
 
-MAX_LANGS = 64
 SAMPLE_ROWS = 256
-EXCERPT = 1024
 DICT_BYTES = 96 << 10
+EXCERPT = DICT_BYTES // SAMPLE_ROWS - 1  # and a line feed
+TOTAL_BYTES = 64 * DICT_BYTES
 BLOCK = 4096
 LEVEL = 6
 MIN_MARGIN = 0.005
@@ -34,31 +36,34 @@ UNDETERMINED = "und"
 
 
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, excerpt: int = EXCERPT,
-          dict_bytes: int = DICT_BYTES, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
+          total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
     """Dictionary contents by language from rows (doc_id, text, lang)."""
-    small_batches(labelled.sparkSession)
+    spark = labelled.sparkSession
+    small_batches(spark)
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = (known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+    h = F.xxhash64(F.lit(7), "doc_id", F.substring("text", 1, excerpt))
+    langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("first")).collect()
     if not langs:
         return {}
-    # of each language an expected 4 x rows, then exactly the first of them by the hash
-    h = F.xxhash64(F.lit(7), "doc_id")
-    share = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chance = F.lit(None).cast("double")
-    for r in langs:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4 * rows / r["count"]))).otherwise(chance)
+    rows = max(1, min(rows, total_bytes // (len(langs) * (excerpt + 1))))
+    # of each language an expected 4 x rows and the first, then exactly the first of them by the hash
+    chances = spark.createDataFrame([(r["lang"], min(1.0, 4 * rows / r["n"]), r["first"]) for r in langs],
+                                    "lang string, chance double, first long")  # one row a label
+    share = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     at = F.lit(1) + F.pmod(F.xxhash64(F.lit(8), "doc_id"),
                            F.greatest(F.lit(1), F.length("text") - excerpt).cast("long")).cast("int")
     part = F.lower(F.substring(F.col("text"), at, F.lit(excerpt)))
-    some = known.where(share <= chance).select("lang", h.alias("h"), part.alias("part"))
+    some = (known.select("lang", h.alias("h"), "doc_id", "text").join(F.broadcast(chances), "lang")
+            .where((share <= F.col("chance")) | (F.col("h") == F.col("first"))).select("lang", "h", part.alias("part")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
-    sample = some.withColumn("rank", rank).where(F.col("rank") <= rows).orderBy("lang", "rank").collect()
+    sample = some.distinct().withColumn("rank", rank).where(F.col("rank") <= rows).orderBy("lang", "rank").collect()
     out: dict[str, list[str]] = {}
     for r in sample:
         mine = out.setdefault(r["lang"], [])
-        if r["part"] not in mine:
-            mine.append(r["part"])
-    return {lang: "\n".join(parts).encode()[:dict_bytes] for lang, parts in out.items()}
+        cut = r["part"].encode()[:excerpt].decode(errors="ignore")
+        if cut not in mine:
+            mine.append(cut)
+    return {lang: "\n".join(parts).encode() for lang, parts in out.items()}
 
 
 def _compressors(dicts: dict[str, bytes]):

@@ -1,5 +1,6 @@
 """Every operator's query against a plain version, on documents with every odd case."""
 
+import random
 import statistics
 import zlib
 
@@ -136,6 +137,23 @@ def test_langid_learns(spark):
     assert not half["accepted"]
 
 
+def test_langid_learns_every_label_and_its_whole_sample(spark):
+    rng = random.Random(4)
+    speech = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)] for k in range(70)}
+    rows = [(100 * k + i, " ".join(rng.choice(ws) for _ in range(40)), lang) for k, (lang, ws) in enumerate(speech.items())
+            for i in range(2 if k > 65 else 4)]
+    docs = spark.createDataFrame([*rows, (9999, "", "none")], "doc_id bigint, text string, lang string")
+    dicts = langid.learn(docs)
+    assert sorted(dicts) == [*speech, "none"]
+    found = docs.where("lang <> 'none'").select("lang", langid.detect(F.col("text"), dicts)["lang_pred"].alias("p"))
+    assert [tuple(r) for r in found.where("lang <> p").collect()] == []
+    few = langid.learn(docs, total_bytes=1)
+    assert sorted(few) == sorted(dicts) and all(len(d) <= langid.EXCERPT for d in few.values())
+    long = [(i, "".join(rng.choice("абвгдежзик ") for _ in range(2000)), "xx") for i in range(300)]
+    whole = langid.learn(spark.createDataFrame(long, docs.schema))["xx"]
+    assert len(whole.split(b"\n")) == langid.SAMPLE_ROWS and len(whole) <= langid.DICT_BYTES
+
+
 def test_langid_query_and_accuracy(spark, sf, corpus):
     got = run(spark, "op3_compression_langid", sf)
     assert len(got) == len(corpus[0])
