@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import (chat, decontaminate, fingerprint, kneser_ney, langid, packing, sharding, simhash, substring,
-                       tokens)
+from tamis.llm import (chat, decontaminate, fingerprint, graph, hadamard, kneser_ney, langid, packing, rtree, sharding,
+                       simhash, substring, tokens)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,9 +106,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op11_rtree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh label is moved on by one first."""
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, label=label)
+
+
+def op12_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after ten rounds from eight hashed seeds."""
+    return hadamard.clusters_with_digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth one."""
+    return graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_kneser_ney, op2_best_fit_packing, op3_compression_langid, op4_extendible_sharding, op5_simhash,
-    op6_decontamination, op7_chat_format, op8_substring_dedup, op9_fingerprints, op10_token_counts)}
+    op6_decontamination, op7_chat_format, op8_substring_dedup, op9_fingerprints, op10_token_counts,
+    op11_rtree_negatives, op12_hadamard_clusters, op13_graph_neighbours)}
 
 # -- DuckDB SQL, where SQL expresses the operator --------------------------------
 
@@ -167,7 +185,52 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _integers(factor: int) -> str:
+    return f"list_transform(embedding, lambda x: floor({factor} * x::DOUBLE)::BIGINT)"
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))::BIGINT"
+
+
+OP11_SQL = f"""
+WITH r AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, {_integers(256)} AS v,
+                               CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l
+                        FROM embeddings WHERE label IS NOT NULL AND {_USABLE}),
+s AS MATERIALIZED (SELECT a.n, a.vec_id AS anchor_id, b.n AS m, b.vec_id AS id, a.l = b.l AS same, {_dot("a.v", "b.v")} AS s
+                   FROM r a, r b WHERE a.vec_id % 50 = 0 AND a.n <> b.n),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY s DESC, id) AS k FROM s WHERE same) WHERE k <= 5),
+g AS (SELECT p.anchor_id, p.id AS positive_id, q.id AS negative_id, p.s AS positive_score, q.s AS negative_score,
+             row_number() OVER (PARTITION BY p.n, p.k ORDER BY q.s DESC, q.id)::INTEGER AS rank
+      FROM p JOIN s q ON p.n = q.n AND NOT q.same AND 50 * p.s <= 100 * q.s AND 100 * q.s <= 95 * p.s)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 3"""
+
+
+def _op12_sql() -> str:
+    """Ten rounds written out: a round's assignment, then its centroids."""
+    near = ("{a} AS MATERIALIZED (SELECT v.n, c.k, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.c[i]) * (v.v[i] - c.c[i])))::BIGINT AS d "
+            "FROM v, {c} c QUALIFY row_number() OVER (PARTITION BY v.n ORDER BY d, c.k) = 1)")
+    moved = ("{c} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM {o} o LEFT JOIN (SELECT k, list(f ORDER BY i) AS c FROM "
+             "(SELECT k, i, (sum(x) - ((sum(x) % count(*) + count(*)) % count(*))) // count(*) AS f FROM "
+             "(SELECT a.k, t.i, v.v[t.i] AS x FROM {a} a JOIN v USING (n), range(1, 65) t(i)) GROUP BY k, i) GROUP BY k) m USING (k))")
+    steps = [f"v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, {_integers(hadamard.SCALE)} AS v FROM embeddings "
+             f"WHERE {_USABLE} AND len(embedding) = {hadamard.DIMS})",
+             "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), vec_id, v) - 1 AS k, "
+             f"v AS c FROM v QUALIFY k < {hadamard.CLUSTERS})"]
+    for r in range(hadamard.ROUNDS):
+        steps += [near.format(a=f"a{r}", c=f"c{r}"), moved.format(c=f"c{r + 1}", o=f"c{r}", a=f"a{r}")]
+    last = f"c{hadamard.ROUNDS}"
+    return ("WITH " + ",\n".join([*steps, near.format(a="z", c=last)]) +
+            "\nSELECT vec_id, z.k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY z.k))::BIGINT AS cluster_inertia, "
+            "(sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 "
+            f"FROM z JOIN v USING (n) JOIN {last} l ON z.k = l.k")
+
+
 ORACLES: dict[str, str] = {
+    "op11_rtree_negatives": OP11_SQL, "op12_hadamard_clusters": _op12_sql(),
     "op4_extendible_sharding": OP4_SQL, "op6_decontamination": OP6_SQL, "op7_chat_format": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
 }

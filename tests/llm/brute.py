@@ -166,3 +166,62 @@ def conversations(rows):
         loss = "".join(t for *_, r, t in turns if r == "assistant")
         out[c] = (len(turns), sha("".join(f"{r}\n{t}\n" for *_, r, t in turns).encode()), loss)
     return out
+
+
+def usable(vector):
+    return vector is not None and all(x is not None and math.isfinite(x) for x in vector)
+
+
+def inner(a, b):
+    return sum(x * y for x, y in zip(a, b, strict=False))
+
+
+def by_score(rows, score):
+    """Indices of rows (id, ...) by descending score, then id (null last)."""
+    return sorted(range(len(rows)), key=lambda i: (-score[i], rows[i][0] is None, rows[i][0] or 0))
+
+
+def hard_negatives(rows):
+    rows = [(i, [math.floor(256 * x) for x in v], (lab + 1) % 10 if i is not None and i % 7 == 0 else lab)
+            for i, v, lab in rows if lab is not None and usable(v)]
+    out = []
+    for n, (a, av, al) in enumerate(rows):
+        if a is None or a % 50:
+            continue
+        score = [inner(av, r[1]) for r in rows]
+        order = [i for i in by_score(rows, score) if i != n]
+        for p in [i for i in order if rows[i][2] == al][:5]:
+            inside = [i for i in order if rows[i][2] != al and 50 * score[p] <= 100 * score[i] <= 95 * score[p]]
+            out += [(a, rows[p][0], k, rows[i][0], score[p], score[i]) for k, i in enumerate(inside[:3], 1)]
+    return out
+
+
+def clusters(rows, k=8, rounds=10):
+    rows = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in rows if usable(v) and len(v) == 64]
+    seeds = sorted(rows, key=lambda r: (sha(f"3:{'' if r[0] is None else r[0]}".encode()), r[0] is not None, r[0] or 0, r[1]))
+    centroids = [v for _, v in seeds[:k]]
+
+    def nearest(v):
+        return min((sum((x - y) ** 2 for x, y in zip(v, c, strict=True)), j) for j, c in enumerate(centroids))
+    for _ in range(rounds):
+        mine = [nearest(v)[1] for _, v in rows]
+        for j in range(len(centroids)):
+            own = [v for (_, v), m in zip(rows, mine, strict=True) if m == j]
+            if own:
+                centroids[j] = [sum(c) // len(own) for c in zip(*own, strict=True)]
+    found = [nearest(v) for _, v in rows]
+    total = [sum(d for d, m in found if m == j) for j in range(len(centroids))]
+    return [(i, j, d, total[j], sum(total), sha(",".join(map(str, centroids[j])).encode()))
+            for (i, _), (d, j) in zip(rows, found, strict=True)]
+
+
+def nearest(rows, k=5):
+    """(query id, its row, [(id, score), ...] of the k nearest) for ids divisible by 50."""
+    rows = [(i, v) for i, v, *_ in rows if usable(v) and any(v)]
+    norm = [math.sqrt(inner(v, v)) for _, v in rows]
+    out = []
+    for n, (q, qv) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            score = [inner(qv, v) / (norm[n] * m) for (_, v), m in zip(rows, norm, strict=True)]
+            out.append((q, [(rows[i][0], score[i]) for i in by_score(rows, score) if i != n][:k]))
+    return out

@@ -1,4 +1,5 @@
 import random
+import struct
 
 import pytest
 
@@ -35,17 +36,32 @@ def conversations():
 
 
 @pytest.fixture(scope="session")
-def sf(spark, corpus, conversations, tmp_path_factory):
+def vectors():
+    """Vectors (vec_id, embedding, label): copies, near copies, unusable, short and zero ones, repeated and null ids."""
+    rng = random.Random(8)
+    vec = lambda n=64: [struct.unpack("f", struct.pack("f", rng.gauss(0, 0.125)))[0] for _ in range(n)]
+    hot = vec()
+    rows = [(i, vec(), rng.choice([0, 1, 1, 2, 9])) for i in range(400)]
+    rows += [(400 + i, hot, 1) for i in range(200)]
+    rows += [(600 + i, [x + rng.gauss(0, 1e-3) for x in hot], 2) for i in range(60)]
+    bad = [None, [], [0.0] * 64, [None, *vec(63)], [float("nan"), *vec(63)], [float("inf"), *vec(63)], vec(3), vec(63)]
+    rows += [(700 + 10 * i, b, 1) for i, b in enumerate(bad)]
+    return rows + [(50, vec(), 1), (50, rows[50][1], rows[50][2]), (50, rows[50][1], rows[50][2]), (None, vec(), 1),
+                   (None, hot, None), (800, hot, None), (850, [-x for x in hot], 7)]
+
+
+@pytest.fixture(scope="session")
+def sf(spark, corpus, conversations, vectors, tmp_path_factory):
     docs, bench = corpus
     out = str(tmp_path_factory.mktemp("llm"))
-    write(spark, out, docs, bench, conversations)
+    write(spark, out, docs, bench, conversations, vectors)
     return out
 
 
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("none"))
-    write(spark, out, [], [], [])
+    write(spark, out, [], [], [], [])
     return out
 
 
@@ -53,7 +69,7 @@ def empty(spark, tmp_path_factory):
 EXTRA = ", score double, fp bigint, tag bigint, part int, row bigint, spans string, m string, piece string"
 
 
-def write(spark, out, docs, bench, convs):
+def write(spark, out, docs, bench, convs, vecs):
     more = (None, 1, 2, 3, 4, "s", "m", "p")
     spark.createDataFrame([(*d, *more) for d in docs], "doc_id bigint, text string, lang string, source string, "
                           "n_chars bigint" + EXTRA).repartition(3).write.parquet(f"{out}/documents.parquet")
@@ -61,3 +77,6 @@ def write(spark, out, docs, bench, convs):
         f"{out}/benchmark.parquet")
     spark.createDataFrame([(*c, 1) for c in convs], "conv_id bigint, turn bigint, role string, text string, t int"
                           ).write.parquet(f"{out}/conversations.parquet")
+    spark.createDataFrame([(*v, 1, 2, "x", "y", None) for v in vecs], "vec_id bigint, embedding array<float>, label int, "
+                          "row bigint, part int, id string, v string, score double").repartition(3).write.parquet(
+        f"{out}/embeddings.parquet")
