@@ -9,7 +9,7 @@ import zstandard
 from xxhash import xxh64_intdigest
 
 #: distinct words that a worker remembers before it starts anew
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 class WordHashes(dict):

@@ -8,26 +8,33 @@ document.  Spans reach their length limit by being a window at all; a document i
 contaminated when at least 1/20 of its words are hit.
 
 Items are taken in blocks of about ``BLOCK_WORDS`` words (one, for usual
-benchmarks): the automaton of a block, linear in its words, is what is sent to the
-workers, and documents are streamed against each block.  No document is shuffled.
+benchmarks), each with an automaton that is linear in its words.  One block is sent to
+the workers.  Several are built by tasks and written to the shared folder; a worker
+streams ``CHUNK_BYTES`` of text through one after the other, so it never holds more than
+one.  No document is shuffled.
 
 Defined results: a null text has no words; items without words match nothing;
 items that repeat an id count as one; an item without an id hits words but is not
-listed; the empty benchmark hits nothing; other columns are left as they are.
+listed; the empty benchmark hits nothing; a column of the result's name is an error, other
+columns are left as they are.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.store import small_batches
+from tamis.llm.store import load_bytes, new_folder, save_bytes, small_batches
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
+#: text that a worker holds while it goes through the blocks
+CHUNK_BYTES = 32 << 20
 COVERAGE = 20  # contaminated: COVERAGE * n_hit >= n_words
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -170,19 +177,34 @@ def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words:
     """``docs`` with a column ``out``: struct of n_words, n_hit, items (ids, sorted), spans
     (start and end word of each hit span), longest (longest match, in words) and clean_text
     (the text without them; null where nothing was removed)."""
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out} already")
     spark = docs.sparkSession
     small_batches(spark)
     n_blocks = _blocks(bench, block_words)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    found = []
-    for b in range(n_blocks):
-        mine = bench.where(block == b).select("item_id", "text").orderBy("item_id", "text").collect()  # one block
-        shared = spark.sparkContext.broadcast(Automaton([(r["item_id"], words(r["text"])) for r in mine], window))
-        found.append(_streamer(shared)(F.col(text)))
     if n_blocks == 1:
-        return docs.withColumn(out, found[0])
-    several = docs.withColumn(out, F.array(*found))
-    return several.withColumn(out, F.udf(_merge, _RESULT)(F.col(text), F.col(out)))
+        items = bench.select("item_id", "text").orderBy("item_id", "text").collect()  # one block
+        shared = spark.sparkContext.broadcast(Automaton([(r["item_id"], words(r["text"])) for r in items], window))
+        return docs.withColumn(out, _streamer([lambda: shared.value])(F.col(text)))
+    folder = new_folder(spark, "automata")
+    blocked = bench.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).alias("block"), "item_id", "text")
+    made = blocked.groupBy("block").applyInPandas(_builder(folder, window), "block long")
+    blocks = sorted(r["block"] for r in made.collect())  # a number for each block
+    return docs.withColumn(out, _streamer([_loader(folder, b) for b in blocks])(F.col(text)))
+
+
+def _builder(folder: str, window: int):
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(((None if pd.isna(i) else int(i), words(t)) for i, t in zip(pdf["item_id"], pdf["text"], strict=True)),
+                      key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        block = int(pdf["block"].iloc[0])
+        save_bytes(folder, f"{block}.pickle", pickle.dumps(Automaton(rows, window)))
+        return pd.DataFrame({"block": [block]})
+    return build
+
+
+def _loader(folder: str, block: int):
+    return lambda: pickle.loads(load_bytes(folder, f"{block}.pickle"))
 
 
 _RESULT = "n_words long, n_hit long, items array<long>, spans array<array<int>>, longest int, clean_text string"
@@ -193,24 +215,35 @@ def _result(text, n_words, longest, spans, items):
     return n_words, sum(b - a for a, b in spans), sorted(items), spans, longest, clean
 
 
-def _streamer(shared):
+def _streamer(automata: list[Callable[[], Automaton]]):
+    """The result column of texts against all automata; each is asked for when its turn comes."""
     names = [f.split()[0] for f in _RESULT.split(", ")]
 
+    def through(held: list[list]) -> Iterator[pd.DataFrame]:
+        found = [[(0, [], set()) for _ in texts] for texts in held]
+        for automaton in automata:
+            block = automaton()
+            for texts, results in zip(held, found, strict=True):
+                for i, t in enumerate(texts):
+                    longest, spans, items = block.stream(words(t))
+                    most, before, ids = results[i]
+                    results[i] = (max(longest, most), joined(before + spans) if before else spans, ids | items)
+            del block
+        for texts, results in zip(held, found, strict=True):
+            yield pd.DataFrame([_result(t, len(words(t)), *r) for t, r in zip(texts, results, strict=True)], columns=names)
+
     @F.pandas_udf(_RESULT)
-    def stream(texts: pd.Series) -> pd.DataFrame:
-        automaton, out = shared.value, []
-        for t in texts:
-            seq = words(t)
-            out.append(_result(t, len(seq), *automaton.stream(seq)))
-        return pd.DataFrame(out, columns=names)
+    def stream(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.tolist())
+            size += sum(len(t) for t in held[-1] if t)
+            if len(automata) == 1 or size >= CHUNK_BYTES:
+                yield from through(held)
+                held, size = [], 0
+        yield from through(held)
     return stream
 
 
-def _merge(text, found):
-    spans = joined([list(s) for f in found for s in f["spans"]])
-    items = {i for f in found for i in f["items"]}
-    return _result(text, found[0]["n_words"], max(f["longest"] for f in found), spans, items)
-
-
 def contaminated(m: Column, coverage: int = COVERAGE) -> Column:
     return (m["n_hit"] > 0) & (coverage * m["n_hit"] >= m["n_words"])

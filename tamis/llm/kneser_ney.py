@@ -19,7 +19,9 @@ Three jobs: words (hash, count) are summed by ranges of their hash, whose sorted
 order numbers them; bigrams are counted inside tasks, packed and summed by ranges of
 a hash, a bijection of the two numbers, so that no hot word makes a large part;
 from each part the words' statistics go on by ranges of numbers.  Parts grow in
-number, not in size, with the text.
+number with the text (one for ``PART_BYTES``) up to ``MOST_PARTS``, 0.5 TB of text,
+and beyond that in size.  A task maps ``Mapped``'s few arrays at a time and looks a
+chunk's words and bigrams up part by part.
 
 Defined results: a null or empty text is the end token alone; rows are scored one by
 one, repeated ones included; without any training row every token is unknown and
@@ -37,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.arrays import WordHashes, by_part, mix, pack, rows_of, runs, unpack, unpack_all
-from tamis.llm.store import new_folder, open_array, save_array, small_batches, text_bytes
+from tamis.llm.store import Mapped, new_folder, open_array, save_array, small_batches, text_bytes
 
-#: bytes of text for each part of the model, and the least number of parts
+#: bytes of text for each part of the model, the least and the largest number of parts
 PART_BYTES = 8 << 20
 MIN_PARTS = 64
+MOST_PARTS = 1 << 16
 #: tokens that a task counts or scores at once
 CHUNK = 1_500_000
 _END = b""  # no word is empty
@@ -52,21 +55,17 @@ _STATS = ("total", "once", "twice", "more")
 class Model:
     """Where the arrays are, and the numbers that belong to all of them.
 
-    ``first[r]``: the number of the first word in part r; the begin of a text is word V.
+    Array ``first``: the number of the first word in each part; the begin of a text is word V.
     """
 
     folder: str
-    first: tuple[int, ...]
+    vocabulary: int
     parts: int
     tokens: int = 0
     bigrams: int = 0
     discounts: tuple[tuple[float, ...], tuple[float, ...]] = ((0, 0, 0, 0), (0, 0, 0, 0))
     low_mass: float = 1.0
 
-    @property
-    def vocabulary(self) -> int:
-        return self.first[-1]
-
 
 def _chunks(batches):
     """Token hashes of a chunk of texts, the number of tokens of each text, and the rows' other columns."""
@@ -127,16 +126,14 @@ def _save_words(folder: str):
 
 
 class _Arrays:
-    """The model's arrays, mapped when first needed."""
+    """The model's arrays, mapped when needed."""
 
     def __init__(self, model: Model):
-        self.model, self._open = model, {}
-        self.first = np.array(model.first, np.int64)
+        self.model, self._maps = model, Mapped(model.folder)
+        self.first = np.array(open_array(model.folder, "first"))
 
     def get(self, name: str, part: int) -> np.ndarray:
-        if (name, part) not in self._open:
-            self._open[name, part] = open_array(self.model.folder, f"{name}-{part}")
-        return self._open[name, part]
+        return self._maps.get(f"{name}-{part}")
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words by hash, -1 for unknown ones (sorted, distinct hashes)."""
@@ -194,11 +191,15 @@ def _count_bigrams(model: Model):
     return count
 
 
+def _first(model: Model) -> np.ndarray:
+    """The first word of each part; the begin of a text is a part of its own."""
+    return np.append(open_array(model.folder, "first"), model.vocabulary + 1)
+
+
 def _save_bigrams(model: Model):
     """Sums a part's bigrams and keeps them sorted by hash; its words' statistics go on by part of their number."""
-    first = np.array([*model.first, model.vocabulary + 1], np.int64)  # the begin of a text is a part of its own
-
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = _first(model)
         pair, times = unpack_all(pdf["blob"])
         pair, times = _summed(pair, times.astype(np.int64))
         part = int(pdf["part"].iloc[0])
@@ -223,10 +224,8 @@ def _save_bigrams(model: Model):
 
 
 def _save_stats(model: Model):
-    first = [*model.first, model.vocabulary + 1]
-
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["part"].iloc[0])
+        first, part = _first(model), int(pdf["part"].iloc[0])
         if part < 0:
             of_counts = sum(unpack(b)[1] for b in pdf["blob"])
             return pd.DataFrame({"level": [2], "of_counts": [of_counts.tolist()], "bigrams": [0]})
@@ -262,13 +261,14 @@ def train(texts: DataFrame) -> Model:
     spark = texts.sparkSession
     small_batches(spark)
     folder = new_folder(spark, "model")
-    parts = max(MIN_PARTS, -(-text_bytes(texts) // PART_BYTES))
+    parts = min(MOST_PARTS, max(MIN_PARTS, -(-text_bytes(texts) // PART_BYTES)))
     raw = texts.select(F.col("text").cast("binary").alias("text"))
     blob = "part bigint, blob binary"
     sizes = {r["part"]: r for r in raw.mapInArrow(_count_words(parts), blob).groupBy("part").applyInPandas(
-        _save_words(folder), "part bigint, words bigint, tokens bigint").collect()}  # one row per part
+        _save_words(folder), "part bigint, words bigint, tokens bigint").collect()}  # MOST_PARTS rows at most
     first = np.cumsum([0, *(sizes[p]["words"] if p in sizes else 0 for p in range(parts))])
-    model = Model(folder, tuple(first.tolist()), parts, sum(r["tokens"] for r in sizes.values()))
+    save_array(folder, "first", first)
+    model = Model(folder, int(first[-1]), parts, sum(r["tokens"] for r in sizes.values()))
     if not sizes:
         return model
     stats = (raw.mapInArrow(_count_bigrams(model), blob).groupBy("part").applyInPandas(_save_bigrams(model), blob)
@@ -281,7 +281,7 @@ def train(texts: DataFrame) -> Model:
     d1, d2 = (discounts(*(total[k][f"n{i}"] for i in range(1, 5))) for k in (1, 2))
     n1, n2 = total[1]["n1"], total[1]["n2"]
     mass = (d1[1] * n1 + d1[2] * n2 + d1[3] * (model.vocabulary - n1 - n2)) / bigrams
-    return Model(folder, model.first, parts, model.tokens, bigrams, (d1, d2), mass)
+    return Model(folder, model.vocabulary, parts, model.tokens, bigrams, (d1, d2), mass)
 
 
 # -- scoring -----------------------------------------------------------------

@@ -13,8 +13,8 @@ chosen by a hash, and ``EXCERPT`` bytes from each at a hash-chosen place, which
 together (over 64 labels), each takes fewer rows, one at least.  Every text is
 classified whole.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0;
-ties go to the first language by name; with no labelled row at all every text is ``und``.
+Defined results: null texts and texts without a letter (a character of a Unicode letter
+category) are ``und`` with score 0; ties go to the first language by name; with no labelled row at all every text is ``und``.
 """
 
 from __future__ import annotations
@@ -91,8 +91,6 @@ def detect(text: Column, dicts: dict[str, bytes], min_margin: float = MIN_MARGIN
     ``score`` is the margin: how much smaller the best encoding is than the second, 0 to 1
     (1 where only one language is known).
     """
-    import re
-    letter = re.compile(r"[^\W\d_]")
     made = []
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
@@ -101,7 +99,7 @@ def detect(text: Column, dicts: dict[str, bytes], min_margin: float = MIN_MARGIN
             made.extend(_compressors(dicts))
         out = []
         for t in texts:
-            if t is None or not made or not letter.search(t):
+            if t is None or not made or not any(map(str.isalpha, t)):
                 out.append((UNDETERMINED, 0.0, False))
                 continue
             s = sizes(t, made)

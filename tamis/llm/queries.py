@@ -55,6 +55,15 @@ def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"))
 
 
+#: a limit that splits the given table
+SMALL_BYTES = 64 << 10
+
+
+def shards_of_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document where none may exceed 64 KiB."""
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"), max_bytes=SMALL_BYTES)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -126,20 +135,22 @@ def op13_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_kneser_ney, op2_best_fit_packing, op3_compression_langid, op4_extendible_sharding, op5_simhash,
     op6_decontamination, op7_chat_format, op8_substring_dedup, op9_fingerprints, op10_token_counts,
-    op11_rtree_negatives, op12_hadamard_clusters, op13_graph_neighbours)}
+    op11_rtree_negatives, op12_hadamard_clusters, op13_graph_neighbours, shards_of_64k)}
 
 # -- DuckDB SQL, where SQL expresses the operator --------------------------------
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-OP4_SQL = f"""
+def _shard_sql(max_bytes: int) -> str:
+    return f"""
 WITH r AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS b,
                   lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT), 60, '0') AS bits FROM documents),
 p AS (SELECT substr(bits, 1, d) AS shard, d, sum(b)::BIGINT AS s, count(*) AS n FROM r, range(0, 41) t(d) GROUP BY 1, 2),
 f AS (SELECT r.doc_id, b, shard, d, s, n, row_number() OVER (PARTITION BY r.doc_id ORDER BY d) AS k
-      FROM r JOIN p ON substr(bits, 1, d) = shard WHERE s <= {sharding.MAX_BYTES} OR n = 1)
+      FROM r JOIN p ON substr(bits, 1, d) = shard WHERE s <= {max_bytes} OR n = 1)
 SELECT doc_id, b AS n_bytes, shard, d::INTEGER AS depth, s AS shard_bytes, n AS shard_rows,
-       s > {sharding.MAX_BYTES} AS oversized FROM f WHERE k = 1"""
+       s > {max_bytes} AS oversized FROM f WHERE k = 1"""
+
 
 _TEST_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -231,6 +242,6 @@ def _op12_sql() -> str:
 
 ORACLES: dict[str, str] = {
     "op11_rtree_negatives": OP11_SQL, "op12_hadamard_clusters": _op12_sql(),
-    "op4_extendible_sharding": OP4_SQL, "op6_decontamination": OP6_SQL, "op7_chat_format": OP7_SQL,
+    "op4_extendible_sharding": _shard_sql(sharding.MAX_BYTES), "shards_of_64k": _shard_sql(SMALL_BYTES), "op6_decontamination": OP6_SQL, "op7_chat_format": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
 }

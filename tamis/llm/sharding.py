@@ -69,24 +69,57 @@ def directory(rows: DataFrame, max_bytes: int, step: int = STEP) -> DataFrame:
         depth = deeper
 
 
+def _row_bits(key: Column, row: Column) -> Column:
+    return F.concat(key_bits(key), F.lpad(F.conv(F.hex(F.xxhash64(row)), 16, 2), _ROW_BITS, "0"))
+
+
+def _assigned(rows: DataFrame, buckets: DataFrame, bits: str) -> DataFrame:
+    """``rows`` with the columns of ``buckets`` (prefix, bytes, n_rows) of the bucket that its ``bits`` lie in."""
+    # one narrow join per depth that occurs: the directory lookup
+    depths = [r["d"] for r in buckets.select(F.length("prefix").alias("d")).distinct().collect()]  # at most 125
+    tries = F.explode(F.transform(F.array(*[F.lit(d) for d in sorted(depths)]),
+                                  lambda d: F.substring(F.col(bits), F.lit(1), d)))
+    return rows.withColumn("prefix", tries if depths else F.lit("")).join(buckets, "prefix")
+
+
 def extendible_shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
                       max_bytes: int = MAX_BYTES) -> DataFrame:
     """Rows (key, n_bytes, shard, depth, shard_bytes, shard_rows, oversized) of ``docs``.
 
     ``shard`` is the bucket's prefix as a string of bits: the directory entry.
     """
-    bits = F.concat(key_bits(F.col(key)), F.lpad(F.conv(F.hex(F.xxhash64("row")), 16, 2), _ROW_BITS, "0"))
     rows = written(
-        docs.select(F.col(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
-        .withColumn("row", F.monotonically_increasing_id()).withColumn("bits", bits)
-        .select(key, "bytes", "bits"), "rows")
-    buckets = written(directory(rows.select("bits", "bytes"), max_bytes), "directory")
-    # one narrow join per depth that occurs: the directory lookup
-    depths = [r["d"] for r in buckets.select(F.length("prefix").alias("d")).distinct().collect()]  # at most 125
-    each = buckets.select(F.col("prefix").alias("shard"), F.col("bytes").alias("shard_bytes"),
-                          F.col("n_rows").alias("shard_rows"))
-    tries = F.explode(F.transform(F.array(*[F.lit(d) for d in sorted(depths)]),
-                                  lambda d: F.substring(F.col("bits"), F.lit(1), d)))
-    found = rows.withColumn("shard", tries if depths else F.lit("")).join(each, "shard")
-    return found.select(key, F.col("bytes").alias("n_bytes"), "shard", F.length("shard").alias("depth"),
-                        "shard_bytes", "shard_rows", (F.col("shard_bytes") > max_bytes).alias("oversized"))
+        docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
+        .withColumn("row", F.monotonically_increasing_id())
+        .select("key", "size", _row_bits(F.col("key"), F.col("row")).alias("bits")), "rows")
+    buckets = written(directory(rows.select("bits", F.col("size").alias("bytes")), max_bytes), "directory")
+    return _assigned(rows, buckets, "bits").select(
+        F.col("key").alias(key), F.col("size").alias("n_bytes"), F.col("prefix").alias("shard"),
+        F.length("prefix").alias("depth"), F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"),
+        (F.col("bytes") > max_bytes).alias("oversized"))
+
+
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Write whole rows of ``docs`` to ``path``, a folder ``shard=b<prefix>`` with one Parquet file per shard.
+
+    The rows are written once with their hash, so that the directory and the shards are made
+    of the same rows; then each shard's rows, at most ``max_bytes`` of text or one row, meet in one
+    task.  A text takes more room in memory than in the file, so no file exceeds the limit by more
+    than its other columns.  Returns the directory (shard, bytes, n_rows, oversized).
+    A column named ``shard`` is an error.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("there is a column shard already")
+    own = "_of_".join(["bits", *docs.columns])
+    row = "_of_".join(["row", *docs.columns])
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id())
+                   .withColumn(own, _row_bits(F.col(key), F.col(row))).drop(row), "rows")
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    buckets = written(directory(rows.select(F.col(own).alias("bits"), size.alias("bytes")), max_bytes), "directory")
+    packed = rows.select(F.col(own).alias("bits"), F.struct(*docs.columns).alias("row"))
+    placed = _assigned(packed, buckets.select("prefix"), "bits").select(
+        F.concat(F.lit("b"), "prefix").alias("shard"), "row")
+    (placed.repartition("shard").select("shard", "row.*")
+     .write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path))
+    return buckets.select(F.concat(F.lit("b"), "prefix").alias("shard"), "bytes", "n_rows",
+                          (F.col("bytes") > max_bytes).alias("oversized"))

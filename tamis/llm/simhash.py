@@ -242,18 +242,24 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one of the smallest doc_id."""
-    fp, root, component, copies = (f"_{n}_of_{'_'.join(docs.columns)}" for n in ("fp", "root", "component", "copies"))
+    """``docs`` with one row of each group of near-duplicates: the one of the smallest doc_id.
+
+    Every text is fingerprinted once; the rows that stay are named by doc_id and the text's
+    128-bit digest, and only these names are joined with the documents."""
+    digest, root, doc, copies = (f"_{n}_of_{'_'.join(docs.columns)}" for n in ("digest", "root", "doc", "copies"))
     small_batches(docs.sparkSession)
-    prints = written(docs.select("doc_id", fingerprint(F.col("text"), size).alias("fp")), "fingerprints")
-    groups = near_groups(prints, max_bits).select(
-        F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component),
-        F.col("copies").alias(copies))
-    kept = (docs.withColumn(fp, fingerprint(F.col("text"), size)).join(groups, fp)
-            .where(F.col("doc_id").eqNullSafe(F.col(component))))
-    if groups.where(F.col(copies) > 1).isEmpty():
-        return kept.select(*docs.columns)
+    name = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))  # a null text and an empty one have one fingerprint
+    prints = written(docs.select("doc_id", name.alias("digest"), fingerprint(F.col("text"), size).alias("fp")), "fingerprints")
+    kept = (prints.join(near_groups(prints.select("doc_id", "fp"), max_bits), "fp")
+            .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select(F.col("doc_id").alias(doc), F.col("digest").alias(digest), F.col("root").alias(root),
+                    F.col("copies").alias(copies)).distinct())
+    kept = written(kept, "kept")
+    met = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (name == F.col(digest)))
+    once = met.where(F.col(copies) == 1).select(*docs.columns)
+    if kept.where(F.col(copies) > 1).isEmpty():
+        return once
     # rows repeating that doc_id: any one of them
-    repeated = (kept.where(F.col(copies) > 1).groupBy(root)
-                .agg(F.first(F.struct(*docs.columns)).alias(component)).select(f"{component}.*"))
-    return kept.where(F.col(copies) == 1).select(*docs.columns).unionByName(repeated)
+    repeated = (met.where(F.col(copies) > 1).groupBy(root)
+                .agg(F.first(F.struct(*docs.columns)).alias(doc)).select(f"{doc}.*"))
+    return once.unionByName(repeated)

@@ -58,23 +58,39 @@ def _local(folder: str) -> str | None:
     return u.path if u.scheme in ("", "file") else None
 
 
-def save_array(folder: str, name: str, arr: np.ndarray) -> None:
-    """Write ``folder/name.npy``; a repeated task replaces it by the same bytes."""
+def save_bytes(folder: str, name: str, raw) -> None:
+    """Write ``folder/name``; a repeated task replaces it by the same bytes."""
     local = _local(folder)
     if local is not None:
         os.makedirs(local, exist_ok=True)
         part = f"{local}/.{name}-{uuid.uuid4().hex}"
         with open(part, "wb") as f:
-            np.save(f, arr)
-        os.replace(part, f"{local}/{name}.npy")
+            f.write(raw)
+        os.replace(part, f"{local}/{name}")
         return
     from pyarrow import fs
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/{name}") as f:
+        f.write(raw)
+
+
+def load_bytes(folder: str, name: str) -> bytes:
+    local = _local(folder)
+    if local is not None:
+        with open(f"{local}/{name}", "rb") as f:
+            return f.read()
+    from pyarrow import fs
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{root}/{name}") as f:
+        return f.read()
+
+
+def save_array(folder: str, name: str, arr: np.ndarray) -> None:
+    """Write ``folder/name.npy``."""
     buf = io.BytesIO()
     np.save(buf, arr)
-    with store.open_output_stream(f"{root}/{name}.npy") as f:
-        f.write(buf.getvalue())
+    save_bytes(folder, f"{name}.npy", buf.getbuffer())
 
 
 def open_array(folder: str, name: str) -> np.ndarray:
@@ -82,7 +98,21 @@ def open_array(folder: str, name: str) -> np.ndarray:
     local = _local(folder)
     if local is not None:
         return np.load(f"{local}/{name}.npy", mmap_mode="r")
-    from pyarrow import fs
-    store, root = fs.FileSystem.from_uri(folder)
-    with store.open_input_file(f"{root}/{name}.npy") as f:
-        return np.load(io.BytesIO(f.read()))
+    return np.load(io.BytesIO(load_bytes(folder, f"{name}.npy")))
+
+
+class Mapped:
+    """Arrays of a folder, mapped when needed; the least recently used are let go beyond ``limit``,
+    as every mapping holds a file descriptor."""
+
+    def __init__(self, folder: str, limit: int = 64):
+        self.folder, self.limit, self._open = folder, limit, {}
+
+    def get(self, name: str) -> np.ndarray:
+        arr = self._open.pop(name, None)
+        if arr is None:
+            arr = open_array(self.folder, name)
+            while len(self._open) >= self.limit:
+                del self._open[next(iter(self._open))]
+        self._open[name] = arr
+        return arr

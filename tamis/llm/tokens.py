@@ -2,13 +2,14 @@
 
 1. One pass gives the distinct pre-tokens with the number of documents that hold
    each; Spark groups them and the tokenizer encodes each of them once.
-2. The pre-tokens of most documents (at most ``HOT``, found by a histogram of
-   those numbers) go to the workers as a table of fixed size; a second pass sums
-   their counts inside each document and keeps the frequencies of the others.
+2. The pre-tokens of most documents (at most ``HOT`` of at most ``HOT_BYTES`` bytes each, found
+   by a histogram of those numbers) go to the workers as a table of bounded size; a second
+   pass sums their counts inside each document and keeps the frequencies of the others.
 3. These are joined to the counts by pre-token and summed by document.
 
 No id list is ever built for a document.  Very common pre-tokens never reach the
-join, so its keys are the rare ones.
+join, so its keys are the rare and the long ones (in texts without white space a
+pre-token may be a whole text).
 
 Defined results: one row per input row, repeated rows included; a null text is
 empty (0 bytes, 0 tokens); other columns are ignored; an empty table gives an
@@ -29,6 +30,7 @@ from tamis.llm.arrays import rows_of
 from tamis.llm.store import small_batches, written
 
 HOT = 1 << 19
+HOT_BYTES = 32
 #: pre-tokens gathered before a task hands on what it has counted
 CHUNK = 1_000_000
 
@@ -111,8 +113,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, hot: int = HOT) -> Da
     seen = rows.select("text").mapInArrow(_seen, "piece string, n_docs bigint")
     pieces = written(seen.groupBy("piece").agg(F.sum("n_docs").alias("n_docs"))
                      .mapInArrow(_encoder(path), "piece string, n_docs bigint, n bigint"), "pieces")
-    frequent = F.floor(F.log2("n_docs") * 16) >= F.lit(float(_cut(pieces, hot)))
-    table = spark.sparkContext.broadcast(  # at most `hot` entries
+    short = F.octet_length("piece") <= HOT_BYTES
+    frequent = short & (F.floor(F.log2("n_docs") * 16) >= F.lit(float(_cut(pieces.where(short), hot))))
+    table = spark.sparkContext.broadcast(  # at most `hot` entries of HOT_BYTES
         {r["piece"]: r["n"] for r in pieces.where(frequent).select("piece", "n").toLocalIterator()})
     counted = written(
         rows.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),

@@ -9,8 +9,6 @@ arrays; a search task reads one shard and one block at a time, whatever the tabl
 from __future__ import annotations
 
 import io
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.store import _local, new_folder, shuffle_partitions, written
+from tamis.llm.store import load_bytes, new_folder, save_bytes, shuffle_partitions, written
 
 #: pairs of a shard and a block that one task searches at most, one after the other
 PAIRS = 64
@@ -58,35 +56,14 @@ def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 
 
 def save_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """One file of arrays; a repeated task replaces it by an equal one."""
+    """One file of arrays."""
     buf = io.BytesIO()
     np.savez(buf, **arrays)
-    local = _local(folder)
-    if local is not None:
-        os.makedirs(local, exist_ok=True)
-        part = f"{local}/.{name}-{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            f.write(buf.getbuffer())
-        os.replace(part, f"{local}/{name}.npz")
-        return
-    from pyarrow import fs
-    store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
-    with store.open_output_stream(f"{root}/{name}.npz") as f:
-        f.write(buf.getbuffer())
+    save_bytes(folder, f"{name}.npz", buf.getbuffer())
 
 
 def load_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
-    local = _local(folder)
-    if local is not None:
-        with open(f"{local}/{name}.npz", "rb") as f:
-            raw = f.read()
-    else:
-        from pyarrow import fs
-        store, root = fs.FileSystem.from_uri(folder)
-        with store.open_input_file(f"{root}/{name}.npz") as f:
-            raw = f.read()
-    with np.load(io.BytesIO(raw)) as z:
+    with np.load(io.BytesIO(load_bytes(folder, f"{name}.npz"))) as z:
         return {k: z[k] for k in z.files}
 
 

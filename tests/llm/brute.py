@@ -225,3 +225,45 @@ def nearest(rows, k=5):
             score = [inner(qv, v) / (norm[n] * m) for (_, v), m in zip(rows, norm, strict=True)]
             out.append((q, [(rows[i][0], score[i]) for i in by_score(rows, score) if i != n][:k]))
     return out
+
+
+def sketch(text, fraction=1 / 8, n=5):
+    """Sorted retained shingle hashes (signed) of a text."""
+    def signed(x):
+        return x - 2 ** 64 if x >= 2 ** 63 else x
+
+    def chain(hashes):
+        x = 42
+        for h in hashes:
+            x = xxh64_intdigest(h.to_bytes(8, "little", signed=True), x)
+        return signed(x)
+    words = [signed(xxh64_intdigest(w.encode(), 42)) for w in re.split("[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+    if len(words) < n:
+        return [chain(words)] if words else []
+    every = {chain(words[i:i + n]) for i in range(len(words) - n + 1)}
+    return sorted(h for h in every if h < int(-(2 ** 63) + fraction * 2 ** 64)) or [min(every)]
+
+
+def containment(a, b):
+    return 1.0 if a == b else len(set(a) & set(b)) / len(a) if a else 0.0
+
+
+def language(text, dicts, margin):
+    """(lang_pred, score, accepted) with one compressor for each block and language."""
+    import zstandard
+    if text is None or not dicts or not any(c.isalpha() for c in text):
+        return "und", 0.0, False
+    raw, size = text.lower().encode(), {}
+    for lang, content in dicts.items():
+        total = 0
+        for i in range(0, max(1, len(raw)), 4096):
+            params = zstandard.ZstdCompressionParameters.from_level(
+                6, source_size=4096, dict_size=len(content), min_match=3, write_content_size=False, write_checksum=False,
+                write_dict_id=False)
+            given = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            given.precompute_compress(compression_params=params)
+            total += len(zstandard.ZstdCompressor(dict_data=given, compression_params=params).compress(raw[i:i + 4096]))
+        size[lang] = total
+    first, *rest = sorted(size, key=lambda lang: (size[lang], lang))
+    score = 1 - size[first] / size[rest[0]] if rest else 1.0
+    return first, score, score >= margin

@@ -60,6 +60,15 @@ def test_kneser_ney_repeated_rows_and_no_training(spark):
     assert {r["score"] for r in none} == {0.0} and {r["n_known"] for r in none} == {0}
 
 
+def test_kneser_ney_over_many_parts(spark, sf, corpus, monkeypatch):
+    from tamis.llm import store
+    monkeypatch.setattr(kneser_ney, "MIN_PARTS", 150)
+    monkeypatch.setattr(store.Mapped.__init__, "__defaults__", (3,))
+    want, *_ = brute.kneser_ney(pairs(corpus))
+    for g, w in zip(sorted(run(spark, "op1_kneser_ney", sf)), sorted(want), strict=True):
+        assert g[:5] == w[:5] and g[5:7] == pytest.approx(w[5:7], rel=1e-9)
+
+
 # -- 2 -----------------------------------------------------------------------
 
 def check_packing(docs, got, capacity=2048):
@@ -163,6 +172,23 @@ def test_langid_query_and_accuracy(spark, sf, corpus):
     assert statistics.mean(ok for held, ok in real if held) > 0.97
 
 
+def test_langid_equals_the_plain_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    dicts = langid.learn(docs)
+    odd = [None, "", "12 34 !?", "\u00bd \u00b2 \u2460", "\u0661\u0662", "a", "\u00e9", "1x2", "the " * 4000, "\u0391\u03bb\u03c6\u03b1"]
+    rows = [r["text"] for r in docs.limit(60).collect()] + odd
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, text string").select(
+        "i", langid.detect(F.col("text"), dicts).alias("p")).select("i", "p.*").collect()
+    for r in got:
+        lang, score, accepted = brute.language(rows[r["i"]], dicts, langid.MIN_MARGIN)
+        assert (r["lang_pred"], r["accepted"]) == (lang, accepted) and r["score"] == pytest.approx(score)
+    none = {r["i"]: r["lang_pred"] for r in got}
+    assert [none[len(rows) - len(odd) + k] for k in range(5)] == ["und"] * 5  # numbers are no letters
+    tie = spark.createDataFrame([("alpha beta",)], "text string").select(
+        langid.detect(F.col("text"), {"b": b"alpha beta", "a": b"alpha beta"}).alias("p")).first()["p"]
+    assert (tie["lang_pred"], tie["score"], tie["accepted"]) == ("a", 0.0, False)
+
+
 # -- 4 -----------------------------------------------------------------------
 
 def test_sharding(spark, sf, corpus):
@@ -190,6 +216,31 @@ def test_sharding_splits_rows_of_one_key(spark):
     assert max(r["depth"] for r in got) > 60
 
 
+def test_written_shards_fit(spark, sf, corpus, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("tag", "bits").withColumn("bytes", F.lit("b"))
+    limit = 6000
+    found = sharding.write_shards(docs, f"{tmp_path}/shards", max_bytes=limit).collect()
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    size = {r["shard"]: (r["b"], r["n"]) for r in back.groupBy("shard").agg(
+        F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count("*").alias("n")).collect()}
+    assert size == {r["shard"]: (r["bytes"], r["n_rows"]) for r in found} and len(found) > 3
+    for name, (total, n) in size.items():
+        files = list((tmp_path / "shards" / f"shard={name}").glob("*.parquet"))
+        assert (total <= limit or n == 1) and len(files) == 1
+    assert sharding.write_shards(docs.limit(0), f"{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("shard", F.lit(1)), f"{tmp_path}/no")
+
+
+def test_shard_columns_may_clash_with_the_key(spark):
+    for name in ("bytes", "bits", "row", "prefix", "shard_rows", "n_rows", "key"):
+        docs = spark.createDataFrame([(i, "x" * 50) for i in range(40)], f"`{name}` bigint, text string")
+        got = sharding.extendible_shards(docs, key=name, max_bytes=300)
+        assert got.count() == 40 and got.columns[0] == name
+        assert sharding.extendible_shards(docs.limit(0), key=name).count() == 0
+
+
 # -- 5 -----------------------------------------------------------------------
 
 def test_simhash(spark, sf, corpus):
@@ -237,6 +288,8 @@ def test_keep_one(spark, sf, corpus):
 
 @pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 20])
 def test_decontamination(spark, sf, corpus, block_words, monkeypatch):
+    assert (decontaminate._blocks(spark.read.parquet(f"{sf}/benchmark.parquet"), block_words) >= 3) == (block_words == 20)
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(queries.decontaminate.match, "__defaults__",
                         (decontaminate.WINDOW, block_words, "text", "match"))
     same(run(spark, "op6_decontamination", sf), brute.decontaminate(pairs(corpus), corpus[1]))
@@ -317,6 +370,38 @@ def test_substring_dedup_repeated_rows(spark):
     same([tuple(r) for r in got], [w[:3] for w in brute.substring(REPEATED, 5)])
 
 
+def test_documents_of_one_id_or_none_keep_their_own_words(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    phrase = " ".join(word() for _ in range(25))
+    rows = [(None, f"{phrase} {word()} {phrase}")] + [(None, " ".join(word() for _ in range(60))) for _ in range(600)]
+    rows += [(3, f"{word()} {phrase}"), (3, f"{word()} {word()} {phrase}"), (3, phrase), (2 ** 63 - 1, phrase)]
+    for chunk in (100, 10 ** 6):
+        got = substring.deduplicate(frame(spark, rows).repartition(5), substring.Sizes(chunk=chunk)).select(
+            "doc_id", "dedup.n_words", "dedup.n_removed").collect()
+        want = [w[:3] for w in brute.substring([(i if i is not None else 2 ** 63 - 1, t) for i, t in rows])]
+        same([(2 ** 63 - 1 if i is None else i, n, r) for i, n, r in got], want)
+
+
+def test_a_result_column_that_exists_is_an_error(spark):
+    with pytest.raises(ValueError):
+        substring.deduplicate(frame(spark, REPEATED).withColumnRenamed("text", "dedup"), out="dedup")
+
+
+def test_mappings_are_bounded(tmp_path):
+    import os
+
+    from tamis.llm import store
+    for k in range(200):
+        store.save_array(str(tmp_path), str(k), np.arange(k + 1))
+    maps = store.Mapped(str(tmp_path), limit=8)
+    before = len(os.listdir("/proc/self/fd"))
+    for k in [*range(200), *range(199, -1, -1)]:
+        assert maps.get(str(k))[-1] == k
+        assert len(maps._open) <= 8
+    assert len(os.listdir("/proc/self/fd")) <= before + 10
+
+
 def test_sketch_never_underestimates(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     sizes = substring.Sizes(segment=1 << 12, per_window=0.5, chunk=5000)  # most counters collide
@@ -331,6 +416,8 @@ def test_sketch_never_underestimates(spark):
 def test_fingerprints(spark, sf, corpus):
     docs = [*pairs(corpus)]
     text, after = dict(docs), dict(brute.edited(docs))
+    ids = sorted(text, reverse=True)
+    following = dict(zip(ids, [*ids[1:], ids[0]], strict=True))
     got = queries.op9_fingerprints(spark, sf).collect()
     assert len(got) == len(docs)
     prints = {}
@@ -339,7 +426,11 @@ def test_fingerprints(spark, sf, corpus):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == brute.sha(after[r["doc_id"]].encode())
         assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
         a, b = brute.shingles(t), brute.shingles(after[r["doc_id"]])
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        own, edited, nxt = (brute.sketch(x) for x in (t, after[r["doc_id"]], text[following[r["doc_id"]]]))
+        assert r["fingerprint"] == "".join(f"{h % 2 ** 64:016x}" for h in own)
+        assert r["edited_fingerprint"] == "".join(f"{h % 2 ** 64:016x}" for h in edited)
+        assert r["near_edited"] == pytest.approx(brute.containment(own, edited))
+        assert r["near_next"] == pytest.approx(brute.containment(own, nxt))
         if len(a) > 300:
             assert r["near_edited"] == pytest.approx(len(a & b) / len(a), abs=0.2)
 
@@ -368,6 +459,15 @@ def test_token_counts(spark, sf, corpus, hot):
     same([tuple(r) for r in tokens.count_tokens(docs, hot=hot).collect()], want)
 
 
+def test_token_counts_without_white_space(spark):
+    rng = random.Random(9)
+    long = ["".join(rng.choice("\u6f22\u5b57\u8a9e\u65e5\u672c") for _ in range(400)), "QUJD" * 900 + "=", "x" * 33, "x" * 32]
+    rows = [(i, t) for i, t in enumerate(long * 3 + [f"{t} a {t}" for t in long])]
+    tok = bpe.load(bpe.default_path())
+    want = [(i, len(t.encode()), len(tok.encode(t, add_special_tokens=False).ids)) for i, t in rows]
+    same([tuple(r) for r in tokens.count_tokens(frame(spark, rows)).collect()], want)
+
+
 def test_token_counts_repeated_rows(spark):
     got = tokens.count_tokens(frame(spark, REPEATED), hot=2).collect()
     tok = bpe.load(bpe.default_path())
