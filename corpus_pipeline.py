@@ -2,6 +2,10 @@
 
 ``run`` applies them; every stage's output is written as Parquet in the shared folder
 and read again as the next one's input.
+
+Defined for every stage but the last: the columns are those of its input, whatever their
+names; an empty table stays empty; very long texts are handled whole; rows with a null
+doc_id are documents like all others.
 """
 
 from __future__ import annotations
@@ -22,18 +26,26 @@ def _own(docs: DataFrame, name: str) -> str:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a clear language (learnt from the labelled ones)."""
+    """Drops documents without a clear language (learnt from the labelled ones).
+
+    Null texts and those without a letter go; ties between languages go (their margin is 0);
+    repeated rows stay or go together; with no labelled row at all every document goes."""
     kept = langid.detect(F.col("text"), langid.learn(docs))["accepted"]
     return docs.where(kept)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each near-duplicate group."""
+    """Keeps the document of the smallest id of each near-duplicate group.
+
+    Of rows that repeat that id one stays; null, empty and wordless texts are one group; a null
+    id stays only where its group has no other."""
     return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes words of repeated windows; documents with none left go, untouched ones stay as they are."""
+    """Removes words of repeated windows; documents with none left go, untouched ones stay as they are.
+
+    Null and empty texts have no window and stay; repeated rows get the same result."""
     out = _own(docs, "dedup")
     found = substring.deduplicate(docs, out=out).where((F.col(out)["n_removed"] < F.col(out)["n_words"])
                                                        | (F.col(out)["n_removed"] == 0))
@@ -43,7 +55,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are contaminated with benchmark text; removes the hit spans of the others."""
+    """Drops documents that are contaminated with benchmark text; removes the hit spans of the others.
+
+    Null and empty texts stay; an empty benchmark changes nothing."""
     out = _own(docs, "match")
     found = decontaminate.match(docs, table(spark, sf_dir, "benchmark"), out=out)
     clean = F.col(out)["clean_text"]
@@ -53,7 +67,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their place in a sequence of 2048 tokens."""
+    """The pieces of all documents with their place in a sequence of 2048 tokens (a null text is empty)."""
     return packing.pack_documents(docs)
 
 

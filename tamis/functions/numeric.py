@@ -20,12 +20,12 @@ def parse_number(x: Column) -> Column:
 
 def salvage_number(x: Column) -> Column:
     """drop ASCII letters, take the first ``[+-]?d+(.d+)?``, truncate
-    to an integer, absolute value; null when nothing is found."""
+    to an integer, absolute value; null when nothing is found or it overflows a double."""
     s = F.regexp_replace(F.trim(x.cast("string")), "[a-zA-Z]", "")
     m = F.regexp_extract(s, SALVAGE_RE, 0)
     v = m.try_cast("double")
     # truncation toward zero in double arithmetic: no integer overflow
-    return F.when(m == "", F.lit(None).cast("double")).otherwise(F.abs(v - v % F.lit(1.0)))
+    return F.when((m != "") & (F.abs(v) < F.lit(float("inf"))), F.abs(v - v % F.lit(1.0)))
 
 
 def coerce_label(x: Column) -> Column:

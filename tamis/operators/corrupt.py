@@ -23,7 +23,7 @@ from pyspark.sql.types import NumericType, StringType
 from tamis.functions.fmt import sig
 from tamis.functions.keys import hash_hex, hex_uniform, key_of, normal
 from tamis.operators.profile import learn, lit_or_null, ranked_in_range
-from tamis.operators.sampling import bernoulli_mask, exact_mask_frame, exact_masks_frame, rank_by_hash
+from tamis.operators.sampling import bernoulli_mask, exact_mask_frame, exact_masks_frame, rank_by_hash, slice_mask
 
 # fixed values: look-alike characters used by broken_characters
 BROKEN_FROM = "aAeEoOuU"
@@ -38,6 +38,8 @@ SPAM_TEMPLATES = [
     "Fantastic item. Exceeded expectations. Love it!",
 ]
 SCALE_FACTORS = [10, 100, 1000]
+# shares into which the rows of one category are dealt
+_SALTS = 16
 
 
 def _u(df: DataFrame, key, seed: int, salt: str) -> Column:
@@ -104,19 +106,14 @@ def missing_values(df: DataFrame, key, columns: Sequence[str] | None = None, fra
 
 def _block_missing(df: DataFrame, key, column: str, by: str, fraction: float, seed: int,
                    salt: str) -> DataFrame:
-    """A contiguous block of ``floor(n*f)`` ranks of ``by`` (ties by key),
-    starting at a hashed position in ``[0, n-k)``."""
-    k = key_of(df, key)
-    d = df.withColumn("_tm_k", k)
-    # pandas sorts nulls last: rank non-null first
-    d = d.withColumn("_tm_nl", F.col(by).isNull().cast("int"))
-    ranked = ranked_in_range(d, [], ["_tm_nl", by, "_tm_k"], out="_tm_r")
+    """A contiguous block of ``floor(n*f)`` ranks of ``by`` (nulls last, as pandas sorts; ties by
+    key), starting at a hashed position in ``[0, n-k)``.  Its two ends are found by
+    narrowing on (null, value, key): the mask is a comparison with two literals."""
     n = df.count()
     kk = int(n * float(fraction) // 1)
     start = int(py_uniform(seed, salt, "start") * (n - kk) // 1)
-    hit = (F.col("_tm_r") >= F.lit(start)) & (F.col("_tm_r") < F.lit(start + kk))
-    return _replace(ranked, {column: F.when(hit, F.lit(None)).otherwise(F.col(column))},
-                    drop=["_tm_k", "_tm_nl", "_tm_r"])
+    hit = slice_mask(df, [F.col(by).isNull().cast("int"), F.col(by), key_of(df, key)], start, start + kk, "_tm_m", seed)
+    return _replace(hit, {column: F.when(F.col("_tm_m"), F.lit(None)).otherwise(F.col(column))}, drop=["_tm_m"])
 
 
 def missing_at_random(df: DataFrame, key, column: str, depends_on: str, fraction: float = 0.30,
@@ -190,20 +187,23 @@ def category_shift(df: DataFrame, key, columns: Sequence[str] | None = None, fra
     """In the sample every category becomes its cyclic successor among the
     sorted distinct values (a derangement when there are two or more).
 
-    The dictionary (distinct values, ranked with a range shuffle) is joined as
-    a regular join: Spark broadcasts it when its measured size allows.
+    The dictionary (distinct values, ranked with a range shuffle) is joined with the sampled
+    rows that have a category only, and each of its entries with ``_SALTS`` shares of them: a
+    category with a third of the rows is no single task's whatever the join strategy.
     """
     cols = _cols_of(df, columns, (StringType,), key)
     cur = _mask(df, key, fraction, seed, salt, exact)
+    shares = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
     for c in cols:
         dist = df.select(F.col(c).alias("_tm_v")).filter(F.col("_tm_v").isNotNull()).distinct()
         rk = ranked_in_range(dist, [], ["_tm_v"], out="_tm_r")
-        m = F.lit(dist.count())
+        m = F.lit(rk.count())
         nxt = rk.select(F.pmod(F.col("_tm_r") - 1, m).alias("_tm_r"), F.col("_tm_v").alias("_tm_next"))
-        dic = rk.join(nxt, "_tm_r").select(F.col("_tm_v").alias(f"_tm_from_{c}"), F.col("_tm_next").alias(f"_tm_to_{c}"))
-        cur = cur.join(dic, cur[c] == dic[f"_tm_from_{c}"], "left")
-        cur = _replace(cur, {c: F.when(F.col("_tm_m") & F.col(f"_tm_to_{c}").isNotNull(), F.col(f"_tm_to_{c}"))
-                                .otherwise(F.col(c))}, drop=[f"_tm_from_{c}", f"_tm_to_{c}"])
+        dic = rk.join(nxt, "_tm_r").select(F.col("_tm_v").alias(c), "_tm_next", shares.alias("_tm_s"))
+        hit = F.col("_tm_m") & F.col(c).isNotNull()
+        sampled = cur.filter(hit).withColumn("_tm_s", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int"))
+        moved = sampled.join(dic, [c, "_tm_s"]).drop("_tm_s").withColumn(c, F.col("_tm_next")).select(*cur.columns)
+        cur = moved.unionByName(cur.filter(~hit))
     return cur.drop("_tm_m")
 
 

@@ -4,8 +4,8 @@ Fill values, caps and moments are learnt by aggregations that return ONE row
 (or one row per class) and are applied by a scalar subquery or a join on the
 class; nothing is collected to the driver.  Deduplication never ranks a hot
 group in one task: the survivor of a duplicate group is found with a
-two-phase ``min`` aggregation (map-side partial, then final), which is the
-same as ``row_number() = 1`` but splits a group holding a third of all rows
+two-phase ``min`` aggregation of whole rows (map-side partial, then final), which
+is the same as ``row_number() = 1`` but splits a group holding a third of all rows
 across every map task.
 """
 
@@ -22,6 +22,9 @@ from tamis.functions.keys import key_digest
 from tamis.operators.profile import learn, lit_or_null, mode_by_group, quantile_values
 
 
+# shares into which the rows of one group are dealt
+_SALTS = 16
+
 
 def _replace(df: DataFrame, new: dict[str, Column], drop: Sequence[str] = ()) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns if c not in drop])
@@ -81,10 +84,14 @@ def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fill_mode_by_class(df: DataFrame, column: str, label: str) -> DataFrame:
     """R2: missing text -> the mode of its class; skipped when the class has
-    no value.  The per-class table (one row per class) is joined back."""
-    m = mode_by_group(df, [label], column, "_tm_mode")
-    j = df.join(m, label, "left")
-    return _replace(j, {column: F.coalesce(F.col(column), F.col("_tm_mode"))}, drop=["_tm_mode"])
+    no value.  Only rows with a missing value are joined with the per-class table (one row
+    per class), dealt to ``_SALTS`` shares, so a class with a third of them is no single task's."""
+    mode = mode_by_group(df, [label], column, "_tm_mode").withColumn(
+        "_tm_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    null = F.col(column).isNull()
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int")
+    j = df.filter(null).withColumn("_tm_s", salt).join(mode, [label, "_tm_s"], "left")
+    return _replace(j, {column: F.col("_tm_mode")}, drop=["_tm_mode", "_tm_s"]).select(*df.columns).unionByName(df.filter(~null))
 
 
 def fill_from_title(df: DataFrame, content: str = "content", title: str = "title",
@@ -197,26 +204,33 @@ def confident_issues(scored: DataFrame, probabilities: dict, label: str = "label
     return scored.withColumn("issue", issue).withColumn("removed", F.col("issue") & (largest >= threshold))
 
 
-# shares into which the rows of one duplicate group are dealt
-_SALTS = 16
-
 # -- duplicates (W1, W2, R20, R21) -----------------------------------------------------------
 
+def _comparable(df: DataFrame, column: str) -> Column:
+    """The column, or its JSON text where its type has no order."""
+    kind = df.schema[column].dataType
+    return F.to_json(F.struct(column)) if "map<" in kind.simpleString() or "variant" in kind.simpleString() else F.col(column)
+
+
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key group (null keys equal), the first by
-    ``order`` (the caller's row order, e.g. the row key; unique within a group).
+    ``order`` (the caller's row order, e.g. the row key); rows equal in it are
+    ordered by their other columns, and of fully equal rows one stays.
 
-    The survivor is chosen by ``min(struct(order...))`` per digest of the keys: a
-    partial aggregation before the shuffle, so a group holding a third of the rows
-    is reduced map-side and no text is ever a shuffle key; then a left-semi join on
-    digest and order keeps exactly that row.  Both are hashed together, so a hot
-    group's rows are spread evenly.
+    The survivor is chosen by ``min(struct(order, other columns))`` per digest of the keys in
+    one aggregation: every task sends on one row per group, so a group holding a third of the
+    rows is reduced map-side, no text is ever a shuffle key and nothing is joined.
     """
     keys, order = list(keys), list(order)
-    o = F.struct(*[F.col(c) for c in order])
-    first = df.select(key_digest(keys).alias("_tm_g"), o.alias("_tm_o")).groupBy("_tm_g").agg(F.min("_tm_o").alias("_tm_o"))
-    return (df.withColumns({"_tm_g": key_digest(keys), "_tm_o": o})
-              .join(first, ["_tm_g", "_tm_o"], "left_semi").drop("_tm_g", "_tm_o"))
+    rest = [c for c in df.columns if c not in order]
+    place = F.struct(*[_comparable(df, c).alias(f"p{i}") for i, c in enumerate([*order, *rest])])
+    row = F.struct(*df.columns)
+    if any("map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() for f in df.schema):
+        first = F.min_by(row, place)
+    else:
+        first = F.min(F.struct(*order, *rest))
+    kept = df.groupBy(key_digest(keys).alias("_tm_g")).agg(first.alias("_tm_row"))
+    return kept.select(*[F.col("_tm_row")[c].alias(c) for c in df.columns])
 
 
 def dup_flag(df: DataFrame, keys: Sequence[str], out: str = "is_duplicate") -> DataFrame:

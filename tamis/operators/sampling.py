@@ -9,10 +9,14 @@ Scale notes
 * Exact-k masks (D4) never sort the table.  A 12-bit prefix histogram of the
   hash (at most 4,096 rows, partially aggregated map-side) finds the bucket
   that holds the k-th row, another 12-bit histogram inside it narrows it, and so
-  on until few distinct hashes are left; only their counts reach the driver.  The
+  on until few rows are left; only counts reach the driver.  The
   result is a single ``(hash, key)`` threshold literal, and the mask is a plain
   comparison.  Where rows share the boundary key, a digest of the whole row
-  decides among them; k rows are not defined among equal rows, which is an error.
+  decides among them; among fully equal rows any will do.
+* Splits and numbered batches compare rows with such literals too (or with a
+  broadcast table of the batches' last rows): no whole row is shuffled.
+* Positions in any order (``slice_mask``) come from two cut points found by
+  narrowing; nothing is sorted or written.
 * Ranks (D8) add a per-bucket offset (from the same bounded histogram) to a
   ``row_number`` partitioned by hash bucket, so no window runs over a single
   partition.  Buckets are hash-uniform: no skew whatever the data.
@@ -22,7 +26,7 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,8 +49,8 @@ def bernoulli_mask(df: DataFrame, key, fraction: float, seed: int = 42,
     return hex_uniform(hash_hex(k, seed, salt)) < F.lit(float(fraction))
 
 
-# distinct hashes below which the boundary bucket's counts go to the driver
-_BOUNDARY_ROWS = 200_000
+# rows of a hash bucket below which the counts of its keys go to the driver
+_BOUNDARY_ROWS = 4096
 
 
 def _k_of(total: int, fraction: float | None, n: int | None, rounding: str) -> int:
@@ -62,76 +66,113 @@ def _k_of(total: int, fraction: float | None, n: int | None, rounding: str) -> i
 
 # hex digits of the hash per histogram level: 4,096 buckets, so a map task
 # emits at most 4,096 partial counts and each level narrows the boundary
-# bucket 4,096-fold (1e12 rows need two levels to reach ~60,000 rows)
+# bucket 4,096-fold (1e12 rows need three levels to reach a few rows)
 _LEVEL_HEX = 3
 
 
-def _narrow(d: DataFrame, prefix: str, start: int, need: int) -> tuple[str, int, int]:
-    """One histogram level: 12 more bits of the hash inside ``prefix``.
-    Returns (new prefix, rows still needed inside it, its size)."""
-    sub = d.filter(F.substring(H, 1, len(prefix)) == prefix) if prefix else d
-    hist = sorted(sub.groupBy(F.substring(H, start, _LEVEL_HEX).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-    acc = 0
-    for b, c in hist:
-        if acc + c >= need:
-            return prefix + b, need - acc, c
-        acc += c
-    raise RuntimeError("histogram does not hold the wanted row")
+def thresholds(stacked: DataFrame, ranks: Callable[[int, int], Sequence[int]]) -> tuple[dict[int, int], dict]:
+    """Order statistics of ``(hash, key)`` for several masks from shared histograms.
+
+    ``stacked`` has a row (i, H, K) for each row that mask ``i`` may take; ``ranks(i, total)``
+    gives the 1-based ranks wanted of it, all between 1 and ``total``.  Every level is ONE job
+    for all masks and ranks (at most 4,096 counts per open bucket to the driver); a last job
+    counts the keys of the buckets that are left, each of at most ``_BOUNDARY_ROWS`` rows or one hash.
+    Returns the totals and ``{(i, rank): (hash, key, rows taken of it, rows that have it)}``.
+    """
+    def histogram(rows: DataFrame, digits: int) -> dict[int, list]:
+        out: dict[int, list] = {}
+        for i, b, c in rows.groupBy("i", F.substring(H, 1, digits).alias("b")).agg(F.count(F.lit(1))).collect():
+            out.setdefault(i, []).append((b, c))
+        return {i: sorted(h) for i, h in out.items()}
+
+    def place(hist: list, need: int) -> tuple[str, int, int]:
+        for b, c in hist:
+            if need <= c:
+                return b, need, c
+            need -= c
+        raise RuntimeError("histogram does not hold the wanted row")
+
+    first = histogram(stacked, _LEVEL_HEX)
+    totals = {i: sum(c for _, c in h) for i, h in first.items()}
+    open_ = {(i, r): place(first[i], r) for i in first for r in ranks(i, totals[i])}
+    digits = _LEVEL_HEX
+    address = lambda n: F.concat_ws(":", "i", F.substring(H, 1, n))
+    while digits < 32 and (large := {w: x for w, x in open_.items() if x[2] > _BOUNDARY_ROWS and len(x[0]) == digits}):
+        inside = stacked.filter(address(digits).isin(sorted({f"{w[0]}:{x[0]}" for w, x in large.items()})))
+        digits = min(32, digits + _LEVEL_HEX)
+        deeper = histogram(inside, digits)
+        for w, (prefix, need, _) in large.items():
+            open_[w] = place([x for x in deeper[w[0]] if x[0].startswith(prefix)], need)
+    if not open_:
+        return totals, {}
+    at = None
+    for n in sorted({len(x[0]) for x in open_.values()}):
+        c = address(n).isin(sorted({f"{w[0]}:{x[0]}" for w, x in open_.items() if len(x[0]) == n}))
+        at = c if at is None else at | c
+    rows: dict[int, list] = {}
+    for i, h, key, n in stacked.filter(at).groupBy("i", H, K).agg(F.count(F.lit(1))).collect():
+        rows.setdefault(i, []).append((h, key, n))
+    found = {}
+    for (i, r), (prefix, need, _) in open_.items():
+        for h, key, n in sorted(x for x in rows[i] if x[0].startswith(prefix)):
+            if need <= n:
+                found[i, r] = (h, key, need, n)
+                break
+            need -= n
+    return totals, found
 
 
 def exact_threshold(d: DataFrame, fraction: float | None = None, n: int | None = None,
                     rounding: str = "floor"):
-    """The k-th smallest ``(hash, key)`` of ``d`` (columns H, K) and k.
-
-    Jobs: one 12-bit histogram (<= 4,096 rows to the driver, with the total);
-    while the boundary bucket is large, one more 12-bit level inside it; then
-    the counts of its few distinct hashes.  The threshold is ``(hash, key, rows
-    taken of it, rows that have it)``.
-    Returns ``(None, 0)`` when k = 0 and ``("ALL", k)`` when every row is taken.
-    """
-    hist = sorted(d.groupBy(F.substring(H, 1, _LEVEL_HEX).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-    total = sum(c for _, c in hist)
+    """The k-th smallest ``(hash, key)`` of ``d`` (columns H, K) and k; ``(None, 0)`` when k = 0
+    and ``("ALL", k)`` when every row is taken."""
+    inner = lambda _, total: [k] if 0 < (k := _k_of(total, fraction, n, rounding)) < total else []
+    totals, found = thresholds(d.select(F.lit(0).alias("i"), H, K), inner)
+    total = totals.get(0, 0)
     k = _k_of(total, fraction, n, rounding)
     if k <= 0:
         return None, 0
-    if k >= total:
-        return "ALL", k
-    acc, prefix, need, size = 0, None, 0, 0
-    for b, c in hist:
-        if acc + c >= k:
-            prefix, need, size = b, k - acc, c
-            break
-        acc += c
-    start = 1 + _LEVEL_HEX
-    while size > _BOUNDARY_ROWS and start + _LEVEL_HEX <= 33:
-        prefix, need, size = _narrow(d, prefix, start, need)
-        start += _LEVEL_HEX
-    return _boundary(d.filter(F.substring(H, 1, len(prefix)) == prefix), need), k
-
-
-def _boundary(rows: DataFrame, need: int) -> tuple[str, str, int, int]:
-    """(hash, key) of the wanted row among few distinct ones, how many rows with it are
-    taken and how many there are."""
-    for h, key, n in sorted(tuple(r) for r in rows.groupBy(H, K).agg(F.count(F.lit(1))).collect()):
-        if need <= n:
-            return h, key, need, n
-        need -= n
-    raise RuntimeError("histogram does not hold the wanted row")
-
-
-def _within(d: DataFrame, hash_: Column, thr: tuple, where: Column, seed: int) -> Column:
-    """The mask of a threshold; among rows of the boundary key a digest of the row decides."""
+    return ("ALL" if k >= total else found[0, k]), k
+
+
+# equal rows that one task makes at most
+_COPIES = 1_000_000
+
+
+def _row_digest(columns: Sequence[str], seed: int) -> Column:
+    return hash_hex(F.to_json(F.struct(*columns)), seed, "row")
+
+
+def take_of_equal(df: DataFrame, equal: Column, take: int, count: int, out: str) -> DataFrame:
+    """``df`` with ``out`` true in ``take`` of the ``count`` rows where ``equal`` holds.
+
+    These rows have the same value in every column, so any of them will do: one of them is
+    read and made again ``count`` times, ``take`` times with the mark."""
+    one = df.filter(equal).limit(1).collect()
+    spark, schema = df.sparkSession, df.schema
+    parts = -(-count // _COPIES)
+    made = (spark.createDataFrame(one, schema).withColumn("_tm_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            .repartition(min(parts, 4096), "_tm_p").withColumn("_tm_n", F.explode(F.sequence(
+                F.col("_tm_p") * F.lit(_COPIES).cast("long"), F.least((F.col("_tm_p") + 1) * F.lit(_COPIES).cast("long"), F.lit(count)) - 1)))
+            .withColumn(out, F.col("_tm_n") < F.lit(take)))
+    return df.filter(~F.coalesce(equal, F.lit(False))).unionByName(made.select(*df.columns))
+
+
+def _marked(d: DataFrame, columns: Sequence[str], hash_: Column, thr, where: Column, seed: int, out: str) -> DataFrame:
+    """``d`` (with K) and the mask ``out`` of a threshold.  Among rows of the boundary key a digest of
+    their ``columns`` decides; rows that are equal in all of them are interchangeable."""
+    if thr is None or thr == "ALL":
+        return d.withColumn(out, F.lit(False) if thr is None else where)
     h, key, take, ties = thr
     below = (hash_ < F.lit(h)) | ((hash_ == F.lit(h)) & (F.col(K) < F.lit(key)))
     at = (hash_ == F.lit(h)) & (F.col(K) == F.lit(key))
     if take == ties:
-        return where & (below | at)
-    row = hash_hex(F.to_json(F.struct(*[c for c in d.columns if not c.startswith("_tm_")])), seed, "row")
-    tied = d.filter(where & at).select(row.alias(H)).withColumn(K, F.col(H))
+        return d.withColumn(out, where & (below | at))
+    digest = _row_digest(columns, seed)
+    tied = d.filter(where & at).select(digest.alias(H)).withColumn(K, F.col(H))
     (rh, _, take, ties), _ = exact_threshold(tied, n=take)
-    if take != ties:
-        raise ValueError(f"{ties} equal rows share the key {key!r} at the boundary of the sample")
-    return where & (below | (at & (row <= F.lit(rh))))
+    marked = d.withColumn(out, where & (below | (at & (digest <= F.lit(rh)))))
+    return marked if take == ties else take_of_equal(marked, where & at & (digest == F.lit(rh)), take, ties, out)
 
 
 def exact_mask_frame(df: DataFrame, key, fraction: float | None = None, n: int | None = None,
@@ -143,18 +184,13 @@ def exact_mask_frame(df: DataFrame, key, fraction: float | None = None, n: int |
     ``sample(frac=)``) or ``min(n, eligible)``.  ``where`` limits eligibility
     (nulls count as not eligible).  The threshold is learnt by two or three
     small jobs (bounded histograms); the mask itself is a narrow comparison.
+    Rows of an equal key are taken by a digest of the row, any of fully equal rows.
     ``return_k`` also returns the number of sampled rows.
     """
     d = with_hash(df, key, seed, salt)
     elig_col = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     thr, k = exact_threshold(d.filter(elig_col).select(H, K), fraction, n, rounding)
-    if thr is None:
-        mask = F.lit(False)
-    elif thr == "ALL":
-        mask = elig_col
-    else:
-        mask = _within(d, F.col(H), thr, elig_col, seed)
-    res = d.withColumn(out, mask).drop(H, K)
+    res = _marked(d, df.columns, F.col(H), thr, elig_col, seed, out).drop(H, K)
     return (res, k) if return_k else res
 
 
@@ -257,29 +293,89 @@ def kfold(df: DataFrame, label: str, key, k: int = 5, seed: int = 42, out: str =
 
 def three_way_split(df: DataFrame, key, n_train: int = 8000, n_test: int = 2000,
                     seed: int = 42, out: str = "part") -> DataFrame:
-    """K6: after one shuffle, the first n_train rows train, next n_test test,
-    the rest incoming."""
-    r = rank_by_hash(df, key, seed, "shuffle", out="_tm_r")
-    return r.withColumn(out, F.when(F.col("_tm_r") <= n_train, F.lit("train"))
-                              .when(F.col("_tm_r") <= n_train + n_test, F.lit("test"))
-                              .otherwise(F.lit("incoming"))).drop("_tm_r")
+    """K6: after one shuffle, the first n_train rows train, next n_test test, the rest incoming.
+
+    Two order statistics of the hash from shared histograms: the parts are comparisons with
+    two literals, no row moves."""
+    d, mine = with_hash(df, key, seed, "shuffle"), df.columns
+    ranks = [n_train, n_train + n_test]
+    totals, found = thresholds(d.select(F.lit(0).alias("i"), H, K), lambda _, n: sorted({r for r in ranks if 0 < r < n}))
+    for r, name in zip(ranks, ("_tm_train", "_tm_two"), strict=True):
+        thr = None if r <= 0 else found.get((0, r), "ALL")
+        d = _marked(d, mine, F.col(H), thr, F.lit(True), seed, name)
+    return d.withColumn(out, F.when(F.col("_tm_train"), F.lit("train")).when(F.col("_tm_two"), F.lit("test"))
+                              .otherwise(F.lit("incoming"))).drop(H, K, "_tm_train", "_tm_two")
+
+
+# ends of batches that are compared as literals, and that are looked up in a broadcast table
+_FEW_CUTS, _MOST_CUTS = 64, 100_000
+
+
+def _batch_ends(d: DataFrame, size: int, n_batches: int | None) -> tuple[int, list] | None:
+    """Rows in all, and (hash, key, taken, ties) of every row that ends a batch, in order; None above ``_MOST_CUTS``."""
+    narrow = d.select(F.substring(H, 1, 4).alias("_tm_b"), H, K)
+    hist = sorted(tuple(r) for r in narrow.groupBy("_tm_b").agg(F.count(F.lit(1))).collect())  # 65,536 at most
+    total = sum(c for _, c in hist)
+    last = min(-(-total // size) - 1, n_batches if n_batches is not None else total)
+    if last <= 0:
+        return total, []
+    if last > _MOST_CUTS:
+        return None
+    wanted, before, r = [], 0, 1
+    for b, c in hist:
+        while r <= last and r * size <= before + c:
+            wanted.append((b, r * size - before))
+            r += 1
+        before += c
+    spark = d.sparkSession
+    needs = spark.createDataFrame(wanted, "_tm_b string, need long").groupBy("_tm_b").agg(F.collect_list("need").alias("needs"))
+    keys = narrow.join(F.broadcast(needs), "_tm_b").groupBy("_tm_b", "needs", H, K).agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("_tm_b").orderBy(H, K).rowsBetween(Window.unboundedPreceding, 0)
+    ends = (keys.withColumn("to", F.sum("c").over(upto))
+            .withColumn("need", F.explode(F.filter("needs", lambda x: (x > F.col("to") - F.col("c")) & (x <= F.col("to")))))
+            .select(H, K, (F.col("need") - F.col("to") + F.col("c")).alias("take"), "c"))
+    return total, sorted(tuple(r) for r in ends.collect())
 
 
 def numbered_batches(df: DataFrame, key, size: int = 5000, n_batches: int | None = None,
                      seed: int = 42, out: str = "batch_id", strict: bool = False) -> DataFrame:
     """Rows in hash order cut into numbered batches of ``size``.
 
+    The rows that end a batch are found among narrow (hash, key) counts: offsets of hash
+    buckets, then a rank inside each.  A row's batch is the number of ends before it, from
+    literals or a broadcast table of at most ``_MOST_CUTS`` ends, so no whole row moves.  More
+    batches than that, or a key that is repeated across an end, take ranks of whole rows
+    (the same batches, by a shuffle).
+
     All rows are assigned unless ``n_batches`` asks for the first so many
     batches only; ``strict`` raises when there are too few rows for them.
     """
-    r = rank_by_hash(df, key, seed, "batches", out="_tm_r")
-    b = F.floor((F.col("_tm_r") - 1) / F.lit(size)).cast("int")
-    r = r.withColumn(out, b)
-    if n_batches is not None:
-        if strict and df.count() < size * n_batches:
-            raise ValueError(f"not enough rows for {n_batches} batches of {size}")
-        r = r.filter(F.col(out) < n_batches)
-    return r.drop("_tm_r")
+    d = with_hash(df, key, seed, "batches")
+    found = _batch_ends(d, size, n_batches)
+    if strict and n_batches is not None and (found[0] if found else df.count()) < size * n_batches:
+        raise ValueError(f"not enough rows for {n_batches} batches of {size}")
+    if found is None or any(take < ties for *_, take, ties in found[1]):
+        r = rank_by_hash(df, key, seed, "batches", out="_tm_r")
+        r = r.withColumn(out, F.floor((F.col("_tm_r") - 1) / F.lit(size)).cast("int")).drop("_tm_r")
+    else:
+        own, ends = F.struct(F.col(H).alias("h"), F.col(K).alias("k")), found[1]
+        passed = lambda cuts: F.size(F.filter(cuts, lambda c: c < own))
+        if len(ends) <= _FEW_CUTS:
+            cuts = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")) for h, k, *_ in ends])
+            r = d.withColumn(out, passed(cuts) if ends else F.lit(0))
+        else:
+            # a row per hash bucket (65,536 at most) with the ends in it and how many come before
+            table, at = [], 0
+            for n in range(1 << 16):
+                b, first = f"{n:04x}", at
+                while at < len(ends) and ends[at][0].startswith(b):
+                    at += 1
+                table.append((b, first, [(h, k) for h, k, *_ in ends[first:at]]))
+            cuts = df.sparkSession.createDataFrame(table, "_tm_b string, _tm_first int, _tm_cuts array<struct<h:string,k:string>>")
+            r = (d.withColumn("_tm_b", F.substring(H, 1, 4)).join(F.broadcast(cuts), "_tm_b")
+                 .withColumn(out, F.col("_tm_first") + passed(F.col("_tm_cuts"))).drop("_tm_b", "_tm_first", "_tm_cuts"))
+        r = r.drop(H, K)
+    return r.filter(F.col(out) < n_batches) if n_batches is not None else r
 
 
 def shuffle_rows(df: DataFrame, key, seed: int = 42, salt: str | None = "shuffle") -> DataFrame:
@@ -293,72 +389,122 @@ def exact_masks_frame(df: DataFrame, key, specs: Sequence[dict], seed: int = 42)
     """Several D4 masks (one per spec) learnt together.
 
     ``specs``: dicts with ``out``, ``fraction``, ``salt`` and optional
-    ``where`` / ``rounding``.  The per-mask hashes are stacked so that ONE
-    histogram job serves every mask (at most 4,096 rows per mask to the
-    driver) and ONE job fetches every boundary bucket; a wide table therefore
-    costs two passes, not two per column.  Each mask equals what
-    ``exact_mask_frame`` gives for its spec alone.
+    ``where`` / ``rounding`` / ``n`` (a number of rows instead of a fraction).  The
+    per-mask hashes are stacked so that ONE job per histogram level serves every
+    mask (see ``thresholds``); a wide table costs as many passes as one column.
+    Each mask equals what ``exact_mask_frame`` gives for its spec alone.
     """
-    if len(specs) == 1:
-        s = specs[0]
-        return exact_mask_frame(df, key, fraction=s["fraction"], seed=seed, salt=s.get("salt"),
-                                where=s.get("where"), rounding=s.get("rounding", "floor"), out=s["out"])
     d = df.withColumn(K, key_of(df, key))
     eligs = [F.lit(True) if s.get("where") is None else F.coalesce(s["where"], F.lit(False)) for s in specs]
     hashes = [hash_hex(F.col(K), seed, s.get("salt")) for s in specs]
     st = (d.select(K, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), h.alias("h"), e.alias("e"))
                                             for i, (h, e) in enumerate(zip(hashes, eligs))])).alias("x"))
            .select(F.col("x.i").alias("i"), F.col("x.h").alias(H), K, F.col("x.e").alias("e")).filter("e").drop("e"))
-    hist: dict[int, list] = {}
-    for i, b, c in st.groupBy("i", F.substring(H, 1, _LEVEL_HEX).alias("b")).agg(F.count(F.lit(1))).collect():
-        hist.setdefault(i, []).append((b, c))
-    plans = {}
-    for i, s in enumerate(specs):
-        h = sorted(hist.get(i, []))
-        total = sum(c for _, c in h)
-        k = _k_of(total, s["fraction"], None, s.get("rounding", "floor"))
-        if k <= 0:
-            plans[i] = None
-            continue
-        if k >= total:
-            plans[i] = "ALL"
-            continue
-        acc = 0
-        for b, c in h:
-            if acc + c >= k:
-                prefix, need, size = b, k - acc, c
-                break
-            acc += c
-        start = 1 + _LEVEL_HEX
-        sub = st.filter(F.col("i") == i).select(H, K)
-        while size > _BOUNDARY_ROWS and start + _LEVEL_HEX <= 33:
-            prefix, need, size = _narrow(sub, prefix, start, need)
-            start += _LEVEL_HEX
-        plans[i] = (prefix, need)
-    pending = {i: p for i, p in plans.items() if isinstance(p, tuple)}
-    thresholds = {}
-    if pending:
-        cond = None
-        for i, (prefix, _) in pending.items():
-            c = (F.col("i") == i) & (F.substring(H, 1, len(prefix)) == prefix)
-            cond = c if cond is None else cond | c
-        rows: dict[int, list] = {}
-        for i, h, kk, n in st.filter(cond).groupBy("i", H, K).agg(F.count(F.lit(1))).collect():
-            rows.setdefault(i, []).append((h, kk, n))
-        for i, (prefix, need) in pending.items():
-            for h, kk, n in sorted(rows[i]):
-                if need <= n:
-                    thresholds[i] = (h, kk, need, n)
-                    break
-                need -= n
+    k_of = lambda i, total: _k_of(total, specs[i].get("fraction"), specs[i].get("n"), specs[i].get("rounding", "floor"))
+    totals, found = thresholds(st, lambda i, total: [k] if 0 < (k := k_of(i, total)) < total else [])
     out = d
     for i, s in enumerate(specs):
-        p = plans[i]
-        if p is None:
-            m = F.lit(False)
-        elif p == "ALL":
-            m = eligs[i]
-        else:
-            m = _within(d, hashes[i], thresholds[i], eligs[i], seed)
-        out = out.withColumn(s["out"], m)
+        total = totals.get(i, 0)
+        k = k_of(i, total)
+        thr = None if k <= 0 else "ALL" if k >= total else found[i, k]
+        out = _marked(out, df.columns, hashes[i], thr, eligs[i], seed, s["out"])
     return out.drop(K)
+
+
+# -- order statistics of any order ------------------------------------------------
+
+# values that split the rows in one pass; rows of an interval that are counted one by one
+_PIVOTS, _FEW_ROWS = 127, 4096
+
+
+def order_statistics(df: DataFrame, order: Sequence[Column], ranks: Sequence[int]) -> list[tuple]:
+    """For each 0-based rank by ``order`` (nulls first): (the row's order values, rows before
+    these values, rows that have them); None at or beyond the number of rows.
+
+    Selection by narrowing, the same at every size: each pass takes the ``_PIVOTS`` rows of
+    smallest hash from an interval, counts the rows between and at them (one job for all
+    ranks, some hundred counts to the driver) and goes on with the interval that holds the
+    rank, until few rows or one value are left.  Nothing is sorted, written or moved.
+    """
+    s = df.select(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("s"))
+    kinds = [f.dataType for f in s.schema["s"].dataType.fields]
+    value = lambda row: F.struct(*[F.lit(x).cast(t).alias(f"o{i}") for i, (x, t) in enumerate(zip(row, kinds))])
+    total = s.count()
+    # rank -> (least value or None, most value or None, both exclusive; rows before the interval; rows in it)
+    spans = {r: (None, None, 0, total) for r in ranks if 0 <= r < total}
+    found: dict[int, tuple] = {}
+
+    def inside(span) -> Column:
+        c = F.lit(True)
+        if span[0] is not None:
+            c = c & (F.col("s") > value(span[0]))
+        return c if span[1] is None else c & (F.col("s") < value(span[1]))
+
+    while spans:
+        which, wide = sorted({x for x in spans.values()}, key=lambda x: x[2]), {}
+        for span in which:
+            rows = s.filter(inside(span))
+            if span[3] <= _FEW_ROWS:
+                at = span[2]
+                for (row, n) in rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).orderBy("s").collect():
+                    found.update({r: (tuple(row), at, n) for r, x in spans.items() if x == span and at <= r < at + n})
+                    at += n
+            else:
+                # more than are wanted: a repeated value is one pivot
+                few = rows.select("s").orderBy(F.xxhash64("s"), "s").limit(8 * _PIVOTS).distinct()
+                few = few.orderBy(F.xxhash64("s"), "s").limit(_PIVOTS).orderBy("s")
+                wide[span] = [tuple(r["s"]) for r in few.collect()]
+        if wide:
+            cell = F.lit(None).cast("int")
+            for k, (span, pivots) in enumerate(wide.items()):
+                cell = F.when(inside(span), _cell(F.col("s"), [value(p) for p in pivots], 0, k * 1000)).otherwise(cell)
+            counts = {c: n for c, n in s.groupBy(cell.alias("c")).agg(F.count(F.lit(1))).collect() if c is not None}
+            for k, (span, pivots) in enumerate(wide.items()):
+                at = span[2]
+                for c in range(2 * len(pivots) + 1):  # even: between two pivots, odd: at one
+                    n = counts.get(1000 * k + c, 0)
+                    for r, x in list(spans.items()):
+                        if x == span and at <= r < at + n:
+                            if c % 2:
+                                found[r] = (pivots[c // 2], at, n)
+                            else:
+                                spans[r] = (pivots[c // 2 - 1] if c else span[0], pivots[c // 2] if c // 2 < len(pivots) else span[1], at, n)
+                    at += n
+        spans = {r: x for r, x in spans.items() if r not in found}
+    return [found.get(r) for r in ranks]
+
+
+def _cell(x: Column, pivots: list[Column], first: int, base: int) -> Column:
+    """2 i for values between pivots i - 1 and i, 2 i + 1 at pivot i, by bisection."""
+    if not pivots:
+        return F.lit(base + 2 * first)
+    m = len(pivots) // 2
+    return (F.when(x < pivots[m], _cell(x, pivots[:m], first, base)).when(x == pivots[m], F.lit(base + 2 * (first + m) + 1))
+             .otherwise(_cell(x, pivots[m + 1:], first + m + 1, base)))
+
+
+def slice_mask(df: DataFrame, order: Sequence[Column], start: int, stop: int, out: str, seed: int = 42) -> DataFrame:
+    """Mark the rows of 0-based ranks ``start`` to ``stop`` (exclusive) by ``order``.
+
+    The two cut points are literals.  Rows equal in ``order`` across a cut are told apart by a
+    digest of the row; of fully equal rows any will do."""
+    start, stop = max(start, 0), max(stop, start, 0)
+    mine, order = df.columns, list(order)
+    ends = order_statistics(df, order, [start, stop])
+    if any(e is not None and r > e[1] for r, e in zip((start, stop), ends)):
+        order.append(_row_digest(mine, seed))
+        ends = order_statistics(df, order, [start, stop])
+    s = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    kinds = [f.dataType for f in df.select(s.alias("s")).schema["s"].dataType.fields]
+    value = lambda row: F.struct(*[F.lit(x).cast(t).alias(f"o{i}") for i, (x, t) in enumerate(zip(row, kinds))])
+    lo, hi = ends
+    if lo is None:
+        return df.withColumn(out, F.lit(False))
+    res = df.withColumn(out, (s >= value(lo[0])) & (F.lit(True) if hi is None else s < value(hi[0])))
+    if hi is not None and lo[0] == hi[0]:  # both cuts among the same equal rows
+        return take_of_equal(res, s == value(lo[0]), stop - start, lo[2], out)
+    if start > lo[1]:
+        res = take_of_equal(res, s == value(lo[0]), lo[2] - (start - lo[1]), lo[2], out)
+    if hi is not None and stop > hi[1]:
+        res = take_of_equal(res, s == value(hi[0]), stop - hi[1], hi[2], out)
+    return res

@@ -8,7 +8,7 @@ from tamis.operators import corrupt as C
 from tamis.operators import repair as R
 from tamis.sources.tables import mixed, table, text_table, trip
 
-from conftest import SF, SF01
+from paths import SF, SF01
 
 
 def test_missing_values_exact_count_and_only_sampled(spark):

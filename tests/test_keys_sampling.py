@@ -11,7 +11,7 @@ from tamis.functions.keys import hash_hex, normal, uniform
 from tamis.operators import sampling as S
 from tamis.sources.tables import LINEITEM_KEY, table
 
-from conftest import SF
+from paths import SF
 
 
 def test_hash_and_uniform_match_python(spark):

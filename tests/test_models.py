@@ -10,7 +10,7 @@ from tamis.operators import evaluate as E
 from tamis.operators import models as M
 from tamis.plans.q_features import refit_report
 
-from conftest import SF
+from paths import SF
 
 
 def test_text_features_on_an_unseen_batch(spark):

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 from tools.oracle_check import TABLES, _hash
 
-from conftest import SF
+from paths import SF
 
 NAMES = ["layer1_monitor", "profile_nulls", "exact_sample", "stratified_split_counts", "clean_all",
          "category_shift", "permute_column", "fill_mode_by_class", "dedup_keep_first", "word_entropy",

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF
+from paths import SF
 
 NAMES = ["exact_sample", "mar_missing", "permute_column", "category_shift", "numbered_batches",
          "stratified_split_counts", "ks_continuous", "fill_median", "dedup_after_injection"]

@@ -17,7 +17,7 @@ ALPHABET = "0123456789+-. eExa?#"
 def py_salvage(x):
     s = re.sub(r"[a-zA-Z]", "", str(x).strip())
     m = re.search(r"[+-]?\d+(\.\d+)?", s)
-    return float(abs(int(float(m.group(0))))) if m else None
+    return float(abs(int(float(m.group(0))))) if m and math.isfinite(float(m.group(0))) else None
 
 
 def py_parse(x):

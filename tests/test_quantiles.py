@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tamis.operators import profile as P
 from tamis.sources.tables import trip
 
-from conftest import SF
+from paths import SF
 
 
 def _reference(df, col, ps):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tamis.session import apply_settings, cluster_settings, ensure_checkpoint_dir
 from tamis.sources.tables import table
 
-from conftest import SF
+from paths import SF
 
 
 def test_cluster_settings_are_bounded():

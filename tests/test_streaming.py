@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamis.sources.tables import table
 from tamis.streaming import monitor as T
 
-from conftest import SF
+from paths import SF
 
 
 @pytest.fixture(scope="module")
