@@ -4,8 +4,8 @@ Rows are dealt to shards of bounded size.  A shard's graph grows batch by batch:
 beam search of the graph so far proposes each new vector's neighbours; pruning keeps the
 nearest one and, further on, only those that no kept neighbour is closer to by the factor
 ``alpha``, so that edges point in different directions; reverse edges are added and pruned
-alike.  A query searches every shard with a beam from the shard's central vector, its best
-rows are scored in double precision on the original vectors, and the shards' results meet.
+alike.  A query searches every shard with a beam from the shard's central vector, the
+rows of the beam are scored in double precision on the original vectors, and the shards' results meet.
 
 Equal vectors are one node of a shard with all their rows, so copies never crowd out a
 node's edges, and none is lost.
@@ -19,6 +19,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,26 +34,38 @@ _NO_ID = np.iinfo(np.int64).max
 
 @dataclass(frozen=True)
 class Sizes:
-    """Rows of a shard and of a block of queries (about); edges of a node; pruning factor;
-    beams when building and searching; nodes of a beam that are expanded at once; nodes that
-    are added at once."""
+    """Rows of a shard: at least ``shard`` and ``root`` times the square root of all rows, so that
+    searches (queries times shards) grow as the table to the power 1.5; rows of a block of queries
+    (about); edges of a node; pruning factor; beams when building and searching; nodes of a beam
+    that are expanded at once; nodes that are added at once."""
 
-    shard: int = 8192
+    shard: int = 4096
+    root: float = 20
     block: int = 256
     degree: int = 40
     alpha: float = 1.1
     build_beam: int = 96
-    search_beam: int = 256
+    search_beam: int = 128
     expand: int = 4
     batch: int = 256
 
 
 # -- one shard ---------------------------------------------------------------
 
+#: marks of visited nodes that a search holds at once
+_MARKS = 1 << 26
+
+
 def beam_search(unit: np.ndarray, edges: np.ndarray, queries: np.ndarray, start: int, beam: int, expand: int):
     """The nodes (and distances 1 - cosine) that a beam search of each query ends with, nearest first; -1: none."""
+    step = max(1, _MARKS // len(unit))
+    parts = [_beam_search(unit, edges, queries[i:i + step], start, beam, expand) for i in range(0, len(queries), step)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _beam_search(unit, edges, queries, start: int, beam: int, expand: int):
     n, m = len(unit), len(queries)
-    ids, dist = np.full((m, beam), -1, np.int64), np.full((m, beam), np.inf)
+    ids, dist = np.full((m, beam), -1, np.int64), np.full((m, beam), np.inf, unit.dtype)
     done = np.ones((m, beam), bool)
     ids[:, 0], dist[:, 0], done[:, 0] = start, 1 - queries @ unit[start], False
     seen = np.zeros((m, n), bool)
@@ -75,7 +88,7 @@ def beam_search(unit: np.ndarray, edges: np.ndarray, queries: np.ndarray, start:
         slot = np.arange(len(row)) - np.repeat(at, size)
         line = np.repeat(np.arange(len(active)), size)
         all_ids = np.concatenate([ids[active], np.full((len(active), width), -1)], axis=1)
-        all_dist = np.concatenate([dist[active], np.full((len(active), width), np.inf)], axis=1)
+        all_dist = np.concatenate([dist[active], np.full((len(active), width), np.inf, unit.dtype)], axis=1)
         all_done = np.concatenate([done[active], np.ones((len(active), width), bool)], axis=1)
         all_ids[line, beam + slot], all_dist[line, beam + slot], all_done[line, beam + slot] = node, d, False
         best = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
@@ -168,6 +181,12 @@ def _norms(vec: np.ndarray) -> np.ndarray:
     return np.sqrt((vec * vec).sum(axis=1))
 
 
+def _unit(vec: np.ndarray) -> np.ndarray:
+    """Vectors of length one in single precision, to find the way by; scores are taken from the vectors themselves."""
+    vec = vec / np.abs(vec).max(axis=1, keepdims=True)  # no overflow of squares
+    return (vec / _norms(vec)[:, None]).astype(np.float32)
+
+
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(_NO_ID).to_numpy()
 
@@ -180,8 +199,7 @@ def _shard(dims: int, sizes: Sizes):
         vec, ids, row = vec[order], ids[order], row[order]
         distinct, node = np.unique(vec, axis=0, return_inverse=True)
         members = np.argsort(node.ravel(), kind="stable")  # by id within a node
-        unit = distinct / np.abs(distinct).max(axis=1, keepdims=True)  # no overflow of squares
-        unit /= _norms(unit)[:, None]
+        unit = _unit(distinct)
         edges, start = build(unit, sizes)
         return {"vec": distinct, "unit": unit, "edges": edges.astype(np.int32), "start": np.array(start),
                 "ids": ids[members], "row": row[members],
@@ -201,10 +219,7 @@ _FOUND = "q_row long, q_id long, id long, score double"
 def _search(k: int, sizes: Sizes):
     def search(shard: dict, block: dict) -> pa.RecordBatch:
         q = block["vec"]
-        unit = q / np.abs(q).max(axis=1, keepdims=True)
-        unit /= _norms(unit)[:, None]
-        found, _ = beam_search(shard["unit"], shard["edges"], unit, int(shard["start"]), max(sizes.search_beam, 2 * k), sizes.expand)
-        found = found[:, :2 * k + 4]
+        found, _ = beam_search(shard["unit"], shard["edges"], _unit(q), int(shard["start"]), max(sizes.search_beam, 2 * k), sizes.expand)
         line, col = np.nonzero(found >= 0)
         node = found[line, col]
         # of a node's rows the first k + 1 by id can count: one may be the query itself
@@ -232,7 +247,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, sizes: Sizes = Siz
     rows = numbered(vectors.where(usable(v) & F.exists(v, lambda x: x != 0)).select(
         F.col(id_col).cast("long").alias("id"), doubles(v).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "vectors")
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    shards = stored(rows.drop("q"), sizes.shard, _shard(dims, sizes), "graph")
+    shards = stored(rows.drop("q"), lambda n: max(sizes.shard, math.ceil(sizes.root * math.sqrt(n))), _shard(dims, sizes), "graph")
     blocks = stored(rows.where("q").drop("q"), sizes.block, _block(dims), "queries")
     found = searched(rows.sparkSession, shards, blocks, _search(k, sizes), _FOUND)
     place = Window.partitionBy("q_row").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())

@@ -67,10 +67,11 @@ def load_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-def stored(rows: DataFrame, per_file: int, make: Callable[[pa.Table], dict[str, np.ndarray]], name: str) -> tuple[str, int]:
-    """Deal ``rows`` to files of about ``per_file`` rows made by ``make``; the folder and how many files."""
+def stored(rows: DataFrame, per_file: int | Callable[[int], int], make: Callable[[pa.Table], dict[str, np.ndarray]], name: str) -> tuple[str, int]:
+    """Deal ``rows`` to files of about ``per_file`` rows (or as many as it says for the number of all) made by
+    ``make``; the folder and how many files."""
     n = rows.count()
-    files = -(-n // per_file)
+    files = -(-n // (per_file(n) if callable(per_file) else per_file))
     folder = new_folder(rows.sparkSession, name)
     if files:
         def save(group: pa.Table) -> pa.Table:
