@@ -143,19 +143,26 @@ def _row_digest(columns: Sequence[str], seed: int) -> Column:
     return hash_hex(F.to_json(F.struct(*columns)), seed, "row")
 
 
-def take_of_equal(df: DataFrame, equal: Column, take: int, count: int, out: str) -> DataFrame:
-    """``df`` with ``out`` true in ``take`` of the ``count`` rows where ``equal`` holds.
-
-    These rows have the same value in every column, so any of them will do: one of them is
-    read and made again ``count`` times, ``take`` times with the mark."""
-    one = df.filter(equal).limit(1).collect()
-    spark, schema = df.sparkSession, df.schema
-    parts = -(-count // _COPIES)
-    made = (spark.createDataFrame(one, schema).withColumn("_tm_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-            .repartition(min(parts, 4096), "_tm_p").withColumn("_tm_n", F.explode(F.sequence(
-                F.col("_tm_p") * F.lit(_COPIES).cast("long"), F.least((F.col("_tm_p") + 1) * F.lit(_COPIES).cast("long"), F.lit(count)) - 1)))
-            .withColumn(out, F.col("_tm_n") < F.lit(take)))
-    return df.filter(~F.coalesce(equal, F.lit(False))).unionByName(made.select(*df.columns))
+def take_of_equal(df: DataFrame, equal: Column, take: int, out: str, flags: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``out`` true in ``take`` of the rows where ``equal`` holds.
+
+    These rows have the same value in every column but ``out`` and ``flags`` (marks that were set like
+    this before), so any of them will do: one of each kind is read and made again as often as it
+    occurs, the first ``take`` of them with the mark; those with earlier marks come first."""
+    spark, made = df.sparkSession, None
+    kinds = df.filter(equal).groupBy(*flags).agg(F.count(F.lit(1)).alias("_tm_c"), F.first(F.struct(*df.columns)).alias("_tm_row"))
+    for r in sorted(kinds.collect(), key=lambda r: [not r[f] for f in flags]):  # a row for each combination of marks
+        count, mine = r["_tm_c"], min(take, r["_tm_c"])
+        take -= mine
+        size = F.lit(_COPIES).cast("long")
+        parts = -(-count // _COPIES)
+        copies = (spark.createDataFrame([r["_tm_row"]], df.schema).withColumn("_tm_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+                  .repartition(min(parts, 4096), "_tm_p")
+                  .withColumn("_tm_n", F.explode(F.sequence(F.col("_tm_p") * size, F.least((F.col("_tm_p") + 1) * size, F.lit(count)) - 1)))
+                  .withColumn(out, F.col("_tm_n") < F.lit(mine)).select(*df.columns))
+        made = copies if made is None else made.unionByName(copies)
+    rest = df.filter(~F.coalesce(equal, F.lit(False)))
+    return rest if made is None else rest.unionByName(made)
 
 
 def _marked(d: DataFrame, columns: Sequence[str], hash_: Column, thr, where: Column, seed: int, out: str) -> DataFrame:
@@ -172,7 +179,10 @@ def _marked(d: DataFrame, columns: Sequence[str], hash_: Column, thr, where: Col
     tied = d.filter(where & at).select(digest.alias(H)).withColumn(K, F.col(H))
     (rh, _, take, ties), _ = exact_threshold(tied, n=take)
     marked = d.withColumn(out, where & (below | (at & (digest <= F.lit(rh)))))
-    return marked if take == ties else take_of_equal(marked, where & at & (digest == F.lit(rh)), take, ties, out)
+    if take == ties:
+        return marked
+    flags = [c for c in marked.columns if c not in columns and c not in (H, K, out)]
+    return take_of_equal(marked, where & at & (digest == F.lit(rh)), take, out, flags)
 
 
 def exact_mask_frame(df: DataFrame, key, fraction: float | None = None, n: int | None = None,
@@ -502,9 +512,9 @@ def slice_mask(df: DataFrame, order: Sequence[Column], start: int, stop: int, ou
         return df.withColumn(out, F.lit(False))
     res = df.withColumn(out, (s >= value(lo[0])) & (F.lit(True) if hi is None else s < value(hi[0])))
     if hi is not None and lo[0] == hi[0]:  # both cuts among the same equal rows
-        return take_of_equal(res, s == value(lo[0]), stop - start, lo[2], out)
+        return take_of_equal(res, s == value(lo[0]), stop - start, out)
     if start > lo[1]:
-        res = take_of_equal(res, s == value(lo[0]), lo[2] - (start - lo[1]), lo[2], out)
+        res = take_of_equal(res, s == value(lo[0]), lo[2] - (start - lo[1]), out)
     if hi is not None and stop > hi[1]:
-        res = take_of_equal(res, s == value(hi[0]), stop - hi[1], hi[2], out)
+        res = take_of_equal(res, s == value(hi[0]), stop - hi[1], out)
     return res

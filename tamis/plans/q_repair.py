@@ -188,6 +188,17 @@ def dedup_keep_first(spark, sf_dir):
     return r.agg(_n().alias("n"), F.sum("doc_id").alias("sum_key"))
 
 
+@query("dedup_repeated_rows", """
+SELECT count(*) AS n, sum(doc_id)::BIGINT AS sum_key, sum(n_chars)::BIGINT AS sum_chars FROM (
+  SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn
+  FROM (SELECT doc_id, text, n_chars FROM documents UNION ALL SELECT doc_id, text, n_chars FROM documents)) WHERE rn = 1""")
+def dedup_repeated_rows(spark, sf_dir):
+    """W1 / R20 on a table with every row twice: one row of each text, though the first two are equal."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    r = R.dedup_keep_first(d.unionByName(d), ["text"], ["doc_id"])
+    return r.agg(_n().alias("n"), F.sum("doc_id").alias("sum_key"), F.sum("n_chars").cast("bigint").alias("sum_chars"))
+
+
 @query("dedup_after_injection", f"""
 WITH d AS (SELECT doc_id, 0 AS copy_no, title, content, label FROM {TEXT_SQL}
            UNION ALL SELECT doc_id, 1, title, content, label FROM (SELECT *, {mask_sql(DK, 0.7)} AS m FROM {TEXT_SQL}) WHERE m)

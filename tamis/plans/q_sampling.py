@@ -47,6 +47,28 @@ def exact_fraction_sample(spark, sf_dir):
     return s.agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("sum_key"))
 
 
+@query("sample_of_repeated_rows", f"""
+WITH t AS (SELECT * FROM orders UNION ALL SELECT * FROM orders),
+r AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(key_sql('o_orderkey'), 42, 'twice')}, {key_sql('o_orderkey')}) AS rn FROM t)
+SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS sum_key, count(DISTINCT o_orderkey) AS n_keys FROM r WHERE rn <= 1001""")
+def sample_of_repeated_rows(spark, sf_dir):
+    """K1 / D4 on a table with every row twice: an odd number of rows, so the last one is one of two equal ones."""
+    o = table(spark, sf_dir, "orders")
+    s = S.sample_exact(o.unionByName(o), "o_orderkey", n=1001, salt="twice")
+    return s.agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("sum_key"), F.countDistinct("o_orderkey").alias("n_keys"))
+
+
+@query("batches_of_repeated_rows", f"""
+WITH t AS (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders),
+r AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(key_sql('o_orderkey'), 42, 'batches')}, {key_sql('o_orderkey')}) AS rn FROM t)
+SELECT CAST(floor((rn - 1) / 777) AS INTEGER) AS batch_id, count(*) AS n, sum(o_orderkey)::BIGINT AS sum_key FROM r GROUP BY batch_id""")
+def batches_of_repeated_rows(spark, sf_dir):
+    """S17 on a table with every row twice: batches of an odd size end between equal rows."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    b = S.numbered_batches(o.unionByName(o), "o_orderkey", size=777)
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("sum_key"))
+
+
 @query("train_test_split_keys", f"""
 SELECT CASE WHEN {bernoulli_sql(key_sql('o_orderkey'), 0.8, salt='split')} THEN 'train' ELSE 'test' END AS split,
        count(*) AS n, sum(o_orderkey)::BIGINT AS sum_key

@@ -95,6 +95,46 @@ def test_duplicates_with_a_hot_null_and_long_key(spark):
     assert sorted(map(str, (r[0] for r in R.dedup_keep_first(same.distinct(), ["a"], ["o"]).collect()))) == ["None", "p", "q"]
 
 
+def test_one_of_equal_rows_stays(spark):
+    rows = [(1, "a"), (1, "a"), (2, "a"), (3, "b"), (3, "b"), (None, "b"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "o int, t string").withColumn("m", F.create_map(F.lit("x"), F.col("o")))
+    for frame in (df, df.drop("m")):
+        kept = R.dedup_keep_first(frame, ["t"], ["o"])
+        assert kept.columns == frame.columns
+        assert sorted(str(tuple(r)[:2]) for r in kept.collect()) == ["(1, 'a')", "(None, 'b')", "(None, None)"]
+    tie = spark.createDataFrame([("g", 1, "z"), ("g", 1, "y"), ("g", 2, "x")], "t string, o int, v string")
+    assert [tuple(r) for r in R.dedup_keep_first(tie, ["t"], ["o"]).collect()] == [("g", 1, "y")]
+
+
+def test_blocks_cut_ties_exactly(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 4).alias("x"),
+                                  F.lit(1.0).alias("y"))
+    at = C.missing_at_random(df, "k", "y", "x", 0.3)
+    assert at.count() == 1000 and at.filter("y is null").count() == 300
+    assert C.missing_not_at_random(df, "k", "x", 0.5).count() == 1000
+    twice = df.unionByName(df)
+    assert C.missing_at_random(twice, "k", "y", "x", 0.3).filter("y is null").count() == 600
+
+
+def test_category_shift_leaves_the_others(spark):
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 2 > 0, F.concat(F.lit("c"), F.col("id")))
+                                 .alias("c"), F.lit("same").alias("d"))
+    out = C.category_shift(df, "id", ["c", "d"], 0.5)
+    assert out.columns == df.columns and out.count() == 900
+    assert out.filter("c is null").count() == df.filter("c is null").count()
+    moved = out.join(df.select("id", F.col("c").alias("was")), "id").filter("c <> was").count()
+    mask = C._mask(df, "id", 0.5, 42, "catshift", True)
+    assert moved == mask.filter("_tm_m and c is not null").count() > 0
+
+
+def test_class_mode_fill_joins_missing_rows_only(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", "y"), ("a", None), ("b", None), (None, "z"), (None, None), ("c", "q")]
+    out = R.fill_mode_by_class(spark.createDataFrame(rows, "label string, t string"), "t", "label")
+    assert out.columns == ["label", "t"]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [
+        ("a", "x"), ("a", "x"), ("a", "y"), ("a", "x"), ("b", None), (None, "z"), (None, None), ("c", "q")]))
+
+
 def test_kolmogorov_p_values(spark):
     from tamis.operators.drift import _kolmogorov_sf
     want = {0.005: 1.0, 0.01: 1.0, 0.3: 0.99999069, 0.5: 0.96394524, 1.0: 0.26999967, 1.36: 0.04948588, 2.0: 0.00067092525}

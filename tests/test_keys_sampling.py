@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import pytest
 
@@ -132,8 +133,66 @@ def test_exact_sample_on_a_repeated_key(spark):
     assert S.sample_exact(df, "k", n=150).count() == 150
     two = S.exact_masks_frame(df, "k", [{"out": "a", "fraction": 0.15, "salt": "a"}, {"out": "b", "fraction": 0.333, "salt": "b"}])
     assert two.filter("a").count() == 150 and two.filter("b").count() == 333
-    with pytest.raises(ValueError):
-        S.sample_exact(df.select("k"), "k", n=150)
+    assert S.sample_exact(df.select("k"), "k", n=150).count() == 150
+
+
+def test_equal_rows_are_interchangeable(spark, monkeypatch):
+    ten = spark.range(10).select(F.lit("a").alias("k"), F.lit(None).cast("double").alias("x"))
+    for copies in (S._COPIES, 2):
+        monkeypatch.setattr(S, "_COPIES", copies)
+        s = S.exact_mask_frame(ten, "k", n=3)
+        assert s.columns == ["k", "x", "sampled"]
+        assert s.count() == 10 and s.filter("sampled").count() == 3
+        both = S.exact_masks_frame(ten.unionByName(spark.range(7).select(F.col("id").cast("string").alias("k"), F.lit(1.0).alias("x"))),
+                                   "k", [{"out": "a", "n": 5, "salt": "a"}, {"out": "b", "fraction": 0.5, "salt": "b"}])
+        assert both.count() == 17 and both.filter("a").count() == 5 and both.filter("b").count() == 8
+        parts = S.three_way_split(ten, "k", 4, 3).groupBy("part").count().collect()
+        assert {r["part"]: r["count"] for r in parts} == {"train": 4, "test": 3, "incoming": 3}
+        batches = S.numbered_batches(ten, "k", size=4).groupBy("batch_id").count().collect()
+        assert {r["batch_id"]: r["count"] for r in batches} == {0: 4, 1: 4, 2: 2}
+
+
+def exchanged(df) -> str:
+    """The lines of the plan below an exchange that moves rows."""
+    return "\n".join(x for x in df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines() if "Exchange" in x)
+
+
+def test_batches_and_splits_move_no_whole_row(spark, monkeypatch):
+    wide = table(spark, SF, "orders")
+    for few in (S._FEW_CUTS, 0):
+        monkeypatch.setattr(S, "_FEW_CUTS", few)
+        b = S.numbered_batches(wide, "o_orderkey", size=100)
+        assert "hashpartitioning" not in exchanged(b) and "rangepartitioning" not in exchanged(b)
+        ranked = S.rank_by_hash(wide, "o_orderkey", 42, "batches").select("o_orderkey", F.floor((F.col("rank") - 1) / 100).alias("b"))
+        assert sorted(map(tuple, b.select("o_orderkey", "batch_id").collect())) == sorted(map(tuple, ranked.collect()))
+    assert exchanged(S.three_way_split(wide, "o_orderkey", 100, 50)) == ""
+    monkeypatch.setattr(S, "_MOST_CUTS", 3)
+    assert S.numbered_batches(wide, "o_orderkey", size=100).select("batch_id").distinct().count() == -(-wide.count() // 100)
+
+
+@pytest.mark.parametrize("few,pivots", [(4096, 127), (3, 5)])
+def test_cut_points(spark, monkeypatch, few, pivots):
+    monkeypatch.setattr(S, "_FEW_ROWS", few)
+    monkeypatch.setattr(S, "_PIVOTS", pivots)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1.5, 2.0, 2.0, 2.0, -7.0, float(i)]), str(rng.randint(0, 30)), rng.choice("ab")) for i in range(300)]
+    rows += [(2.0, "5", "a")] * 40
+    df = spark.createDataFrame(rows, "x double, k string, v string").repartition(5)
+    order = [F.col("x").isNull().cast("int"), F.col("x"), F.col("k")]
+    place = lambda r: (r[0] is None, r[0] or 0.0, r[1])
+    ordered = sorted(rows, key=place)
+    for start, stop in [(0, 0), (0, 340), (10, 60), (100, 250), (330, 900), (400, 500), (37, 38), (-5, 12)]:
+        got = S.slice_mask(df, order, start, stop, "in")
+        assert got.columns == ["x", "k", "v", "in"] and got.count() == 340
+        inside = [tuple(r)[:3] for r in got.filter("in").collect()]
+        want = ordered[max(start, 0):max(stop, 0)]
+        assert sorted(map(place, inside)) == sorted(map(place, want))
+        assert sorted(map(str, (tuple(r)[:3] for r in got.collect()))) == sorted(map(str, rows))
+        if 0 <= start < stop <= 340:  # both sides of a cut meet without a gap
+            left = S.slice_mask(df, order, 0, start, "in").filter("in").drop("in")
+            right = S.slice_mask(df, order, stop, 340, "in").filter("in").drop("in")
+            whole = left.unionByName(got.filter("in").drop("in")).unionByName(right)
+            assert sorted(map(str, map(tuple, whole.collect()))) == sorted(map(str, rows))
 
 
 def test_null_classes_are_kept(spark):
