@@ -242,7 +242,7 @@ def _streamer(automata: list[Callable[[], Automaton]]):
                 yield from through(held)
                 held, size = [], 0
         yield from through(held)
-    return stream
+    return stream.asNondeterministic()  # evaluated once, also where the caller filters by the result
 
 
 def contaminated(m: Column, coverage: int = COVERAGE) -> Column:

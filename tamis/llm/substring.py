@@ -359,5 +359,6 @@ def deduplicate(docs: DataFrame, sizes: Sizes = Sizes(), out: str = "dedup") ->
     raw = F.col("text").cast("binary")
     marked = docs.withColumns({ident: F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NO_ID))),
                                digest: F.unhex(F.md5(raw))})
-    return (marked.join(runs_, [ident, digest], "left").withColumn(out, F.pandas_udf(_keep, _RESULT)(raw, F.col(spans)))
+    keep = F.pandas_udf(_keep, _RESULT).asNondeterministic()  # evaluated once, also where the caller filters by the result
+    return (marked.join(runs_, [ident, digest], "left").withColumn(out, keep(raw, F.col(spans)))
             .select(*docs.columns, out))
