@@ -102,12 +102,15 @@ def _weighted(train: DataFrame, head: list, grams: str, out: str, vocab: int, mi
 
 
 def word_char_features(train: DataFrame, text: str = "text", word_vocab: int = 5000, char_vocab: int = 20000,
-                       min_df: float = 2.0, n_min: int = 3, n_max: int = 5) -> PipelineModel:
+                       min_df: float = 2.0, n_min: int = 3, n_max: int = 5, stop_words: Sequence[str] | None = None) -> PipelineModel:
     """M4: the union of word 1-2 gram and character n-gram TF-IDF features."""
-    words = text_features(train, text, word_vocab, min_df)
-    starts = f"CASE WHEN length({text}) >= n THEN sequence(1, length({text}) - n + 1) ELSE array() END"
-    spread = SQLTransformer(statement=f"SELECT *, flatten(transform(sequence({n_min}, {n_max}), n -> transform({starts}, "
-                                      f"i -> lower(substring({text}, i, n))))) AS char_grams FROM __THIS__")
+    words = text_features(train, text, word_vocab, min_df, stop_words=stop_words)
+    # cut into characters once (bound by a lambda), as features.char_ngrams does: a gram costs its own length
+    of = lambda n: (f"CASE WHEN size(c) >= {n} THEN transform(sequence(0, size(c) - {n}), i -> concat("
+                    + ", ".join(f"get(c, i + {j})" for j in range(n)) + ")) ELSE array() END")
+    every = f"concat({', '.join(of(n) for n in range(n_min, n_max + 1))})"
+    cut = f"array(regexp_extract_all(lower(coalesce({text}, '')), '(?s).', 0))"
+    spread = SQLTransformer(statement=f"SELECT *, transform({cut}, c -> {every})[0] AS char_grams FROM __THIS__")
     chars = _weighted(train, [spread], "char_grams", "char_features", char_vocab, min_df)
     rename = SQLTransformer(statement="SELECT * EXCEPT (features), features AS word_features FROM __THIS__")
     union = VectorAssembler(inputCols=["word_features", "char_features"], outputCol="features")

@@ -33,6 +33,6 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module (registration happens at import)."""
     from tamis.plans import (  # noqa: F401
-        q_clean, q_corrupt, q_drift, q_eval, q_features, q_io, q_monitor, q_profile,
+        q_clean, q_corrupt, q_drift, q_eval, q_features, q_io, q_models, q_monitor, q_profile,
         q_repair, q_sampling, q_stream, q_text,
     )
