@@ -30,12 +30,12 @@ BROKEN_FROM = "aAeEoOuU"
 BROKEN_TO = "áÁéÉóÓúÚ"
 # fixed values: characters appended / inserted by the dirty-cell corruptions
 INJECT_CHARS = ["#", "@", "!", "x", "a"]
-# fixed values: templated spam reviews
+# default templates of spam reviews: few distinct words each, so that the entropy rule can find them
 SPAM_TEMPLATES = [
-    "Great product! Highly recommend. Five stars!",
-    "Amazing quality. Fast shipping. Very satisfied.",
-    "Best purchase ever. Will buy again. Excellent!",
-    "Fantastic item. Exceeded expectations. Love it!",
+    "Lovely purchase, arrived early, would recommend!",
+    "Super value and friendly service, thanks!",
+    "My whole family adores this one!",
+    "Works perfectly, worth every single cent!",
 ]
 SCALE_FACTORS = [10, 100, 1000]
 # shares into which the rows of one category are dealt
@@ -173,6 +173,36 @@ def permute_column(df: DataFrame, key, column: str, fraction: float = 0.01, seed
     return _replace(joined, {column: F.col("_tm_v")}, drop=["_tm_m", "_tm_v"])
 
 
+def permute_columns(df: DataFrame, key, columns: Sequence[str], fraction: float = 0.01, seed: int = 42,
+                    salt: str | None = "perm") -> DataFrame:
+    """C5 / D6 of several columns at once; every column ends as ``permute_column`` leaves it.
+
+    The masks of all columns are learnt together, and the sampled cells (a narrow row each) are
+    ranked and exchanged in one plan, whatever the number of columns; the rows get their new
+    cells back by one join."""
+    columns = list(columns)
+    # written with a number for each row, to which its new cells return
+    d = _cut(df.withColumn("_tm_row", F.monotonically_increasing_id()))
+    names = [f"_tm_m{j}" for j in range(len(columns))]
+    d = exact_masks_frame(d, key, [{"out": n, "fraction": fraction, "salt": salt, "where": F.col(c).isNotNull(), "rounding": "half_even"}
+                                   for n, c in zip(names, columns)], seed)
+    counts = d.agg(*[F.count_if(n).alias(n) for n in names]).first()
+    cells = [F.when(F.col(n), F.struct(F.lit(j).alias("_tm_j"), "_tm_row", key_of(d, key).alias("_tm_key"),
+                                       *[(F.col(c) if k == j else F.lit(None).cast(d.schema[c].dataType)).alias(f"_tm_v{k}")
+                                         for k, c in enumerate(columns)])) for j, (n, c) in enumerate(zip(names, columns))]
+    cell = d.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("x.*")
+    values = [f"_tm_v{j}" for j in range(len(columns))]
+    ranked = rank_by_hash(cell, "_tm_key", seed, f"{salt}:order", out="_tm_r", partition=["_tm_j"], ties=values)
+    last = F.element_at(F.array(*[F.lit(counts[n]) for n in names]), F.col("_tm_j") + 1)
+    before = F.when(F.col("_tm_r") == 1, last).otherwise(F.col("_tm_r") - 1)
+    given = ranked.select("_tm_j", before.cast("bigint").alias("_tm_r"), *values)
+    met = ranked.select("_tm_j", "_tm_r", "_tm_row").join(given, ["_tm_j", "_tm_r"])
+    new = met.groupBy("_tm_row").agg(*[F.max(F.when(F.col("_tm_j") == j, F.col(v))).alias(v) for j, v in enumerate(values)])
+    back = d.join(new, "_tm_row", "left")
+    return back.select(*[F.when(F.col(names[columns.index(c)]), F.col(f"_tm_v{columns.index(c)}")).otherwise(F.col(c)).alias(c)
+                         if c in columns else F.col(c) for c in df.columns])
+
+
 def duplicate_rows(df: DataFrame, key, fraction: float = 0.10, seed: int = 42, salt: str | None = None,
                    exact: bool = True, copy_col: str = "copy_no") -> DataFrame:
     """Append ``floor(n*f)`` sampled rows; ``copy_no`` keeps keys distinct."""
@@ -266,23 +296,36 @@ def text_length_limit(df: DataFrame, key, columns: Sequence[str] | None = None,
 
 # -- numeric ----------------------------------------------------------------
 
+def _noisy(cur: DataFrame, key, columns: Sequence[str], names: Sequence[str], seed: int, salt: str | None,
+           scale: float | None = None) -> DataFrame:
+    deviations = learn(cur, *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)])
+    new = {}
+    for i, (c, nm) in enumerate(zip(columns, names)):
+        sd = lit_or_null(deviations[i])
+        m = scale if scale is not None else 1.0 + 4.0 * py_uniform(seed, f"{salt}:{c}", "scale")
+        z = normal(key_of(cur, key), seed, f"{salt}:{c}:z")
+        new[c] = F.when(F.col(nm) & sd.isNotNull(), F.col(c) + z * F.lit(m) * sd).otherwise(F.col(c))
+    return _replace(cur, new)
+
+
 def gaussian_noise(df: DataFrame, key, columns: Sequence[str], fraction: float = 0.10, seed: int = 42,
                    salt: str | None = "noise", exact: bool = True, scale: float | None = None) -> DataFrame:
     """``x + z * m * stddev_pop(x)`` on the sample; nulls untouched; an
     all-null column is skipped (its deviation is null).  ``m`` is one factor
-    per call in [1, 5) (hashed) unless given.  The deviation is a scalar
-    subquery over a one-row aggregate."""
+    per call in [1, 5) (hashed) unless given.  The deviations of all columns are one aggregate."""
     if not columns:
         return df
-    new = {}
     cur, names = _masks(df, key, fraction, seed, [None if salt is None else f"{salt}:{c}" for c in columns], exact,
                         wheres=[F.col(c).isNotNull() for c in columns])
+    return _noisy(cur, key, columns, names, seed, salt, scale).drop(*names)
+
+
+def _scaled(cur: DataFrame, columns: Sequence[str], names: Sequence[str], seed: int, salt: str | None) -> DataFrame:
+    new = {}
     for c, nm in zip(columns, names):
-        sd = lit_or_null(learn(df, F.stddev_pop(F.col(c).cast("double")))[0])
-        m = scale if scale is not None else 1.0 + 4.0 * py_uniform(seed, f"{salt}:{c}", "scale")
-        z = normal(key_of(cur, key), seed, f"{salt}:{c}:z")
-        new[c] = F.when(F.col(nm) & sd.isNotNull(), F.col(c) + z * F.lit(m) * sd).otherwise(F.col(c))
-    return _replace(cur, new, drop=names)
+        f = SCALE_FACTORS[int(py_uniform(seed, f"{salt}:{c}", "factor") * len(SCALE_FACTORS))]
+        new[c] = F.when(F.col(nm), F.col(c) * F.lit(f)).otherwise(F.col(c))
+    return _replace(cur, new)
 
 
 def scaling(df: DataFrame, key, columns: Sequence[str] | None = None, fraction: float = 0.10, seed: int = 42,
@@ -290,11 +333,15 @@ def scaling(df: DataFrame, key, columns: Sequence[str] | None = None, fraction:
     """C14: the sample multiplied by one power of ten per column (10, 100, 1000)."""
     cols = _cols_of(df, columns, (NumericType,), key)
     cur, names = _masks(df, key, fraction, seed, [None if salt is None else f"{salt}:{c}" for c in cols], exact)
-    new = {}
-    for c, nm in zip(cols, names):
-        f = SCALE_FACTORS[int(py_uniform(seed, f"{salt}:{c}", "factor") * len(SCALE_FACTORS))]
-        new[c] = F.when(F.col(nm), F.col(c) * F.lit(f)).otherwise(F.col(c))
-    return _replace(cur, new, drop=names)
+    return _scaled(cur, cols, names, seed, salt).drop(*names)
+
+
+def _violated(d: DataFrame, key, column: str, lower: float, upper: float, seed: int, mask: str) -> DataFrame:
+    u1 = _u(d, key, seed, f"viol:{column}:side")
+    u2 = _u(d, key, seed, f"viol:{column}:mag")
+    val = F.when(u1 > 0.5, F.lit(float(upper)) + u2 * F.lit(abs(float(upper)))) \
+           .otherwise(F.lit(float(lower)) - u2 * F.lit(abs(float(lower))))
+    return _replace(d, {column: F.when(F.col(mask), val).otherwise(F.col(column))})
 
 
 def constraint_violation(df: DataFrame, key, column: str, lower: float = 0.0, upper: float = 100.0,
@@ -303,11 +350,12 @@ def constraint_violation(df: DataFrame, key, column: str, lower: float = 0.0, up
     """Half above ``upper + u*|upper|``, half below ``lower - u*|lower|``
     (with ``lower = 0`` the low branch gives exactly 0)."""
     d = _mask(df, key, fraction, seed, salt, exact)
-    u1 = _u(d, key, seed, f"viol:{column}:side")
-    u2 = _u(d, key, seed, f"viol:{column}:mag")
-    val = F.when(u1 > 0.5, F.lit(float(upper)) + u2 * F.lit(abs(float(upper)))) \
-           .otherwise(F.lit(float(lower)) - u2 * F.lit(abs(float(lower))))
-    return _replace(d, {column: F.when(F.col("_tm_m"), val).otherwise(F.col(column))}, drop=["_tm_m"])
+    return _violated(d, key, column, lower, upper, seed, "_tm_m").drop("_tm_m")
+
+
+def _as_text(d: DataFrame, columns: Sequence[str], mask: str, flag_suffix: str) -> DataFrame:
+    flags = {f"{c}{flag_suffix}": F.col(mask) & F.col(c).isNotNull() for c in columns}
+    return _replace(d, {c: F.col(c).cast("string") for c in columns}).withColumns(flags)
 
 
 def numeric_to_text(df: DataFrame, key, columns: Sequence[str], fraction: float = 0.10, seed: int = 42,
@@ -316,21 +364,18 @@ def numeric_to_text(df: DataFrame, key, columns: Sequence[str], fraction: float
     sampled cells (the reference's mixed-type cells)."""
     if not columns:
         return df
-    d = _mask(df, key, fraction, seed, salt, exact)
-    new = {c: F.col(c).cast("string") for c in columns}
-    out = _replace(d, new)
-    for c in columns:
-        out = out.withColumn(f"{c}{flag_suffix}", F.col("_tm_m") & F.col(c).isNotNull())
-    return out.drop("_tm_m")
+    return _as_text(_mask(df, key, fraction, seed, salt, exact), columns, "_tm_m", flag_suffix).drop("_tm_m")
+
+
+def _negated(d: DataFrame, columns: Sequence[str], mask: str) -> DataFrame:
+    return _replace(d, {c: F.when(F.col(mask), -F.abs(F.col(c))).otherwise(F.col(c)) for c in columns})
 
 
 def negative_values(df: DataFrame, key, columns: Sequence[str] | None = None, fraction: float = 0.10,
                     seed: int = 42, salt: str | None = None, exact: bool = True) -> DataFrame:
     """C17: ``-abs(x)`` on the sample."""
     cols = _cols_of(df, columns, (NumericType,), key)
-    d = _mask(df, key, fraction, seed, salt, exact)
-    return _replace(d, {c: F.when(F.col("_tm_m"), -F.abs(F.col(c))).otherwise(F.col(c)) for c in cols},
-                    drop=["_tm_m"])
+    return _negated(_mask(df, key, fraction, seed, salt, exact), cols, "_tm_m").drop("_tm_m")
 
 
 def label_flip(df: DataFrame, key, label: str = "label", fraction: float = 0.30, seed: int = 42,
@@ -470,21 +515,26 @@ def composite_numeric(df: DataFrame, key, columns: Sequence[str], violation_colu
     """C28 (fractions as the reference's code, not its docstring): permute 50%,
     missing 30%, duplicates 10%, then noise, scaling, violation, to-text and
     negative at 25% each.  As in the reference, columns turned to text are
-    no longer numeric, so the negation after it leaves them alone."""
-    d = df
-    for c in columns:
-        d = permute_column(d, key, c, 0.5, seed)
+    no longer numeric, so the negation after it leaves them alone.  The number of
+    jobs doesn't depend on the number of columns."""
+    columns = list(columns)
+    d = permute_columns(df, key, columns, 0.5, seed)
     d = missing_values(_cut(d), key, columns, 0.3, seed)
     d = _cut(duplicate_rows(d, key, 0.10, seed))
     k2 = _with_copy(key)
-    d = gaussian_noise(d, k2, columns, 0.25, seed)
-    d = scaling(d, k2, columns, 0.25, seed)
-    d = constraint_violation(d, k2, violation_column, lower, upper, 0.25, seed)
-    d = numeric_to_text(d, k2, columns, 0.25, seed)
-    still_numeric = [c for c in columns if isinstance(d.schema[c].dataType, NumericType)]
-    if still_numeric:
-        d = negative_values(d, k2, still_numeric, 0.25, seed)
-    return d
+    # the masks of what is left, learnt together: none of it makes or fills a null
+    noise, scale = ([f"_tm_{kind}{i}" for i in range(len(columns))] for kind in ("n", "s"))
+    specs = [{"out": n, "fraction": 0.25, "salt": f"noise:{c}", "where": F.col(c).isNotNull()} for n, c in zip(noise, columns)]
+    specs += [{"out": n, "fraction": 0.25, "salt": f"scaling:{c}"} for n, c in zip(scale, columns)]
+    specs += [{"out": "_tm_one", "fraction": 0.25, "salt": None}]
+    kept = d.columns
+    d = exact_masks_frame(d, k2, specs, seed)
+    d = _noisy(d, k2, columns, noise, seed, "noise")
+    d = _scaled(d, columns, scale, seed, "scaling")
+    d = _violated(d, k2, violation_column, lower, upper, seed, "_tm_one")
+    d = _as_text(d, columns, "_tm_one", "_is_text")
+    d = _negated(d, [c for c in columns if isinstance(d.schema[c].dataType, NumericType)], "_tm_one")
+    return d.select(*kept, *[f"{c}_is_text" for c in columns])
 
 
 def composite_all(df: DataFrame, key, text_columns: Sequence[str], numeric_columns: Sequence[str],

@@ -84,8 +84,30 @@ def _kolmogorov_sf(lam: Column, terms: int = 20) -> Column:
     return F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0))
 
 
-def ks_two_sample(a: DataFrame, b: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
-    """Two-sample KS statistic and asymptotic p-value (nulls dropped).
+def exact_ks_pvalue(n_a: int, n_b: int, h: int) -> float:
+    """P(D >= h / (n_a n_b)) for two samples without ties, exactly: of all orders of the pooled
+    values, the share whose path from (0, 0) to (n_a, n_b) meets |i n_b - j n_a| >= h.
+
+    The share at (i, j) is that at (i - 1, j) and (i, j - 1), weighted i : j, and 1 where the bound is
+    met; one antidiagonal after the other, so two short arrays are held."""
+    if h <= 0 or not n_a or not n_b:
+        return 1.0
+    share = np.zeros(n_a + 1)
+    i = np.arange(n_a + 1, dtype=np.int64)
+    for k in range(1, n_a + n_b + 1):
+        j = k - i
+        left = np.concatenate([[0.0], share[:-1]])
+        share = np.where((j >= 0) & (j <= n_b), np.where(np.abs(i * n_b - j * n_a) >= h, 1.0, (i * left + j * share) / k), 0.0)
+    return float(min(share[n_a], 1.0))
+
+
+#: samples up to which the p-value is exact
+EXACT_KS = 10_000
+
+
+def ks_two_sample(a: DataFrame, b: DataFrame, col: str, partitions: int | None = None, exact_limit: int = EXACT_KS) -> DataFrame:
+    """Two-sample KS statistic and p-value (nulls dropped): exact where neither sample has over
+    ``exact_limit`` values, else asymptotic.
 
     One row: ``n_a, n_b, ks_statistic, ks_pvalue``.
     """
@@ -131,6 +153,8 @@ def ks_two_sample(a: DataFrame, b: DataFrame, col: str, partitions: int | None =
     en = n_a * n_b / (n_a + n_b) if n_a and n_b else 0.0
     out = spark.range(1).select(F.lit(n_a).cast("long").alias("n_a"), F.lit(n_b).cast("long").alias("n_b"),
                                 F.lit(d).alias("ks_statistic"))
+    if 0 < max(n_a, n_b) <= exact_limit and min(n_a, n_b):
+        return out.withColumn("ks_pvalue", F.lit(exact_ks_pvalue(n_a, n_b, round(d * n_a * n_b))))
     lam = F.lit(math.sqrt(en) * d)
     return out.withColumn("ks_pvalue", _kolmogorov_sf(lam))
 

@@ -9,6 +9,7 @@ column: the wanted rows are found by histograms that narrow an interval of value
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -250,13 +251,38 @@ def distribution(df: DataFrame, col: str, name: str = "share", dropna: bool = Tr
     return g.crossJoin(tot).select(col, "n", (F.col("n") / F.col("_tm_tot")).alias(name)).orderBy(col)
 
 
+def surely_more(k: int) -> tuple[float, float]:
+    """(rsd, limit) such that a column whose ``approx_count_distinct(c, rsd)`` is above the limit has more than
+    ``k`` distinct values for certain: k values fill at most k of the sketch's m registers, and then
+    the estimate (linear counting) is at most m ln(m / (m - k))."""
+    m = max(512, 1 << (8 * k - 1).bit_length())
+    return 1.106 / math.sqrt(m), m * math.log(m / (m - k)) + 1
+
+
+def small_domains(df: DataFrame, cols: Sequence[str], k: int) -> dict[str, list]:
+    """The sorted distinct non-null values of those columns that have at most ``k``.
+
+    Two aggregations whose state is bounded: sketches of all columns tell which of them surely have
+    more; the sets of the others (hardly more than k values) are gathered map-side.  No
+    column's values are exchanged one by one."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    rsd, limit = surely_more(k)
+    about = df.agg(*[F.approx_count_distinct(c, rsd).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    few = [c for i, c in enumerate(cols) if about[i] <= limit]
+    if not few:
+        return {}
+    sets = df.agg(*[F.array_sort(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(few)]).first()
+    return {c: list(sets[i]) for i, c in enumerate(few) if len(sets[i]) <= k}
+
+
 def distinct_capped(df: DataFrame, col: str, k: int = 50) -> DataFrame:
     """The sorted set of distinct non-null values where there are at most k,
-    else null: a larger column is no coded one and gets no rule.
-    Distinct values are found by a shuffle aggregation; at most k + 1 reach the array."""
-    d = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    few = d.limit(k + 1).agg(F.array_sort(F.collect_list(col)).alias("allowed"))
-    return few.select(F.when(F.size("allowed") <= k, F.col("allowed")).alias("allowed"))
+    else null: a larger column is no coded one and gets no rule (see ``small_domains``)."""
+    found = small_domains(df, [col], k).get(col)
+    kind = df.schema[col].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(found,)], f"allowed array<{kind}>")
 
 
 def min_class_size(df: DataFrame, label: str) -> DataFrame:

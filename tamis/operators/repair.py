@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tamis.functions import numeric as N
 from tamis.functions import text as T
 from tamis.functions.keys import key_digest
-from tamis.operators.profile import learn, lit_or_null, mode_by_group, quantile_values
+from tamis.operators.profile import learn, lit_or_null, mode_by_group, quantile_values, small_domains
 
 
 # shares into which the rows of one group are dealt
@@ -367,23 +367,77 @@ def standardize(df: DataFrame, columns: Sequence[str], population: bool = True)
     return _replace(df, new)
 
 
+# date formats that are tried, in this order of preference
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")
+
+
+def learn_date_formats(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = DATE_FORMATS,
+                       min_share: float = 0.95) -> dict[str, str]:
+    """of each text column the format that most of its non-null values have, if at least ``min_share``
+    of them do (the earlier format on ties).  One aggregation over all columns and formats."""
+    pairs = [(c, f) for c in columns for f in formats]
+    if not pairs:
+        return {}
+    share = lambda c, f: F.try_divide(F.count(F.try_to_timestamp(F.col(c), F.lit(f))), F.count(c))
+    row = df.agg(*[share(c, f).alias(f"f{i}") for i, (c, f) in enumerate(pairs)]).first()
+    out: dict[str, tuple[float, str]] = {}
+    for (c, f), s in zip(pairs, row):
+        if s is not None and s >= min_share and s > out.get(c, (0.0, ""))[0]:
+            out[c] = (s, f)
+    return {c: f for c, (_, f) in out.items()}
+
+
+def extract_dates(df: DataFrame, formats: dict[str, str]) -> DataFrame:
+    """each recognised column gives way to its year, month, day and (where the format has one) hour;
+    what does not parse is null."""
+    new = {}
+    for c, f in formats.items():
+        t = F.try_to_timestamp(F.col(c), F.lit(f))
+        new |= {f"{c}_year": F.year(t), f"{c}_month": F.month(t), f"{c}_day": F.dayofmonth(t)}
+        if "HH" in f:
+            new[f"{c}_hour"] = F.hour(t)
+    return df.withColumns(new).drop(*formats) if new else df
+
+
+def encode_categories(df: DataFrame, columns: Sequence[str], max_onehot: int = 10, max_codes: int = 20) -> DataFrame:
+    """M7 / M13 as columns: a category of at most ``max_onehot`` values becomes a 0/1 column for each (null:
+    all 0), one of at most ``max_codes`` the number of its value in order, a larger one stays text."""
+    new, gone = {}, []
+    for c, values in small_domains(df, columns, max_codes).items():
+        if len(values) <= max_onehot:
+            new |= {f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)) for v in values}
+            gone.append(c)
+        else:
+            place = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c))
+            new[c] = F.when(F.col(c).isNotNull(), place - 1)
+    return df.withColumns(new).drop(*gone) if new else df
+
+
 def auto_clean_chain(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str],
-                     dedup_on: Sequence[str] | None = None) -> DataFrame:
+                     dedup_on: Sequence[str] | None = None, dates: Sequence[str] = (), encode: bool = False,
+                     label_filter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """R34 (re-aimed, documented rules): drop duplicates on ``dedup_on`` (all
     feature columns by default, first by key) -> median fill for numerics,
-    mode fill for categories -> clip numerics at 1.5 IQR."""
-    d = dedup_keep_first(df, list(dedup_on or [*numeric, *categorical]), [key])
+    mode fill for categories -> clip numerics at 1.5 IQR -> of the text columns ``dates`` those that hold
+    dates give way to their parts (formats learnt) -> ``encode``: categories become numbers ->
+    ``label_filter`` (R19, a filter by out-of-fold probabilities)."""
+    d = dedup_keep_first(df, list(dedup_on or [*numeric, *categorical, *dates]), [key])
     d = fill_median(d, numeric)
     d = fill_mode(d, categorical)
-    return iqr_clip(d, numeric)
+    d = iqr_clip(d, numeric)
+    if dates:
+        d = extract_dates(d, learn_date_formats(d, dates))
+    if encode:
+        d = encode_categories(d, categorical)
+    return label_filter(d) if label_filter else d
 
 
-def numeric_clean_chain(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Salvage -> mean fill -> standardise -> auto clean."""
+def numeric_clean_chain(df: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], **options) -> DataFrame:
+    """Salvage -> mean fill -> standardise -> auto clean (``options``: its dates, encoding and label filter)."""
     d = salvage_columns(df, numeric)
     d = fill_mean(d, numeric)
     d = standardize(d, numeric)
-    return auto_clean_chain(d, key, numeric, categorical)
+    return auto_clean_chain(d, key, numeric, categorical, **options)
 
 
 def retrain_action(corruption: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from tamis.operators.profile import stack
+from tamis.operators.profile import small_domains, stack
 
 # fixed values: placeholders read as missing
 PLACEHOLDERS = ["?", "nan", ""]
@@ -40,8 +40,8 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None, max_domain
                  domains: bool = True) -> DataFrame:
     """V6: ``(column, type, min_presence, domain, low, high)`` from one
     aggregation.  ``domain`` is the sorted distinct set of a string column when
-    it has at most ``max_domain`` values (found with a bounded
-    ``collect_set`` after a distinct count), else null (``domains=False``: always)."""
+    it has at most ``max_domain`` values (found with bounded sketches and sets, see
+    ``small_domains``), else null (``domains=False``: always)."""
     cols = list(columns or df.columns)
     kinds = {f.name: _kind(f.dataType) for f in df.schema.fields}
     aggs = []
@@ -58,16 +58,11 @@ def infer_schema(df: DataFrame, columns: Sequence[str] | None = None, max_domain
                              F.col(f"p{i}").alias("min_presence"),
                              F.col(f"lo{i}").alias("low"), F.col(f"hi{i}").alias("high")))
     base = wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-    str_cols = [c for c in cols if kinds[c] == "string"]
-    if str_cols and domains:
-        vals = (df.select(stack([(c, F.col(c)) for c in str_cols], "column", "v").alias("s")).select("s.*")
-                  .filter(F.col("v").isNotNull()).distinct())
-        dom = (vals.groupBy("column").agg(F.count(F.lit(1)).alias("nd"))
-                   .join(vals, "column").filter(F.col("nd") <= max_domain)
-                   .groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("domain")))
-        base = base.join(dom, "column", "left")
-    else:
-        base = base.withColumn("domain", F.lit(None).cast("array<string>"))
+    texts = [c for c in cols if kinds[c] == "string"] if domains else []
+    domain = F.lit(None).cast("array<string>")
+    for c, values in small_domains(df, texts, max_domain).items():
+        domain = F.when(F.col("column") == c, F.array(*[F.lit(v) for v in values]).cast("array<string>")).otherwise(domain)
+    base = base.withColumn("domain", domain)
     return base.select("column", "type", "min_presence", "domain", "low", "high")
 
 

@@ -11,7 +11,7 @@ from tamis.operators import drift as D
 from tamis.operators import repair as R
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import DOCUMENT_SQL, TEXT_SQL, TRIP_SQL, document_table, materialized, text_table, trip
+from tamis.sources.tables import DOCUMENT_SQL, TEXT_SQL, TRIP_SQL, document_table, materialized, table, text_table, trip
 
 DK = key_sql("doc_id")
 TK = key_sql("trip_id")
@@ -52,17 +52,27 @@ def js_distance(spark, sf_dir):
 
 
 def _ks_sql(a_src, b_src, col):
+    asymptotic = """least(greatest(CASE WHEN lam <= 0 THEN 1.0
+      WHEN lam < 1 THEN 1.0 - sqrt(2 * pi()) / lam * (SELECT sum(exp(-(2.0 * k - 1) * (2.0 * k - 1) * pi() * pi() / (8 * lam * lam))) FROM range(1, 21) r(k))
+      ELSE 2.0 * (SELECT sum(pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 21) r(k)) END, 0.0), 1.0)"""
     return f"""
-WITH a AS (SELECT {col}::DOUBLE AS v FROM {a_src} WHERE {col} IS NOT NULL AND NOT isnan({col}::DOUBLE)),
+WITH RECURSIVE a AS (SELECT {col}::DOUBLE AS v FROM {a_src} WHERE {col} IS NOT NULL AND NOT isnan({col}::DOUBLE)),
 b AS (SELECT {col}::DOUBLE AS v FROM {b_src} WHERE {col} IS NOT NULL AND NOT isnan({col}::DOUBLE)),
 g AS (SELECT v, sum(ia) AS na, sum(ib) AS nb FROM (SELECT v, 1 AS ia, 0 AS ib FROM a UNION ALL SELECT v, 0, 1 FROM b) GROUP BY v),
 n AS (SELECT sum(na) AS n_a, sum(nb) AS n_b FROM g),
 c AS (SELECT abs(sum(na) OVER w / n.n_a - sum(nb) OVER w / n.n_b) AS d FROM g, n
       WINDOW w AS (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-s AS (SELECT n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, (SELECT max(d) FROM c) AS ks_statistic FROM n),
-l AS (SELECT *, sqrt(n_a * n_b / (n_a + n_b)::DOUBLE) * ks_statistic AS lam FROM s)
+s AS MATERIALIZED (SELECT n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, (SELECT max(d) FROM c) AS ks_statistic FROM n),
+l AS (SELECT *, sqrt(n_a * n_b / (n_a + n_b)::DOUBLE) * ks_statistic AS lam, round(ks_statistic * n_a * n_b)::BIGINT AS h FROM s),
+path(k, p) AS (
+  SELECT 0, list_transform(range(0, n_a + 1), lambda i: 0.0::DOUBLE) FROM l WHERE greatest(n_a, n_b) <= {D.EXACT_KS}
+  UNION ALL
+  SELECT k + 1, list_transform(range(0, n_a + 1), lambda i: CASE WHEN k + 1 - i < 0 OR k + 1 - i > n_b THEN 0.0
+           WHEN abs(i * n_b - (k + 1 - i) * n_a) >= h THEN 1.0
+           ELSE (i * (CASE WHEN i = 0 THEN 0.0 ELSE p[i] END) + (k + 1 - i) * p[i + 1]) / (k + 1) END)
+  FROM path, l WHERE k < n_a + n_b)
 SELECT n_a, n_b, {sig_sql('ks_statistic')} AS ks_statistic,
-  {sig_sql('least(greatest(CASE WHEN lam <= 0 THEN 1.0 WHEN lam < 1 THEN 1.0 - sqrt(2 * pi()) / lam * (SELECT sum(exp(-(2.0 * k - 1) * (2.0 * k - 1) * pi() * pi() / (8 * lam * lam))) FROM range(1, 21) r(k)) ELSE 2.0 * (SELECT sum(pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 21) r(k)) END, 0.0), 1.0)', 8)} AS ks_pvalue
+  {sig_sql(f'CASE WHEN greatest(n_a, n_b) > {D.EXACT_KS} THEN {asymptotic} WHEN h <= 0 THEN 1.0 ELSE least(1.0, (SELECT p[n_a + 1] FROM path WHERE k = n_a + n_b)) END', 8)} AS ks_pvalue
 FROM l"""
 
 
@@ -73,6 +83,15 @@ def ks_two_sample(spark, sf_dir):
     return r.select("n_a", "n_b", sig("ks_statistic").alias("ks_statistic"), sig("ks_pvalue", 8).alias("ks_pvalue"))
 
 
+@query("ks_small_samples", _ks_sql("(SELECT s_acctbal FROM supplier WHERE s_nationkey % 5 = 1)",
+                                   "(SELECT s_acctbal FROM supplier WHERE s_nationkey % 5 = 3)", "s_acctbal"))
+def ks_small_samples(spark, sf_dir):
+    """D13 on two small groups of suppliers: the exact p-value by the lattice-path recurrence."""
+    s = table(spark, sf_dir, "supplier").select("s_acctbal", "s_nationkey")
+    r = D.ks_two_sample(s.where(F.col("s_nationkey") % 5 == 1), s.where(F.col("s_nationkey") % 5 == 3), "s_acctbal")
+    return r.select("n_a", "n_b", sig("ks_statistic").alias("ks_statistic"), sig("ks_pvalue", 8).alias("ks_pvalue"))
+
+
 _SD_SALT = "noise:total"
 NOISY_TOTAL_SQL = f"""(SELECT total_old AS total0, CASE WHEN m THEN total_old + z * {1.0 + 4.0 * C.py_uniform(42, _SD_SALT, 'scale')!r} * sd ELSE total_old END AS total
   FROM (SELECT total AS total_old, stddev_pop(total) OVER () AS sd,

@@ -10,7 +10,8 @@ from tamis.operators import corrupt as C
 from tamis.operators import repair as R
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
-from tamis.sources.tables import DOCUMENT_SQL, MIXED_SQL, TEXT_SQL, TRIP_SQL, document_table, mixed, table, text_table, trip
+from tamis.sources.tables import (DOCUMENT_SQL, MIXED_SQL, TEXT_SQL, TRIP_SQL, document_table, materialized, mixed, table, text_table,
+                                  trip)
 
 TK = key_sql("trip_id")
 OK = key_sql("o_orderkey")
@@ -344,3 +345,42 @@ def auto_clean_chain(spark, sf_dir):
     r = R.numeric_clean_chain(m, "o_orderkey", ["o_totalprice"], ["c_mktsegment"])
     return r.agg(_n().alias("n"), F.count("o_totalprice").alias("price_present"),
                  F.count("c_mktsegment").alias("segment_present"), sig(F.sum("o_totalprice"), 8).alias("price_sum"))
+
+
+_DATED_SQL = f"""(SELECT o_orderkey, c_mktsegment, o_totalprice, day, stamp, label FROM {MIXED_SEG_SQL}
+  JOIN (SELECT o_orderkey AS k, strftime(o_orderdate, '%d.%m.%Y') AS day, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp, label FROM {MIXED_SQL}) ON k = o_orderkey)"""
+
+
+def _full_chain_sql() -> str:
+    s = "regexp_replace(trim(CAST(o_totalprice AS VARCHAR)), '[a-zA-Z]', '', 'g')"
+    m = f"regexp_extract({s}, '[+-]?\\d+(\\.\\d+)?', 0)"
+    segments = "SELECT c_mktsegment AS v FROM d WHERE c_mktsegment IS NOT NULL"
+    return f"""
+WITH a AS (SELECT * REPLACE (CASE WHEN {m} = '' THEN NULL ELSE abs(trunc(TRY_CAST({m} AS DOUBLE))) END AS o_totalprice) FROM {_DATED_SQL}),
+b AS (SELECT * REPLACE (coalesce(o_totalprice, avg(o_totalprice) OVER ()) AS o_totalprice) FROM a),
+c AS (SELECT * REPLACE ((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER () AS o_totalprice) FROM b),
+d AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_totalprice, c_mktsegment, day, stamp ORDER BY o_orderkey) AS rn FROM c) WHERE rn = 1),
+e AS (SELECT * REPLACE (coalesce(c_mktsegment, (SELECT v FROM ({segments}) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS c_mktsegment) FROM d),
+q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM e),
+f AS MATERIALIZED (SELECT *, least(greatest(o_totalprice, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) AS p, strptime(day, '%d.%m.%Y') AS t FROM e, q),
+g AS (SELECT * FROM f WHERE NOT (label = 1 AND p > 1))
+SELECT count(*) AS n, sum(year(t))::BIGINT AS years, sum(month(t))::BIGINT AS months, sum(day(t))::BIGINT AS days,
+       sum(hour(strptime(stamp, '%Y-%m-%d %H:%M:%S')))::BIGINT AS hours, {sig_sql('sum(p)', 8)} AS price_sum,
+       count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building, (SELECT 8 + count(DISTINCT c_mktsegment) FROM f)::INTEGER + 2 AS n_columns
+FROM g"""
+
+
+@query("full_clean_chain", _full_chain_sql())
+def full_clean_chain(spark, sf_dir):
+    """R34 / R35 with everything: salvage, mean, scale, duplicates, mode, IQR clip, two date columns of different
+    formats recognised and taken apart (F3), segments one-hot encoded (M7), and a label filter (a rule here)."""
+    dated = mixed(spark, sf_dir).select(F.col("o_orderkey").alias("k"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("day"),
+                                        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "label")
+    m = _mixed_seg_missing(spark, sf_dir).drop("o_orderpriority")
+    m = materialized(m.join(dated, m.o_orderkey == dated.k).drop("k").withColumn("o_totalprice", F.col("o_totalprice").cast("string")))
+    r = R.numeric_clean_chain(m, "o_orderkey", ["o_totalprice"], ["c_mktsegment"], dates=["day", "stamp"], encode=True,
+                              label_filter=lambda d: d.where(~((F.col("label") == 1) & (F.col("o_totalprice") > 1))))
+    total = lambda c: F.sum(c).cast("bigint")
+    return r.agg(_n().alias("n"), total("day_year").alias("years"), total("day_month").alias("months"), total("day_day").alias("days"),
+                 total("stamp_hour").alias("hours"), sig(F.sum("o_totalprice"), 8).alias("price_sum"),
+                 F.sum("c_mktsegment_BUILDING").alias("building"), F.lit(len(r.columns)).alias("n_columns"))

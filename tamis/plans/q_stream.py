@@ -103,6 +103,17 @@ def stream_dedup(spark, sf_dir):
     return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stream_dedup_table", """
+SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS sum_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn = 1 GROUP BY 1""")
+def stream_dedup_table(spark, sf_dir):
+    """T4 without state: the first event of each (user, event type), against what earlier batches have written."""
+    s = T.events_stream(spark, sf_dir).select("event_id", "ts", "user_id", "event_type")
+    folder = T.dedup_to_table(s, ["user_id", "event_type"], ["event_id"])
+    d = T.deduplicated(spark, folder, s.schema)
+    return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("sum_id"))
+
+
 @query("stream_window_drift", ORACLES["window_drift"])
 def stream_window_drift(spark, sf_dir):
     """T5 as a stream: daily category counts compared with the static baseline distribution."""

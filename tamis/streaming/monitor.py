@@ -19,10 +19,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tamis.functions.frames import join_null_safe
-from tamis.functions.keys import hash_hex, hex_uniform
+from tamis.functions.keys import hash_hex, hex_uniform, key_digest
+from tamis.operators.repair import dedup_keep_first
 from tamis.session import ensure_checkpoint_dir
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -122,7 +123,7 @@ def run_available_now(stream: DataFrame, name: str, mode: str = "append", out_di
                .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/data")
                .trigger(availableNow=True).start())
     finish(q, timeout_s)
-    return spark.read.schema(stream.schema).parquet(f"{base}/data")
+    return _written(spark, f"{base}/data", stream.schema)
 
 
 def run_updates(stream: DataFrame, name: str, keys: list[str], out_dir: str | None = None,
@@ -143,7 +144,7 @@ def run_updates(stream: DataFrame, name: str, keys: list[str], out_dir: str | No
 
     finish(stream.writeStream.outputMode("update").foreachBatch(handle)
            .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start(), timeout_s)
-    written = spark.read.schema(StructType([*stream.schema.fields, StructField("batch_id", LongType())])).parquet(f"{base}/updates")
+    written = _written(spark, f"{base}/updates", StructType([*stream.schema.fields, StructField("batch_id", LongType())]))
     last = written.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch_id").alias("last"))
     return last.select(*keys, "last.*").select(*stream.columns)
 
@@ -204,14 +205,56 @@ def monitor_totals(metrics: DataFrame, baseline_accept: float = 0.95) -> DataFra
 
 
 def dedup_stream(stream: DataFrame, keys: list[str], watermark: str | None = None) -> DataFrame:
-    """T4: drop duplicates of ``keys``: over the whole stream (the state holds every key),
-    or, given a watermark, within its delay (bounded state; what counts as a
-    duplicate then depends on when rows arrive)."""
+    """T4: drop duplicates of ``keys``: over the whole stream (the state holds every key; see
+    ``dedup_to_table`` for an endless one), or, given a watermark, within its delay (bounded state;
+    what counts as a duplicate then depends on when rows arrive)."""
     if watermark is None:
         return stream.dropDuplicates(keys)
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
 
+def dedup_to_table(stream: DataFrame, keys: list[str], order: list[str], out_dir: str | None = None,
+                   timeout_s: int | None = None) -> str:
+    """T4, exact on an endless stream without any state in memory: a row passes if no earlier micro-batch
+    has written its keys (null keys equal); within a batch the first row by ``order`` passes.
+
+    The rows that passed and the 128-bit digests of their keys are partitions of ``batch_id``,
+    overwritten by a retry; a batch reads only the digests of earlier ones, so a restart after any
+    failure gives the same table.  Returns the folder (``rows``, ``keys`` and ``metrics``)."""
+    spark = stream.sparkSession
+    base = _stream_folder(spark, "dedup", out_dir)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        def write(df: DataFrame, name: str) -> None:
+            (df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+               .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{base}/{name}"))
+        mark = [StructField("_tm_g", StringType()), StructField("batch_id", LongType())]
+        own = batch.sparkSession
+        first = dedup_keep_first(batch, keys, order).withColumn("_tm_g", key_digest(keys))
+        known = _written(own, f"{base}/keys", StructType(mark)).where(F.col("batch_id") < batch_id)
+        write(first.join(known.select("_tm_g"), "_tm_g", "left_anti"), "rows")
+        mine = _written(own, f"{base}/rows", StructType([*batch.schema.fields, *mark])).where(F.col("batch_id") == batch_id)
+        write(mine.select("_tm_g"), "keys")
+        write(mine.agg(F.count(F.lit(1)).alias("passed")), "metrics")
+
+    finish(stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{base}/_checkpoint")
+           .trigger(availableNow=True).start(), timeout_s)
+    return base
+
+
+def deduplicated(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The rows that ``dedup_to_table`` let pass."""
+    return _written(spark, f"{folder}/rows", StructType(schema.fields))
+
+
+def _written(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A table that streams write; empty where no batch has written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def window_drift_stream(stream: DataFrame, baseline: DataFrame, window: str = "1 day", col: str = "event_type",
                         out_dir: str | None = None, timeout_s: int | None = None) -> DataFrame:
     """T5 as a stream: category counts per window in update mode; the last

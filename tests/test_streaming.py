@@ -69,3 +69,45 @@ def test_monitor_restart_does_not_duplicate(spark, tmp_path):
     T.monitor_batches(T.events_stream(spark, SF), rules, out_dir=out)
     assert spark.read.parquet(f"{out}/accepted").count() == first
     assert spark.read.parquet(f"{out}/metrics").count() == 1
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_dedup_without_state_equals_the_batch(spark, cut_events, files):
+    batch = T.prepare_events(table(spark, SF, "events"))
+    stream = T.events_stream(spark, cut_events[files], max_files=1)
+    folder = T.dedup_to_table(stream, ["user_id", "event_type"], ["event_id"])
+    got = T.deduplicated(spark, folder, stream.schema)
+    assert _rows(got.select("user_id", "event_type")) == _rows(batch.select("user_id", "event_type").distinct())
+    passed = spark.read.parquet(f"{folder}/metrics")
+    assert passed.count() == files and passed.agg(F.sum("passed")).first()[0] == got.count()
+    # again: nothing new; a batch that is repeated after a crash replaces what it wrote
+    T.dedup_to_table(T.events_stream(spark, cut_events[files], max_files=1), ["user_id", "event_type"], ["event_id"], out_dir=folder)
+    assert T.deduplicated(spark, folder, stream.schema).count() == got.count()
+
+
+def test_dedup_survives_a_killed_batch(spark, cut_events, tmp_path, monkeypatch):
+    keys, out = ["user_id", "event_type"], str(tmp_path / "out")
+    real, calls = T.dedup_keep_first, []
+
+    def fails_once(*args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("killed")
+        return real(*args)
+    monkeypatch.setattr(T, "dedup_keep_first", fails_once)
+    stream = lambda: T.events_stream(spark, cut_events[5], max_files=1)
+    with pytest.raises(Exception):
+        T.dedup_to_table(stream(), keys, ["event_id"], out_dir=out)
+    T.dedup_to_table(stream(), keys, ["event_id"], out_dir=out)
+    got = T.deduplicated(spark, out, stream().schema)
+    batch = T.prepare_events(table(spark, SF, "events"))
+    assert _rows(got.select(*keys)) == _rows(batch.select(*keys).distinct())
+
+
+def test_streams_without_a_file_are_empty(spark, tmp_path):
+    empty = str(tmp_path / "none")
+    os.makedirs(empty)
+    stream = lambda: T.events_stream(spark, empty)
+    assert T.run_updates(T.window_quality(stream()), "q", ["window_start", "event_type"]).count() == 0
+    assert T.run_available_now(T.dedup_stream(stream(), ["user_id"]), "d").count() == 0
+    assert T.deduplicated(spark, T.dedup_to_table(stream(), ["user_id"], ["event_id"]), stream().schema).count() == 0
