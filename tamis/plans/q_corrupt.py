@@ -635,7 +635,7 @@ def registry_counts(spark, sf_dir):
 
 def register_reference():
     """The 17 named corruptions of the reference (inject.py), with its fractions."""
-    text, nums, cats = ["title", "content"], ["n_chars", "label"], ["lang", "source"]
+    text, nums, cats = ["title", "content"], ["n_chars", "title_chars"], ["lang", "source"]
     C.REGISTRY.clear()
     C.register("01_missing_values", C.missing_values)
     C.register("02_swapped_values", C.swapped_values, text_columns=text, numeric_columns=nums)
@@ -658,10 +658,10 @@ def register_reference():
 
 
 def registry_input(spark, sf_dir):
-    """Text, category and numeric columns of the labelled documents, written once."""
-    return materialized(text_table(spark, sf_dir).select(
+    """Text, category and numeric columns of all documents, written once."""
+    return materialized(document_table(spark, sf_dir).select(
         "doc_id", "title", "content", "lang", "source", F.length("text").cast("double").alias("n_chars"),
-        F.col("label").cast("double").alias("label")))
+        F.length("title").cast("double").alias("title_chars")))
 
 
 @query("registry_digests")

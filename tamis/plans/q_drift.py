@@ -8,6 +8,7 @@ from tamis.functions.fmt import sig, sig_sql
 from tamis.functions.keys import sql_normal
 from tamis.operators import corrupt as C
 from tamis.operators import drift as D
+from tamis.operators import validate as V
 from tamis.operators import repair as R
 from tamis.plans.registry import query
 from tamis.plans.sqlkit import key_sql, mask_sql
@@ -137,27 +138,41 @@ def length_change(spark, sf_dir):
     return r.select(*[sig(c).alias(c) for c in r.columns])
 
 
+_BATCH_SQL = f"""(SELECT CASE WHEN m THEN NULL ELSE content END AS content, CASE WHEN s THEN 'Default' ELSE source END AS source, lang,
+  CASE WHEN g THEN -abs(n) ELSE n END AS n FROM (SELECT *, length(text)::DOUBLE AS n, {mask_sql(DK, 0.3, salt='mcar:content')} AS m,
+  {mask_sql(DK, 0.1, salt='detect')} AS s, {mask_sql(DK, 0.1, salt='neg')} AS g FROM {DOCUMENT_SQL}))"""
+
+
 @query("detectability", f"""
 WITH b AS {_dist_sql(TEXT_SQL)}, c AS {_dist_sql(FLIP_SQL)},
 tv AS (SELECT sum(abs(coalesce(b.p, 0) - coalesce(c.p, 0))) / 2 AS tv FROM b FULL OUTER JOIN c ON b.label = c.label),
-cm AS (SELECT abs(1 - count(c) / count(*)) AS comp FROM (
-        SELECT CASE WHEN {mask_sql(DK, 0.3, salt='mcar:content')} THEN NULL ELSE content END AS c FROM {TEXT_SQL})),
-s AS (SELECT tv, comp / 2 AS completeness, 1 AS anomalies FROM tv, cm)
-SELECT {sig_sql('0.4 * completeness + 0.4 * tv + 0.2 * least(anomalies / 2.0, 1.0)')} AS score,
-  CASE WHEN 0.4 * completeness + 0.4 * tv + 0.2 * least(anomalies / 2.0, 1.0) > 0.2 THEN 'High'
-       WHEN 0.4 * completeness + 0.4 * tv + 0.2 * least(anomalies / 2.0, 1.0) > 0.05 THEN 'Medium' ELSE 'Low' END AS level,
+x AS MATERIALIZED (SELECT * FROM {_BATCH_SQL}), d AS MATERIALIZED (SELECT content, source, lang, length(text)::DOUBLE AS n FROM {DOCUMENT_SQL}),
+cm AS (SELECT abs((SELECT count(content) / count(*) FROM d) - (SELECT count(content) / count(*) FROM x)) AS comp),
+an AS (SELECT (SELECT count(content) / count(*) FROM x) < (SELECT count(content) / count(*) FROM d) AS low,
+       (SELECT min(n) FROM x) < (SELECT min(n) FROM d) OR (SELECT max(n) FROM x) > (SELECT max(n) FROM d) AS rng,
+       (SELECT count(*) FROM (SELECT DISTINCT source FROM x WHERE source NOT IN (SELECT source FROM d WHERE source IS NOT NULL))
+        WHERE (SELECT count(DISTINCT source) FROM d) <= 20) AS unexpected),
+s AS (SELECT tv, comp / 4 AS completeness, low::INTEGER + rng::INTEGER + unexpected AS anomalies FROM tv, cm, an),
+t AS (SELECT *, 0.4 * completeness + 0.4 * tv + 0.2 * least(anomalies / 2.0, 1.0) AS score FROM s)
+SELECT anomalies, {sig_sql('score')} AS score, CASE WHEN score > 0.2 THEN 'High' WHEN score > 0.05 THEN 'Medium' ELSE 'Low' END AS level,
   CASE WHEN anomalies > 0 OR completeness > 0.05 THEN 'High' WHEN completeness > 0.01 THEN 'Medium' ELSE 'Low' END AS rule_level
-FROM s""")
+FROM t""")
 def detectability(spark, sf_dir):
-    """Rule level and weighted score (.4 completeness, .4 TV,
-    .2 anomalies) of a batch with flipped labels and missing content."""
-    t = text_table(spark, sf_dir)
-    tv = D.tv_distance(t, _flipped(spark, sf_dir), "label")
-    batch = C.missing_values(t.select("doc_id", "content"), "doc_id", ["content"], 0.3)
-    comp = D.completeness_drift(t.select("content"), batch, ["content"]).select((F.col("drift") / 2).alias("completeness"))
-    s = tv.crossJoin(comp).withColumn("anomalies", F.lit(1))
+    """Rule level and weighted score (.4 completeness, .4 TV, .2 anomalies): flipped labels, and of all
+    documents a batch with missing contents, an unknown source and negative lengths, whose anomalies against
+    the learnt schema (V6 / V7) are counted."""
+    tv = D.tv_distance(text_table(spark, sf_dir), _flipped(spark, sf_dir), "label")
+    base = materialized(document_table(spark, sf_dir).select("doc_id", "content", "source", "lang", F.length("text").cast("double").alias("n")))
+    batch = C.missing_values(base, "doc_id", ["content"], 0.3)
+    batch = C.category_default(batch, "doc_id", ["source"], 0.1, salt="detect")
+    batch = materialized(C.negative_values(batch, "doc_id", ["n"], 0.1, salt="neg"))
+    cols = ["content", "source", "lang", "n"]
+    anomalies = V.validate_against_schema(batch.select(*cols), V.infer_schema(base.select(*cols)))
+    count = anomalies.agg(F.count(F.lit(1)).alias("anomalies"))
+    comp = D.completeness_drift(base, batch, cols).agg(F.avg("drift").alias("completeness"))
+    s = tv.crossJoin(comp).crossJoin(count)  # one row each
     score = D.detectability_score(F.col("completeness"), F.col("tv_distance"), F.col("anomalies"))
-    return s.select(sig(score).alias("score"), D.detectability_level(score).alias("level"),
+    return s.select("anomalies", sig(score).alias("score"), D.detectability_level(score).alias("level"),
                     D.detectability_rule(F.col("anomalies"), F.col("completeness")).alias("rule_level"))
 
 
