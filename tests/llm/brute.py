@@ -267,3 +267,45 @@ def language(text, dicts, margin):
     first, *rest = sorted(size, key=lambda lang: (size[lang], lang))
     score = 1 - size[first] / size[rest[0]] if rest else 1.0
     return first, score, score >= margin
+
+
+def kneser_ney_of_order(docs, order):
+    """Texts -> (scores of all, prob(context tuple, word), words): the model of ``order`` words learnt from all texts."""
+    def toks(t):
+        return [*SPACE_WORD.findall(lower(t)), b"\0end"]
+    grams = {order: Counter()}
+    for _, t in docs:
+        seq = [None] * (order - 1) + toks(t)
+        grams[order].update(tuple(seq[i:i + order]) for i in range(len(seq) - order + 1))
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    words = sorted({g[0] for g in grams[1]})
+
+    def disc(counts):
+        n = [sum(1 for x in counts if x == k) for k in range(5)]
+        if not (n[1] and n[2] and n[3]):
+            return [0, .5, 1, 1.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+        return d if all(0 <= x <= k for k, x in enumerate(d)) else [0, .5, 1, 1.5]
+    ds = {n: disc(list(c.values())) for n, c in grams.items()}
+    follow = {n: defaultdict(list) for n in grams}
+    for n, c in grams.items():
+        for g, k in c.items():
+            follow[n][g[:-1]].append(k)
+
+    def prob(h, w):
+        if not h:
+            ks = follow[1][()]
+            return (max(grams[1][(w,)] - ds[1][min(grams[1][(w,)], 3)], 0) + sum(ds[1][min(k, 3)] for k in ks) / (len(words) + 1)) / sum(ks)
+        low, n = prob(h[1:], w), len(h) + 1
+        ks = follow[n].get(h)
+        if not ks:
+            return low
+        c = grams[n][(*h, w)]
+        return (max(c - ds[n][min(c, 3)], 0) + sum(ds[n][min(k, 3)] for k in ks) * low) / sum(ks)
+    out = []
+    for d, t in docs:
+        seq = [None] * (order - 1) + toks(t)
+        out.append((d, sum(math.log10(prob(tuple(seq[i:i + order - 1]), seq[i + order - 1])) for i in range(len(seq) - order + 1))))
+    return out, prob, [*words, b"\0unseen"]

@@ -60,6 +60,29 @@ def test_kneser_ney_repeated_rows_and_no_training(spark):
     assert {r["score"] for r in none} == {0.0} and {r["n_known"] for r in none} == {0}
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_of_higher_order(spark, corpus, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MIN_PARTS", 5)
+    monkeypatch.setattr(kneser_ney, "CHUNK", 3000)
+    docs = [(i, t) for i, t in enumerate(t for _, t in pairs(corpus))]
+    learnt, others = docs[::2], docs[1::2]
+    want, prob, words = brute.kneser_ney_of_order(learnt, order)
+    model = kneser_ney.train(frame(spark, learnt).repartition(3), order)
+    got = dict(kneser_ney.score(frame(spark, learnt), model).select("doc_id", "score").collect())
+    for d, logs in want:
+        assert got[d] == pytest.approx(logs, rel=1e-9)
+    for h in [(None,) * (order - 1), (words[0],) * (order - 1), (b"\0unseen",) * (order - 1)]:
+        assert sum(prob(h, w) for w in words) == pytest.approx(1)
+    new = dict(kneser_ney.score(frame(spark, others), model).select("doc_id", "score").collect())
+    for d, t in others:
+        seq = [None] * (order - 1) + [*brute.SPACE_WORD.findall(brute.lower(t)), b"\0end"]
+        assert new[d] == pytest.approx(sum(np.log10(prob(tuple(seq[i:i + order - 1]), seq[i + order - 1]))
+                                           for i in range(len(seq) - order + 1)), rel=1e-9)
+    assert kneser_ney.score(frame(spark, docs), kneser_ney.train(frame(spark, []), order)).where("score <> 0").isEmpty()
+    with pytest.raises(ValueError):
+        kneser_ney.train(frame(spark, docs), 1)
+
+
 def test_kneser_ney_over_many_parts(spark, sf, corpus, monkeypatch):
     from tamis.llm import store
     monkeypatch.setattr(kneser_ney, "MIN_PARTS", 150)
