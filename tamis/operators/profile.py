@@ -9,6 +9,7 @@ column: the wanted rows are found by histograms that narrow an interval of value
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -103,7 +104,9 @@ def quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], group: Se
     with the interval from the least to the largest value; each pass counts, per
     interval, its two ends and ``_BINS`` bins between them (partial aggregation,
     with the least and largest value of each bin) and goes on with the bin that
-    holds the wanted row, until an interval is a single value.  Nothing is sorted
+    holds the wanted row, until an interval is a single value.  Bins have equal width; where
+    that has not brought values within a factor of two after two passes, their widths grow with the magnitude, so
+    a few passes do for any doubles.  Nothing is sorted
     or written but the intervals; a null group is a group.
     """
     keys, cols = [*group, "column"], list(cols)
@@ -119,13 +122,18 @@ def quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], group: Se
     state = wanted.select(*keys, F.explode(F.array_distinct(F.array("first", "second"))).alias("r"), "lo", "hi",
                           F.lit(0).cast("bigint").alias("before")).distinct()
     span = [*keys, "lo", "hi"]
-    while True:
+    # a monotone scale on which each factor of two takes the same room, whatever the magnitude
+    scale = lambda x: F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log(F.abs(x)) + 746))
+    near = ((F.col("lo") > 0) & (F.col("hi") / 2 <= F.col("lo"))) | ((F.col("hi") < 0) & (F.col("lo") / 2 >= F.col("hi")))
+    for passes in itertools.count():
         state = state.checkpoint(eager=True)
         open_ = state.filter(F.col("lo") < F.col("hi"))
         if open_.isEmpty():
             break
         inside = join_null_safe(base, open_.select(*span).distinct(), keys).filter(F.col("v").between(F.col("lo"), F.col("hi")))
         share = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+        if passes >= 2:  # values of very different magnitude are still together: equal bins would take a pass for each factor of _BINS
+            share = F.when(near, share).otherwise(F.try_divide(scale(F.col("v")) - scale(F.col("lo")), scale(F.col("hi")) - scale(F.col("lo"))))
         bin_ = (F.when(F.col("v") == F.col("lo"), F.lit(0)).when(F.col("v") == F.col("hi"), F.lit(_BINS + 1))
                  .otherwise(F.least(F.lit(_BINS), F.lit(1) + F.floor(F.coalesce(share, F.lit(0.0)) * _BINS).cast("int"))))
         hist = inside.groupBy(*span, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"),
