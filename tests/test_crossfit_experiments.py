@@ -62,7 +62,8 @@ def test_moved_labels_are_found(spark, orders):
     found = R.confident_issues(scored, columns, label="label", threshold=0.0)
     r = found.agg(*X.confusion_with_truth(F.col("issue"), F.col("label") != F.col("truth"))).first()
     assert r["n_true"] == int(0.1 * bad.count()) and r["recall"] > 0.6 and r["precision"] > 0.5
-    kept = R.drop_label_noise(scored, 0.9, label="label")
+    # at the default of 0.8: where a tenth of the labels are wrong, a probability learnt from them hardly passes 0.9
+    kept = R.drop_label_noise(scored, label="label")
     wrong = kept.where("label <> truth").count()
     assert wrong < 0.5 * r["n_true"] and kept.count() > 0.8 * bad.count()
 
