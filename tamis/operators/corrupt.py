@@ -498,10 +498,9 @@ def composite_text(df: DataFrame, key, columns: Sequence[str], seed: int = 42) -
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared checkpoint folder (never a local one)."""
-    from tamis.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to the shared folder and read back (never a local checkpoint)."""
+    from tamis.session import written
+    return written(df, "cut")
 
 
 def _with_copy(key):

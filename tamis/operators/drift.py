@@ -1,25 +1,25 @@
 """Drift, distance and significance.
 
 Distributions are small grouped frames joined with a full outer join (absent
-label = 0).  The two-sample KS statistic needs the two empirical CDFs over the
-union of values: values are counted per side (partial aggregation), the
-counts are range-partitioned by value and written once (checkpoint), each
-partition's running sums are computed with numpy inside ``mapInPandas``, and
-only one number per partition plus the partition totals reach the driver.
-No column is ever gathered into one task.
+label = 0).  The two-sample KS statistic needs the largest difference of the two
+empirical CDFs over the union of values; it is found by narrowing: stretches of
+values are counted per side, and only those that may hold a larger difference
+than the best one known are counted again, in finer bins.  Values are neither sorted
+nor exchanged, only the counts of bins are.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamis.session import ensure_checkpoint_dir
+from tamis.operators.profile import narrowing_bin
+from tamis.session import written
 
 # fixed values: Abramowitz-Stegun 7.1.26 erf polynomial
 AS_P = 0.3275911
@@ -105,51 +105,63 @@ def exact_ks_pvalue(n_a: int, n_b: int, h: int) -> float:
 EXACT_KS = 10_000
 
 
-def ks_two_sample(a: DataFrame, b: DataFrame, col: str, partitions: int | None = None, exact_limit: int = EXACT_KS) -> DataFrame:
-    """Two-sample KS statistic and p-value (nulls dropped): exact where neither sample has over
+#: stretches of values up to which their table is broadcast to the next pass (about 5 MB)
+_FEW_STRETCHES = 100_000
+
+
+def _largest_cdf_gap(pooled: DataFrame, n_a: int, n_b: int, lo: float, hi: float) -> float:
+    """max over v of |Fa(v) - Fb(v)| for ``pooled`` (v, ia, ib), ``n_a`` and ``n_b`` values from ``lo`` to ``hi``.
+
+    A stretch with a0 values of a before it and a1 at its end (b0, b1 alike) has the difference
+    a1/n_a - b1/n_b at its end, and inside none above a1/n_a - b0/n_b or below a0/n_a - b1/n_b.  Each pass
+    cuts the open stretches into bins; a bin of one value, or whose bounds do not pass the best
+    difference at any end, is closed, and its values are not counted again.
+    """
+    spark, best = pooled.sparkSession, 0.0
+    fa = lambda c: F.col(c) / F.lit(float(n_a))
+    fb = lambda c: F.col(c) / F.lit(float(n_b))
+    rows = pooled.withColumns({"at": F.lit(0).cast("long"), "bin": F.lit(0)})
+    open_ = spark.createDataFrame([(0, 0, 0, lo, hi, 0, 0)], "at long, bin int, id long, lo double, hi double, a0 long, b0 long")
+    few = True
+    for passes in itertools.count():
+        known = F.broadcast(open_) if few else open_
+        rows = (rows.join(known.select("at", "bin", "id", "lo", "hi"), ["at", "bin"])
+                    .select("v", "ia", "ib", F.col("id").alias("at"), narrowing_bin(passes).alias("bin")))
+        counts = rows.groupBy("at", "bin").agg(F.sum("ia").alias("a"), F.sum("ib").alias("b"), F.min("v").alias("lo"),
+                                               F.max("v").alias("hi"))
+        upto = Window.partitionBy("at").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row per bin
+        ends = counts.withColumns({"upto_a": F.sum("a").over(upto), "upto_b": F.sum("b").over(upto)})
+        before = known.select(F.col("id").alias("at"), "a0", "b0")
+        ends = written(
+            ends.join(before, "at")
+                .withColumns({"a1": F.col("a0") + F.col("upto_a"), "b1": F.col("b0") + F.col("upto_b")})
+                .withColumns({"a0": F.col("a1") - F.col("a"), "b0": F.col("b1") - F.col("b")})
+                .withColumn("id", F.monotonically_increasing_id())
+                .select("at", "bin", "id", "lo", "hi", "a0", "b0", "a1", "b1"), "stretches")
+        best = max(best, ends.agg(F.max(F.abs(fa("a1") - fb("b1")))).first()[0])
+        open_ = ends.filter((F.col("lo") < F.col("hi")) & (F.greatest(fa("a1") - fb("b0"), fb("b1") - fa("a0")) > F.lit(best)))
+        left = open_.count()
+        if not left:
+            return best
+        few = left <= _FEW_STRETCHES
+
+
+def ks_two_sample(a: DataFrame, b: DataFrame, col: str, exact_limit: int = EXACT_KS) -> DataFrame:
+    """Two-sample KS statistic and p-value (nulls and NaN dropped): exact where neither sample has over
     ``exact_limit`` values, else asymptotic.
 
-    One row: ``n_a, n_b, ks_statistic, ks_pvalue``.
+    One row: ``n_a, n_b, ks_statistic, ks_pvalue``.  Where one sample is empty the statistic is 1 (0 where
+    both are) and the p-value 1.  The values alone are written once, as they are dealt, so that no pass
+    computes the inputs again.
     """
     spark = a.sparkSession
-    ensure_checkpoint_dir(spark)
-    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    va = a.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")) \
-          .withColumn("ia", F.lit(1)).withColumn("ib", F.lit(0))
-    vb = b.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")) \
-          .withColumn("ia", F.lit(0)).withColumn("ib", F.lit(1))
-    g = va.unionByName(vb).groupBy("v").agg(F.sum("ia").cast("long").alias("na"), F.sum("ib").cast("long").alias("nb"))
-    rp = (g.repartitionByRange(nparts, "v").sortWithinPartitions("v")
-           .withColumn("pid", F.spark_partition_id())).checkpoint(eager=True)
-    tot = sorted(tuple(r) for r in rp.groupBy("pid").agg(F.sum("na"), F.sum("nb")).collect())
-    n_a = sum(t[1] for t in tot)
-    n_b = sum(t[2] for t in tot)
-    offs, ca, cb = {}, 0, 0
-    for pid, sa, sb in tot:
-        offs[pid] = (ca, cb)
-        ca += sa
-        cb += sb
-
-    # each Arrow batch of a partition is already sorted: running sums across
-    # batches continue from the partition offset plus earlier batches
-    def part_max_batches(it):
-        state = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            rows = []
-            for pid, grp in pdf.groupby("pid", sort=False):
-                pid = int(pid)
-                oa, ob = state.get(pid, offs.get(pid, (0, 0)))
-                csa = oa + np.cumsum(grp["na"].to_numpy())
-                csb = ob + np.cumsum(grp["nb"].to_numpy())
-                state[pid] = (int(csa[-1]), int(csb[-1]))
-                d = np.abs(csa / max(n_a, 1) - csb / max(n_b, 1))
-                rows.append((pid, float(d.max())))
-            yield pd.DataFrame(rows, columns=["pid", "d"])
-
-    dmax = rp.mapInPandas(part_max_batches, "pid int, d double").agg(F.max("d").alias("d")).first()["d"]
-    d = float(dmax or 0.0)
+    side = lambda df, ia: (df.select(F.col(col).cast("double").alias("v"))
+                           .filter(F.col("v").isNotNull() & ~F.isnan("v"))
+                           .withColumns({"ia": F.lit(ia), "ib": F.lit(1 - ia)}))
+    pooled = written(side(a, 1).unionByName(side(b, 0)), "pooled")
+    n_a, n_b, lo, hi = pooled.agg(F.coalesce(F.sum("ia"), F.lit(0)), F.coalesce(F.sum("ib"), F.lit(0)), F.min("v"),
+                                  F.max("v")).first()
+    d = _largest_cdf_gap(pooled, n_a, n_b, lo, hi) if n_a and n_b else float(n_a != n_b)
     en = n_a * n_b / (n_a + n_b) if n_a and n_b else 0.0
     out = spark.range(1).select(F.lit(n_a).cast("long").alias("n_a"), F.lit(n_b).cast("long").alias("n_b"),
                                 F.lit(d).alias("ks_statistic"))

@@ -19,7 +19,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from tamis.functions.fmt import sig
 from tamis.functions.frames import join_null_safe
-from tamis.session import ensure_checkpoint_dir
+from tamis.session import ensure_checkpoint_dir, written
 
 
 
@@ -77,13 +77,11 @@ def ranked_in_range(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys, order = list(keys), list(order)
     spark = df.sparkSession
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ensure_checkpoint_dir(spark)
-    # the numbered partitions are written once (reliable checkpoint in the
-    # shared folder): counts and positions then read the SAME partitions, even
+    # the numbered partitions are written once in the shared folder: counts and positions then read the SAME partitions, even
     # if AQE re-plans or an executor is lost and a stage is recomputed
-    rp = (df.repartitionByRange(nparts, *keys, *order).sortWithinPartitions(*keys, *order)
-            .withColumn("_tm_pid", F.spark_partition_id())
-            .withColumn("_tm_i", F.monotonically_increasing_id())).checkpoint(eager=True)
+    rp = written(df.repartitionByRange(nparts, *keys, *order).sortWithinPartitions(*keys, *order)
+                   .withColumn("_tm_pid", F.spark_partition_id())
+                   .withColumn("_tm_i", F.monotonically_increasing_id()), "ranked")
     counts = rp.groupBy(*keys, "_tm_pid").agg(F.count(F.lit(1)).alias("_tm_n"), F.min("_tm_i").alias("_tm_i0"))
     w = Window.partitionBy(*keys).orderBy("_tm_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_tm_off", F.coalesce(F.sum("_tm_n").over(w), F.lit(0))).drop("_tm_n")
@@ -96,6 +94,21 @@ def ranked_in_range(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 _BINS = 4096
 
 
+def narrowing_bin(passes: int) -> Column:
+    """The bin of ``v`` between ``lo`` and ``hi``: 0 and ``_BINS + 1`` are the ends themselves, the others have equal
+    width; from the third pass on widths grow with the magnitude where values within a factor of two are not reached."""
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    # a monotone scale on which each factor of two takes the same room, whatever the magnitude
+    scale = lambda x: F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log(F.abs(x)) + 746))
+    near = ((lo > 0) & (hi / 2 <= lo)) | ((hi < 0) & (lo / 2 >= hi))
+    share = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)
+    if passes >= 2:  # values of very different magnitude are still together: equal bins would take a pass for each factor of _BINS
+        share = F.when(near, share).otherwise(F.try_divide(scale(v) - scale(lo), scale(hi) - scale(lo)))
+    share = F.coalesce(F.nanvl(share, F.lit(0.5)), F.lit(0.0))  # an infinite end: the finite values share a bin
+    return (F.when(v == lo, F.lit(0)).when(v == hi, F.lit(_BINS + 1))
+             .otherwise(F.least(F.lit(_BINS), F.lit(1) + F.floor(share * _BINS).cast("int"))))
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolation percentiles: ``(*group, column, p, value)``.
 
@@ -122,21 +135,13 @@ def quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], group: Se
     state = wanted.select(*keys, F.explode(F.array_distinct(F.array("first", "second"))).alias("r"), "lo", "hi",
                           F.lit(0).cast("bigint").alias("before")).distinct()
     span = [*keys, "lo", "hi"]
-    # a monotone scale on which each factor of two takes the same room, whatever the magnitude
-    scale = lambda x: F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log(F.abs(x)) + 746))
-    near = ((F.col("lo") > 0) & (F.col("hi") / 2 <= F.col("lo"))) | ((F.col("hi") < 0) & (F.col("lo") / 2 >= F.col("hi")))
     for passes in itertools.count():
         state = state.checkpoint(eager=True)
         open_ = state.filter(F.col("lo") < F.col("hi"))
         if open_.isEmpty():
             break
         inside = join_null_safe(base, open_.select(*span).distinct(), keys).filter(F.col("v").between(F.col("lo"), F.col("hi")))
-        share = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
-        if passes >= 2:  # values of very different magnitude are still together: equal bins would take a pass for each factor of _BINS
-            share = F.when(near, share).otherwise(F.try_divide(scale(F.col("v")) - scale(F.col("lo")), scale(F.col("hi")) - scale(F.col("lo"))))
-        bin_ = (F.when(F.col("v") == F.col("lo"), F.lit(0)).when(F.col("v") == F.col("hi"), F.lit(_BINS + 1))
-                 .otherwise(F.least(F.lit(_BINS), F.lit(1) + F.floor(F.coalesce(share, F.lit(0.0)) * _BINS).cast("int"))))
-        hist = inside.groupBy(*span, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"),
+        hist = inside.groupBy(*span, narrowing_bin(passes).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"),
                                                             F.max("v").alias("most"))
         smaller = Window.partitionBy(*span).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # _BINS + 2 rows
         hist = hist.withColumn("under", F.coalesce(F.sum("c").over(smaller), F.lit(0))).drop("bin")

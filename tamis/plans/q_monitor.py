@@ -20,7 +20,7 @@ from tamis.functions.keys import sql_hash
 from tamis.operators.profile import lit_or_null, quantile_values
 from tamis.operators.sampling import exact_mask_frame
 from tamis.plans.registry import query
-from tamis.session import ensure_checkpoint_dir
+from tamis.session import written
 from tamis.sources.tables import TRIP_SQL, trip
 
 FRACTION = 0.4
@@ -29,10 +29,9 @@ ALLOWED_MISSING = 0.05
 
 def layer1_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the projected join feeds six small learning jobs and the report: it is
-    # written once to the shared checkpoint folder instead of being joined
+    # written once to the shared folder instead of being joined
     # again by every job
-    ensure_checkpoint_dir(spark)
-    t = trip(spark, sf_dir).select("trip_id", "distance", "total").checkpoint(eager=True)
+    t = written(trip(spark, sf_dir).select("trip_id", "distance", "total"), "trip")
     m = exact_mask_frame(t, "trip_id", fraction=FRACTION, seed=42, salt="mcar:distance", out="_hit")
     m = m.withColumn("d_corrupt", F.when(F.col("_hit"), F.lit(None)).otherwise(F.col("distance")))
     # learnt constraints (V2, on the clean columns) and the fill value (R4, on

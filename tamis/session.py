@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -58,6 +59,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: its lineage ends there.
+
+    Against ``checkpoint`` the rows are computed once (a checkpoint of a frame computes its last stage
+    for the action and again for the files), a reader takes only the columns it
+    needs, and the size of the files is known when a join is planned.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cluster_settings(input_tb: float = 100.0, executors: int = 1000, cores_per_executor: int = 4) -> dict[str, str]:
     """Runtime settings for a large cluster (applied with ``apply_settings``).
 

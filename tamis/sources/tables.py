@@ -123,9 +123,8 @@ FROM documents JOIN labels USING (doc_id))"""
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Write a derived input once (reliable checkpoint in the shared folder)
-    when several learning jobs read it: each job then scans the written
-    columns instead of recomputing the joins that produced them."""
-    from tamis.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a derived input once (Parquet in the shared folder) when several
+    learning jobs read it: each job then scans the columns it needs instead of
+    recomputing the joins that produced them."""
+    from tamis.session import written
+    return written(df, "input")
