@@ -77,8 +77,9 @@ def ranked_in_range(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys, order = list(keys), list(order)
     spark = df.sparkSession
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the numbered partitions are written once in the shared folder: counts and positions then read the SAME partitions, even
-    # if AQE re-plans or an executor is lost and a stage is recomputed
+    # the numbered partitions are written once in the shared folder: counts and
+    # positions then read the SAME partitions, even if AQE re-plans or an
+    # executor is lost and a stage is recomputed
     rp = written(df.repartitionByRange(nparts, *keys, *order).sortWithinPartitions(*keys, *order)
                    .withColumn("_tm_pid", F.spark_partition_id())
                    .withColumn("_tm_i", F.monotonically_increasing_id()), "ranked")

@@ -103,7 +103,7 @@ NOISY_TOTAL_SQL = f"""(SELECT total_old AS total0, CASE WHEN m THEN total_old +
 @query("ks_continuous", _ks_sql(TRIP_SQL, NOISY_TOTAL_SQL, "total"))
 def ks_continuous(spark, sf_dir):
     """D13 on a continuous column: clean totals vs 20% Gaussian-noised
-    totals (whole tables; distributed running sums)."""
+    totals (whole tables; narrowing by bounds on the difference)."""
     t = materialized(trip(spark, sf_dir).select("trip_id", "total"))
     noisy = C.gaussian_noise(t, "trip_id", ["total"], 0.2)
     r = D.ks_two_sample(t, noisy, "total")
