@@ -92,7 +92,7 @@ UNION ALL SELECT 'fare', 0.0, round(quantile_cont(fare, 0.999), 6) FROM t
 UNION ALL SELECT 'total', round(quantile_cont(total, 0.001), 6), round(quantile_cont(total, 0.999), 6) FROM t""")
 def learn_ranges(spark, sf_dir):
     """Robust caps learnt on the clean trip table."""
-    r = P.learn_ranges(trip(spark, sf_dir), fixed_low={"distance": 0.0, "fare": 0.0}, low_pct={"total": 0.001})
+    r = P.learn_ranges(materialized(trip(spark, sf_dir).select("distance", "fare", "total")), fixed_low={"distance": 0.0, "fare": 0.0}, low_pct={"total": 0.001})
     return r.select("column", F.round("min_allowed", 6).alias("min_allowed"), F.round("max_allowed", 6).alias("max_allowed"))
 
 
@@ -103,7 +103,7 @@ UNION ALL SELECT 'status', list_sort(list(DISTINCT status) FILTER (WHERE status
 UNION ALL SELECT 'priority', list_sort(list(DISTINCT priority) FILTER (WHERE priority IS NOT NULL))[1:50] FROM t""")
 def learn_allowed_sets(spark, sf_dir):
     """Sorted allowed sets (at most 50) of three coded columns."""
-    t = trip(spark, sf_dir)
+    t = materialized(trip(spark, sf_dir).select("flag", "status", "priority"))
     parts = [P.distinct_capped(t, c, 50).select(F.lit(c).alias("column"), "allowed") for c in ["flag", "status", "priority"]]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -122,9 +122,10 @@ def flat_report(spark, sf_dir):
     """The baseline profile as a flat ``(metric, value)`` table."""
     t = trip(spark, sf_dir)
     shape = P.shape(t)
-    s = P.numeric_summary(t, ["distance"]).first()
-    cap = P.quantile_values(t, ["distance"], [0.999])[("distance", 0.999)]
-    nulls = P.null_percent(t, ["distance"]).first()
+    one = materialized(t.select("distance"))
+    s = P.numeric_summary(one, ["distance"]).first()
+    cap = P.quantile_values(one, ["distance"], [0.999])[("distance", 0.999)]
+    nulls = P.null_percent(one, ["distance"]).first()
     pairs = [("missing_percent.distance", nulls["missing_percent"]),
              ("numeric.distance.min", s["min"]), ("numeric.distance.median", s["median"]),
              ("numeric.distance.max", s["max"]), ("numeric.distance.mean", s["mean"]),
@@ -170,12 +171,13 @@ UNION ALL SELECT 'status', 'string', round(count(status) / count(*), 6), list_so
 UNION ALL SELECT 'priority', 'string', round(count(priority) / count(*), 6), list_sort(list(DISTINCT priority)), NULL, NULL FROM t""")
 def infer_schema_table(spark, sf_dir):
     """V5 / V6: statistics-based schema of the trip table."""
-    s = V.infer_schema(trip(spark, sf_dir).select("distance", "fare", "flag", "status", "priority"))
+    s = V.infer_schema(materialized(trip(spark, sf_dir).select("distance", "fare", "flag", "status", "priority")))
     return s.withColumn("min_presence", F.round("min_presence", 6))
 
 
 def _batch_vs_schema(spark, sf_dir):
-    t = trip(spark, sf_dir).select("trip_id", "distance", "fare", "flag", "priority")
+    # the join is done once: the schema, three masks and the validation read its rows
+    t = materialized(trip(spark, sf_dir).select("trip_id", "distance", "fare", "flag", "priority"))
     schema = V.infer_schema(t.drop("trip_id"))
     bad = C.category_default(t, "trip_id", ["flag"], 0.10)
     bad = C.missing_values(bad, "trip_id", ["fare"], 0.20)
@@ -221,8 +223,12 @@ def _trip_rules(t, hi, t_lo, t_hi):
         cross={"total_below_fare": F.col("total") < F.col("fare")})
 
 
-def _corrupted_trip(spark, sf_dir):
-    t = trip(spark, sf_dir).select("trip_id", "distance", "fare", "total", "flag", "status")
+def _ruled_trip(spark, sf_dir):
+    """The columns that the rules read, joined once for learning the ranges and for the batch."""
+    return materialized(trip(spark, sf_dir).select("trip_id", "distance", "fare", "total", "flag", "status"))
+
+
+def _corrupted_trip(t):
     t = C.negative_values(t, "trip_id", ["distance"], 0.05)
     return C.category_default(t, "trip_id", ["flag"], 0.02, salt="default")
 
@@ -249,8 +255,9 @@ SELECT rule, violations, round(violations / n, 6) AS share FROM (
 def layer1_violation_counts(spark, sf_dir):
     """One aggregation counts every rule on a corrupted batch,
     against ranges learnt on the clean table."""
-    q = P.quantile_values(trip(spark, sf_dir), ["distance", "total"], [0.001, 0.999])
-    b = _corrupted_trip(spark, sf_dir)
+    t = _ruled_trip(spark, sf_dir)
+    q = P.quantile_values(t, ["distance", "total"], [0.001, 0.999])
+    b = _corrupted_trip(t)
     rules = _trip_rules(b, q[("distance", 0.999)], q[("total", 0.001)], q[("total", 0.999)])
     return V.violation_counts(b, rules).withColumn("share", F.round("share", 6))
 
@@ -269,8 +276,9 @@ v AS (SELECT trip_id, list_filter([
 SELECT array_to_string(violations, ',') AS verdict, count(*) AS n FROM v GROUP BY verdict""")
 def row_verdicts(spark, sf_dir):
     """Per-row arrays of violated rules, summarised by verdict."""
-    q = P.quantile_values(trip(spark, sf_dir), ["distance", "total"], [0.001, 0.999])
-    b = _corrupted_trip(spark, sf_dir)
+    t = _ruled_trip(spark, sf_dir)
+    q = P.quantile_values(t, ["distance", "total"], [0.001, 0.999])
+    b = _corrupted_trip(t)
     rules = _trip_rules(b, q[("distance", 0.999)], q[("total", 0.001)], q[("total", 0.999)])
     v = V.row_verdicts(b, rules)
     return v.groupBy(F.array_join("violations", ",").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
