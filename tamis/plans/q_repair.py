@@ -23,7 +23,8 @@ def _n():
 
 
 def _trip_missing(spark, sf_dir, frac=0.2):
-    t = trip(spark, sf_dir).select("trip_id", "distance", "fare", "total")
+    # the join is done once: the mask, the learnt fill and the filled rows read its rows
+    t = materialized(trip(spark, sf_dir).select("trip_id", "distance"))
     return C.missing_values(t, "trip_id", ["distance"], frac)
 
 
@@ -247,7 +248,7 @@ SCALED_SQL = f"""(SELECT trip_id, CASE WHEN {mask_sql(TK, 0.02, salt='scaling:to
 
 
 def _scaled(spark, sf_dir):
-    return C.scaling(trip(spark, sf_dir).select("trip_id", "total"), "trip_id", ["total"], 0.02)
+    return C.scaling(materialized(trip(spark, sf_dir).select("trip_id", "total")), "trip_id", ["total"], 0.02)
 
 
 @query("zscore_outliers", f"""
@@ -277,7 +278,7 @@ SELECT count(*) FILTER (WHERE total < net) AS violations_before, count(*) FILTER
        {sig_sql('sum(net + tax_amount)')} AS sum_total FROM s""")
 def recompute_total(spark, sf_dir):
     """C25 then R32: total recomputed as the sum of its parts for all rows."""
-    t = trip(spark, sf_dir).select("trip_id", "fare", "total", "discount", "tax")
+    t = materialized(trip(spark, sf_dir).select("trip_id", "fare", "total", "discount", "tax"))
     t = C.total_inconsistency(t, "trip_id", "total", "fare", 0.7, 0.4)
     t = t.withColumn("net", F.col("fare") * (F.lit(1) - F.col("discount"))) \
          .withColumn("tax_amount", F.col("fare") * (F.lit(1) - F.col("discount")) * F.col("tax"))
@@ -295,7 +296,7 @@ WITH s AS (SELECT (epoch_us(dropoff) - epoch_us(pickup)) / 6.0e7 AS true_d,
 SELECT count(*) FILTER (WHERE abs(d - true_d) > 10) AS fixed, {sig_sql('sum(true_d)')} AS sum_duration FROM s""")
 def recompute_duration(spark, sf_dir):
     """C26 then R33: target recomputed from the timestamps; count > 10 min."""
-    t = trip(spark, sf_dir).select("trip_id", "pickup", "dropoff", "duration_minutes")
+    t = materialized(trip(spark, sf_dir).select("trip_id", "pickup", "dropoff", "duration_minutes"))
     t = C.target_noise(t, "trip_id", "duration_minutes", 10.0, 0.3)
     r = R.recompute_duration(t, "duration_minutes", "pickup", "dropoff", 10.0)
     return r.agg(F.count_if("duration_fixed").alias("fixed"), sig(F.sum("duration_minutes")).alias("sum_duration"))
