@@ -242,7 +242,7 @@ SELECT {sig_sql('avg(abs(y - mu))', 8)} AS mae, {sig_sql('sqrt(avg((y - mu) * (y
 def mae_rmse(spark, sf_dir):
     """MAE / RMSE of a mean predictor learnt on the clean durations,
     scored on the target-noised batch."""
-    t = trip(spark, sf_dir).select("trip_id", "duration_minutes")
+    t = materialized(trip(spark, sf_dir).select("trip_id", "duration_minutes"))
     mu = t.agg(F.avg("duration_minutes")).first()[0]
     n = C.target_noise(t, "trip_id", "duration_minutes", 10.0, 0.3).withColumn("pred", F.lit(mu))
     r = E.mae_rmse(n, "duration_minutes", "pred")
@@ -268,7 +268,7 @@ SELECT {sig_sql('avg(CASE WHEN y IS NOT NULL THEN abs(y - mu) ELSE 60.0 END)')}
        {sig_sql('avg(abs(y - mu))')} AS mae_usable_rows, count(*) FILTER (WHERE y IS NULL) AS unusable FROM t, m""")
 def penalised_mae(spark, sf_dir):
     """Unusable rows cost 60 minutes; both denominators."""
-    t = trip(spark, sf_dir).select("trip_id", "duration_minutes")
+    t = materialized(trip(spark, sf_dir).select("trip_id", "duration_minutes"))
     mu = t.agg(F.avg("duration_minutes")).first()[0]
     c = C.missing_values(t, "trip_id", ["duration_minutes"], 0.2).withColumn("pred", F.lit(mu))
     r = E.penalised_mae(c, F.col("duration_minutes").isNotNull(), "duration_minutes", "pred", 60.0)
