@@ -106,7 +106,7 @@ SELECT count(*) AS n_sampled, count(*) FILTER (WHERE old <> new) AS changed, sum
        sum(new * hash_w) AS weighted FROM (SELECT *, CAST(split_part(trip_id, ':', 1) AS DOUBLE) AS hash_w FROM p)""")
 def permute_column(spark, sf_dir):
     """1% of non-null distances permuted (cyclic shift in hash order)."""
-    t = trip(spark, sf_dir).select("trip_id", "distance").withColumn("old", F.col("distance"))
+    t = materialized(trip(spark, sf_dir).select("trip_id", "distance")).withColumn("old", F.col("distance"))
     p = C.permute_column(t, "trip_id", "distance", 0.01)
     m = C.exact_mask_frame(t, "trip_id", fraction=0.01, salt="perm", where=F.col("distance").isNotNull(),
                            rounding="half_even", out="m").select("trip_id", "m")
@@ -231,7 +231,7 @@ SELECT count(*) AS n, count(*) FILTER (WHERE old <> new) AS changed,
        {sig_sql('sum(new - old)', 8)} AS total_shift, {sig_sql('max(abs(new - old))', 8)} AS max_shift FROM s""")
 def gaussian_noise(spark, sf_dir):
     """Gaussian noise (m x population std) on 10% of distances."""
-    t = trip(spark, sf_dir).select("trip_id", "distance").withColumn("old", F.col("distance"))
+    t = materialized(trip(spark, sf_dir).select("trip_id", "distance")).withColumn("old", F.col("distance"))
     s = C.gaussian_noise(t, "trip_id", ["distance"], 0.1)
     d = F.col("distance") - F.col("old")
     return s.agg(_n().alias("n"), F.count_if(F.col("old") != F.col("distance")).alias("changed"),
@@ -246,7 +246,7 @@ SELECT count(*) AS n, count(*) FILTER (WHERE m) AS scaled, sum(CASE WHEN m THEN
 FROM (SELECT *, {mask_sql(TK, 0.1, salt='scaling:distance')} AS m FROM {TRIP_SQL})""")
 def scaling(spark, sf_dir):
     """C14: 10% of distances multiplied by one power of ten."""
-    t = trip(spark, sf_dir).select("trip_id", "distance").withColumn("old", F.col("distance"))
+    t = materialized(trip(spark, sf_dir).select("trip_id", "distance")).withColumn("old", F.col("distance"))
     s = C.scaling(t, "trip_id", ["distance"], 0.1)
     return s.agg(_n().alias("n"), F.count_if(F.col("old") != F.col("distance")).alias("scaled"),
                  F.sum("distance").alias("sum_distance"))
@@ -260,7 +260,7 @@ SELECT count(*) AS n, count(*) FILTER (WHERE d > 50) AS above, count(*) FILTER (
        {sig_sql('sum(d)')} AS sum_d FROM s""")
 def constraint_violation(spark, sf_dir):
     """Half above ``upper + u*|upper|``, half at the lower bound 0."""
-    t = trip(spark, sf_dir).select("trip_id", "distance")
+    t = materialized(trip(spark, sf_dir).select("trip_id", "distance"))
     s = C.constraint_violation(t, "trip_id", "distance", 0.0, 50.0, 0.1)
     return s.agg(_n().alias("n"), F.count_if(F.col("distance") > 50).alias("above"),
                  F.count_if(F.col("distance") == 0).alias("at_zero"), sig(F.sum("distance")).alias("sum_d"))
@@ -393,7 +393,7 @@ SELECT CASE WHEN m THEN 2 ELSE do_loc END = 2 AS is_two, count(*) AS n
 FROM (SELECT *, {mask_sql(TK, 0.8, salt='concentrate')} AS m FROM {TRIP_SQL}) GROUP BY 1""")
 def category_concentration(spark, sf_dir):
     """80% of location codes set to one code."""
-    t = trip(spark, sf_dir).select("trip_id", "do_loc")
+    t = materialized(trip(spark, sf_dir).select("trip_id", "do_loc"))
     s = C.category_concentration(t, "trip_id", "do_loc", 2, 0.8)
     return s.groupBy((F.col("do_loc") == 2).alias("is_two")).agg(_n().alias("n"))
 
@@ -403,7 +403,7 @@ SELECT count(*) FILTER (WHERE tot < fare) AS below_fare, sum(tot)::DECIMAL(20,2)
   SELECT fare, CASE WHEN {mask_sql(TK, 0.4, salt='inconsistent')} THEN fare * 0.7 ELSE total END AS tot FROM {TRIP_SQL})""")
 def total_inconsistency(spark, sf_dir):
     """Total set to 0.7 x fare on 40% of trips."""
-    t = trip(spark, sf_dir).select("trip_id", "fare", "total")
+    t = materialized(trip(spark, sf_dir).select("trip_id", "fare", "total"))
     s = C.total_inconsistency(t, "trip_id", "total", "fare", 0.7, 0.4)
     return s.agg(F.count_if(F.col("total") < F.col("fare")).alias("below_fare"), _dec("total").alias("total"))
 
@@ -416,7 +416,7 @@ SELECT count(*) FILTER (WHERE old <> new) AS changed, count(*) FILTER (WHERE new
        {sig_sql('sum(new - old)', 8)} AS shift FROM s""")
 def target_noise(spark, sf_dir):
     """N(0, 10) minutes on 30% of durations, clipped at 0."""
-    t = trip(spark, sf_dir).select("trip_id", "duration_minutes").withColumn("old", F.col("duration_minutes"))
+    t = materialized(trip(spark, sf_dir).select("trip_id", "duration_minutes")).withColumn("old", F.col("duration_minutes"))
     s = C.target_noise(t, "trip_id", "duration_minutes", 10.0, 0.3)
     new, old = F.col("duration_minutes"), F.col("old")
     return s.agg(F.count_if(old != new).alias("changed"), F.count_if((new == 0) & (old != 0)).alias("clipped"),
