@@ -24,7 +24,7 @@ def _n():
 
 def _trip_missing(spark, sf_dir, frac=0.2):
     # the join is done once: the mask, the learnt fill and the filled rows read its rows
-    t = materialized(trip(spark, sf_dir).select("trip_id", "distance"))
+    t = materialized(trip(spark, sf_dir).select("trip_id", "distance", "fare", "total"))
     return C.missing_values(t, "trip_id", ["distance"], frac)
 
 
