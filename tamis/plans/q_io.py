@@ -87,7 +87,7 @@ def written_batches(spark, sf_dir):
     batch read back by partition pruning at a time."""
     b = S.numbered_batches(table(spark, sf_dir, "orders"), "o_orderkey", size=500)
     path = _scratch(spark, "batches")
-    IO.write_parquet(b, path, ["batch_id"])
+    IO.write_parquet(b, path, ["batch_id"], small=True)  # 500 rows each
     back = spark.read.parquet(path)
     assert back.filter(F.col("batch_id") == 0).count() <= 500
     return back.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))

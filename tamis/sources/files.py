@@ -52,9 +52,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite",
+                  small: bool = False) -> None:
     """Parquet, optionally partitioned (one table, many
-    partitions, overwritten partition by partition)."""
+    partitions, overwritten partition by partition).  ``small``: a partition's rows are few enough for
+    one task, so they are dealt out by partition and each is one file, not one of every task."""
+    if small and partition_by:
+        df = df.repartition(*partition_by)
     w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
