@@ -407,9 +407,10 @@ def experiment_damage(spark, sf_dir):
 def _scored_rows(spark, sf_dir) -> DataFrame:
     """One schema for all datasets: (dataset, corruption, right) of every row, judged by a fixed rule on each dataset:
     long contents are good, dear orders have the label, the total is nearly the fare."""
-    text = text_table(spark, sf_dir).select("doc_id", "content", "label")
-    base = _noisy(spark, sf_dir).select("o_orderkey", "o_totalprice", "label")
-    trips = trip(spark, sf_dir).select("trip_id", "fare", "total").withColumn("label", (F.col("total") > 35000).cast("int"))
+    # each join is done once: the masks and the four kinds of every set read its rows
+    text = materialized(text_table(spark, sf_dir).select("doc_id", "content", "label"))
+    base = materialized(_noisy(spark, sf_dir).select("o_orderkey", "o_totalprice", "label"))
+    trips = materialized(trip(spark, sf_dir).select("trip_id", "fare", "total")).withColumn("label", (F.col("total") > 35000).cast("int"))
     # name -> frame, key, the column that the rule reads, the rule's prediction
     sets = {"text": (text, "doc_id", "content", (F.length("content") >= 300).cast("int")),
             "mixed": (base, "o_orderkey", "o_totalprice", (F.col("o_totalprice") > 250000).cast("int")),
