@@ -201,7 +201,7 @@ FROM r GROUP BY 1"""
 def refit_report(spark, sf_dir):
     """E8 / E9 on the mixed table: clean, corrupted (missing prices) and cleaned
     (median) variants, a logistic regression refitted on each."""
-    base = mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal", "c_mktsegment", "label")
+    base = materialized(mixed(spark, sf_dir).select("o_orderkey", "o_totalprice", "c_acctbal", "c_mktsegment", "label"))
     bad = C.missing_values(base, "o_orderkey", ["o_totalprice"], 0.3)
     variants = {"clean": base, "corrupted": bad, "cleaned": R.fill_median(bad, ["o_totalprice"])}
 
