@@ -559,8 +559,10 @@ def composite_small(df: DataFrame, key, text: str, label: str, variant: str, see
     if variant in ("broken_missing", "all"):
         d = missing_values(broken_characters(d, key, [text], 0.25, seed), key, [text], 0.10, seed)
     if variant in ("swapped_text_labels", "all"):
-        d = permute_column(permute_column(d, key, text, 0.10, seed, salt="small:text"), key, label, 0.10, seed,
-                           salt="small:label")
+        # written between the steps: each learns a mask in several passes, which would repeat all earlier steps
+        d = _cut(permute_column(_cut(d) if variant == "all" else d, key, text, 0.10, seed, salt="small:text"))
+        d = permute_column(d, key, label, 0.10, seed, salt="small:label")
+        d = _cut(d) if variant == "all" else d
     if variant in ("heavy_missing", "all"):
         d = missing_values(d, key, [text, label], 0.50, seed, salt="heavy")
     if variant not in ("broken_missing", "swapped_text_labels", "heavy_missing", "all"):

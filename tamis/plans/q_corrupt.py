@@ -738,7 +738,7 @@ def _small_composites_sql() -> str:
 @query("small_composites", _small_composites_sql())
 def small_composites(spark, sf_dir):
     """The four small text-and-label composites, stacked in one table."""
-    t = text_table(spark, sf_dir).select("doc_id", "content", "label")
+    t = materialized(text_table(spark, sf_dir).select("doc_id", "content", "label"))
     parts = [C.composite_small(t, "doc_id", "content", "label", v).withColumn("variant", F.lit(v))
              for v in ("broken_missing", "swapped_text_labels", "heavy_missing", "all")]
     out = parts[0]
