@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,7 +20,7 @@ from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, NGram,
                                 StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,6 +190,32 @@ def gbt(max_iter: int = 300, depth: int = 5, step: float = 0.06, label: str = "l
                          checkpointInterval=10)
 
 
+def tree_cuts(train: DataFrame, column: str, features: str = "features", at: int = 0, max_bins: int = 32, seed: int = 42) -> list[float]:
+    """The thresholds between which a tree of these bins and seed tells the values of a numeric feature (the
+    component ``at`` of ``features``, made of ``column``) apart, in order.
+
+    A tree whose label is the value itself splits at each of them, in a few passes."""
+    one = VectorSlicer(inputCol=features, outputCol="_tm_one", indices=[at]).transform(train)
+    tree = DecisionTreeRegressor(featuresCol="_tm_one", labelCol=column, maxDepth=30, maxBins=max_bins, seed=seed)
+    model = tree.fit(one.select("_tm_one", F.col(column).cast("double").alias(column)))
+    return sorted(float(x) for x in re.findall(r"If \(feature 0 <= ([^)]+)\)", model.toDebugString))
+
+
+def cut(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """Each column as the number of its thresholds below the value (as in a tree, a value at a threshold lies
+    below it, and null counts as NaN, above all)."""
+    def number(c: str) -> Column:
+        x = F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+        return sum(((x > F.lit(t)).cast("double") for t in cuts[c]), F.lit(0.0))
+    return df.withColumns({c: number(c) for c in cuts})
+
+
+def grouped(df: DataFrame, columns: Sequence[str], out: str = "weight") -> DataFrame:
+    """One row for all that agree in ``columns``, weighing as many: a learner that knows no other columns learns the
+    same from them."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias(out))
+
+
 def ridge(train: DataFrame, alpha: float = 1.0, label: str = "label") -> LinearRegression:
     """Least squares plus ``alpha`` times the squared coefficients.
 
