@@ -40,7 +40,9 @@ def test_texts_are_not_cut_for_each_fold(spark, monkeypatch):
     assert len(mine) == len(other) == 60 and all(abs(mine[r["id"]]["p0"] - r["p0"]) < 1e-6 for r in other)
 
 
-def test_balanced_weights_count_the_classes_once(spark):
+def test_balanced_weights_counted_first(spark):
     d = spark.createDataFrame([(0.0, "x"), (0.0, "y"), (1.0, "z"), (None, "n")], "label double, v string")
-    assert sorted(map(tuple, M.balanced_weights(d, "label").collect())) == [(0.0, "x", 4 / 6), (0.0, "y", 4 / 6), (1.0, "z", 4 / 3)]
-    assert M.balanced_weights(d.where("false"), "label").collect() == []
+    for first in (False, True):
+        rows = M.balanced_weights(d, "label", counted_first=first).collect()
+        assert sorted(map(tuple, rows)) == [(0.0, "x", 4 / 6), (0.0, "y", 4 / 6), (1.0, "z", 4 / 3)]
+    assert M.balanced_weights(d.where("false"), "label", counted_first=True).collect() == []
