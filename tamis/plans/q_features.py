@@ -69,7 +69,7 @@ CHAR_SQL = ("list_concat(" + ", ".join(
 def char_ngram_tfidf(spark, sf_dir):
     """M3: character 3-5 gram TF-IDF of every whole text."""
     t = spread(table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("s")), "doc_id")
-    w = FT.tfidf(t, "doc_id", FT.char_ngrams(F.col("s"), 3, 5), min_df=2, max_features=20000)
+    w = FT.tfidf(t, "doc_id", FT.char_ngrams(F.col("s"), 3, 5, at_once=True), min_df=2, max_features=20000)
     r = FT.top_terms(w, "doc_id")
     return r.select("doc_id", "n_terms", sig("max_weight").alias("max_weight"), "top_term")
 
