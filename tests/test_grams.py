@@ -83,3 +83,25 @@ def test_no_term_is_made_a_row_or_a_string(spark):
     plan = w._jdf.queryExecution().executedPlan().toString()
     assert "explode" not in plan and "regexp_extract_all" not in plan and "Window" not in plan
     assert sorted(r["doc"] for r in FT.top_terms(w, "doc").collect()) == [1, 2]
+
+
+def test_the_union_keeps_every_term_of_two_documents(spark, monkeypatch):
+    from tamis.plans import q_models
+    texts = {1: "alpha beta gamma", 2: "alpha beta", 3: "delta alpha", 4: "zzz", 5: "delta"}
+    d = spark.createDataFrame([*texts.items()], "doc_id int, text string")
+    monkeypatch.setattr(q_models, "text_table", lambda *_: d)
+    got = {r["doc_id"]: (r["width"], r["n_features"], r["squared_norm"]) for r in q_models.feature_union(spark, "").collect()}
+    each = {i: (set(words(t)), set(chars(t))) for i, t in texts.items()}
+    w, c = (Counter(g for x in each.values() for g in x[k]) for k in (0, 1))
+    many = {i: (sum(w[g] > 1 for g in a), sum(c[g] > 1 for g in b)) for i, (a, b) in each.items()}
+    width = sum(n > 1 for n in w.values()) + sum(n > 1 for n in c.values())
+    assert got == {i: (width, a + b, float((a > 0) + (b > 0))) for i, (a, b) in many.items()}
+
+
+def test_term_vectors_are_written_and_read(spark, tmp_path):
+    from tamis.operators import models as M
+    d = spark.createDataFrame([(1, "ab cd ab"), (2, "ab cd"), (3, None)], "id int, text string")
+    model = M.word_char_features(d, word_vocab=None, char_vocab=None, min_df=1)
+    again = M.save_model(model, f"{tmp_path}/m")
+    a, b = ([r["features"] for r in m.transform(d).orderBy("id").collect()] for m in (model, again))
+    assert a == b and a[2].numNonzeros() == 0 and a[0].size == len(model.stages[0].vocabulary)
