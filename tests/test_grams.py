@@ -44,6 +44,21 @@ def test_counted_terms():
     assert sum(len(c.term) for c in G.CharGrams().counted(part)) == sum(len(chars(t or "")) for t in TEXTS)
 
 
+def test_words_are_looked_up_by_number():
+    terms = ["two", "ab", "one two", "two one", "two 44", "nowhere", "44 the"]  # in any order
+    known = G.Known(G.WordGrams(), pa.array(terms))
+    small = known.compact()
+    assert small.terms is None and small.size == len(terms)  # no string of a pair goes to a task
+    texts = [*TEXTS, "two nowhere two", "the zz two unknown"]
+    for k in (known, small):
+        row, term, times = k.found(pa.array(texts, pa.string()))
+        got = [Counter() for _ in texts]
+        for r, t, n in zip(row, term, times):
+            got[r][terms[t]] += int(n)
+        assert got == [Counter({t: n for t, n in words(x or "").items() if t in terms}) for x in texts]
+        assert [*zip(row, term)] == sorted(zip(row, term))
+
+
 def test_chunks_cover_all_rows(monkeypatch):
     monkeypatch.setattr(G, "CHUNK", 10)
     monkeypatch.setattr(G, "ROWS", 3)
